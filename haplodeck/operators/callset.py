@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from haplodeck import domain
 from haplodeck.functions import alleles as al
 from haplodeck.functions.text import pct, reader_missing, share
-from haplodeck.operators.rows import first_per_key
+from haplodeck.operators.rows import first_per_key, with_once
 
 
 def genotypes_long(wide: DataFrame, genes: list[str] = domain.GENES, id_col: str = "research_id",
@@ -113,7 +113,7 @@ def group_composition(people: DataFrame, group: str = "ancestry") -> DataFrame:
 def _both_callable(calls: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, allele, hom): two rows per genotype whose haplotypes both have two fields."""
     k1, k2 = al.two_field("a1", any_case=True), al.two_field("a2", any_case=True)
-    keyed = calls.select(*keys, k1.alias("_k1"), k2.alias("_k2")).where(
+    keyed = with_once(calls.select(*keys, "a1", "a2"), {"_k1": k1, "_k2": k2}).where(
         F.col("_k1").isNotNull() & F.col("_k2").isNotNull()
     )
     return keyed.select(

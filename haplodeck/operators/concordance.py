@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from haplodeck import domain
 from haplodeck.functions import alleles as al
 from haplodeck.functions.text import is_null_token, pct, share, to_double, truthy
-from haplodeck.operators.rows import latest_per_key
+from haplodeck.operators.rows import latest_per_key, with_once
 
 Pair = tuple[str, str]
 
@@ -55,12 +55,12 @@ def with_cascade(df: DataFrame, call: Pair = ("call_1", "call_2"),
         "_x1": al.field_list(call[0], cut_new), "_x2": al.field_list(call[1], cut_new),
         "_y1": al.field_list(truth[0], cut_new), "_y2": al.field_list(truth[1], cut_new),
     }
-    step = df.withColumns(fields)
+    step = with_once(df, fields)
     step = step.withColumns({
         f"_d{i}{j}": F.least(F.size(f"_x{i}"), F.size(f"_y{j}"), F.lit(4))
         for i in (1, 2) for j in (1, 2)
     })
-    step = step.withColumns({
+    step = with_once(step, {
         f"_t{i}{j}": _leading_equal(f"_x{i}", f"_y{j}", f"_d{i}{j}") for i in (1, 2) for j in (1, 2)
     })
     callable_ = (
@@ -75,11 +75,10 @@ def with_cascade(df: DataFrame, call: Pair = ("call_1", "call_2"),
         return F.when(F.col("_ok"), F.when(F.col("_cross"), F.col(crossed_name)).otherwise(
             F.col(straight_name)))
 
-    return step.select(
-        *base,
-        pick("_t11", "_t12").alias(f"{name}_t1"), pick("_d11", "_d12").alias(f"{name}_d1"),
-        pick("_t22", "_t21").alias(f"{name}_t2"), pick("_d22", "_d21").alias(f"{name}_d2"),
-    )
+    return with_once(step, {
+        f"{name}_t1": pick("_t11", "_t12"), f"{name}_d1": pick("_d11", "_d12"),
+        f"{name}_t2": pick("_t22", "_t21"), f"{name}_d2": pick("_d22", "_d21"),
+    }).select(*base, *[f"{name}_{x}" for x in ("t1", "d1", "t2", "d2")])
 
 
 def level_true(name: str, allele: int, level: int) -> Column:
@@ -188,7 +187,7 @@ def threeway_concordance(df: DataFrame, a: Pair, b: Pair, c: Pair, identity: Pai
     def pair(p: Pair) -> Column:
         return al.unordered_pair(al.two_field(p[0]), al.two_field(p[1]))
 
-    step = df.withColumns({"_a": pair(a), "_b": pair(b), "_c": pair(c)})
+    step = with_once(df, {"_a": pair(a), "_b": pair(b), "_c": pair(c)})
     id1, id2 = to_double(identity[0]), to_double(identity[1])
     confident = (
         ~truthy(tied[0]) & ~truthy(tied[1])
@@ -233,7 +232,8 @@ def resolution_tiers(df: DataFrame, methods: dict[str, Pair], truth: Pair) -> Da
     """Tier counts per gene and method plus an ALL row, among rows where every method and the
     truth have a two-field genotype."""
     names = {f"_k{i}": c for i, c in enumerate([*truth, *[x for p in methods.values() for x in p]])}
-    step = df.select("gene", *[al.two_field(c).alias(k) for k, c in names.items()]).dropna()
+    step = with_once(df, {k: al.two_field(c) for k, c in names.items()}).select(
+        "gene", *names).dropna(subset=list(names))
     cols = list(names)
     pairs = {m: (cols[2 + 2 * i], cols[3 + 2 * i]) for i, m in enumerate(methods)}
     stacked = stack_methods(step, pairs).withColumn(

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from haplodeck import domain
 from haplodeck.functions import alleles as al
 from haplodeck.operators.prefix import global_rank
+from haplodeck.operators.rows import with_once
 from haplodeck.session import cut_lineage
 
 MAX_FEATURES = 1_000_000  # allele names are catalogue-sized; more than this is a broken input
@@ -28,9 +29,9 @@ def _tokens(k1: str, k2: str):
 
 
 def _keyed(calls: DataFrame, genes: list[str]) -> DataFrame:
-    return calls.where(F.col("gene").isin(genes)).select(
-        "person_id", "gene", al.two_field("a1", any_case=True).alias("_k1"),
-        al.two_field("a2", any_case=True).alias("_k2"))
+    return with_once(calls.where(F.col("gene").isin(genes)).select("person_id", "gene", "a1", "a2"), {
+        "_k1": al.two_field("a1", any_case=True), "_k2": al.two_field("a2", any_case=True),
+    }).drop("a1", "a2")
 
 
 def feature_names(calls: DataFrame, people: DataFrame, genes: list[str] = domain.GENES) -> list[str]:

@@ -6,6 +6,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def with_once(df: DataFrame, new: dict[str, Column]) -> DataFrame:
+    """Adds columns that are computed exactly once per row.
+
+    A later filter or projection on a computed column would otherwise be merged into the scan with
+    the whole expression copied for every use. Taking the new values through a one-element explode
+    stops that copying and keeps the generated methods small enough to be compiled; the old columns
+    pass by, so pruning and an existing partitioning are kept."""
+    kept = [c for c in df.columns if c not in new]
+    return df.withColumns(new).select(
+        *kept, F.explode(F.array(F.struct(*new))).alias("_row")
+    ).select(*kept, "_row.*")
+
+
 def first_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int = 1,
                   rank_name: str | None = None) -> DataFrame:
     """First n rows per key. The rank filter is pushed below the shuffle (window group limit), so

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from haplodeck import domain
 from haplodeck.functions.text import epoch_seconds
+from haplodeck.operators.rows import with_once
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,7 +19,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def persons(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """person_id, cust, ancestry, case."""
+    """person_id, cust, ancestry, case. Spread by person while the rows are still narrow: the
+    views built on it are eight to sixteen times longer, and every later grouping or join on the
+    person then finds its rows in place."""
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
     customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
@@ -32,6 +35,7 @@ def persons(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("r_name").alias("ancestry"),
             (F.col("o_orderpriority") == "1-URGENT").cast("int").alias("case"),
         )
+        .repartition("person_id")
     )
 
 
@@ -42,6 +46,11 @@ def _with_genes(df: DataFrame) -> DataFrame:
     return df.withColumn("_g", F.explode(genes)).select(*df.columns, "_g.g", "_g.gene")
 
 
+def _once(view: DataFrame, keys: list[str]) -> DataFrame:
+    """A view whose columns, apart from the plain `keys`, are computed once per row."""
+    return with_once(view, {c: F.col(c) for c in view.columns if c not in keys}).select(*view.columns)
+
+
 def _two(c: Column) -> Column:
     return F.lpad(c.cast("string"), 2, "0")
 
@@ -81,17 +90,16 @@ def callset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per (person, gene): person_id, ancestry, case, gene, a1, a2 (null tokens as text)."""
     df = _haplotypes(_with_genes(persons(spark, sf_dir)))
     calls = _base_calls(F.lit(0))
-    return df.select("person_id", "ancestry", "case", "gene",
-                     calls["base_1"].alias("a1"), calls["base_2"].alias("a2"))
+    return with_once(df, {"a1": calls["base_1"], "a2": calls["base_2"]}).select(
+        "person_id", "ancestry", "case", "gene", "a1", "a2")
 
 
 def comparison_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Append-only log: several versions of a (person, gene) under two run labels."""
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_shipdate")
-    who = persons(spark, sf_dir).select("person_id", "cust")
-    df = lines.join(who, F.col("l_orderkey") == F.col("person_id")).select(
-        "person_id", "cust", F.col("l_linenumber").alias("v"), F.col("l_shipdate").alias("ts")
-    )
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("person_id"), F.col("l_linenumber").alias("v"),
+        F.col("l_shipdate").alias("ts")).repartition("person_id")
+    df = lines.join(persons(spark, sf_dir).select("person_id", "cust"), "person_id")
     df = _haplotypes(_with_genes(df))
     p, g, v = F.col("person_id"), F.col("g"), F.col("v")
     star = F.concat(F.col("gene"), F.lit("*"))
@@ -99,7 +107,7 @@ def comparison_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     q = (p * 37 + g * 11 + v) % 19
     base = _base_calls(v)
     tail = F.when(dp < 6, ":new").when(dp < 12, ":01").otherwise("")
-    return df.select(
+    return _once(df.select(
         "person_id", "gene", "v", "ts",
         F.when(v % 3 == 0, "pilot").otherwise("main").alias("run_label"),
         base["base_1"].alias("base_1"), base["base_2"].alias("base_2"),
@@ -113,7 +121,7 @@ def comparison_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(1.0) - ((p * 19 + g * 5) % 80) / 10000.0).alias("lr_identity_2"),
         F.when((p + g) % 11 == 0, "True").otherwise("False").alias("lr_tied_1"),
         F.when((p * 3 + g) % 29 == 0, "yes").otherwise("no").alias("lr_tied_2"),
-    )
+    ), ["person_id", "gene", "v", "ts"])
 
 
 def assembly_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,7 +129,7 @@ def assembly_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _haplotypes(_with_genes(persons(spark, sf_dir)))
     z = (F.col("person_id") * 41 + F.col("g") * 13) % 17
     star = F.concat(F.col("gene"), F.lit("*"))
-    return df.where(z != 0).select(
+    return _once(df.where(z != 0).select(
         "person_id", F.concat(F.lit("HLA-"), F.col("gene")).alias("gene"),
         F.when(z == 1, "NA").when(z == 2, F.concat(star, F.col("f1"), F.lit(":new")))
         .when(z == 3, F.concat(star, F.lit("new")))
@@ -129,7 +137,7 @@ def assembly_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(z.isin(1, 4), "NA")
         .when(z == 5, F.concat(star, F.col("f2"), F.lit(":98:01:01")))
         .otherwise(F.concat(star, F.col("h2"), F.lit(":01:02"))).alias("asm_2"),
-    )
+    ), ["person_id"])
 
 
 def assembly_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,7 +218,7 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
             .otherwise(F.concat(own, F.lit(f".{name}{ending}")))
         )
 
-    return li.select(
+    return _once(li.select(
         (p * 10 + v).alias("row_id"), p.alias("person_id"),
         F.concat(F.lit("C"), (s % 4).cast("string")).alias("center"),
         F.element_at(F.array(*[F.lit(x) for x in ("revio", "sequel2e", "sequel2", "ont")]),
@@ -220,7 +228,7 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
         uri("hap1", 3, ".fa.gz").alias("hap1_fa"), uri("hap2", 3, ".FA.gz").alias("hap2_fa"),
         uri("hap1", 5, ".paf").alias("hap1_paf"), uri("hap2", 6, ".paf").alias("hap2_paf"),
         F.when(k % 2 == 0, F.concat(F.lit("batch "), s.cast("string"))).alias("note"),
-    )
+    ), ["person_id"])
 
 
 def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -305,3 +313,79 @@ def beats(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_id") % 211 == 0, "complete").when(F.col("event_id") % 307 == 0, "failed")
         .when(F.col("event_id") % 101 == 0, "starting").otherwise("running").alias("run_state"),
     )
+
+
+def caller_haplotypes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-haplotype caller rows with the nested candidate and match texts."""
+    df = _haplotypes(_with_genes(persons(spark, sf_dir).select("person_id", "cust")))
+    df = df.withColumn("ch", F.explode(F.array(F.lit(1), F.lit(2))))
+    p, g, ch = F.col("person_id"), F.col("g"), F.col("ch")
+    df = df.where(~((ch == 2) & ((p + g) % 29 == 0)))
+    stem = F.concat(F.col("gene"), F.lit("*"), F.when(ch == 1, F.col("h1")).otherwise(F.col("h2")))
+    df = df.withColumns({"c1": F.concat(stem, F.lit(":01")), "c2": F.concat(stem, F.lit(":02"))})
+    c1, c2 = F.col("c1"), F.col("c2")
+    n, u, m = (p * 3 + g + ch) % 4, (p + g * 3 + ch) % 7, (p * 5 + g) % 9
+    return _once(df.select(
+        "person_id", F.concat(F.lit("HLA-"), F.col("gene")).alias("Locus"),
+        ch.cast("string").alias("Chromosome"),
+        F.when(n == 0, c1).when(n == 1, F.concat_ws(";", c1, c2))
+        .when(n == 2, F.concat_ws(";", c1, c2, F.lit("X*1"))).otherwise(F.concat_ws(";;", c1, c2))
+        .alias("Genotype"),
+        F.when(m == 0, "NA")
+        .when(m == 1, F.concat(c1, F.lit("|99|0.995;"), c2, F.lit("|99|0.99")))
+        .when(m == 2, F.concat(c1, F.lit("|98.5|0.999;bad|x|y;"), c2, F.lit("|97|0.98")))
+        .when(m == 3, F.concat(c2, F.lit("|90|0.9")))
+        .otherwise(F.concat(c1, F.lit("|100|1.0;"), c2, F.lit("|99|0.97"))).alias("Match_info"),
+        ((p + g * ch) % 50 + 10).cast("string").alias("Reads_num"),
+        F.when((p + ch) % 3 == 0, None).otherwise("known").alias("Step1_type"),
+        F.when(u == 0, "NA").when(u == 1, c2).otherwise(c1).alias("One_guess"),
+    ), ["person_id"])
+
+
+def stage_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seconds per stage and haplotype; null where a stage was not reached."""
+    df = persons(spark, sf_dir).select("person_id", "cust").withColumn(
+        "hap", F.explode(F.array(F.lit(1), F.lit(2))))
+    p, c, h = F.col("person_id"), F.col("cust"), F.col("hap")
+    look, trim, note = (p + h) % 23 != 0, (p + h) % 19 != 1, (p * h + c) % 17 != 2
+    return df.select(
+        "person_id", "hap",
+        F.when(look, ((p * 3 + h) % 50) / 10.0).alias("lookup_seconds"),
+        F.when(look & trim, ((p * 7 + c) % 300) / 10.0).alias("trim_seconds"),
+        F.when(look & trim & note, ((p * 11 + c * 3 + h) % 9000) / 10.0).alias("annotate_seconds"),
+    )
+
+
+def probe_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resource samples and outcomes of a scaling probe, one row per event."""
+    ev = table(spark, sf_dir, "events")
+    dtype = dict(ev.dtypes)["ts"]
+    return ev.select(
+        F.element_at(F.array(F.lit(4), F.lit(8), F.lit(16)), (F.col("user_id") % 3 + 1).cast("int"))
+        .alias("concurrency"),
+        (F.col("user_id") % 2 + 1).cast("int").alias("threads"),
+        F.floor(epoch_seconds("ts", dtype)).cast("long").alias("sec"),
+        (F.col("event_type") == "error").cast("int").alias("failed"),
+        (F.col("value") % 100).alias("mem_used_pct"),
+    )
+
+
+def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("person_id"), "event_id", (F.col("event_id") % 97 == 0).alias("ok"))
+
+
+def risk_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Given scores with many ties, for the ranking metrics."""
+    p, c = F.col("person_id"), F.col("cust")
+    return persons(spark, sf_dir).select(
+        "person_id", "ancestry", F.col("case").alias("label"),
+        (((p * 13 + c * 7) % 400 + F.col("case") * 60) / 500.0).alias("score"))
+
+
+def insert_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Insert-size histogram rows: sizes from the quantity and part, one pair per line item."""
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(
+        (F.col("l_quantity").cast("long") * 37 + F.col("l_partkey") % 211).alias("size"),
+        F.lit(1).cast("long").alias("pairs"))
