@@ -516,3 +516,473 @@ c AS (SELECT coalesce(gene, 'ALL') AS gene, count(*) AS n_resolved, count(*) FIL
   FROM s GROUP BY GROUPING SETS ((gene), ()))
 SELECT *, round(100.0 * concordant_before / nullif(concordant_before + discordant_before, 0), 6) AS pct_before,
   round(100.0 * concordant_after / nullif(concordant_after + discordant_after, 0), 6) AS pct_after FROM c"""
+
+# ---- catalogue ----
+
+CATALOGUE = f"""{CALLSET},
+seen AS (SELECT DISTINCT g, gene, unnest([i1, i2]) AS i FROM hap),
+cat AS (
+  SELECT 'HLA' || lpad(CAST(g*1000 + i*10 + k AS VARCHAR), 5, '0') AS allele_id, gene,
+    lpad(CAST(1 + i // 4 AS VARCHAR), 2, '0') || ':'
+      || lpad(CAST(1 + i % 4 + CASE WHEN k = 3 THEN 10 ELSE 0 END AS VARCHAR), 2, '0')
+      || ':0' || CAST(k AS VARCHAR) || ':01' AS allele_full,
+    2000 + (i*7 + k*3 + g) % 16 * 100 AS first_release
+  FROM seen CROSS JOIN (VALUES (1), (2), (3)) AS t(k) WHERE (i*5 + g) % 13 <> 0),
+obs AS (
+  SELECT DISTINCT gene, 2 AS field_level, allele FROM (SELECT gene, unnest([{cut2('a1')}, {cut2('a2')}]) AS allele FROM callset)
+  WHERE allele IS NOT NULL
+  UNION ALL
+  SELECT DISTINCT gene, 3, allele FROM (SELECT gene, unnest([{cut2('a1', 3)}, {cut2('a2', 3)}]) AS allele FROM callset)
+  WHERE allele IS NOT NULL),
+named AS (
+  SELECT DISTINCT gene, 2 AS field_level, array_to_string(str_split(allele_full, ':')[1:2], ':') AS allele FROM cat
+  UNION ALL SELECT DISTINCT gene, 3, array_to_string(str_split(allele_full, ':')[1:3], ':') FROM cat)"""
+ORACLE["catalogue_coverage"] = f"""WITH {CATALOGUE},
+c AS (SELECT gene, field_level, count(*) AS n_catalogued FROM named GROUP BY 1, 2),
+o AS (SELECT gene, field_level, count(*) AS n_observed FROM obs GROUP BY 1, 2),
+b AS (SELECT gene, field_level, count(*) AS n_common FROM obs JOIN named USING (gene, field_level, allele) GROUP BY 1, 2)
+SELECT gene, field_level, n_catalogued, n_observed, coalesce(n_common, 0) AS n_common,
+  n_observed - coalesce(n_common, 0) AS n_observed_not_catalogued,
+  round(100.0 * coalesce(n_common, 0) / n_catalogued, 6) AS coverage_pct
+FROM c JOIN o USING (gene, field_level) LEFT JOIN b USING (gene, field_level)"""
+ORACLE["uncatalogued_alleles"] = f"""WITH {CATALOGUE} SELECT * FROM obs WHERE field_level = 2
+  AND (gene, allele) NOT IN (SELECT (gene, allele) FROM named WHERE field_level = 2)"""
+CARRIERS = f"""
+car AS (SELECT DISTINCT person_id, gene, ancestry, unnest([{cut2('a1')}, {cut2('a2')}]) AS group_2field FROM callset),
+per AS (SELECT gene, group_2field, ancestry, count(*) AS n FROM car WHERE group_2field IS NOT NULL GROUP BY 1, 2, 3),
+carriers AS (SELECT gene, group_2field, CAST(sum(n) AS BIGINT) AS n_individuals,
+  list(ancestry ORDER BY n DESC, ancestry)[1] AS dominant_ancestry,
+  round(100.0 * max(n) / sum(n), 6) AS dominant_share_pct FROM per GROUP BY 1, 2)"""
+ORACLE["allele_tree"] = f"""WITH {CATALOGUE}, {CARRIERS},
+kids AS (SELECT gene, array_to_string(str_split(allele, ':')[1:2], ':') AS group_2field,
+  count(*) FILTER (WHERE src = 'c') AS c3, count(*) FILTER (WHERE src = 'o') AS o3 FROM (
+  SELECT gene, allele, 'c' AS src FROM named WHERE field_level = 3
+  UNION ALL SELECT gene, allele, 'o' FROM obs WHERE field_level = 3) GROUP BY 1, 2)
+SELECT o.gene, o.allele AS group_2field, coalesce(c3, 0) AS catalogued_3field, coalesce(o3, 0) AS observed_3field,
+  n_individuals, dominant_ancestry, dominant_share_pct
+FROM obs o LEFT JOIN kids k ON k.gene = o.gene AND k.group_2field = o.allele
+LEFT JOIN carriers c ON c.gene = o.gene AND c.group_2field = o.allele WHERE o.field_level = 2"""
+ORACLE["tree_summary"] = f"""WITH {CALLSET}, {CARRIERS} SELECT * REPLACE (CAST(rank AS INTEGER) AS rank) FROM (
+  SELECT *, row_number() OVER (PARTITION BY gene ORDER BY n_individuals DESC, group_2field) AS rank FROM carriers)
+WHERE rank <= 15"""
+ORACLE["fold_tail"] = f"""WITH {CALLSET}, {CARRIERS} SELECT gene,
+  CASE WHEN rn <= 6 THEN group_2field ELSE 'other' END AS segment, CAST(sum(n_individuals) AS BIGINT) AS n_individuals FROM (
+  SELECT *, row_number() OVER (PARTITION BY gene ORDER BY n_individuals DESC, group_2field) AS rn FROM carriers)
+GROUP BY 1, 2"""
+RELEASES = """
+rel AS (SELECT gene, array_to_string(str_split(allele_full, ':')[1:2], ':') AS group_2field,
+        CAST(min(first_release) AS INTEGER) AS release FROM cat GROUP BY 1, 2)"""
+ORACLE["group_releases"] = f"WITH {CATALOGUE}, {RELEASES} SELECT * FROM rel"
+ORACLE["release_lower_bound"] = f"""WITH {CATALOGUE}, {RELEASES}
+SELECT max(release) AS release, count(*) AS n_groups,
+  CAST(max(release) // 1000 AS VARCHAR) || '.' || lpad(CAST(max(release) % 1000 // 10 AS VARCHAR), 2, '0')
+  || '.' || CAST(max(release) % 10 AS VARCHAR) AS release_name
+FROM rel JOIN obs ON obs.gene = rel.gene AND obs.allele = rel.group_2field WHERE field_level = 2"""
+ORACLE["enriched_dominance"] = f"""WITH {FREQ},
+x AS (SELECT *, freq * 2 * n_individuals >= 20 AS enough, sum(freq) OVER (PARTITION BY gene, allele) AS total,
+  bool_or(freq * 2 * n_individuals >= 20) OVER (PARTITION BY gene, allele) AS any_ok FROM freq),
+y AS (SELECT *, row_number() OVER (PARTITION BY gene, allele ORDER BY freq DESC, ancestry) AS rn
+      FROM x WHERE enough OR NOT any_ok)
+SELECT gene, allele, ancestry AS dominant_ancestry, round(100 * freq, 6) AS dominant_freq_pct,
+  round(100 * freq / total, 6) AS relative_share_pct, NOT any_ok AS low_confidence FROM y WHERE rn = 1"""
+ORACLE["relative_prevalence"] = f"""WITH {FREQ},
+t AS (SELECT gene, allele, row_number() OVER (PARTITION BY gene ORDER BY round(sum(freq * 2 * n_individuals), 3) DESC, allele) AS rank
+      FROM freq GROUP BY 1, 2),
+w AS (SELECT f.gene, f.allele, CAST(rank AS INTEGER) AS rank, sum(freq) AS total, {', '.join(
+    f'''coalesce(sum(freq) FILTER (WHERE ancestry = '{r}'), 0) AS "{r}"'''
+    for r in ('AFRICA', 'AMERICA', 'ASIA', 'EUROPE', 'MIDDLE EAST'))}
+  FROM freq f JOIN t USING (gene, allele) WHERE rank <= 12 GROUP BY f.gene, f.allele, rank)
+SELECT gene, allele, rank, {', '.join(f'round(100 * "{r}" / total, 6) AS "{r}"'
+    for r in ('AFRICA', 'AMERICA', 'ASIA', 'EUROPE', 'MIDDLE EAST'))} FROM w"""
+ORACLE["top_within_group"] = f"""WITH {FREQ} SELECT gene, ancestry, allele, n, round(freq, 6) AS freq, n_individuals,
+  CAST(rank AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY gene, ancestry ORDER BY n DESC, allele) AS rank FROM freq) WHERE rank <= 5"""
+
+# ---- manifests ----
+
+
+def _uri(name: str, mod: int, ending: str) -> str:
+    m = f"(part*3 + supp + v*{mod}) % 11"
+    stem = "'pooled/' || person_id || '_' || v"
+    tail = f"{stem} || '.{name}{ending}'"
+    return (f"CASE {m} WHEN 0 THEN NULL WHEN 1 THEN '' WHEN 2 THEN 'gs://legacy-fixture/' || {tail} "
+            f"WHEN 3 THEN 'gs://other-bucket/' || {tail} WHEN 4 THEN {tail} "
+            f"ELSE 'gs://fixture-bucket/' || {tail} END")
+
+
+COLS = [("main_bam", "main", 1, ".bam"), ("tagged_bam", "tagged", 2, ".bam"), ("hap1_fa", "hap1", 3, ".fa.gz"),
+        ("hap2_fa", "hap2", 3, ".FA.gz"), ("hap1_paf", "hap1", 5, ".paf"), ("hap2_paf", "hap2", 6, ".paf")]
+MANIFEST = f"""{BASE},
+man AS (
+  SELECT person_id * 10 + v AS row_id, person_id, v, part, supp, 'C' || (supp % 4) AS center,
+    ['revio', 'sequel2e', 'sequel2', 'ont'][part % 4 + 1] AS platform,
+    {', '.join(f'{_uri(n, m, e)} AS {c}' for c, n, m, e in COLS)},
+    {_uri('main', 1, '.bam.bai')} AS main_bam_index,
+    CASE WHEN part % 2 = 0 THEN 'batch ' || supp END AS note
+  FROM (SELECT l_orderkey AS person_id, l_linenumber AS v, max(l_partkey) AS part, max(l_suppkey) AS supp
+        FROM lineitem GROUP BY 1, 2)),
+cells AS ({' UNION ALL '.join(f"SELECT row_id, person_id, {i} AS prio, '{c}' AS source, {c} AS uri FROM man" for i, (c, *_) in enumerate(COLS))}),
+listed AS (SELECT DISTINCT regexp_replace(uri, '^gs://fixture-bucket/', '') AS path FROM cells
+  WHERE uri <> '' AND (length(uri) + row_id) % 5 <> 0),
+found AS (SELECT *, regexp_replace(uri, '^gs://fixture-bucket/', '') AS path FROM cells
+  WHERE uri <> '' AND NOT contains(uri, 'legacy-fixture')
+  AND NOT starts_with(regexp_replace(uri, '^gs://fixture-bucket/', ''), 'gs://')
+  AND regexp_replace(uri, '^gs://fixture-bucket/', '') IN (SELECT path FROM listed)),
+usable AS (SELECT m.row_id, m.person_id, m.center, m.platform, f.source, f.path FROM man m LEFT JOIN (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY prio) AS rn FROM found
+                 WHERE source IN ('main_bam', 'tagged_bam')) WHERE rn = 1) f USING (row_id)),
+onerow AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY person_id ORDER BY center, platform, row_id) AS rn
+           FROM usable WHERE path IS NOT NULL) WHERE rn = 1),
+cram AS (SELECT person_id, CASE WHEN person_id % 13 = 0 THEN NULL ELSE 'cram/' || person_id || '.cram' END AS cram_path
+         FROM persons WHERE person_id % 7 <> 3),
+eligible AS (SELECT o.person_id, p.ancestry, cram_path, o.path AS lr_path, source
+  FROM onerow o JOIN cram USING (person_id) JOIN persons p USING (person_id) WHERE cram_path IS NOT NULL)"""
+ORACLE["source_counts"] = f"""WITH {MANIFEST} SELECT coalesce(source, 'no_existing_file_found') AS source,
+  count(*) AS n_rows FROM usable GROUP BY 1"""
+ORACLE["usable_files"] = f"WITH {MANIFEST} SELECT person_id, row_id, source, path FROM onerow"
+ORACLE["eligible_people"] = f"WITH {MANIFEST} SELECT * FROM eligible"
+ORACLE["cohort_pick"] = f"""WITH {MANIFEST} SELECT * EXCLUDE (rn) FROM (
+  SELECT *, row_number() OVER (PARTITION BY ancestry ORDER BY person_id) AS rn FROM eligible
+  WHERE ancestry IN ('AFRICA', 'AMERICA', 'ASIA', 'EUROPE')) WHERE rn <= 10"""
+ORACLE["cohort_availability"] = f"""WITH {MANIFEST} SELECT w.ancestry, count(e.person_id) AS n_eligible,
+  least(count(e.person_id), 1500) AS n_picked, count(e.person_id) < 1500 AS short
+FROM (VALUES ('AFRICA'), ('AMERICA'), ('ASIA'), ('NOWHERE')) AS w(ancestry) LEFT JOIN eligible e USING (ancestry) GROUP BY 1"""
+ORACLE["labels_outside"] = f"""WITH {MANIFEST} SELECT DISTINCT ancestry FROM eligible
+WHERE ancestry NOT IN ('AFRICA', 'AMERICA', 'ASIA')"""
+SETS = f"""{MANIFEST},
+memb AS (SELECT person_id, bool_or(s = 's') AS has_srwgs, bool_or(s = 'l') AS has_lrwgs, bool_or(s = 'r') AS has_rnaseq FROM (
+  SELECT person_id, 's' AS s FROM cram UNION ALL SELECT person_id, 'l' FROM onerow
+  UNION ALL SELECT l_orderkey, 'r' FROM lineitem WHERE l_partkey % 5 <> 0 AND l_partkey % 5 < 4) GROUP BY 1)"""
+ORACLE["overlap_flags"] = f"WITH {SETS} SELECT * FROM memb"
+ORACLE["venn_regions"] = f"WITH {SETS} SELECT has_srwgs, has_lrwgs, has_rnaseq, count(*) AS n FROM memb GROUP BY 1, 2, 3"
+ORACLE["venn_totals"] = f"""WITH {SETS} SELECT count(*) FILTER (WHERE has_srwgs) AS total_srwgs,
+  count(*) FILTER (WHERE has_lrwgs) AS total_lrwgs, count(*) FILTER (WHERE has_rnaseq) AS total_rnaseq, count(*) AS total_any,
+  count(*) FILTER (WHERE has_rnaseq AND has_lrwgs) AS rnaseq_and_lrwgs,
+  count(*) FILTER (WHERE has_rnaseq AND (has_srwgs OR has_lrwgs)) AS rnaseq_and_either FROM memb"""
+ORACLE["id_set_difference"] = f"""WITH {BASE}, a AS (SELECT person_id FROM persons WHERE person_id % 7 <> 3),
+b AS (SELECT DISTINCT l_orderkey AS person_id FROM lineitem)
+SELECT person_id, 'manifest' AS only_in FROM a WHERE person_id NOT IN (SELECT person_id FROM b)
+UNION ALL SELECT person_id, 'metadata' FROM b WHERE person_id NOT IN (SELECT person_id FROM a)"""
+PROG = f"""{BASE}, {ASM},
+done AS (SELECT person_id FROM asm WHERE gene = 'A'), gone AS (SELECT person_id FROM asm WHERE gene = 'B' AND asm_1 = 'NA')"""
+ORACLE["group_progress"] = f"""WITH {PROG} SELECT ancestry, count(*) AS n_total,
+  count(*) FILTER (WHERE person_id IN (SELECT person_id FROM done)) AS n_done FROM persons GROUP BY 1"""
+ORACLE["run_totals"] = f"""WITH {PROG}, f AS (SELECT person_id IN (SELECT person_id FROM done) AS d,
+  person_id IN (SELECT person_id FROM gone) AS g FROM persons)
+SELECT count(*) FILTER (WHERE d) AS n_done, count(*) FILTER (WHERE g AND NOT d) AS n_given_up,
+  count(*) FILTER (WHERE NOT d AND NOT g) AS n_remaining FROM f"""
+ORACLE["resume_worklist"] = f"""WITH {PROG} SELECT person_id, ancestry FROM persons
+WHERE person_id NOT IN (SELECT person_id FROM done) AND person_id NOT IN (SELECT person_id FROM gone)"""
+ORACLE["upsert_by_key"] = f"""WITH {BASE}, {ASM} SELECT person_id, gene,
+  CASE WHEN person_id % 5 = 0 THEN 'updated' ELSE asm_1 END AS asm_1, asm_2 FROM asm"""
+ORACLE["compact_fragments"] = f"""WITH {LOG} SELECT person_id, gene, v, sr_1, sr_2 FROM (
+  SELECT *, row_number() OVER (PARTITION BY person_id, gene ORDER BY v DESC, sr_1 DESC, sr_2 DESC) AS rn FROM log) WHERE rn = 1"""
+TEXTS = ["center", "platform", "main_bam", "tagged_bam", "main_bam_index", "hap1_fa", "hap2_fa", "hap1_paf", "hap2_paf", "note"]
+ORACLE["column_report"] = f"""WITH {MANIFEST},
+tall AS ({' UNION ALL '.join(f"SELECT '{c}' AS column_, row_id, {c} AS value FROM man WHERE {c} <> ''" for c in TEXTS)}),
+r AS (SELECT *, row_number() OVER (PARTITION BY column_ ORDER BY row_id) AS rn, count(*) OVER (PARTITION BY column_) AS n FROM tall),
+k AS (SELECT column_, max(n) AS n_filled, min(value) FILTER (WHERE rn = 1) AS sample_value, count(*) AS seen,
+  count(*) FILTER (WHERE contains(value, '/') AND regexp_matches(lower(value), '[.](bam|fa[.]gz|paf)$')) AS p,
+  count(*) FILTER (WHERE contains(value, '/') AND regexp_matches(lower(value), '[.]bai$')) AS x
+  FROM r WHERE rn <= 50 GROUP BY 1)
+SELECT column_ AS "column", n_filled, sample_value,
+  CASE WHEN p >= greatest(1, seen // 2) THEN 'primary' WHEN x >= greatest(1, seen // 2) THEN 'index' END AS kind FROM k"""
+PROFILES = f"""{MANIFEST},
+prof AS (SELECT m.row_id, m.person_id, m.platform, m.v, coalesce(string_agg(source, '+' ORDER BY source), 'NONE_FOUND') AS profile,
+  coalesce(list(source) FILTER (WHERE source IS NOT NULL), []) AS present
+  FROM man m LEFT JOIN found f USING (row_id) GROUP BY 1, 2, 3, 4)"""
+ORACLE["manifest_profiles"] = f"WITH {PROFILES} SELECT row_id, person_id, profile FROM prof"
+ORACLE["profile_distribution"] = f"""WITH {PROFILES} SELECT profile, count(*) AS n,
+  round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS n_pct FROM prof GROUP BY 1"""
+ORACLE["profile_by_platform"] = f"""WITH {PROFILES}, c AS (SELECT platform, profile, count(*) AS n,
+  round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS n_pct FROM prof GROUP BY 1, 2)
+SELECT * FROM c ORDER BY n DESC, platform, profile LIMIT 40"""
+ORACLE["union_profile"] = f"""WITH {MANIFEST},
+u AS (SELECT person_id, string_agg(source, '+' ORDER BY source) AS profile FROM (SELECT DISTINCT person_id, source FROM found) GROUP BY 1)
+SELECT m.person_id, count(*) AS n_rows, coalesce(max(u.profile), 'NONE_FOUND') AS profile
+FROM man m LEFT JOIN u USING (person_id) GROUP BY 1"""
+ORACLE["multi_row_people"] = f"""WITH {MANIFEST} SELECT person_id, count(*) AS n_rows FROM man GROUP BY 1 HAVING count(*) > 1"""
+ORACLE["none_found_by_platform"] = f"""WITH {MANIFEST},
+l AS (SELECT person_id, list(platform ORDER BY row_id)[1] AS platform FROM man GROUP BY 1)
+SELECT platform, count(*) AS n FROM l WHERE person_id NOT IN (SELECT person_id FROM found WHERE source = 'hap1_fa') GROUP BY 1"""
+BEST = f"""{PROFILES},
+rowtier AS (SELECT *, CASE WHEN NOT list_has_all(present, ['hap1_fa', 'hap2_fa']) THEN NULL
+  WHEN list_has_all(present, ['hap1_paf', 'hap2_paf']) THEN 1 WHEN list_has_all(present, ['main_bam', 'tagged_bam']) THEN 2
+  ELSE 3 END AS t FROM prof WHERE platform <> 'ont'),
+best AS (SELECT person_id, list(platform ORDER BY row_id)[1] AS platform, count(*) AS n_rows,
+  ['paf_region', 'bam_whole_contig', 'self_align_needed'][min(t)] AS trim_tier FROM rowtier GROUP BY 1)"""
+ORACLE["best_tier"] = f"WITH {BEST} SELECT * FROM best"
+ORACLE["tier_group_distribution"] = f"""WITH {BEST}, x AS (SELECT coalesce(CASE WHEN p.person_id % 9 <> 0 THEN ancestry END, 'NA') AS ancestry
+  FROM best b LEFT JOIN persons p USING (person_id) WHERE trim_tier = 'self_align_needed')
+SELECT ancestry, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS n_pct FROM x GROUP BY 1"""
+ORACLE["phase_split"] = f"""WITH {BEST} SELECT CASE WHEN trim_tier = 'self_align_needed' THEN 2 ELSE 1 END AS phase,
+  trim_tier, count(*) AS n FROM best GROUP BY 1, 2"""
+ORACLE["eligible_head"] = f"""WITH {BEST} SELECT * FROM best WHERE trim_tier IS NOT NULL ORDER BY person_id LIMIT 100"""
+
+# ---- metrics ----
+
+RNA = """rna AS (SELECT l_orderkey AS person_id, l_linenumber AS v,
+  CASE WHEN l_partkey % 17 <> 0 THEN l_quantity * 2 END AS alignment_rate_pct,
+  CASE WHEN l_partkey % 19 <> 1 THEN l_discount * 100 END AS quality_score,
+  CASE WHEN l_suppkey % 11 <> 2 THEN l_tax * 100 + l_partkey % 7 END AS mrna_pct,
+  CASE WHEN l_suppkey % 23 <> 3 THEN l_extendedprice END AS ribosomal_pct,
+  CASE WHEN l_partkey % 29 <> 4 THEN l_quantity + l_suppkey % 5 END AS insert_size,
+  CASE WHEN l_partkey % 5 = 0 THEN NULL WHEN l_partkey % 5 < 4 THEN 'Pass' ELSE 'Fail' END AS status FROM lineitem)"""
+TALL = f"""{RNA}, tall AS ({' UNION ALL '.join(f"SELECT '{c}' AS metric, {c} AS value FROM rna" for c in QC)})"""
+ORACLE["qc_missingness"] = f"""WITH {TALL} SELECT metric, count(*) - count(value) AS n_missing, count(*) AS n_rows,
+  round(100.0 * (count(*) - count(value)) / count(*), 6) AS missing_pct FROM tall GROUP BY 1"""
+ORACLE["qc_value_counts"] = f"WITH {RNA} SELECT status, count(*) AS n FROM rna GROUP BY 1"
+ORACLE["qc_describe"] = f"""WITH {TALL} SELECT metric, count(value) AS n, round(avg(value), 6) AS mean,
+  round(stddev_samp(value), 6) AS std, round(min(value), 6) AS min, round(max(value), 6) AS max,
+  round(quantile_cont(value, 0.25), 6) AS p25, round(quantile_cont(value, 0.5), 6) AS p50,
+  round(quantile_cont(value, 0.75), 6) AS p75 FROM tall GROUP BY 1"""
+ORACLE["qc_correlation"] = f"""WITH {RNA} {' UNION ALL '.join(
+    f"SELECT '{a}' AS metric_a, '{b}' AS metric_b, round(corr({a}, {b}), 6) AS r FROM rna" for a in QC for b in QC)}"""
+ORACLE["qc_target_correlation"] = f"""WITH {RNA}, j AS (SELECT a.insert_size AS t, b.* FROM rna a JOIN rna b
+  ON a.person_id = b.person_id AND a.v = b.v)
+{' UNION ALL '.join(f"SELECT '{c}' AS metric, round(corr(t, {e}), 6) AS r FROM j" for c, e in
+    [(c, c) for c in QC[:4]] + [('mrna_ratio', 'mrna_pct / nullif(ribosomal_pct, 0)')])}"""
+ORACLE["qc_histogram"] = f"""WITH {TALL}, r AS (SELECT metric, min(value) AS lo, max(value) AS hi FROM tall GROUP BY 1),
+b AS (SELECT metric, CAST(least(floor((value - lo) / (hi - lo) * 40), 39) AS INTEGER) AS bin, lo, hi FROM tall JOIN r USING (metric)
+      WHERE value IS NOT NULL)
+SELECT metric, bin, round(min(lo) + (min(hi) - min(lo)) * bin / 40, 6) AS bin_start, count(*) AS n FROM b GROUP BY 1, 2"""
+TIMING = f"""{BASE}, st AS (
+  SELECT person_id, h, (person_id + h) % 23 <> 0 AS a, (person_id + h) % 19 <> 1 AS b, (person_id*h + cust) % 17 <> 2 AS c,
+    ((person_id*3 + h) % 50) / CAST(10 AS DOUBLE) AS l, ((person_id*7 + cust) % 300) / CAST(10 AS DOUBLE) AS t,
+    ((person_id*11 + cust*3 + h) % 9000) / CAST(10 AS DOUBLE) AS n
+  FROM persons CROSS JOIN (VALUES (1), (2)) AS t(h)),
+tim AS (SELECT person_id, CASE WHEN a THEN l END AS look, CASE WHEN a AND b THEN t END AS trim_,
+  CASE WHEN a AND b AND c THEN n END AS note FROM st)"""
+ORACLE["duration_stats"] = f"""WITH {TIMING}, x AS (SELECT 'lookup_seconds' AS metric, look AS value FROM tim
+  UNION ALL SELECT 'trim_seconds', trim_ FROM tim UNION ALL SELECT 'annotate_seconds', note FROM tim)
+SELECT metric, count(value) AS n, round(avg(value), 6) AS mean, min(value) AS min, max(value) AS max,
+  count(*) FILTER (WHERE value < 30) AS n_short, round(quantile_cont(value, 0.5), 6) AS median FROM x GROUP BY 1"""
+ORACLE["stage_counts"] = f"""WITH {TIMING} SELECT CASE WHEN note IS NOT NULL THEN 'reached_annotation'
+  WHEN trim_ IS NOT NULL THEN 'failed_at_trim' WHEN look IS NOT NULL THEN 'failed_after_lookup'
+  ELSE 'failed_at_target_finding' END AS stage, count(*) AS n FROM tim GROUP BY 1"""
+ORACLE["finished_halves"] = f"""WITH {TIMING} SELECT halves_done, count(*) AS n_people FROM (
+  SELECT person_id, count(note) AS halves_done FROM tim GROUP BY 1) GROUP BY 1"""
+PROBE = """probe AS (SELECT [4, 8, 16][user_id % 3 + 1] AS concurrency, CAST(user_id % 2 + 1 AS INTEGER) AS threads,
+  CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) AS sec, (event_type = 'error')::INT AS failed, value % 100 AS mem FROM events),
+thr AS (SELECT concurrency, threads, CAST(max(sec) - min(sec) AS DOUBLE) AS wall_seconds, count(*) AS n_people,
+  CAST(sum(failed) AS BIGINT) AS n_failed, max(mem) AS mem_peak_pct, avg(mem) AS mem_mean_pct FROM probe GROUP BY 1, 2)"""
+ORACLE["throughput_summary"] = f"""WITH {PROBE} SELECT * REPLACE (round(mem_peak_pct, 6) AS mem_peak_pct, round(mem_mean_pct, 6) AS mem_mean_pct),
+  round(wall_seconds / n_people, 6) AS seconds_per_person, round(n_people * 3600.0 / wall_seconds, 6) AS people_per_hour FROM thr"""
+ORACLE["results_migration"] = f"""WITH {PROBE} SELECT concurrency, threads AS threads_per_person, concurrency * threads AS total_cores,
+  wall_seconds, round(mem_peak_pct, 6) AS mem_used_peak_pct,
+  round(CASE WHEN threads = 1 THEN mem_peak_pct ELSE mem_mean_pct END, 6) AS mem_used_mean_pct FROM thr"""
+
+# ---- intervals ----
+
+PAF = """paf AS (SELECT 'ctg' || (l_orderkey % 1000) AS qname, 200000 AS qlen, (l_partkey*37 + l_suppkey*11) % 90000 AS qstart,
+  (l_partkey*37 + l_suppkey*11) % 90000 + CAST(l_quantity AS BIGINT) * 900 AS qend,
+  CASE WHEN l_suppkey % 2 = 0 THEN '+' ELSE '-' END AS strand,
+  CASE l_partkey % 10 WHEN 0 THEN '6' WHEN 1 THEN 'chr7' ELSE 'chr6' END AS tname,
+  29400000 + (l_partkey*2111 + l_suppkey*53) % 4300000 AS tstart,
+  29400000 + (l_partkey*2111 + l_suppkey*53) % 4300000 + CAST(l_quantity AS BIGINT) * 900 + l_partkey % 3 AS tend,
+  CAST(l_quantity AS BIGINT) * 900 - l_suppkey % 50 * 10 AS matches,
+  CAST(l_quantity AS BIGINT) * 900 + l_partkey % 3 AS block_len FROM lineitem)"""
+CLUSTER_VALUES = ", ".join(f"('{n}', {s}, {e})" for n, s, e in CLUSTERS)
+
+
+def islands(source: str, key: str, gap: int) -> str:
+    """source has key, s, e."""
+    return f"""
+isl1 AS (SELECT *, max(e) OVER (PARTITION BY {key} ORDER BY s, e DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM {source}),
+isl2 AS (SELECT *, sum(CASE WHEN reach IS NULL OR s > reach + {gap} THEN 1 ELSE 0 END)
+  OVER (PARTITION BY {key} ORDER BY s, e DESC ROWS UNBOUNDED PRECEDING) AS island FROM isl1)"""
+
+
+ORACLE["merged_blocks"] = f"""WITH {PAF}, src AS (SELECT tname AS contig, tstart AS s, tstart + matches % 700 + 20 AS e FROM paf),
+{islands('src', 'contig', 1)}
+SELECT contig, min(s) AS start, max(e) AS "end", count(*) AS n_intervals FROM isl2 GROUP BY contig, island"""
+ORACLE["target_names"] = f"""WITH {PAF} SELECT tname, replace(tname, 'chr', '') AS contig, count(*) AS n_blocks FROM paf GROUP BY 1, 2"""
+SPANS = f"""{PAF}, spans AS (SELECT qname, min(greatest(0, qstart - 10000)) AS span_start, max(least(qlen, qend + 10000)) AS span_end,
+  CAST(max(qlen) AS BIGINT) AS qlen, count(*) AS n_blocks FROM paf
+  WHERE tname IN ('6', 'chr6') AND tend > 29500000 AND tstart < 33500000 GROUP BY 1)"""
+ORACLE["contig_spans"] = f"""WITH {SPANS} SELECT *, qname || ':' || (span_start + 1) || '-' || span_end AS region FROM spans"""
+ORACLE["reduction_report"] = f"""WITH {SPANS} SELECT count(*) AS n_contigs, CAST(sum(qlen) AS BIGINT) AS whole_bp,
+  CAST(sum(span_end - span_start) AS BIGINT) AS kept_bp, round(100 - 100.0 * sum(span_end - span_start) / sum(qlen), 6) AS smaller_pct FROM spans"""
+ORACLE["clustered_spans"] = f"""WITH {PAF}, src AS (SELECT qname, qstart AS s, qend AS e, block_len FROM paf
+  WHERE block_len >= 9000 AND matches >= block_len * CAST(0.985 AS DOUBLE)),
+{islands('src', 'qname', 2000)},
+c AS (SELECT qname, min(s) AS span_start, max(e) AS span_end, CAST(sum(block_len) AS BIGINT) AS aligned_bp, count(*) AS n_blocks
+  FROM isl2 GROUP BY qname, island HAVING sum(block_len) >= 20000)
+SELECT *, row_number() OVER (PARTITION BY qname ORDER BY aligned_bp DESC, span_start) = 1 AS is_main FROM c"""
+ORACLE["window_overlap"] = f"""WITH {PAF}, w(name, s, e) AS (VALUES {CLUSTER_VALUES})
+SELECT name, count(*) AS n_blocks, CAST(sum(least(tend, e + 20000) - greatest(tstart, s - 20000)) AS BIGINT) AS overlap_bp
+FROM paf JOIN w ON tname IN ('6', 'chr6') AND tend > s - 20000 AND tstart < e + 20000 GROUP BY 1"""
+
+
+def interp(ref: str) -> str:
+    frac = f"(least(greatest({ref}, tstart), tend) - tstart) / CAST(greatest(1, tend - tstart) AS DOUBLE)"
+    return f"(CASE WHEN strand = '+' THEN qstart + {frac} * (qend - qstart) ELSE qend - {frac} * (qend - qstart) END)"
+
+
+def span_sql(by: str) -> str:
+    p, q = interp("greatest(tstart, ws)"), interp("least(tend, we)")
+    return f"""SELECT {by} qname, min(greatest(0, CAST(floor(least({p}, {q})) AS BIGINT))) AS span_start,
+  max(least(qlen, CAST(round_even(greatest({p}, {q}), 0) AS BIGINT))) AS span_end, CAST(max(qlen) AS BIGINT) AS qlen
+FROM paf JOIN win ON tname IN ('6', 'chr6') AND tend > ws AND tstart < we GROUP BY {by} qname"""
+
+
+ORACLE["window_spans"] = f"""WITH {PAF}, c(name, s, e) AS (VALUES {CLUSTER_VALUES}),
+win AS (SELECT greatest(0, s - 5000) AS ws, e + 5000 AS we FROM c) {span_sql('')}"""
+ORACLE["config_sweep"] = f"""WITH {PAF}, c(name, s, e) AS (VALUES {CLUSTER_VALUES}),
+win AS (SELECT 'pad_100k' AS config, greatest(0, s - 100000) AS ws, e + 100000 AS we FROM c
+  UNION ALL SELECT 'pad_5k', greatest(0, s - 5000), e + 5000 FROM c UNION ALL SELECT 'pad_0', s, e FROM c
+  UNION ALL SELECT 'infra', (s + e) // 2 - 1000, (s + e) // 2 + 1000 FROM c), sp AS ({span_sql('config,')})
+SELECT config, count(*) AS n_contigs, CAST(sum(qlen) AS BIGINT) AS whole_bp, CAST(sum(span_end - span_start) AS BIGINT) AS kept_bp,
+  round(100 - 100.0 * sum(span_end - span_start) / sum(qlen), 6) AS smaller_pct FROM sp GROUP BY 1"""
+
+
+def missing(cond: str) -> str:
+    return f"""calls AS (SELECT person_id, list(gene) AS have FROM asm WHERE {cond} GROUP BY 1),
+miss AS (SELECT person_id, len(have) AS k, list_filter({['HLA-' + g for g in GENES]}, lambda x: NOT list_contains(have, substr(x, 5))) AS m FROM calls)"""
+
+
+ORACLE["missing_genes"] = f"""WITH {BASE}, {ASM}, {missing("asm_1 <> 'NA'")}
+SELECT person_id, CAST(k AS INTEGER) AS n_expected_found, array_to_string(m, ',') AS missing FROM miss"""
+ORACLE["sweep_summary"] = f"""WITH {BASE}, {ASM}, {missing("asm_2 <> 'NA'")}
+SELECT 'config_' || (person_id % 4) AS config, count(*) AS n_runs, CAST(sum(person_id % 6) AS BIGINT) AS n_contigs,
+  round(avg((person_id * 7 % 400) / CAST(100 AS DOUBLE)), 6) AS mean_trimmed_mb,
+  round(avg((person_id * 3 % 900) / CAST(10 AS DOUBLE)), 6) AS mean_seconds,
+  CAST(min(k) AS INTEGER) AS min_classical_called, round(avg(k), 6) AS mean_classical_called FROM miss GROUP BY 1"""
+READS = f"""c(name, s, e) AS (VALUES {CLUSTER_VALUES}),
+rd AS (SELECT 'r' || l_orderkey AS qname, 29900000 + (l_partkey*1607 + l_suppkey*29) % 3300000 AS start FROM lineitem),
+cut AS (SELECT * FROM rd WHERE EXISTS (SELECT 1 FROM c WHERE start + 150 > s - 50000 AND start < e + 50000)),
+frag AS (SELECT qname, count(*) AS n_reads, min(start) AS first_start FROM cut GROUP BY 1)"""
+ORACLE["sliced_reads"] = f"WITH {READS} SELECT * FROM frag"
+ORACLE["mate_dropout"] = f"""WITH {READS} SELECT CAST(sum(n_reads) AS BIGINT) AS n_reads, count(*) FILTER (WHERE n_reads = 1) AS n_singletons,
+  round(100.0 * count(*) FILTER (WHERE n_reads = 1) / sum(n_reads), 6) AS dropout_pct FROM frag"""
+ORACLE["weighted_percentiles"] = """WITH s AS (SELECT CAST(l_quantity AS BIGINT) * 37 + l_partkey % 211 AS size, count(*) AS n FROM lineitem GROUP BY 1),
+c AS (SELECT size, sum(n) OVER (ORDER BY size) AS cum, sum(n) OVER () AS total FROM s)
+SELECT CAST(max(total) AS BIGINT) AS n_pairs, min(size) FILTER (WHERE cum * 100 >= total * 50) AS p50,
+  min(size) FILTER (WHERE cum * 100 >= total * 95) AS p95, min(size) FILTER (WHERE cum * 100 >= total * 99) AS p99,
+  max(size) AS max_size FROM c"""
+
+# ---- association ----
+
+MARKERS = [("M1", "DQA1", "01:01"), ("M1", "DQB1", "01:02"), ("M2", "DRB1", "03:02"), ("M3", "A", "05:01"), ("M3", "B", "01:02")]
+DOSE = f"""{CALLSET},
+two AS (SELECT person_id, gene, {two('a1')} AS k1, {two('a2')} AS k2 FROM callset),
+mk(marker, gene, allele) AS (VALUES {', '.join(str(m) for m in MARKERS)}),
+dose AS (SELECT person_id, marker, two.gene, allele,
+  CASE WHEN k1 IS NULL OR k2 IS NULL THEN NULL ELSE (k1 = allele)::INT + (k2 = allele)::INT END AS dosage
+  FROM two JOIN mk USING (gene))"""
+ORACLE["allele_dosage"] = f"WITH {DOSE} SELECT person_id, gene, allele, dosage FROM dose"
+
+
+def carrier(uncallable: str) -> str:
+    keep = "WHERE ok" if uncallable == "exclude" else ""
+    return f"""{DOSE},
+bym AS (SELECT person_id, marker, bool_and(coalesce(dosage, 0) > 0) AS whole, bool_and(dosage IS NOT NULL) AS known FROM dose GROUP BY 1, 2),
+car AS (SELECT person_id, carrier FROM (SELECT person_id, bool_or(whole) AS carrier, bool_and(known) AS ok FROM bym GROUP BY 1) {keep})"""
+
+
+def contingency(uncallable: str) -> str:
+    return f"""WITH {carrier(uncallable)},
+t AS (SELECT coalesce(ancestry, 'ALL') AS ancestry, count(*) AS n, count(*) FILTER (WHERE carrier AND case_ = 1) AS a,
+  count(*) FILTER (WHERE carrier AND case_ = 0) AS b, count(*) FILTER (WHERE NOT carrier AND case_ = 1) AS c,
+  count(*) FILTER (WHERE NOT carrier AND case_ = 0) AS d
+  FROM car JOIN persons USING (person_id) GROUP BY GROUPING SETS ((ancestry), ()))
+SELECT *, a + c = 0 OR b + d = 0 OR a + b = 0 OR c + d = 0 AS degenerate,
+  CASE WHEN a + c = 0 OR b + d = 0 OR a + b = 0 OR c + d = 0 THEN NULL WHEN b * c > 0 THEN round(a * d / CAST(b * c AS DOUBLE), 6)
+  WHEN a * d > 0 THEN CAST('inf' AS DOUBLE) END AS odds_ratio FROM t"""
+
+
+ORACLE["marker_carriers"] = f"WITH {carrier('exclude')} SELECT * FROM car"
+ORACLE["contingency_or"] = contingency("exclude")
+ORACLE["contingency_noncarrier"] = contingency("noncarrier")
+RISK = f"""{BASE}, sc AS (SELECT person_id, ancestry, case_ AS label, ((person_id*13 + cust*7) % 400 + case_*60) / CAST(500 AS DOUBLE) AS score FROM persons)"""
+RANKING = f"""{RISK}, u AS (SELECT ancestry, label, score FROM sc UNION ALL SELECT 'ALL', label, score FROM sc),
+h AS (SELECT ancestry, score, sum(label) AS pos, sum(1 - label) AS neg FROM u GROUP BY 1, 2),
+k AS (SELECT *, sum(pos) OVER w AS cp, sum(neg) OVER w AS cn FROM h WINDOW w AS (PARTITION BY ancestry ORDER BY score DESC)),
+m AS (SELECT ancestry, CAST(sum(pos + neg) AS BIGINT) AS n, CAST(sum(pos) AS BIGINT) AS cases,
+  sum(neg * (cp - pos + pos / CAST(2 AS DOUBLE))) / (sum(pos) * sum(neg)) AS auroc,
+  sum(pos / CAST(cp + cn AS DOUBLE) * cp) / sum(pos) AS auprc FROM k GROUP BY 1)"""
+ORACLE["auroc_by_group"] = f"WITH {RANKING} SELECT ancestry, n, cases, round(auroc, 6) AS auroc FROM m"
+ORACLE["average_precision"] = f"WITH {RANKING} SELECT ancestry, n, cases, round(auprc, 6) AS auprc FROM m"
+ORACLE["risk_deciles"] = f"""WITH {RISK}, t AS (SELECT label, ntile(10) OVER (ORDER BY score DESC, person_id) AS decile FROM sc)
+SELECT CAST(decile AS INTEGER) AS decile, count(*) AS n, CAST(sum(label) AS BIGINT) AS cases, round(avg(label), 6) AS case_rate,
+  round(avg(label) / (SELECT avg(label) FROM sc), 6) AS enrichment FROM t GROUP BY 1"""
+
+
+def thresholds(fractions: list[str], group: str = "") -> str:
+    part = f"PARTITION BY {group}" if group else ""
+    lead = f"{group}, " if group else ""
+    values = ", ".join(f"(CAST({f} AS DOUBLE))" for f in fractions)
+    return f"""WITH {RISK}, r AS (SELECT *, row_number() OVER ({part} ORDER BY score DESC, person_id) AS rk, count(*) OVER ({part}) AS size FROM sc),
+f AS (SELECT {lead}fraction, label, greatest(1, CAST(round_even(size * fraction, 0) AS BIGINT)) AS k,
+  rk <= greatest(1, CAST(round_even(size * fraction, 0) AS BIGINT)) AS flag FROM r CROSS JOIN (VALUES {values}) AS t(fraction)),
+q AS (SELECT {lead}fraction, max(k) AS n_flagged, count(*) FILTER (WHERE flag AND label = 1) AS tp, count(*) FILTER (WHERE flag AND label = 0) AS fp,
+  count(*) FILTER (WHERE NOT flag AND label = 1) AS fn, count(*) FILTER (WHERE NOT flag AND label = 0) AS tn FROM f GROUP BY {lead}fraction)
+SELECT *, round(tp / nullif(tp + fp, 0)::DOUBLE, 6) AS ppv, round(tp / nullif(tp + fn, 0)::DOUBLE, 6) AS sensitivity,
+  round(tn / nullif(tn + fp, 0)::DOUBLE, 6) AS specificity, round(tn / nullif(tn + fn, 0)::DOUBLE, 6) AS npv FROM q"""
+
+
+ORACLE["threshold_metrics"] = thresholds(["0.05", "0.10"])
+ORACLE["threshold_metrics_by_group"] = thresholds(["0.10"], "ancestry")
+ORACLE["stratified_folds"] = f"""WITH {BASE}, n AS (SELECT sum(case_) AS p, sum(1 - case_) AS q FROM persons)
+SELECT CAST(f AS INTEGER) AS fold, label, count(*) AS n FROM (
+  SELECT case_ AS label, (row_number() OVER (ORDER BY case_, person_id) - 1) % 5 AS f FROM persons) GROUP BY 1, 2"""
+
+# ---- telemetry ----
+
+BEATS = """inc AS (SELECT user_id % 10 AS run_id, event_id, CAST(floor(epoch_us(ts) / 1000000) AS BIGINT) AS sec,
+  (event_type = 'error')::INT AS f, value % 100 AS disk, CAST(100 AS DOUBLE) - value % 97 AS mem,
+  CASE WHEN event_id % 211 = 0 THEN 'complete' WHEN event_id % 307 = 0 THEN 'failed' WHEN event_id % 101 = 0 THEN 'starting'
+    ELSE 'running' END AS run_state FROM events),
+b AS (SELECT *, CAST(sum(1 - f) OVER w AS BIGINT) AS done, CAST(sum(f) OVER w AS BIGINT) AS failed FROM inc
+  WINDOW w AS (PARTITION BY run_id ORDER BY sec, event_id ROWS UNBOUNDED PRECEDING)),
+l AS (SELECT *, lag(sec) OVER w AS psec, lag(run_state) OVER w AS pstate, coalesce(lag(done) OVER w, 0) AS pdone,
+  coalesce(lag(failed) OVER w, 0) AS pfailed FROM b WINDOW w AS (PARTITION BY run_id ORDER BY sec, event_id)),
+roll AS (SELECT *, CASE WHEN done > pdone THEN 100.0::DOUBLE * greatest(failed - pfailed, 0) / (done - pdone)
+  WHEN done > 0 THEN 100.0::DOUBLE * failed / done ELSE 0 END AS rfp FROM l),
+bad AS (SELECT *, rfp > 15 OR disk > 90 OR mem < 10 AS anomaly FROM roll),
+ses AS (SELECT *, sum(CASE WHEN psec IS NULL OR sec - psec > 5400 THEN 1 ELSE 0 END)
+  OVER (PARTITION BY run_id ORDER BY sec, event_id ROWS UNBOUNDED PRECEDING) AS session FROM l)"""
+ORACLE["cumulative_beats"] = f"WITH {BEATS} SELECT run_id, event_id, done AS people_done, failed AS people_failed FROM b"
+METRICS = f"""{BEATS}, met AS (SELECT *, greatest((sec - min(sec) OVER (PARTITION BY run_id)) / CAST(3600 AS DOUBLE), CAST(1e-9 AS DOUBLE)) AS h,
+  greatest(count(*) OVER (PARTITION BY run_id) + 50 - done, 0) AS remaining,
+  (sec - min(sec) OVER (PARTITION BY run_id, session)) / CAST(3600 AS DOUBLE) AS sh FROM ses),
+met2 AS (SELECT *, CASE WHEN done / h > 0 THEN remaining / (done / h) END AS eta FROM met)"""
+ORACLE["telemetry_metrics"] = f"""WITH {METRICS} SELECT run_id, event_id, round(h, 6) AS elapsed_hours, round(done / h, 6) AS rate_per_hour,
+  remaining, round(eta, 6) AS eta_hours, round(h * CAST(1.3 AS DOUBLE), 6) AS cost_usd FROM met2"""
+ORACLE["cost_projection"] = f"""WITH {METRICS} SELECT run_id, event_id, CAST(session AS BIGINT) AS session, round(sh * CAST(1.3 AS DOUBLE), 6) AS cost_so_far,
+  round((sh + eta) * CAST(1.3 AS DOUBLE), 6) AS projected_total, coalesce((sh + eta) * CAST(1.3 AS DOUBLE) > 300, false) AS over_budget FROM met2"""
+ORACLE["failure_deltas"] = f"""WITH {BEATS} SELECT run_id, event_id, round(rfp, 6) AS rolling_failure_pct,
+  round(100.0 * (failed - pfailed) / nullif(done - pdone + failed - pfailed, 0), 6) AS attempt_failure_pct FROM roll"""
+ORACLE["beat_anomalies"] = f"""WITH {BEATS} SELECT run_id, count(*) FILTER (WHERE anomaly) AS n_anomalous, count(*) FILTER (WHERE disk > 90) AS n_disk,
+  count(*) FILTER (WHERE mem < 10) AS n_mem, count(*) FILTER (WHERE rfp > 15) AS n_failure FROM bad GROUP BY 1"""
+ORACLE["run_sessions"] = f"""WITH {BEATS}, s AS (SELECT run_id, CAST(session AS BIGINT) AS session, min(sec) AS first_sec, max(sec) AS last_sec,
+  count(*) AS n_beats, max(done) AS people_done, max(failed) AS people_failed FROM ses GROUP BY 1, 2)
+SELECT *, round((last_sec - first_sec) / CAST(3600 AS DOUBLE), 6) AS hours,
+  round((last_sec - first_sec) / CAST(3600 AS DOUBLE) * CAST(1.25 AS DOUBLE), 6) AS vm_cost,
+  round((last_sec - first_sec) / CAST(3600 AS DOUBLE) * CAST(0.05 AS DOUBLE), 6) AS disk_cost,
+  round((last_sec - first_sec) / CAST(3600 AS DOUBLE) * CAST(1.3 AS DOUBLE), 6) AS cost FROM s"""
+ALERTS = f"""{BEATS}, z AS (SELECT *, coalesce(lag(anomaly) OVER (PARTITION BY run_id ORDER BY sec, event_id), false) AS pbad,
+  coalesce(pstate IN ('complete', 'failed'), false) AS pterm, run_state IN ('complete', 'failed') AS term FROM bad),
+al AS (SELECT run_id, 'stale' AS alert, psec + 7200 AS alert_sec FROM z WHERE NOT pterm AND sec - psec > 7200
+  UNION ALL SELECT run_id, 'resumed', sec FROM z WHERE NOT pterm AND sec - psec > 7200
+  UNION ALL SELECT run_id, 'finished', sec FROM z WHERE run_state = 'complete' AND NOT pterm
+  UNION ALL SELECT run_id, 'stopped', sec FROM z WHERE run_state = 'failed' AND NOT pterm
+  UNION ALL SELECT run_id, 'anomaly', sec FROM z WHERE anomaly AND NOT pbad
+  UNION ALL SELECT run_id, 'cleared', sec FROM z WHERE NOT anomaly AND pbad)"""
+ORACLE["alert_transitions"] = f"WITH {ALERTS} SELECT * FROM al"
+ORACLE["alert_stream"] = f"""WITH {ALERTS}, lastb AS (SELECT * FROM (
+  SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY sec DESC, event_id DESC) AS rn FROM b) WHERE rn = 1)
+SELECT * FROM al UNION ALL SELECT run_id, 'stale', sec + 7200 FROM lastb
+WHERE run_state NOT IN ('complete', 'failed') AND sec + 7200 < (SELECT max(sec) FROM b) - 600"""
+ORACLE["current_status"] = f"""WITH {BEATS} SELECT run_id, event_id, sec, run_state,
+  CASE WHEN run_state = 'complete' THEN 'COMPLETE' WHEN run_state = 'failed' THEN 'STOPPED' WHEN run_state = 'starting' THEN 'STARTING'
+    WHEN (SELECT max(sec) FROM b) - sec > 7200 THEN 'STALE' WHEN anomaly THEN 'ANOMALY' ELSE 'RUNNING' END AS status,
+  done AS people_done, failed AS people_failed FROM (
+  SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY sec DESC, event_id DESC) AS rn FROM bad) WHERE rn = 1"""
+ORACLE["session_history"] = f"""WITH {BEATS} SELECT run_id, CAST(session AS BIGINT) AS session, event_id, done AS people_done, round(mem, 6) AS mem_avail_pct FROM (
+  SELECT *, max(session) OVER (PARTITION BY run_id) AS cur, row_number() OVER (PARTITION BY run_id ORDER BY sec DESC, event_id DESC) AS rn FROM ses)
+WHERE session = cur AND rn <= 500"""
+ORACLE["attempt_giveup"] = """SELECT user_id AS person_id, count(*) FILTER (WHERE event_id % 97 <> 0) AS n_failed, bool_or(event_id % 97 = 0) AS done,
+  NOT bool_or(event_id % 97 = 0) AND count(*) FILTER (WHERE event_id % 97 <> 0) >= 3 AS given_up FROM events GROUP BY 1"""
+ORACLE["tumbling_rollup"] = f"""WITH {BEATS} SELECT run_id, sec // 3600 * 3600 AS bucket_sec, count(*) AS n_beats, max(done) AS people_done,
+  max(failed) AS people_failed, round(max(disk), 6) AS max_disk_used_pct, round(min(mem), 6) AS min_mem_avail_pct FROM b GROUP BY 1, 2"""

@@ -10,6 +10,7 @@ from haplodeck.functions import alleles as al
 from haplodeck.functions.text import both_or_null, pct, to_double, truthy
 from haplodeck.operators import concordance as cc
 from haplodeck.operators.prefix import exact_quantiles, global_rank
+from haplodeck.session import cut_lineage
 
 LR, ASM = ("lr_1", "lr_2"), ("asm_1", "asm_2")
 
@@ -152,7 +153,9 @@ def rank_trim_match(scores: DataFrame) -> DataFrame:
 
 def retention_stages(scores: DataFrame, n_slots: int) -> DataFrame:
     """Slots per gene and tool: resolved, past the bar, past size matching; each also as a share
-    of the one common denominator."""
+    of the one common denominator. The narrow score rows are written once: ordering, counting and
+    the final join all read them again."""
+    scores = cut_lineage(scores)
     matched = rank_trim_match(scores).select("person_id", "gene", "tool", F.lit(1).alias("_m"))
     out = scores.join(matched, ["person_id", "gene", "tool"], "left").groupBy("gene", "tool").agg(
         F.count("*").alias("all_resolved"),
@@ -170,22 +173,25 @@ def confidence_matched_rates(rows: DataFrame, methods: dict[str, cc.Pair], min_i
                              max_distance: float, levels: list[int] = (1, 2)) -> DataFrame:
     """Both truth sources, before and after confidence matching: counts and match rate per truth,
     scenario, gene, method and level."""
-    matched = rank_trim_match(truth_scores(rows, min_identity, max_distance))
-    out = None
-    for tool, truth in (("lr", LR), ("asm", ASM)):
-        keep = matched.where(F.col("tool") == tool).select(
-            "person_id", "gene", F.lit(True).alias("_matched"))
-        flagged = rows.join(keep, ["person_id", "gene"], "left").withColumn(
-            "matched", F.coalesce("_matched", F.lit(False)))
-        counts = cc.cascade_by_method(flagged, methods, truth, keys=["gene", "matched"]).where(
-            F.col("field_level").isin(list(levels)))
-        scenarios = counts.withColumn("scenario", F.explode(F.when(
-            F.col("matched"), F.array(F.lit("unfiltered"), F.lit("matched"))
-        ).otherwise(F.array(F.lit("unfiltered")))))
-        part = cc.pool_counts(scenarios, ["scenario", "gene", "method", "field_level"]).withColumn(
-            "truth", F.lit(tool))
-        out = part if out is None else out.unionByName(part)
-    return out
+    matched = rank_trim_match(cut_lineage(truth_scores(rows, min_identity, max_distance)))
+    kept = matched.groupBy("person_id", "gene").agg(
+        *[F.bool_or(F.col("tool") == t).alias(f"_in_{t}") for t in ("lr", "asm")])
+    flagged = rows.join(kept, ["person_id", "gene"], "left")
+    truths = F.array(*[
+        F.struct(F.lit(t).alias("truth"), F.col(p[0]).alias("truth_1"), F.col(p[1]).alias("truth_2"),
+                 F.coalesce(F.col(f"_in_{t}"), F.lit(False)).alias("matched"))
+        for t, p in (("lr", LR), ("asm", ASM))
+    ])
+    calls = [c for pair in methods.values() for c in pair]
+    stacked = flagged.select("gene", *calls, F.explode(truths).alias("_t")).select(
+        "gene", *calls, "_t.*")
+    counts = cc.cascade_by_method(
+        stacked, methods, ("truth_1", "truth_2"), keys=["truth", "gene", "matched"]
+    ).where(F.col("field_level").isin(list(levels)))
+    both = F.array(F.lit("unfiltered"), F.lit("matched"))
+    scenarios = counts.withColumn("scenario", F.explode(
+        F.when(F.col("matched"), both).otherwise(F.array(F.lit("unfiltered")))))
+    return cc.pool_counts(scenarios, ["truth", "scenario", "gene", "method", "field_level"])
 
 
 def before_after(rows: DataFrame, min_identity: float, max_distance: float,

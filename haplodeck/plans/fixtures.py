@@ -206,17 +206,15 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     p, v, k, s = F.col("l_orderkey"), F.col("l_linenumber"), F.col("part"), F.col("supp")
     stem = F.concat(F.lit("pooled/"), p.cast("string"), F.lit("_"), v.cast("string"))
-    own = F.concat(F.lit(BUCKET), stem)
+    li = li.withColumns({"stem": stem, "m0": k * 3 + s})
+    stem, m0 = F.col("stem"), F.col("m0")
 
     def uri(name: str, mod: int, ending: str) -> Column:
-        m = (k * 3 + s + v * mod) % 11
-        return (
-            F.when(m == 0, None).when(m == 1, "")
-            .when(m == 2, F.concat(F.lit(f"gs://{REJECTED}/"), stem, F.lit(f".{name}{ending}")))
-            .when(m == 3, F.concat(F.lit("gs://other-bucket/"), stem, F.lit(f".{name}{ending}")))
-            .when(m == 4, F.concat(stem, F.lit(f".{name}{ending}")))
-            .otherwise(F.concat(own, F.lit(f".{name}{ending}")))
-        )
+        m = (m0 + v * mod) % 11
+        bucket = F.when(m == 2, f"gs://{REJECTED}/").when(m == 3, "gs://other-bucket/").when(
+            m == 4, "").otherwise(BUCKET)
+        return F.when(m == 0, None).when(m == 1, "").otherwise(
+            F.concat(bucket, stem, F.lit(f".{name}{ending}")))
 
     return _once(li.select(
         (p * 10 + v).alias("row_id"), p.alias("person_id"),
