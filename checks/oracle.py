@@ -986,3 +986,16 @@ ORACLE["attempt_giveup"] = """SELECT user_id AS person_id, count(*) FILTER (WHER
   NOT bool_or(event_id % 97 = 0) AND count(*) FILTER (WHERE event_id % 97 <> 0) >= 3 AS given_up FROM events GROUP BY 1"""
 ORACLE["tumbling_rollup"] = f"""WITH {BEATS} SELECT run_id, sec // 3600 * 3600 AS bucket_sec, count(*) AS n_beats, max(done) AS people_done,
   max(failed) AS people_failed, round(max(disk), 6) AS max_disk_used_pct, round(min(mem), 6) AS min_mem_avail_pct FROM b GROUP BY 1, 2"""
+
+
+
+def _lnc(n: str, k: str) -> str:
+    return f"(lgamma(({n}) + 1) - lgamma(({k}) + 1) - lgamma(({n}) - ({k}) + 1))"
+
+
+_P = f"({_lnc('a + b', 'x')} + {_lnc('c + d', 'a + c - x')} - {_lnc('n', 'a + c')})"
+ORACLE["fisher_exact"] = f"""WITH tab AS ({contingency('exclude')}),
+cells AS (SELECT *, unnest(generate_series(greatest(0, a + c - (c + d)), least(a + b, a + c))) AS x FROM tab),
+p AS (SELECT *, {_P} AS lp, {_P.replace('(x)', '(a)').replace('- x', '- a')} AS seen FROM cells),
+s AS (SELECT ancestry, sum(exp(lp)) AS p FROM p WHERE lp <= seen + ln(1 + 1e-7) GROUP BY 1)
+SELECT tab.*, CASE WHEN NOT degenerate THEN round(least(p, 1), 6) END AS fisher_p FROM tab JOIN s USING (ancestry)"""

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from haplodeck import domain
 from haplodeck.functions import alleles as al
@@ -93,7 +94,7 @@ _LGAMMA = np.frompyfunc(math.lgamma, 1, 1)
 def _log_binom(n, k):
     n = np.asarray(n, dtype=float)
     k = np.asarray(k, dtype=float)
-    return (_LGAMMA(n + 1) - _LGAMMA(k + 1) - _LGAMMA(n - k + 1)).astype(float)
+    return np.asarray(_LGAMMA(n + 1) - _LGAMMA(k + 1) - _LGAMMA(n - k + 1), dtype=float)
 
 
 def fisher_two_sided(a: int, b: int, c: int, d: int, slack: float = 1e-7, block: int = 2048) -> float:
@@ -145,15 +146,14 @@ def fisher_two_sided(a: int, b: int, c: int, d: int, slack: float = 1e-7, block:
     return min(total, 1.0)
 
 
-@F.pandas_udf("double")
-def _fisher_udf(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
+def _fisher_column(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     return pd.Series([fisher_two_sided(*map(int, t)) for t in zip(a, b, c, d)], dtype="float64")
 
 
 def fisher_exact(tables: DataFrame) -> DataFrame:
     """Adds the exact two-sided p to contingency rows: one row per group, never per person."""
-    return tables.withColumn(
-        "fisher_p", F.when(~F.col("degenerate"), _fisher_udf("a", "b", "c", "d")))
+    test = F.pandas_udf(_fisher_column, T.DoubleType())
+    return tables.withColumn("fisher_p", F.when(~F.col("degenerate"), test("a", "b", "c", "d")))
 
 
 def _with_pooled(scores: DataFrame, group: str, label: str) -> DataFrame:

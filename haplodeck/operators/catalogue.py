@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from haplodeck import domain
 from haplodeck.functions import alleles as al
 from haplodeck.functions.text import pct, share
-from haplodeck.operators.rows import first_per_key
+from haplodeck.operators.rows import first_per_key, with_once
 
 
 def observed_alleles(calls: DataFrame, levels: list[int] = (2, 3)) -> DataFrame:
@@ -124,7 +124,8 @@ def first_releases(history: DataFrame, id_col: str = "allele_id") -> DataFrame:
         F.when(F.col(f"`{c}`").isNotNull() & (F.col(f"`{c}`") != ""), F.lit(int(c)))
         for c in release_columns(history)
     ]
-    return history.select(F.col(id_col).alias("allele_id"), F.coalesce(*tries).alias("release"))
+    dated = history.select(F.col(id_col).alias("allele_id"), F.coalesce(*tries).alias("release"))
+    return with_once(dated, {"release": F.col("release")})
 
 
 def group_releases(history: DataFrame, catalogue: DataFrame) -> DataFrame:

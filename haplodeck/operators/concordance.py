@@ -311,7 +311,7 @@ def concordance_detail(slots: DataFrame, a: Pair, b: Pair, a_name: str, b_name:
                        label: Column, has_b: Column, level: int = 2) -> DataFrame:
     """One row per slot: calls, confidence label, reason and status at one level. Carries person
     ids, so it is for local diagnosis only."""
-    step = with_cascade(slots, a, b).withColumn("reason", pair_reason(a, b, a_name, b_name))
+    step = with_once(with_cascade(slots, a, b), {"reason": pair_reason(a, b, a_name, b_name)})
     status = (
         F.when(F.col("reason") != "both_resolved", "-")
         .when(F.col("casc_t1").isNull(), "unresolved(allele-level)")

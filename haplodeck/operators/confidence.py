@@ -10,6 +10,7 @@ from haplodeck.functions import alleles as al
 from haplodeck.functions.text import both_or_null, pct, to_double, truthy
 from haplodeck.operators import concordance as cc
 from haplodeck.operators.prefix import exact_quantiles, global_rank
+from haplodeck.operators.rows import with_once
 from haplodeck.session import cut_lineage
 
 LR, ASM = ("lr_1", "lr_2"), ("asm_1", "asm_2")
@@ -124,15 +125,17 @@ def upper_median(values: DataFrame) -> DataFrame:
 def truth_scores(rows: DataFrame, min_identity: float, max_distance: float) -> DataFrame:
     """One row per slot and truth source that resolves it: tool, passes, score (higher is surer).
     Thresholds have no defaults on purpose."""
+    flagged = with_once(rows, {
+        "_lr": al.resolved(*LR), "_asm": al.resolved(*ASM),
+        "_lr_ok": lr_confident(min_identity), "_asm_ok": asm_confident(max_distance),
+    })
     entries = F.array(
-        F.struct(F.lit("lr").alias("tool"), al.resolved(*LR).alias("resolved"),
-                 lr_confident(min_identity).alias("passes"),
-                 F.col("lr_worst_identity").alias("score")),
-        F.struct(F.lit("asm").alias("tool"), al.resolved(*ASM).alias("resolved"),
-                 asm_confident(max_distance).alias("passes"),
-                 (-F.col("asm_worst_distance")).alias("score")),
+        F.struct(F.lit("lr").alias("tool"), F.col("_lr").alias("resolved"),
+                 F.col("_lr_ok").alias("passes"), F.col("lr_worst_identity").alias("score")),
+        F.struct(F.lit("asm").alias("tool"), F.col("_asm").alias("resolved"),
+                 F.col("_asm_ok").alias("passes"), (-F.col("asm_worst_distance")).alias("score")),
     )
-    return rows.select("person_id", "gene", F.explode(entries).alias("_e")).select(
+    return flagged.select("person_id", "gene", F.explode(entries).alias("_e")).select(
         "person_id", "gene", "_e.*"
     ).where("resolved")
 

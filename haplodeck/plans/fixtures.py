@@ -178,14 +178,12 @@ def catalogue_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Wide release history: one column per release code, the name in every release since the
     first one. Releases are every hundredth code from 2000 to 3500."""
     releases = [2000 + 100 * i for i in range(16)]
-    return catalogue(spark, sf_dir).select(
-        "allele_id",
-        *[
-            F.when(F.col("first_release") <= r,
-                   F.concat(F.col("gene"), F.lit("*"), F.col("allele_full"))).alias(str(r))
-            for r in releases
-        ],
-    )
+    named = with_once(catalogue(spark, sf_dir), {
+        "first_release": F.col("first_release"),
+        "name": F.concat(F.col("gene"), F.lit("*"), F.col("allele_full")),
+    })
+    return named.select("allele_id", *[
+        F.when(F.col("first_release") <= r, F.col("name")).alias(str(r)) for r in releases])
 
 
 FILE_COLUMNS = ["main_bam", "tagged_bam", "main_bam_index", "hap1_fa", "hap2_fa", "hap1_paf",

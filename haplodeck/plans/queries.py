@@ -774,8 +774,7 @@ def contingency_noncarrier(spark, d):
 
 @query
 def fisher_exact(spark, d):
-    return assoc.fisher_exact(_contingency(spark, d)).withColumn(
-        "fisher_p", F.round("fisher_p", 9))
+    return assoc.fisher_exact(_contingency(spark, d))
 
 
 @query
