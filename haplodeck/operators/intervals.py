@@ -195,7 +195,8 @@ def weighted_percentiles(hist: DataFrame, targets: list[int] = (50, 95, 99),
 def missing_labels(found: DataFrame, keys: list[str], label: str, expected: list[str]) -> DataFrame:
     """Expected labels that do not occur per key, as a count and as one text in expected order."""
     want = F.array(*[F.lit(x) for x in expected])
-    out = found.groupBy(*keys).agg(F.collect_set(label).alias("_s"))
+    known = F.when(F.col(label).isin(expected), F.col(label))  # keeps the set within `expected`
+    out = found.groupBy(*keys).agg(F.collect_set(known).alias("_s"))
     missing = F.array_except(want, F.col("_s"))
     return out.select(
         *keys, F.size(F.array_intersect(want, "_s")).alias("n_expected_found"),

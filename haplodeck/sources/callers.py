@@ -9,6 +9,7 @@ from haplodeck import domain
 from haplodeck.functions import alleles as al
 from haplodeck.functions import callinfo
 from haplodeck.functions.text import minutes_from_real_text
+from haplodeck.operators.rows import first_per_key
 
 PERSON_PATTERN = r"/([^/]+)/[^/]+$"  # parent folder of the file
 
@@ -36,17 +37,17 @@ def read_wide_results(spark: SparkSession, glob: str, genes: list[str] = domain.
 
 def parse_haplotypes(rows: DataFrame, genes: list[str] = domain.GENES) -> DataFrame:
     """Per-haplotype caller rows -> person_id, gene, hap 1/2 by chromosome order, call and its
-    evidence. A locus with fewer than two rows is dropped."""
+    evidence. A locus with fewer than two rows is dropped; only its first two rows are ever moved,
+    so the count that decides this never looks at more than two."""
     rows = rows.where(F.col("Locus").isin([f"HLA-{g}" for g in genes])).withColumns({
         "gene": al.bare_gene("Locus"),
         "call": callinfo.chosen_call("One_guess", "Genotype"),
         "_entries": callinfo.match_entries("Match_info"),
     })
-    locus = Window.partitionBy("person_id", "gene")
-    return rows.withColumns({
-        "hap": F.row_number().over(locus.orderBy("Chromosome", "call")),
-        "_n": F.count("*").over(locus),
-    }).where(F.col("_n") >= 2).select(
+    keys = ["person_id", "gene"]
+    pair = first_per_key(rows, keys, [F.col("Chromosome"), F.col("call")], 2, "hap")
+    counted = pair.withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
+    return counted.where(F.col("_n") == 2).select(
         "person_id", "gene", "hap", "call",
         callinfo.match_identity("_entries", "call").alias("identity"),
         F.col("Reads_num").try_cast("int").alias("reads"),
