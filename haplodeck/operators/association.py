@@ -88,7 +88,7 @@ def contingency(people: DataFrame, group: str = "ancestry", label: str = "ALL")
         F.when(~degenerate, odds).alias("odds_ratio"))
 
 
-_LGAMMA = np.frompyfunc(math.lgamma, 1, 1)
+_LGAMMA = np.vectorize(math.lgamma, otypes=[float])
 
 
 def _log_binom(n, k):

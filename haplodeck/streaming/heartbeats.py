@@ -79,7 +79,9 @@ def _failure_pct(done: int, failed: int, before: tuple | None) -> float:
     return 100.0 * failed / done if done > 0 else 0.0
 
 
-def _alert_machine(limit: int):
+def _alert_machine(limit: int, failure_bar: float = domain.FAILURE_RATE_ANOMALY_PCT,
+                   disk_bar: float = domain.DISK_DANGER_PCT,
+                   mem_bar: float = domain.MEM_AVAIL_DANGER_PCT):
     """Per-run state machine; the same transitions as the batch operator."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
@@ -103,9 +105,8 @@ def _alert_machine(limit: int):
                 was_terminal, was_bad = (prev[4], prev[5]) if prev else (False, False)
                 rate = _failure_pct(int(r.people_done), int(r.people_failed),
                                     (prev[2], prev[3]) if prev else None)
-                bad = bool(rate > domain.FAILURE_RATE_ANOMALY_PCT
-                           or r.disk_used_pct > domain.DISK_DANGER_PCT
-                           or r.mem_avail_pct < domain.MEM_AVAIL_DANGER_PCT)
+                bad = bool(rate > failure_bar or r.disk_used_pct > disk_bar
+                           or r.mem_avail_pct < mem_bar)
                 if prev and not was_terminal and sec - prev[0] > limit:
                     if not prev[6]:
                         out.append(("stale", prev[0] + limit))
