@@ -88,13 +88,14 @@ def contingency(people: DataFrame, group: str = "ancestry", label: str = "ALL")
         F.when(~degenerate, odds).alias("odds_ratio"))
 
 
-_LGAMMA = np.vectorize(math.lgamma, otypes=[float])
+def _lgamma(x):
+    return np.array([math.lgamma(v) for v in np.ravel(x)]).reshape(np.shape(x))
 
 
 def _log_binom(n, k):
     n = np.asarray(n, dtype=float)
     k = np.asarray(k, dtype=float)
-    return np.asarray(_LGAMMA(n + 1) - _LGAMMA(k + 1) - _LGAMMA(n - k + 1), dtype=float)
+    return _lgamma(n + 1) - _lgamma(k + 1) - _lgamma(n - k + 1)
 
 
 def fisher_two_sided(a: int, b: int, c: int, d: int, slack: float = 1e-7, block: int = 2048) -> float:

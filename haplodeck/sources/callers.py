@@ -9,7 +9,7 @@ from haplodeck import domain
 from haplodeck.functions import alleles as al
 from haplodeck.functions import callinfo
 from haplodeck.functions.text import minutes_from_real_text
-from haplodeck.operators.rows import first_per_key
+from haplodeck.operators.rows import first_per_key, with_once
 
 PERSON_PATTERN = r"/([^/]+)/[^/]+$"  # parent folder of the file
 
@@ -42,12 +42,13 @@ def parse_haplotypes(rows: DataFrame, genes: list[str] = domain.GENES) -> DataFr
     rows = rows.where(F.col("Locus").isin([f"HLA-{g}" for g in genes])).withColumns({
         "gene": al.bare_gene("Locus"),
         "call": callinfo.chosen_call("One_guess", "Genotype"),
-        "_entries": callinfo.match_entries("Match_info"),
     })
     keys = ["person_id", "gene"]
     pair = first_per_key(rows, keys, [F.col("Chromosome"), F.col("call")], 2, "hap")
     counted = pair.withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
-    return counted.where(F.col("_n") == 2).select(
+    kept = with_once(counted.where(F.col("_n") == 2),
+                     {"_entries": callinfo.match_entries("Match_info")})
+    return kept.select(
         "person_id", "gene", "hap", "call",
         callinfo.match_identity("_entries", "call").alias("identity"),
         F.col("Reads_num").try_cast("int").alias("reads"),
