@@ -39,7 +39,7 @@ def assemble(log_rows: DataFrame, asm_calls: DataFrame, annotations: DataFrame)
     log survive."""
     calls = asm_calls.select("person_id", al.bare_gene("gene").alias("gene"), *ASM)
     return (
-        log_rows.withColumns(long_read_evidence())
+        with_once(log_rows, long_read_evidence())
         .join(calls, ["person_id", "gene"], "left")
         .join(annotation_evidence(annotations), ["person_id", "gene"], "left")
         .withColumn("asm_warning", F.coalesce("asm_warning", F.lit(False)))

@@ -132,7 +132,7 @@ def unresolved_reasons(spark, d):
 
 @query
 def concordance_detail(spark, d):
-    rows = _pairs(spark, d).withColumns(cf.long_read_evidence())
+    rows = rw.with_once(_pairs(spark, d), cf.long_read_evidence())
     return cc.concordance_detail(rows, ASM, LR, "asm", "lr", cf.confidence_label(),
                                  F.col("_log").isNotNull())
 
