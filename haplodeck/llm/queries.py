@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from haplodeck.llm import byte_bpe, quality_rules, token_counts
+from haplodeck.llm import byte_bpe, pii, quality_rules, token_counts
 from haplodeck.llm.tables import read
 
 QUERIES = {}
@@ -16,6 +16,11 @@ def query(fn):
     return fn
 
 
+@query
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(read(spark, sf_dir, "documents"))
+
+
 @query
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.quality_verdicts(
