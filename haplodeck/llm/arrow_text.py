@@ -67,10 +67,14 @@ def chunks(texts: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int,
         at = to
 
 
-def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> Words:
-    """Words `[^\\x20\\x09-\\x0D]+` of each text."""
+#: ASCII punctuation, for callers that compare words without it.
+PUNCTUATION = bytes(c for c in range(33, 127) if not chr(c).isalnum())
+
+
+def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True, apart: bytes = b"") -> Words:
+    """Words `[^\\x20\\x09-\\x0D]+` of each text; the bytes of `apart` part words too."""
     blank = np.zeros(256, bool)
-    blank[[0x20, *range(9, 14)]] = True
+    blank[[0x20, *range(9, 14), *apart]] = True
     if lower:
         table = np.arange(256, dtype=np.uint8)
         table[65:91] += 32
@@ -92,6 +96,14 @@ def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> Words:
     return Words(hashes, np.searchsorted(starts, offsets), starts, ends, data)
 
 
+def starts_of_words(w: Words, k: int) -> np.ndarray:
+    """Hash of the first k bytes of every word, of the whole word if it is shorter."""
+    power, back = _powers(len(w.data))
+    sums = np.zeros(len(w.data) + 1, np.uint64)
+    np.cumsum((w.data.astype(np.uint64) + np.uint64(1)) * power[:len(w.data)], out=sums[1:])
+    return mixed((sums[np.minimum(w.starts + k, w.ends)] - sums[w.starts]) * back[w.starts] + np.uint64(k))
+
+
 def grams(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash, place) of every run of k words within a text; place is the run's first word."""
     n = len(w.hashes)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from haplodeck.llm import byte_bpe, jaccard_join, pii, quality_rules, token_counts
+from haplodeck.llm import byte_bpe, decontam, jaccard_join, pii, quality_rules, token_counts, toxicity
 from haplodeck.llm.tables import read
 
 QUERIES = {}
@@ -39,6 +39,11 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(read(spark, sf_dir, "documents"))
 
 
+@query
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.best_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 @query
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.components(read(spark, sf_dir, "documents"))
@@ -62,3 +67,8 @@ reach AS (
 SELECT s.doc_id, len(s.s) AS n_shingles, min(r.other) AS component_id
 FROM sets s JOIN reach r USING (doc_id) GROUP BY s.doc_id, len(s.s)
 """
+
+
+@query
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.held_out_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
