@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from haplodeck.llm import byte_bpe, decontam, jaccard_join, pii, quality_rules, token_counts, toxicity
+from haplodeck.llm import byte_bpe, decontam, jaccard_join, pii, quality_rules, sharding, token_counts, toxicity
 from haplodeck.llm.tables import read
 
 QUERIES = {}
@@ -21,6 +22,13 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(read(spark, sf_dir, "documents"))
 
 
+@query
+def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.sharded(read(spark, sf_dir, "documents"), shards=24)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot",
+                         F.lit(None).cast("int").alias("grown_shard"))
+
+
 @query
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality_rules.quality_verdicts(
