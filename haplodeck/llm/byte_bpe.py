@@ -217,3 +217,13 @@ def digests(docs: DataFrame, path: str | None = None, key: str = "doc_id",
                   {"n_tokens": ("long", pa.int64()), "ids_sha256": ("string", pa.string()),
                    "decoded_sha256": ("string", pa.string())},
                   lambda ids, data: (len(ids) // 4, sha256(ids).hexdigest(), sha256(data).hexdigest()))
+
+
+def tokenised(docs: DataFrame, path: str | None = None, key: str = "doc_id",
+              text: str = "text") -> DataFrame:
+    """key, n_tokens, ids, decoded_sha256: what a trainer reads, and a check of the way back."""
+    return _coded(docs, path, key, text,
+                  {"n_tokens": ("long", pa.int64()), "ids": ("array<int>", pa.list_(pa.int32())),
+                   "decoded_sha256": ("string", pa.string())},
+                  lambda ids, data: (len(ids) // 4, memoryview(ids).cast("i").tolist(),
+                                     sha256(data).hexdigest()))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haplodeck.llm import byte_bpe, decontam, jaccard_join, pii, quality_rules, sharding, token_counts, toxicity
+from haplodeck.llm import byte_bpe, decontam, jaccard_join, license_scan, pii, quality_rules, sharding, token_counts, toxicity, warc_index
 from haplodeck.llm.tables import read
 
 QUERIES = {}
@@ -42,11 +42,34 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"))
 
 
+@query
+def op5_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_index.round_trip(read(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLE["op5_warc_index"] = """
+WITH p AS (
+    SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes,
+           sha256(coalesce(html, '')) AS payload_digest FROM pages),
+o AS (SELECT payload_digest, min(page_id) AS owner FROM p WHERE payload_bytes >= 100 GROUP BY 1)
+SELECT p.page_id, p.payload_bytes, p.payload_digest,
+       CASE WHEN o.owner <> p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN o.owner <> p.page_id THEN o.owner END AS refers_to
+FROM p LEFT JOIN o USING (payload_digest)
+"""
+
+
 @query
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(read(spark, sf_dir, "documents"))
 
 
+@query
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.licenses(read(spark, sf_dir, "documents"))
+
+
 @query
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.best_leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
