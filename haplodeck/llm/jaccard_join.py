@@ -39,7 +39,8 @@ CELLS = 1 << 20
 #: Buckets of a shingle are split so that about so many nodes share one; groups hold four times that.
 BUCKET = 64
 QUERIES_PER_TASK = 2000
-BROADCAST_IDS = 2_000_000
+TOGETHER = 3000
+BROADCAST_IDS = 500_000
 #: A size band ends at 1.1 times its start.
 _BAND = 1.1
 
@@ -173,14 +174,40 @@ def _needed(a, b):
     return -(-THRESHOLD * (a + b) // (100 + THRESHOLD))
 
 
-def _open(rows: list[tuple[int, int, np.ndarray]]) -> tuple[list[int], list[int]]:
-    """Links of one group as a spanning forest. rows: (role, node, tokens); role 0 is a member, 1 a
-    query from another group."""
-    sets = {node: tokens for _, node, tokens in rows}
-    members = list({node for role, node, _ in rows if role == 0})
-    queries = [*members, *{node for role, node, _ in rows if role == 1}.difference(members)]
-    if not members:
+def _index(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct tokens of all sets, and for each of them a slice of the numbers of the sets it is in."""
+    union, posting = np.unique(np.concatenate(sets), return_inverse=True)
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])[np.argsort(posting, kind="stable")]
+    return union, np.concatenate([[0], np.cumsum(np.bincount(posting, minlength=len(union)))]), owner
+
+
+def _overlaps(index, tokens: np.ndarray, n: int) -> np.ndarray:
+    """Overlap of the tokens with each of the n indexed sets."""
+    union, starts, owner = index
+    at = np.searchsorted(union, tokens)
+    inside = at < len(union)
+    at = at[inside]
+    at = at[union[at] == tokens[inside]]
+    if not len(at):
+        return np.zeros(n, np.int64)
+    return np.bincount(np.concatenate([owner[starts[j]:starts[j + 1]] for j in at]), minlength=n)
+
+
+def _open(rows: list[tuple[bool, int, int, np.ndarray]]) -> tuple[list[int], list[int]]:
+    """Links of one task's groups as a spanning forest. rows: (whether a guest, group, node, tokens);
+    guests belong to groups that are not here and ask all that are."""
+    groups: dict[int, dict[int, np.ndarray]] = {}
+    for guest, own, node, tokens in rows:
+        if not guest:
+            groups.setdefault(own, {})[node] = tokens
+    if not groups:
         return [], []
+    names = sorted(groups)
+    members = [list(groups[g]) for g in names]
+    sizes = [np.array([len(t) for t in groups[g].values()]) for g in names]
+    inside = [_index(list(groups[g].values())) for g in names]
+    matrix = inside[0] if len(names) == 1 else _index([i[0] for i in inside])  # tokens by groups
+    smallest = np.array([s.min() for s in sizes])
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -189,98 +216,116 @@ def _open(rows: list[tuple[int, int, np.ndarray]]) -> tuple[list[int], list[int]
             x = parent[x]
         return x
 
-    sizes = np.array([len(sets[m]) for m in members])
-    union, posting = np.unique(np.concatenate([sets[m] for m in members]), return_inverse=True)
-    owner = np.repeat(np.arange(len(members)), sizes)[np.argsort(posting, kind="stable")]
-    starts = np.concatenate([[0], np.cumsum(np.bincount(posting, minlength=len(union)))])
-    smallest, left, right = sizes.min(), [], []
-    for i, q in enumerate(queries):
-        tokens = sets[q]
-        at = np.searchsorted(union, tokens)
-        inside = at < len(union)
-        at = at[inside]
-        at = at[union[at] == tokens[inside]]
-        if len(at) < _needed(len(tokens), max(int(smallest), -(-THRESHOLD * len(tokens) // 100))):
-            continue  # the union already shares too little with the query
-        spans = [owner[starts[j]:starts[j + 1]] for j in at]
-        overlap = np.bincount(np.concatenate(spans), minlength=len(members))
-        linked = np.flatnonzero(overlap * (100 + THRESHOLD) >= THRESHOLD * (len(tokens) + sizes))
-        for j in linked:
-            a, b = root(q), root(members[j])
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-                left.append(q)
-                right.append(members[j])
+    left, right = [], []
+    for guest, own, q, tokens in rows:
+        n = len(tokens)
+        if len(names) == 1:
+            bound = np.array([np.isin(tokens, inside[0][0], assume_unique=True).sum()])
+        else:
+            bound = _overlaps(matrix, tokens, len(names))
+        asked = bound >= _needed(n, np.maximum(smallest, -(-THRESHOLD * n // 100)))
+        for g in np.flatnonzero(asked):
+            if not guest and names[g] < own:
+                continue  # compared from the other side
+            overlap = _overlaps(inside[g], tokens, len(members[g]))
+            for j in np.flatnonzero(overlap * (100 + THRESHOLD) >= THRESHOLD * (n + sizes[g])):
+                x, y = root(q), root(members[g][j])
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    left.append(q)
+                    right.append(members[g][j])
     return left, right
 
 
-def _compared(asks: DataFrame) -> DataFrame:
-    """a, b: links found in the groups; asks has grp, chunk, role, node, tokens."""
+def _compared(rows: DataFrame) -> DataFrame:
+    """a, b: links found; rows has dest, chunk (a task's groups come together), guest, own, node, tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, rows = None, []
+        now, held = None, []
 
         def close():
-            left, right = _open(rows)
+            left, right = _open(held)
             return pa.RecordBatch.from_arrays(
                 [pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
         for batch in batches:
-            grp, chunk = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            role, node = batch.column(2).to_numpy(), batch.column(3).to_numpy()
-            lists = batch.column(4)
-            bounds, values = lists.offsets.to_numpy(), lists.values.to_numpy()
+            dest, chunk = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            guest = batch.column(2).to_numpy(zero_copy_only=False)
+            own, node = batch.column(3).to_numpy(), batch.column(4).to_numpy()
+            bounds, values = batch.column(5).offsets.to_numpy(), batch.column(5).values.to_numpy()
             for i in range(batch.num_rows):
-                here = (grp[i], chunk[i])
-                if here != now and rows:
+                here = (dest[i], chunk[i])
+                if here != now and held:
                     yield close()
-                    rows = []
+                    held = []
                 now = here
-                rows.append((int(role[i]), int(node[i]), values[bounds[i]:bounds[i + 1]].copy()))
-        if rows:
+                held.append((bool(guest[i]), int(own[i]), int(node[i]), values[bounds[i]:bounds[i + 1]].copy()))
+        if held:
             yield close()
 
-    return asks.repartition("grp", "chunk").sortWithinPartitions("grp", "chunk").select(
-        "grp", "chunk", "role", "node", "tokens").mapInArrow(run, "a long, b long")
-
-
-def _token_sets(docs: DataFrame, key: str, text: str, sets: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, tokens of the wanted nodes, each from its document of lowest id."""
-    ids = written(sets.join(wanted, "node").groupBy("node").agg(F.min(key).alias(key)).select(key), "jaccard-ids")
+    return rows.repartition("dest", "chunk").sortWithinPartitions("dest", "chunk").select(
+        "dest", "chunk", "guest", "own", "node", "tokens").mapInArrow(run, "a long, b long")
+
+
+def _destinations(homes: DataFrame, asks: DataFrame) -> DataFrame:
+    """node, dests (array of dest, chunk, guest, own). Groups that ask each other, directly or through
+    others, meet in one task and every node goes there once; where they hold more than TOGETHER nodes,
+    each group is a task (or several) of its own, and nodes go to every group they ask."""
+    between = asks.where("own <> grp").select(F.col("own").alias("a"), F.col("grp").alias("b")).distinct()
+    labels = component_labels(between)
+    busy = asks.select(F.col("grp").alias("own")).unionByName(asks.select("own")).distinct()
+    placed = homes.join(busy, "own").join(labels.withColumnRenamed("node", "own"), "own", "left").withColumn(
+        "dest", F.coalesce("label", "own"))
+    sizes = placed.groupBy("dest").agg(F.count("*").alias("together"))
+    at = written(placed.select("node", "own", "dest").join(sizes, "dest"), "jaccard-placed")
+    whole = at.where(F.col("together") <= TOGETHER).select(
+        "node", "dest", F.lit(0).alias("chunk"), F.lit(False).alias("guest"), "own")
+    apart = at.where(F.col("together") > TOGETHER).select("node", "own")
+    guests = asks.where("own <> grp").join(apart, ["node", "own"])
+    chunks_ = guests.groupBy("grp").agg(F.ceil(F.count("*") / QUERIES_PER_TASK).cast("int").alias("chunks"))
+    members = apart.join(chunks_, apart["own"] == chunks_["grp"], "left").select(
+        "node", F.col("own").alias("dest"), F.explode(F.sequence(
+            F.lit(0), F.coalesce("chunks", F.lit(1)) - 1)).alias("chunk"), F.lit(False).alias("guest"), "own")
+    visiting = guests.join(chunks_, "grp").select(
+        "node", F.col("grp").alias("dest"), F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"),
+        F.lit(True).alias("guest"), "own")
+    return whole.unionByName(members).unionByName(visiting).groupBy("node").agg(
+        F.collect_list(F.struct("dest", "chunk", "guest", "own")).alias("dests"))
+
+
+def _sent(docs: DataFrame, key: str, text: str, sets: DataFrame, dests: DataFrame) -> DataFrame:
+    """dest, chunk, guest, own, node, tokens: every node's set, from its document of lowest id, for
+    each of its destinations. The ids choose the texts inside the scan while they are few."""
+    ids = written(sets.join(dests, "node").groupBy("node").agg(
+        F.min(key).alias(key), F.first("dests").alias("dests")).select(key, "dests"), "jaccard-ids")
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    texts = docs.select(F.col(key), F.col(text)).join(F.broadcast(ids) if few else ids, key, "left_semi")
+    texts = docs.select(F.col(key), F.col(text)).join(F.broadcast(ids) if few else ids, key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [tokens for _, tokens in shingle_sets(batch.column(0), WORDS) if len(tokens)]
-            for at in range(0, len(found), 500):
-                part = found[at:at + 500]
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                found = [(row, tokens) for row, tokens in shingle_sets(part.column(0), WORDS) if len(tokens)]
+                if not found:
+                    continue
                 lists = pa.ListArray.from_arrays(
-                    pa.array(np.concatenate([[0], np.cumsum([len(t) for t in part])]), pa.int32()),
-                    pa.array(np.concatenate(part)))
+                    pa.array(np.concatenate([[0], np.cumsum([len(t) for _, t in found])]), pa.int32()),
+                    pa.array(np.concatenate([t for _, t in found])))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([_node(t) for t in part], pa.int64()), lists], ["node", "tokens"])
+                    [part.column(1).take(pa.array([row for row, _ in found])),
+                     pa.array([_node(t) for _, t in found], pa.int64()), lists], ["dests", "node", "tokens"])
 
-    return written(texts.select(text).mapInArrow(run, "node long, tokens array<long>"), "jaccard-tokens")
+    sent = texts.select(text, "dests").mapInArrow(
+        run, "dests array<struct<dest:long,chunk:int,guest:boolean,own:long>>, node long, tokens array<long>")
+    return sent.select(F.explode("dests").alias("_d"), "node", "tokens").select("_d.*", "node", "tokens")
 
 
 def links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(key, node, n) per row, and (a, b): a spanning forest of the links between nodes."""
-    spark = docs.sparkSession
     sets, levels = _sets_and_sketch(docs, key, text)
-    homes, asks = _candidates(_prefixes(docs, text, spark.sparkContext.broadcast(levels)))
-    # a group's members come along wherever one of their group is compared
-    busy = asks.groupBy("grp").agg(F.count_if(F.col("own") != F.col("grp")).alias("guests")).select(
-        "grp", F.greatest(F.ceil(F.col("guests") / QUERIES_PER_TASK), F.lit(1)).alias("chunks"))
-    members = homes.join(busy, homes["own"] == busy["grp"]).select(
-        "grp", F.explode(F.sequence(F.lit(0), F.col("chunks").cast("int") - 1)).alias("chunk"),
-        F.lit(0).alias("role"), "node")
-    guests = asks.where("own <> grp").join(busy, "grp").select(
-        "grp", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"),
-        F.lit(1).alias("role"), "node")
-    rows = written(members.unionByName(guests), "jaccard-asks")
-    tokens = _token_sets(docs, key, text, sets, rows.select("node").distinct())
-    return sets, written(_compared(rows.join(tokens, "node")), "jaccard-links")
+    homes, asks = _candidates(_prefixes(docs, text, docs.sparkSession.sparkContext.broadcast(levels)))
+    sent = _sent(docs, key, text, sets, _destinations(homes, asks))
+    return sets, written(_compared(sent), "jaccard-links")
 
 
 def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
