@@ -31,6 +31,7 @@ SUPPORT = 3
 GENERALISE = 0.9
 REMOVE = 0.98
 BROADCAST_TERMS = 500_000
+BROADCAST_TEXTS = 100_000
 
 # Runs are matched possessively and from their first character (or from the last match's end): no
 # start inside a run can do better, and long runs cost one pass.
@@ -207,6 +208,9 @@ def _term_spans(docs: DataFrame, hits: DataFrame, key: str, text: str) -> DataFr
         F.struct("term", kind.alias("k")))).alias("_terms"))
     t = F.coalesce(F.col(text), F.lit(""))
     texts = docs.select(F.col(key), F.xxhash64(t).alias("text_hash"), t.alias("_t"))
+    per_text = written(per_text, "pii-hits")
+    few = per_text.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS
+    per_text = F.broadcast(per_text) if few else per_text
     joined = texts.alias("d").join(per_text.alias("p"), F.col(f"d.{key}").eqNullSafe(F.col(f"p.{key}")) & (
         F.col("d.text_hash") == F.col("p.text_hash"))).select(f"d.{key}", "d.text_hash", "_t", "_terms")
 
@@ -295,6 +299,9 @@ def sanitised(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
         F.first("all_spans").alias("_spans"))
     columns = docs.columns
     own = docs.withColumn("_hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    spans = written(spans, "pii-found")
+    few = spans.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS
+    spans = F.broadcast(spans) if few else spans
     joined = own.alias("d").join(spans.alias("s"), F.col(f"d.{key}").eqNullSafe(F.col(f"s.{key}")) & (
         F.col("d._hash") == F.col("s.text_hash")), "left")
     return joined.select(*[
