@@ -643,10 +643,10 @@ ORACLE["usable_files"] = f"WITH {MANIFEST} SELECT person_id, row_id, source, pat
 ORACLE["eligible_people"] = f"WITH {MANIFEST} SELECT * FROM eligible"
 ORACLE["cohort_pick"] = f"""WITH {MANIFEST} SELECT * EXCLUDE (rn) FROM (
   SELECT *, row_number() OVER (PARTITION BY ancestry ORDER BY person_id) AS rn FROM eligible
-  WHERE ancestry IN ('AFRICA', 'AMERICA', 'ASIA', 'EUROPE')) WHERE rn <= 10"""
+  WHERE ancestry IN ('AFRICA', 'AMERICA', 'ASIA', 'EUROPE', 'MIDDLE EAST')) WHERE rn <= 10"""
 ORACLE["cohort_availability"] = f"""WITH {MANIFEST} SELECT w.ancestry, count(e.person_id) AS n_eligible,
   least(count(e.person_id), 1500) AS n_picked, count(e.person_id) < 1500 AS short
-FROM (VALUES ('AFRICA'), ('AMERICA'), ('ASIA'), ('NOWHERE')) AS w(ancestry) LEFT JOIN eligible e USING (ancestry) GROUP BY 1"""
+FROM (VALUES ('AFRICA'), ('AMERICA'), ('ASIA'), ('EUROPE'), ('MIDDLE EAST'), ('NOWHERE')) AS w(ancestry) LEFT JOIN eligible e USING (ancestry) GROUP BY 1"""
 ORACLE["labels_outside"] = f"""WITH {MANIFEST} SELECT DISTINCT ancestry FROM eligible
 WHERE ancestry NOT IN ('AFRICA', 'AMERICA', 'ASIA')"""
 SETS = f"""{MANIFEST},
@@ -680,13 +680,12 @@ ORACLE["compact_fragments"] = f"""WITH {LOG} SELECT person_id, gene, v, sr_1, sr
 TEXTS = ["center", "platform", "main_bam", "tagged_bam", "main_bam_index", "hap1_fa", "hap2_fa", "hap1_paf", "hap2_paf", "note"]
 ORACLE["column_report"] = f"""WITH {MANIFEST},
 tall AS ({' UNION ALL '.join(f"SELECT '{c}' AS column_, row_id, {c} AS value FROM man WHERE {c} <> ''" for c in TEXTS)}),
-r AS (SELECT *, row_number() OVER (PARTITION BY column_ ORDER BY row_id) AS rn, count(*) OVER (PARTITION BY column_) AS n FROM tall),
-k AS (SELECT column_, max(n) AS n_filled, min(value) FILTER (WHERE rn = 1) AS sample_value, count(*) AS seen,
+k AS (SELECT column_, count(*) AS n_filled, arg_min(value, row_id) AS sample_value,
   count(*) FILTER (WHERE contains(value, '/') AND regexp_matches(lower(value), '[.](bam|fa[.]gz|paf)$')) AS p,
   count(*) FILTER (WHERE contains(value, '/') AND regexp_matches(lower(value), '[.]bai$')) AS x
-  FROM r WHERE rn <= 50 GROUP BY 1)
+  FROM tall GROUP BY 1)
 SELECT column_ AS "column", n_filled, sample_value,
-  CASE WHEN p >= greatest(1, seen // 2) THEN 'primary' WHEN x >= greatest(1, seen // 2) THEN 'index' END AS kind FROM k"""
+  CASE WHEN p >= greatest(1, n_filled // 2) THEN 'primary' WHEN x >= greatest(1, n_filled // 2) THEN 'index' END AS kind FROM k"""
 PROFILES = f"""{MANIFEST},
 prof AS (SELECT m.row_id, m.person_id, m.platform, m.v, coalesce(string_agg(source, '+' ORDER BY source), 'NONE_FOUND') AS profile,
   coalesce(list(source) FILTER (WHERE source IS NOT NULL), []) AS present
@@ -704,13 +703,15 @@ FROM man m LEFT JOIN u USING (person_id) GROUP BY 1"""
 ORACLE["multi_row_people"] = f"""WITH {MANIFEST} SELECT person_id, count(*) AS n_rows FROM man GROUP BY 1 HAVING count(*) > 1"""
 ORACLE["none_found_by_platform"] = f"""WITH {MANIFEST},
 l AS (SELECT person_id, list(platform ORDER BY row_id)[1] AS platform FROM man GROUP BY 1)
-SELECT platform, count(*) AS n FROM l WHERE person_id NOT IN (SELECT person_id FROM found WHERE source = 'hap1_fa') GROUP BY 1"""
+SELECT platform, count(*) AS n FROM l WHERE person_id NOT IN (SELECT person_id FROM found) GROUP BY 1"""
 BEST = f"""{PROFILES},
 rowtier AS (SELECT *, CASE WHEN NOT list_has_all(present, ['hap1_fa', 'hap2_fa']) THEN NULL
   WHEN list_has_all(present, ['hap1_paf', 'hap2_paf']) THEN 1 WHEN list_has_all(present, ['main_bam', 'tagged_bam']) THEN 2
   ELSE 3 END AS t FROM prof WHERE platform <> 'ont'),
 best AS (SELECT person_id, list(platform ORDER BY row_id)[1] AS platform, count(*) AS n_rows,
   ['paf_region', 'bam_whole_contig', 'self_align_needed'][min(t)] AS trim_tier FROM rowtier GROUP BY 1)"""
+ORACLE["seeded_sample"] = f"""WITH {BASE} SELECT person_id, ancestry FROM persons
+ORDER BY md5('42:' || person_id), person_id LIMIT 500"""
 ORACLE["best_tier"] = f"WITH {BEST} SELECT * FROM best"
 ORACLE["tier_group_distribution"] = f"""WITH {BEST}, x AS (SELECT coalesce(CASE WHEN p.person_id % 9 <> 0 THEN ancestry END, 'NA') AS ancestry
   FROM best b LEFT JOIN persons p USING (person_id) WHERE trim_tier = 'self_align_needed')
@@ -870,6 +871,23 @@ mk(marker, gene, allele) AS (VALUES {', '.join(str(m) for m in MARKERS)}),
 dose AS (SELECT person_id, marker, two.gene, allele,
   CASE WHEN k1 IS NULL OR k2 IS NULL THEN NULL ELSE (k1 = allele)::INT + (k2 = allele)::INT END AS dosage
   FROM two JOIN mk USING (gene))"""
+MODEL = f"""{CALLSET},
+two AS (SELECT person_id, gene, {two('a1')} AS k1, {two('a2')} AS k2 FROM callset),
+pop AS (SELECT t.person_id, max(p.case_) AS label FROM two t JOIN persons p USING (person_id) GROUP BY 1
+  HAVING count(*) FILTER (WHERE k1 IS NOT NULL AND k2 IS NOT NULL) = {len(GENES)}),
+tok AS (SELECT person_id, gene || '*' || unnest([k1, k2]) AS feature FROM two JOIN pop USING (person_id)
+  UNION ALL SELECT person_id, 'ancestry_' || ancestry FROM persons JOIN pop USING (person_id) WHERE ancestry IS NOT NULL),
+per AS (SELECT person_id, feature, count(*)::DOUBLE AS d FROM tok GROUP BY 1, 2),
+names AS (SELECT DISTINCT gene || '*' || k AS feature FROM (SELECT gene, unnest([k1, k2]) AS k FROM two) WHERE k IS NOT NULL
+  UNION SELECT 'ancestry_' || ancestry FROM persons WHERE ancestry IS NOT NULL)"""
+ORACLE["feature_dosage_totals"] = f"""WITH {MODEL}, n AS (SELECT count(*)::DOUBLE AS n FROM pop)
+SELECT feature, count(d) AS n_people, coalesce(sum(d), 0)::BIGINT AS total,
+  round(sqrt(greatest(coalesce(sum(d * d), 0) / n - (coalesce(sum(d), 0) / n) ** 2, 0)), 9) AS deviation
+FROM names LEFT JOIN per USING (feature) CROSS JOIN n GROUP BY feature, n"""
+ORACLE["model_population"] = f"""WITH {MODEL}, f AS (
+  SELECT (row_number() OVER (ORDER BY label, person_id) - 1) % 5 AS fold, label FROM pop),
+p AS (SELECT fold, count(*) AS n, sum(label) AS c FROM f GROUP BY 1)
+SELECT sum(n)::BIGINT AS n_people, sum(c)::BIGINT AS n_cases, count(*) AS n_folds, min(n) AS smallest_fold, max(n) AS largest_fold FROM p"""
 ORACLE["allele_dosage"] = f"WITH {DOSE} SELECT person_id, gene, allele, dosage FROM dose"
 
 

@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -194,13 +194,11 @@ def ranking_metrics(scores: DataFrame, group: str = "ancestry", label: str = "AL
 
 def _ranked(scores: DataFrame, group: str | None) -> DataFrame:
     """Rank 1 = highest score, within `group` when given; ties by person."""
-    lead = [F.col(group)] if group else []
-    ranked = global_rank(scores, [*lead, F.col("score").desc(), F.col("person_id")], "_g")
-    keys = [group] if group else []
-    sizes = ranked.groupBy(*keys).agg(
-        F.count("*").alias("size"), (F.min("_g") - 1).alias("_before"))
-    joined = ranked.join(sizes, keys) if keys else ranked.join(F.broadcast(sizes), F.lit(True))
-    return joined.withColumn("rank", F.col("_g") - F.col("_before")).drop("_g", "_before")
+    if not group:
+        return global_rank(scores, [F.col("score").desc(), F.col("person_id")], "rank", "size")
+    ranked = global_rank(scores, [F.col(group), F.col("score").desc(), F.col("person_id")], "_g")
+    sizes = ranked.groupBy(group).agg(F.count("*").alias("size"), (F.min("_g") - 1).alias("_before"))
+    return ranked.join(sizes, group).withColumn("rank", F.col("_g") - F.col("_before")).drop("_g", "_before")
 
 
 def risk_deciles(scores: DataFrame, bins: int = 10) -> DataFrame:
@@ -213,11 +211,10 @@ def risk_deciles(scores: DataFrame, bins: int = 10) -> DataFrame:
         r + F.floor((at - wide) / F.greatest(q, F.lit(1))) + 1)
     bins_df = ranked.groupBy(tile.cast("int").alias("decile")).agg(
         F.count("*").alias("n"), F.sum("label").alias("cases"))
-    total = bins_df.agg(share(F.sum("cases"), F.sum("n")).alias("_prev"))
-    rate = share(F.col("cases"), F.col("n"))
-    return bins_df.join(F.broadcast(total), F.lit(True)).select(
-        "decile", "n", "cases", rate.alias("case_rate"),
-        F.try_divide(rate, F.col("_prev")).alias("enrichment"))
+    rate, all_bins = share(F.col("cases"), F.col("n")), Window.partitionBy()  # one row per bin
+    prevalence = share(F.sum("cases").over(all_bins), F.sum("n").over(all_bins))
+    return bins_df.select("decile", "n", "cases", rate.alias("case_rate"),
+                          F.try_divide(rate, prevalence).alias("enrichment"))
 
 
 def threshold_metrics(scores: DataFrame, fractions: list[float], group: str | None = None) -> DataFrame:

@@ -17,10 +17,13 @@ from haplodeck.operators.rows import first_per_key, with_once
 
 
 def genotypes_long(wide: DataFrame, genes: list[str] = domain.GENES, id_col: str = "research_id",
-                   keep: list[str] = ()) -> DataFrame:
-    """<gene>_1 / <gene>_2 columns -> one row per (person, gene). Genes without both columns are
-    left out."""
-    have = [g for g in genes if f"{g}_1" in wide.columns and f"{g}_2" in wide.columns]
+                   keep: list[str] = (), allow_missing: bool = False) -> DataFrame:
+    """<gene>_1 / <gene>_2 columns -> one row per (person, gene). A gene without both columns is an
+    error, or is left out if the caller allows it."""
+    absent = [c for g in genes for c in (f"{g}_1", f"{g}_2") if c not in wide.columns]
+    if absent and not allow_missing:
+        raise ValueError(f"columns not found: {', '.join(absent)}")
+    have = [g for g in genes if f"{g}_1" not in absent and f"{g}_2" not in absent]
     if not have:
         raise ValueError(f"no <gene>_1/<gene>_2 columns among {wide.columns}")
     entries = [

@@ -11,36 +11,27 @@ from haplodeck.functions.uris import file_kind
 from haplodeck.operators.rows import first_per_key
 
 
-def column_report(manifest: DataFrame, row_id: str = "row_id", sample: int = 50) -> DataFrame:
-    """Per text column: non-null count, one sample value and its class. The class looks at the
-    first `sample` values by row id; each task hands on at most that many per column."""
+def column_report(manifest: DataFrame, row_id: str = "row_id") -> DataFrame:
+    """Per text column: filled cells, the first one's value by row id, and the column's class by all
+    filled cells. One pass, one partial aggregate with a few numbers per column."""
     texts = [c for c, t in manifest.dtypes if t == "string"]
-    filled = {c: F.when(F.col(c) != "", F.col(c)) for c in texts}
-    counts = manifest.agg(*[F.count(v).alias(c) for c, v in filled.items()]).select(
-        F.explode(F.array(*[
-            F.struct(F.lit(c).alias("column"), F.col(c).alias("n_filled")) for c in texts
-        ])).alias("_e")).select("_e.*")
-    cells = manifest.select(row_id, F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column"), v.alias("value")) for c, v in filled.items()
-    ])).alias("_e")).select(row_id, "_e.*").where(F.col("value").isNotNull())
-    head = first_per_key(cells, ["column"], [F.col(row_id)], sample, "_rn")
-    kind = file_kind("value")
-    seen = head.groupBy("column").agg(
-        F.count("*").alias("_n"), F.count_if(kind == "primary").alias("_p"),
-        F.count_if(kind == "index").alias("_i"),
-        F.min(F.when(F.col("_rn") == 1, F.col("value"))).alias("sample_value"),
-    )
-    half = F.greatest(F.lit(1), F.floor(F.col("_n") / 2))
-    return counts.join(seen, "column", "left").select(
+    measures = []
+    for i, c in enumerate(texts):
+        value = F.when(F.col(c) != "", F.col(c))
+        kind = file_kind(value)
+        measures += [
+            F.count(value).alias(f"n{i}"), F.count_if(kind == "primary").alias(f"p{i}"),
+            F.count_if(kind == "index").alias(f"x{i}"),
+            F.min(F.when(value.isNotNull(), F.struct(F.col(row_id), value.alias("v")))).alias(f"s{i}"),
+        ]
+    columns = manifest.agg(*measures).select(F.explode(F.array(*[
+        F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("n_filled"),
+                 F.col(f"s{i}.v").alias("sample_value"), F.col(f"p{i}").alias("_p"),
+                 F.col(f"x{i}").alias("_x")) for i, c in enumerate(texts)])).alias("_e")).select("_e.*")
+    half = F.greatest(F.lit(1), F.floor(F.col("n_filled") / 2))
+    return columns.select(
         "column", "n_filled", "sample_value",
-        F.when(F.col("_p") >= half, "primary").when(F.col("_i") >= half, "index").alias("kind"),
-    )
-
-
-def primary_columns(report: DataFrame) -> list[str]:
-    """Names to check for existence; one short row per manifest column reaches the driver."""
-    rows = report.where(F.col("kind") == "primary").select("column").collect()
-    return sorted(r["column"] for r in rows)
+        F.when(F.col("_p") >= half, "primary").when(F.col("_x") >= half, "index").alias("kind"))
 
 
 def _profile_text(present):

@@ -65,13 +65,6 @@ def confidence_label(min_identity: float = domain.CONFIDENT_IDENTITY) -> Column:
     )
 
 
-def confidence_label_text(min_identity: float = domain.CONFIDENT_IDENTITY) -> Column:
-    label = confidence_label(min_identity)
-    return F.when(
-        label == "lower_identity", F.format_string("lower_identity(%.3f)", F.col("lr_worst_identity"))
-    ).otherwise(label)
-
-
 def label_counts(rows: DataFrame, min_identity: float = domain.CONFIDENT_IDENTITY) -> DataFrame:
     """Confidence labels per gene."""
     return rows.groupBy("gene", confidence_label(min_identity).alias("label")).agg(

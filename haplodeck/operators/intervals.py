@@ -38,10 +38,10 @@ def _islands(df: DataFrame, keys: list[str], gap: int, segment: int) -> DataFram
     must be unique per (keys, start). Each contig is cut into segments, so one contig holding a
     third of all intervals is still spread over many tasks."""
     cut = df.withColumn("_seg", F.floor(F.col("start") / segment))
-    cut = segmented_running(cut, keys, ["start"], "_seg", "end", "_reach", "max", inclusive=False)
+    cut = segmented_running(cut, keys, ["start"], "_seg", {"end": "_reach"}, "max", inclusive=False)
     fresh = F.col("_reach").isNull() | (F.col("start") > F.col("_reach") + gap)
     cut = cut.withColumn("_new", fresh.cast("long"))
-    return segmented_running(cut, keys, ["start"], "_seg", "_new", "island").drop(
+    return segmented_running(cut, keys, ["start"], "_seg", {"_new": "island"}).drop(
         "_seg", "_reach", "_new")
 
 
@@ -181,7 +181,7 @@ def weighted_percentiles(hist: DataFrame, targets: list[int] = (50, 95, 99),
     Sizes are cut into segments, so the cumulative sum never sits in one task."""
     by_size = hist.groupBy("size").agg(F.sum("pairs").alias("pairs")).withColumn(
         "_seg", F.floor(F.col("size") / segment))
-    cum = segmented_running(by_size, [], ["size"], "_seg", "pairs", "cum")
+    cum = segmented_running(by_size, [], ["size"], "_seg", {"pairs": "cum"})
     total = by_size.agg(F.sum("pairs").alias("_total"))
     joined = cum.join(F.broadcast(total), F.lit(True))
     return joined.agg(

@@ -5,8 +5,9 @@ from __future__ import annotations
 import math
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.feature import CountVectorizerModel, StandardScaler, StandardScalerModel
+from pyspark.ml.feature import StandardScaler, StandardScalerModel
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,7 +17,8 @@ from haplodeck.operators.prefix import global_rank
 from haplodeck.operators.rows import with_once
 from haplodeck.session import cut_lineage
 
-MAX_FEATURES = 1_000_000  # allele names are catalogue-sized; more than this is a broken input
+#: Bound on the trainer's steps; it stops earlier once converged, and the results say so.
+MAX_ITER = 2000
 
 
 class TooFewCases(ValueError):
@@ -34,18 +36,16 @@ def _keyed(calls: DataFrame, genes: list[str]) -> DataFrame:
     }).drop("a1", "a2")
 
 
-def feature_names(calls: DataFrame, people: DataFrame, genes: list[str] = domain.GENES) -> list[str]:
-    """Every gene*allele seen in any callable haplotype plus one dummy per ancestry group. The
-    names are distinct on the cluster first; only that short list comes to the driver."""
+def feature_names(calls: DataFrame, people: DataFrame, genes: list[str] = domain.GENES) -> DataFrame:
+    """feature, index: every gene*allele seen in any callable haplotype plus one dummy per ancestry
+    group, numbered in name order. The table stays on the cluster."""
     keyed = _keyed(calls, genes)
     alleles = keyed.select(F.explode(F.array("_k1", "_k2")).alias("_k"), "gene").where(
-        F.col("_k").isNotNull()).select(F.concat("gene", F.lit("*"), "_k").alias("f")).distinct()
+        F.col("_k").isNotNull()).select(F.concat("gene", F.lit("*"), "_k").alias("feature")).distinct()
     dummies = people.where(F.col("ancestry").isNotNull()).select(
-        F.concat(F.lit("ancestry_"), "ancestry").alias("f")).distinct()
-    rows = alleles.unionByName(dummies).take(MAX_FEATURES + 1)
-    if len(rows) > MAX_FEATURES:
-        raise ValueError(f"more than {MAX_FEATURES} feature names")
-    return sorted(r["f"] for r in rows)
+        F.concat(F.lit("ancestry_"), "ancestry").alias("feature")).distinct()
+    ranked = global_rank(alleles.unionByName(dummies), [F.col("feature")], "_r")
+    return cut_lineage(ranked.select("feature", (F.col("_r") - 1).cast("int").alias("index")))
 
 
 def feature_tokens(calls: DataFrame, people: DataFrame, genes: list[str] = domain.GENES) -> DataFrame:
@@ -65,10 +65,49 @@ def feature_tokens(calls: DataFrame, people: DataFrame, genes: list[str] = domai
         F.concat("_t", F.coalesce(dummy, F.array().cast("array<string>"))).alias("tokens"))
 
 
-def feature_matrix(tokens: DataFrame, names: list[str]) -> DataFrame:
-    """Sparse dosage vectors: a name that occurs twice in a person's tokens has value 2."""
-    model = CountVectorizerModel.from_vocabulary(names, inputCol="tokens", outputCol="features")
-    return model.transform(tokens).drop("tokens")
+def feature_dosages(tokens: DataFrame, names: DataFrame) -> DataFrame:
+    """person_id, index, dosage: how often each numbered name occurs in a person's tokens."""
+    return tokens.select("person_id", F.explode("tokens").alias("feature")).join(
+        names, "feature").groupBy("person_id", "index").agg(F.count("*").cast("double").alias("dosage"))
+
+
+@F.udf(VectorUDT())
+def _sparse(size, pairs):
+    return Vectors.sparse(size, [(p["index"], p["dosage"]) for p in pairs])
+
+
+def feature_matrix(tokens: DataFrame, names: DataFrame) -> DataFrame:
+    """Sparse dosage vectors: a name that occurs twice in a person's tokens has value 2. Names are
+    joined, so the driver only learns how many there are; a person has a few dozen."""
+    size = names.count()
+    pairs = feature_dosages(tokens, names).groupBy("person_id").agg(
+        F.sort_array(F.collect_list(F.struct("index", "dosage"))).alias("_pairs"))
+    none = F.array().cast("array<struct<index:int,dosage:double>>")
+    return tokens.drop("tokens").join(pairs, "person_id", "left").withColumn(
+        "features", _sparse(F.lit(size), F.coalesce("_pairs", none))).drop("_pairs")
+
+
+def feature_dosage_totals(tokens: DataFrame, names: DataFrame) -> DataFrame:
+    """feature, n_people, total, deviation (population deviation of the dosage over all people): what
+    the scaler divides by."""
+    n = tokens.agg(F.count("*").alias("_n"))
+    per = feature_dosages(tokens, names).groupBy("index").agg(
+        F.count("*").alias("n_people"), F.sum("dosage").alias("total"),
+        F.sum(F.col("dosage") * F.col("dosage")).alias("_squares"))
+    mean = F.coalesce(F.col("total"), F.lit(0.0)) / F.col("_n")
+    spread = F.coalesce(F.col("_squares"), F.lit(0.0)) / F.col("_n") - mean * mean
+    return names.join(per, "index", "left").join(F.broadcast(n)).select(  # one row
+        "feature", F.coalesce("n_people", F.lit(0)).alias("n_people"),
+        F.coalesce("total", F.lit(0.0)).cast("long").alias("total"),
+        F.round(F.sqrt(F.greatest(spread, F.lit(0.0))), 9).alias("deviation"))
+
+
+def model_population(folded: DataFrame) -> DataFrame:
+    """n_people, n_cases, n_folds and the smallest and largest fold by people."""
+    per = folded.groupBy("fold").agg(F.count("*").alias("n"), F.sum("label").alias("c"))
+    return per.agg(
+        F.sum("n").alias("n_people"), F.sum("c").cast("long").alias("n_cases"), F.count("*").alias("n_folds"),
+        F.min("n").alias("smallest_fold"), F.max("n").alias("largest_fold"))
 
 
 def stratified_folds(rows: DataFrame, n: int = 5, seed: int = 42, label: str = "label") -> DataFrame:
@@ -81,7 +120,7 @@ def stratified_folds(rows: DataFrame, n: int = 5, seed: int = 42, label: str = "
     return rows.join(dealt, "person_id")
 
 
-def fit_l1(train: DataFrame, c: float = 0.1, max_iter: int = 100
+def fit_l1(train: DataFrame, c: float = 0.1, max_iter: int = MAX_ITER
            ) -> tuple[StandardScalerModel, LogisticRegressionModel]:
     """Scaler and L1 logistic model, both fitted on `train` only. The scaler does not centre; it
     divides by the n-1 deviation, and the penalty carries the factor that makes this the same
@@ -102,8 +141,14 @@ def check_cases(rows: DataFrame, min_cases: int = domain.MIN_GROUP_CASES) -> Non
         raise TooFewCases(f"{counts['p']} cases, {counts['q']} controls")
 
 
-def out_of_fold_scores(folded: DataFrame, n: int = 5, c: float = 0.1, max_iter: int = 100) -> DataFrame:
-    """Every person scored by a model that never saw them: person_id, ancestry, label, fold, score.
+def converged(model: LogisticRegressionModel, max_iter: int) -> bool:
+    """Whether the trainer stopped by itself."""
+    return model.summary.totalIterations < max_iter
+
+
+def out_of_fold_scores(folded: DataFrame, n: int = 5, c: float = 0.1, max_iter: int = MAX_ITER) -> DataFrame:
+    """Every person scored by a model that never saw them: person_id, ancestry, label, fold, score,
+    and whether the fold's fit converged.
     The vectors are written to the checkpoint folder once, not rebuilt for each of the fits."""
     check_cases(folded)
     folded = cut_lineage(folded)
@@ -113,19 +158,22 @@ def out_of_fold_scores(folded: DataFrame, n: int = 5, c: float = 0.1, max_iter:
         held = model.transform(scaler.transform(folded.where(F.col("fold") == fold)))
         part = held.select(
             "person_id", "ancestry", F.col("label").cast("int").alias("label"), "fold",
-            F.get(vector_to_array("probability"), F.lit(1)).alias("score"))
+            F.get(vector_to_array("probability"), F.lit(1)).alias("score"),
+            F.lit(converged(model, max_iter)).alias("converged"))
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def coefficients(rows: DataFrame, names: list[str], c: float = 0.1, max_iter: int = 100) -> DataFrame:
-    """One fit on all rows, for reading only: feature, coefficient per scaled copy, odds ratio."""
+def coefficients(rows: DataFrame, names: DataFrame, c: float = 0.1, max_iter: int = MAX_ITER) -> DataFrame:
+    """One fit on all rows, for reading only: feature, coefficient per scaled copy, odds ratio,
+    converged. The trainer keeps its coefficients on the driver; names are joined to their numbers."""
     check_cases(rows)
     _, model = fit_l1(cut_lineage(rows), c, max_iter)
     table = rows.sparkSession.createDataFrame(
-        [(f, float(v)) for f, v in zip(names, model.coefficients.toArray())],
-        "feature string, coefficient double")
-    return table.withColumn("odds_ratio", F.exp("coefficient"))
+        [(i, float(v)) for i, v in enumerate(model.coefficients.toArray())], "index int, coefficient double")
+    return names.join(table, "index").select(
+        "feature", "coefficient", F.exp("coefficient").alias("odds_ratio"),
+        F.lit(converged(model, max_iter)).alias("converged"))
 
 
 def top_coefficients(table: DataFrame, k: int = 15) -> DataFrame:

@@ -22,6 +22,7 @@ from haplodeck.session import cut_lineage
 
 _ROW_BITS = 33  # monotonically_increasing_id keeps the partition number above this bit
 _ROW_MASK = (1 << _ROW_BITS) - 1
+_FEW_GROUPS = 10_000  # up to here the groups' starting levels are broadcast
 
 
 def _sequenced(df: DataFrame, order: list[Column]) -> DataFrame:
@@ -35,32 +36,35 @@ def _sequenced(df: DataFrame, order: list[Column]) -> DataFrame:
 
 
 def _block_offsets(blocks: DataFrame, values: list[str]) -> DataFrame:
-    """Exclusive prefix sums over blocks: one row per range partition, a few thousand at most."""
+    """Exclusive prefix sums over blocks, and the whole sums: one row per range partition, so at most
+    as many rows as there are shuffle partitions. That bound is why it is broadcast."""
     before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    return blocks.select(
+    whole = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return F.broadcast(blocks.select(
         "_block",
         *[F.coalesce(F.sum(v).over(before), F.lit(0)).alias(f"_before_{v}") for v in values],
-    )
+        *[F.sum(v).over(whole).alias(f"_whole_{v}") for v in values],
+    ))
 
 
-def global_rank(df: DataFrame, order: list[Column], name: str = "rank") -> DataFrame:
-    """Exact 1-based position of every row; `order` must end in a key that makes it total."""
+def global_rank(df: DataFrame, order: list[Column], name: str = "rank",
+                total: str | None = None) -> DataFrame:
+    """Exact 1-based position of every row; `order` must end in a key that makes it total. `total`
+    names a column for the number of rows. The ordered rows are not shuffled again."""
     seq = _sequenced(df, order)
-    sizes = seq.groupBy("_block").agg(F.count("*").alias("n"))
-    offsets = _block_offsets(sizes, ["n"])
-    return (
-        seq.join(offsets, "_block")
-        .withColumn(name, F.col("_before_n") + F.col("_seq").bitwiseAND(F.lit(_ROW_MASK)) + 1)
-        .drop("_block", "_seq", "_before_n")
-    )
+    offsets = _block_offsets(seq.groupBy("_block").agg(F.count("*").alias("n")), ["n"])
+    out = seq.join(offsets, "_block").withColumn(
+        name, F.col("_before_n") + F.col("_seq").bitwiseAND(F.lit(_ROW_MASK)) + 1)
+    if total:
+        out = out.withColumn(total, F.col("_whole_n"))
+    return out.drop("_block", "_seq", "_before_n", "_whole_n")
 
 
 def running_totals(df: DataFrame, order: list[Column], values: list[str],
                    suffix: str = "_cum") -> DataFrame:
     """Inclusive running sums of `values` over the whole table in `order`."""
     seq = _sequenced(df, order)
-    blocks = seq.groupBy("_block").agg(*[F.sum(v).alias(v) for v in values])
-    offsets = _block_offsets(blocks, values)
+    offsets = _block_offsets(seq.groupBy("_block").agg(*[F.sum(v).alias(v) for v in values]), values)
     inside = Window.partitionBy("_block").orderBy("_seq").rowsBetween(
         Window.unboundedPreceding, Window.currentRow
     )
@@ -69,7 +73,7 @@ def running_totals(df: DataFrame, order: list[Column], values: list[str],
     )
     return out.withColumns(
         {f"{v}{suffix}": F.col(f"{v}{suffix}") + F.col(f"_before_{v}") for v in values}
-    ).drop("_block", "_seq", *[f"_before_{v}" for v in values])
+    ).drop("_block", "_seq", *[f"_{k}_{v}" for v in values for k in ("before", "whole")])
 
 
 def grouped_running_totals(df: DataFrame, group: list[str], order: list[Column],
@@ -80,8 +84,9 @@ def grouped_running_totals(df: DataFrame, group: list[str], order: list[Column],
     base = total.groupBy(*group).agg(
         *[F.min(F.col(f"{v}{suffix}") - F.col(v)).alias(f"_base_{v}") for v in values]
     )
+    few = base.limit(_FEW_GROUPS + 1).count() <= _FEW_GROUPS  # over rows already written
     joined = total.alias("t").join(
-        base.alias("b"), reduce(
+        F.broadcast(base.alias("b")) if few else base.alias("b"), reduce(
             lambda a, b: a & b, [F.col(f"t.{g}").eqNullSafe(F.col(f"b.{g}")) for g in group]
         )
     )
@@ -126,10 +131,20 @@ def exact_quantiles(df: DataFrame, group: list[str], value: str, probs: dict[str
     return out.drop(*[f"_{k}_{n}" for n in probs for k in ("lo", "hi", "fr")])
 
 
+def _with_carry(local: DataFrame, carry: DataFrame, on: list[str]) -> DataFrame:
+    """Joins one summary row per (keys, segment); null keys and segments are a group of their own."""
+    same = reduce(lambda a, b: a & b, [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in on])
+    extra = [c for c in carry.columns if c not in on]
+    return local.alias("l").join(carry.alias("r"), same).select(
+        *[F.col(f"l.{c}") for c in local.columns], *[F.col(f"r.{c}") for c in extra])
+
+
 def segmented_lag(df: DataFrame, keys: list[str], order: list[str], segment: str,
                   columns: dict[str, str]) -> DataFrame:
     """Previous row's values per key. `segment` must not decrease along `order`; `columns` maps
-    source column -> output column. The summary window sees one row per (key, segment)."""
+    source column -> output column. The summary window sees one row per (key, segment). The input is
+    read twice, so it is written once first: chained steps read their source once."""
+    df = cut_lineage(df)
     by_segment = Window.partitionBy(*keys, segment).orderBy(*order)
     state = F.struct(*[F.col(o).alias(f"o{i}") for i, o in enumerate(order)],
                      *[F.col(c).alias(f"v{i}") for i, c in enumerate(columns)])
@@ -142,28 +157,34 @@ def segmented_lag(df: DataFrame, keys: list[str], order: list[str], segment: str
         "_first": F.row_number().over(by_segment) == 1,
         **{out: F.lag(src).over(by_segment) for src, out in columns.items()},
     })
-    joined = local.join(previous, [*keys, segment])
-    return joined.withColumns({
+    return _with_carry(local, previous, [*keys, segment]).withColumns({
         out: F.when(F.col("_first"), F.col(f"_carry.v{i}")).otherwise(F.col(out))
         for i, out in enumerate(columns.values())
     }).drop("_first", "_carry")
 
 
 def segmented_running(df: DataFrame, keys: list[str], order: list[str], segment: str,
-                      column: str, name: str, how: str = "sum", inclusive: bool = True) -> DataFrame:
-    """Running sum or running max per key in `order`, exclusive of the row itself on request."""
+                      columns: dict[str, str], how: str = "sum", inclusive: bool = True) -> DataFrame:
+    """Running sums or maxima per key in `order`, exclusive of the row itself on request; `columns`
+    maps source column -> output column, all in one pass. Reads its input as `segmented_lag` does."""
+    df = cut_lineage(df)
     fn = {"sum": F.sum, "max": F.max}[how]
     end = Window.currentRow if inclusive else -1
     inside = Window.partitionBy(*keys, segment).orderBy(*order).rowsBetween(
         Window.unboundedPreceding, end
     )
     before = Window.partitionBy(*keys).orderBy(segment).rowsBetween(Window.unboundedPreceding, -1)
-    totals = df.groupBy(*keys, segment).agg(fn(column).alias("_level")).select(
-        *keys, segment, fn("_level").over(before).alias("_carry")
-    )
-    joined = df.withColumn("_here", fn(column).over(inside)).join(totals, [*keys, segment])
-    if how == "sum":
-        value = F.coalesce(F.col("_here"), F.lit(0)) + F.coalesce(F.col("_carry"), F.lit(0))
-    else:
-        value = F.greatest(F.col("_here"), F.col("_carry"))  # greatest skips nulls
-    return joined.withColumn(name, value).drop("_here", "_carry")
+    outs = list(columns.values())
+    totals = df.groupBy(*keys, segment).agg(
+        *[fn(c).alias(f"_level{i}") for i, c in enumerate(columns)]).select(
+        *keys, segment, *[fn(f"_level{i}").over(before).alias(f"_carry{i}") for i in range(len(outs))])
+    local = df.withColumns({f"_here{i}": fn(c).over(inside) for i, c in enumerate(columns)})
+    joined = _with_carry(local, totals, [*keys, segment])
+
+    def value(i: int) -> Column:
+        if how == "sum":
+            return F.coalesce(F.col(f"_here{i}"), F.lit(0)) + F.coalesce(F.col(f"_carry{i}"), F.lit(0))
+        return F.greatest(F.col(f"_here{i}"), F.col(f"_carry{i}"))  # greatest skips nulls
+
+    return joined.withColumns({out: value(i) for i, out in enumerate(outs)}).drop(
+        *[f"_{k}{i}" for i in range(len(outs)) for k in ("here", "carry")])

@@ -84,7 +84,8 @@ def set_difference(a: DataFrame, b: DataFrame, key: str, a_name: str, b_name: st
 def seeded_sample(df: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """Exactly min(n, rows) rows, the same ones for the same seed on any partitioning. Each task
     keeps its own n smallest hashes before anything is merged."""
-    return df.orderBy(F.xxhash64(F.col(key), F.lit(seed)), F.col(key)).limit(n)
+    mixed = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string")).cast("binary"))
+    return df.orderBy(mixed, F.col(key)).limit(n)
 
 
 def phase_split(df: DataFrame, tier: str = "trim_tier", skip: list[str] = (),

@@ -25,9 +25,8 @@ def _day(df: DataFrame) -> DataFrame:
 
 def cumulative_beats(increments: DataFrame) -> DataFrame:
     """Beats with running counters out of one row per finished or failed person."""
-    df = _day(increments)
-    for col_, out in (("inc_done", "people_done"), ("inc_failed", "people_failed")):
-        df = segmented_running(df, RUN, ORDER, "_day", col_, out)
+    df = segmented_running(_day(increments), RUN, ORDER, "_day",
+                           {"inc_done": "people_done", "inc_failed": "people_failed"})
     return df.drop("_day", "inc_done", "inc_failed")
 
 
@@ -103,7 +102,7 @@ def with_sessions(beats: DataFrame, gap_minutes: float = domain.SESSION_GAP_MINU
     fresh = F.col("_prev_sec").isNull() | (
         (F.col("sec") - F.col("_prev_sec")) / 60.0 > F.lit(float(gap_minutes)))
     df = df.withColumn("_new", fresh.cast("long"))
-    return segmented_running(df, RUN, ORDER, "_day", "_new", "session").drop(
+    return segmented_running(df, RUN, ORDER, "_day", {"_new": "session"}).drop(
         "_day", "_prev_sec", "_new")
 
 

@@ -39,6 +39,12 @@ def persons(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def ancestry_with_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """person_id, ancestry of everybody; every ninth person has no label."""
+    label = F.when(F.col("person_id") % 9 != 0, F.col("ancestry")).alias("ancestry")
+    return persons(spark, sf_dir).select("person_id", label)
+
+
 def _with_genes(df: DataFrame) -> DataFrame:
     genes = F.array(*[
         F.struct(F.lit(i).alias("g"), F.lit(g).alias("gene")) for i, g in enumerate(domain.GENES)

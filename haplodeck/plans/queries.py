@@ -216,14 +216,12 @@ def fully_resolved(spark, d):
 
 @query
 def group_composition(spark, d):
-    labels = F.when(F.col("person_id") % 9 != 0, F.col("ancestry")).alias("ancestry")
-    return cs.group_composition(fx.persons(spark, d).select("person_id", labels))
+    return cs.group_composition(fx.ancestry_with_gaps(spark, d))
 
 
 @query
 def matched_people(spark, d):
-    labels = fx.persons(spark, d).where("person_id % 9 != 0")
-    return cs.matched_people(fx.callset(spark, d), labels)
+    return cs.matched_people(fx.callset(spark, d), fx.ancestry_with_gaps(spark, d).dropna())
 
 
 @query
@@ -417,12 +415,12 @@ def eligible_people(spark, d):
 
 @query
 def cohort_pick(spark, d):
-    return co.pick_per_group(_eligible(spark, d), 10, REGIONS[:4])
+    return co.pick_per_group(_eligible(spark, d), 10, REGIONS)
 
 
 @query
 def cohort_availability(spark, d):
-    return co.availability(_eligible(spark, d), 1500, [*REGIONS[:3], "NOWHERE"])
+    return co.availability(_eligible(spark, d), 1500, [*REGIONS, "NOWHERE"])
 
 
 @query
@@ -539,7 +537,7 @@ def multi_row_people(spark, d):
 @query
 def none_found_by_platform(spark, d):
     manifest = fx.manifest(spark, d)
-    union = cen.union_profiles(manifest, _existing(spark, d).where("source in ('hap1_fa')"))
+    union = cen.union_profiles(manifest, _existing(spark, d))
     return cen.none_found_by(union, cen.first_label(manifest))
 
 
@@ -557,7 +555,7 @@ def best_tier(spark, d):
 @query
 def tier_group_distribution(spark, d):
     people = _tiers(spark, d).join(
-        fx.persons(spark, d).where("person_id % 9 != 0").select("person_id", "ancestry"),
+        fx.ancestry_with_gaps(spark, d),
         "person_id", "left")
     return co.tier_group_distribution(people, "self_align_needed")
 
@@ -808,23 +806,37 @@ def stratified_folds(spark, d):
     return md.stratified_folds(rows).groupBy("fold", "label").agg(F.count("*").alias("n"))
 
 
-def _matrix(spark, d):
+def _tokens(spark, d):
     calls = fx.callset(spark, d)
     people = fx.persons(spark, d).select("person_id", "ancestry", "case")
-    names = md.feature_names(calls, people)
-    return md.feature_matrix(md.feature_tokens(calls, people), names), names
+    return md.feature_tokens(calls, people), md.feature_names(calls, people)
+
+
+def _matrix(spark, d):
+    tokens, names = _tokens(spark, d)
+    return md.feature_matrix(tokens, names), names
+
+
+@query
+def feature_dosage_totals(spark, d):
+    return md.feature_dosage_totals(*_tokens(spark, d))
+
+
+@query
+def model_population(spark, d):
+    return md.model_population(md.stratified_folds(_tokens(spark, d)[0]))
 
 
 @query
 def l1_oof_scores(spark, d):
     matrix, _ = _matrix(spark, d)
-    return md.out_of_fold_scores(md.stratified_folds(matrix), max_iter=25)
+    return md.out_of_fold_scores(md.stratified_folds(matrix))
 
 
 @query
 def l1_coefficients(spark, d):
     matrix, names = _matrix(spark, d)
-    return md.coefficients(matrix, names, max_iter=25)
+    return md.coefficients(matrix, names)
 
 
 # telemetry
@@ -835,7 +847,7 @@ def _beats(spark, d):
 
 def _metrics(spark, d):
     beats = te.with_sessions(_beats(spark, d))
-    totals = fx.beats(spark, d).groupBy("run_id").agg((F.count("*") + 50).alias("people_total"))
+    totals = beats.groupBy("run_id").agg((F.count("*") + 50).alias("people_total"))
     rows = te.session_starts(te.with_total(beats, totals))
     firsts = rows.groupBy("run_id").agg(F.min("sec").alias("run_first_sec"))
     return te.progress_metrics(rows.join(firsts, "run_id"), "run_first_sec", VM_USD + DISK_USD)

@@ -87,7 +87,7 @@ def callset_report(calls: DataFrame, catalogue: DataFrame, history: DataFrame |
 
 
 def association_report(calls: DataFrame, people: DataFrame, disease: str, uncallable: str = "exclude",
-                       folds: int = 5, max_iter: int = 100) -> dict[str, DataFrame]:
+                       folds: int = 5, max_iter: int = md.MAX_ITER) -> dict[str, DataFrame]:
     """Marker control check and the untargeted model. people: person_id, ancestry, case. With too
     few cases only the control check is returned."""
     carriers = assoc.marker_carriers(calls, domain.RISK_MARKERS[disease], uncallable)

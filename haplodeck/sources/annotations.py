@@ -1,39 +1,50 @@
 """Annotation files (GTF): attributes per gene, calls per haplotype, completion by content.
 
-Each gzipped file is one person and haplotype and is read by one task, so the row id follows line
-order inside the file.
+A file is one person and haplotype. line_no orders its lines: by the place of the split, then by the
+row inside it, so files that are read in several splits keep their order too.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from haplodeck.functions import alleles as al
 from haplodeck.functions.text import col
 from haplodeck.sources.callers import path_part
 
-ATTRIBUTE = r'(\w+)\s+(?:"([^"]*)"|([^";]+))'  # key "quoted" or key bare
+#: One attribute: everything up to a semicolon that is not inside quotes.
+FIELD = r'[^;"]*(?:"[^"]*"[^;"]*)*'
 PERSON = r"/([^/]+)/[^/]+/[^/]+$"
 HAP = r"/(hap[12])[^/]*$"
 
 
 def attributes(c: Column | str) -> Column:
-    """array of (key, value); the quoted text if there is one, else the bare text."""
-    def group(i: int) -> Column:
-        return F.regexp_extract_all(col(c), F.lit(ATTRIBUTE), F.lit(i))
+    """array of (key, value, quoted): each attribute is cut at its first blank; a quoted value is what
+    stands between its quotes."""
+    fields = F.filter(F.transform(F.regexp_extract_all(col(c), F.lit(FIELD), F.lit(0)), lambda f: F.trim(f)),
+                      lambda f: F.contains(f, F.lit(" ")))
 
-    return F.transform(
-        F.arrays_zip(group(1).alias("k"), group(2).alias("q"), group(3).alias("b")),
-        lambda e: F.struct(
-            e["k"].alias("key"),
-            F.when(e["q"] != "", e["q"]).otherwise(F.trim(e["b"])).alias("value")))
+    def one(f: Column) -> Column:
+        rest = F.trim(F.substring(f, F.locate(" ", f), F.length(f)))
+        quoted = F.startswith(rest, F.lit('"'))
+        return F.struct(
+            F.split_part(f, F.lit(" "), F.lit(1)).alias("key"),
+            F.when(quoted, F.split_part(rest, F.lit('"'), F.lit(2))).otherwise(rest).alias("value"),
+            quoted.alias("quoted"))
+
+    return F.transform(fields, one)
 
 
 def _last(attrs: str, key: str) -> Column:
     return F.try_element_at(F.filter(F.col(attrs), lambda a: a["key"] == key), F.lit(-1))["value"]
 
 
+def _quoted(attrs: Column, key: str) -> Column:
+    """First value in quotes that is not empty."""
+    return F.get(F.filter(attrs, lambda a: (a["key"] == key) & a["quoted"] & (a["value"] != "")), F.lit(0))["value"]
+
+
 def parse_lines(lines: DataFrame) -> DataFrame:
     """Lines (person_id, hap, line_no, value) -> with their attribute list; comments and rows of
     fewer than nine columns left out."""
@@ -47,38 +58,35 @@ def parse_lines(lines: DataFrame) -> DataFrame:
 def read_lines(spark: SparkSession, glob: str, person: str = PERSON, hap: str = HAP) -> DataFrame:
     return spark.read.text(glob).select(
         path_part(person).alias("person_id"), path_part(hap).alias("hap"),
-        F.monotonically_increasing_id().alias("line_no"), "value")
+        F.struct(F.col("_metadata.file_block_start").alias("at"),
+                 F.monotonically_increasing_id().alias("row")).alias("line_no"), "value")
 
 
 def gene_attributes(parsed: DataFrame, names: list[str]) -> DataFrame:
-    """Per person, haplotype and gene the first value of each wanted attribute over all rows. Rows
-    that carry only a gene_id take the name that id was given at or before them."""
-    rows = parsed.withColumns({"_gid": _last("attrs", "gene_id"), "_name": _last("attrs", "gene_name")})
+    """Per person, haplotype and gene the first value of each wanted attribute over all rows; of a key
+    that comes twice on a line the last counts. Rows that carry only a gene_id take the latest name
+    that id was given at or before them."""
     where = ["person_id", "hap"]
-    named = rows.where(F.col("_gid").isNotNull() & F.col("_name").isNotNull()).groupBy(
-        *where, "_gid").agg(F.min_by("_name", "line_no").alias("_map"),
-                            F.min("line_no").alias("_from"))
-    known = rows.join(named, [*where, "_gid"], "left")
-    gene = F.coalesce("_name", F.when(F.col("line_no") >= F.col("_from"), F.col("_map")))
-    long = known.withColumn("gene_name", gene).where(F.col("gene_name").isNotNull()).select(
-        *where, "gene_name", "line_no", F.explode("attrs").alias("_a"))
-    wanted = long.where(F.col("_a.key").isin(names))
-    first = {n: F.min_by(F.when(F.col("_a.key") == n, F.col("_a.value")),
-                         F.when(F.col("_a.key") == n, F.col("line_no"))) for n in names}
-    return wanted.groupBy(*where, al.bare_gene("gene_name").alias("gene")).agg(
-        *[e.alias(n) for n, e in first.items()])
+    rows = parsed.select(*where, "line_no", _last("attrs", "gene_id").alias("_gid"),
+                         _last("attrs", "gene_name").alias("_name"),
+                         *[_last("attrs", n).alias(f"_v{i}") for i, n in enumerate(names)])
+    # the rows of one gene id of one haplotype: a gene's lines, never more
+    so_far = Window.partitionBy(*where, "_gid").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    known = F.when(F.col("_gid").isNotNull(), F.last("_name", ignorenulls=True).over(so_far))
+    named = rows.withColumn("gene_name", F.coalesce("_name", known)).where(F.col("gene_name").isNotNull())
+    held = [F.col(f"_v{i}") for i in range(len(names))]
+    return named.where(F.coalesce(*held).isNotNull()).groupBy(
+        *where, al.bare_gene("gene_name").alias("gene")).agg(*[
+            F.min_by(v, F.when(v.isNotNull(), F.col("line_no"))).alias(n) for v, n in zip(held, names, strict=True)])
 
 
 def gene_calls(parsed: DataFrame) -> DataFrame:
     """Per person, haplotype and gene the call of the last row that has one: the quoted consensus,
     else the quoted allele."""
-    def quoted(key: str) -> Column:
-        v = F.regexp_extract("text", key + r' "([^"]+)"', 1)
-        return F.when(v != "", v)
-
+    attrs = F.col("attrs")
     rows = parsed.select(
-        "person_id", "hap", "line_no", F.coalesce(quoted("gene_name"), quoted("gene_id")).alias("gene"),
-        F.coalesce(quoted("consensus"), quoted("allele")).alias("call"),
+        "person_id", "hap", "line_no", F.coalesce(_quoted(attrs, "gene_name"), _quoted(attrs, "gene_id")).alias("gene"),
+        F.coalesce(_quoted(attrs, "consensus"), _quoted(attrs, "allele")).alias("call"),
     ).where(F.col("gene").isNotNull() & F.col("call").isNotNull())
     return rows.groupBy("person_id", "hap", "gene").agg(F.max_by("call", "line_no").alias("call"))
 
@@ -92,7 +100,9 @@ def assembly_table(calls: DataFrame) -> DataFrame:
 
 def completed_people(lines: DataFrame) -> DataFrame:
     """People whose two haplotype files both hold at least one real call line."""
-    real = ~F.startswith("value", F.lit("#")) & F.col("value").rlike(r'(consensus|allele) "[^"]+"')
+    attrs = attributes(F.get(F.split("value", "\t"), F.lit(8)))
+    called = F.coalesce(_quoted(attrs, "consensus"), _quoted(attrs, "allele")).isNotNull()
+    real = ~F.startswith("value", F.lit("#")) & called
     per_file = lines.groupBy("person_id", "hap").agg(F.count_if(real).alias("n"))
     return per_file.groupBy("person_id").agg(
         F.count_if((F.col("hap") == "hap1") & (F.col("n") > 0)).alias("_1"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 
 from haplodeck.operators.rows import upsert
@@ -31,13 +33,10 @@ def upsert_table(new: DataFrame, current: str, target: str, keys: list[str]) ->
     upsert(old, new, keys).write.mode("errorifexists").parquet(target)
 
 
-def markdown_table(df: DataFrame, max_rows: int = 200) -> str:
-    """A report-sized result as a table; more rows than that is an error, not a cut."""
-    rows = df.take(max_rows + 1)
-    if len(rows) > max_rows:
-        raise ValueError(f"more than {max_rows} rows: write a table instead")
-    lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
-    for row in rows:
+def markdown_table(df: DataFrame) -> Iterator[str]:
+    """Lines of a report table, all rows, one partition at a time on the driver."""
+    yield "| " + " | ".join(df.columns) + " |"
+    yield "|" + "---|" * len(df.columns)
+    for row in df.toLocalIterator():
         cells = ["" if v is None else f"{v:.2f}" if isinstance(v, float) else str(v) for v in row]
-        lines.append("| " + " | ".join(cells) + " |")
-    return "\n".join(lines)
+        yield "| " + " | ".join(cells) + " |"

@@ -9,6 +9,7 @@ from haplodeck import domain
 from haplodeck.functions import alleles as al
 from haplodeck.functions.text import reader_missing
 from haplodeck.operators.callset import genotypes_long
+from haplodeck.operators.prefix import global_rank
 
 ID_NAMES = ("research_id", "person_id", "s")
 
@@ -41,12 +42,13 @@ def sniff_separator(spark: SparkSession, path: str) -> str:
 
 
 def read_genotypes(spark: SparkSession, path: str, id_col: str = "research_id",
-                   genes: list[str] = domain.GENES, keep_na: bool = True) -> DataFrame:
+                   genes: list[str] = domain.GENES, keep_na: bool = True,
+                   allow_missing: bool = False) -> DataFrame:
     """Wide genotype table as long rows: person_id, gene, a1, a2. Only the gene columns asked for
-    are read."""
+    are read; absent ones are an error unless allowed."""
     wide = read_text_table(spark, path, keep_na=keep_na)
     require_columns(wide, [id_col], "genotypes")
-    return genotypes_long(wide, genes, id_col)
+    return genotypes_long(wide, genes, id_col, allow_missing=allow_missing)
 
 
 def read_ancestry(spark: SparkSession, path: str, id_col: str | None = None) -> DataFrame:
@@ -64,10 +66,14 @@ def read_ancestry(spark: SparkSession, path: str, id_col: str | None = None) ->
 
 def read_manifest(spark: SparkSession, path: str, columns: list[str], sep: str = "\t",
                   id_col: str = "research_id") -> DataFrame:
-    """Checked columns of a manifest with person_id and a row_id that follows file order."""
+    """Checked columns of a manifest with person_id and row_id: the row's position by file name, place of the
+    split, and row inside it."""
     df = require_columns(read_text_table(spark, path, sep), [id_col, *columns], path)
-    return df.select(F.monotonically_increasing_id().alias("row_id"),
-                     F.col(id_col).alias("person_id"), *columns)
+    placed = df.select(F.col(id_col).alias("person_id"), *columns, F.col("_metadata.file_path").alias("_file"),
+                       F.col("_metadata.file_block_start").alias("_at"),
+                       F.monotonically_increasing_id().alias("_row"))
+    ranked = global_rank(placed, [F.col("_file"), F.col("_at"), F.col("_row")], "_r")
+    return ranked.select((F.col("_r") - 1).alias("row_id"), "person_id", *columns)
 
 
 def read_catalogue(spark: SparkSession, path: str, genes: list[str] = domain.GENES) -> DataFrame:

@@ -64,9 +64,9 @@ def test_segmented_steps_match_one_window(spark):
     data = [(rng.choice("aab"), rng.randrange(5000), i) for i in range(600)]
     df = spark.createDataFrame(data, "k string, t long, id long").withColumn("seg", F.floor(F.col("t") / 300))
     lag = {r.id: r.p for r in prefix.segmented_lag(df, ["k"], ["t", "id"], "seg", {"id": "p"}).collect()}
-    run = {r.id: r.s for r in prefix.segmented_running(df, ["k"], ["t", "id"], "seg", "t", "s").collect()}
+    run = {r.id: r.s for r in prefix.segmented_running(df, ["k"], ["t", "id"], "seg", {"t": "s"}).collect()}
     top = {r.id: r.m for r in prefix.segmented_running(
-        df, ["k"], ["t", "id"], "seg", "id", "m", "max", inclusive=False).collect()}
+        df, ["k"], ["t", "id"], "seg", {"id": "m"}, "max", inclusive=False).collect()}
     for k in "ab":
         mine = sorted((t, i) for kk, t, i in data if kk == k)
         total, seen, prev = 0, [], None
@@ -77,6 +77,27 @@ def test_segmented_steps_match_one_window(spark):
             prev = i
 
 
+def test_segmented_steps_keep_rows_without_key(spark):
+    df = spark.createDataFrame([(None, 1, 1, 0), (None, 5, 2, 0), (None, 9, 3, 1), ("a", 2, 4, None)],
+                               "k string, t long, id long, seg long")
+    run = {r.id: r.s for r in prefix.segmented_running(df, ["k"], ["t", "id"], "seg", {"t": "s"}).collect()}
+    lag = {r.id: r.p for r in prefix.segmented_lag(df, ["k"], ["t", "id"], "seg", {"id": "p"}).collect()}
+    assert run == {1: 1, 2: 6, 3: 15, 4: 2} and lag == {1: None, 2: 1, 3: 2, 4: None}
+
+
+def test_ordered_queries_read_their_source_twice_at_most(spark, data):
+    from haplodeck.plans.queries import QUERIES
+
+    def plan(name):
+        return QUERIES[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+
+    for name in ("cost_projection", "telemetry_metrics", "run_sessions", "session_history", "merged_blocks",
+                 "clustered_spans"):
+        assert plan(name).count("Relation") <= 2, name
+    for name in ("risk_deciles", "threshold_metrics"):
+        assert "Join Cross" not in plan(name) and "Join Inner\n" not in plan(name)
+
+
 def test_merge_and_overlap_against_brute_force(spark):
     rng = random.Random(3)
     blocks = [("c1" if i % 3 else "c2", s, s + rng.randrange(1, 4000)) for i in range(300)
@@ -150,7 +171,8 @@ def test_model_recovers_a_planted_allele(spark):
     who = spark.createDataFrame(people, "person_id long, ancestry string, case int")
     names = md.feature_names(c, who, genes)
     matrix = md.feature_matrix(md.feature_tokens(c, who, genes), names)
-    scores = md.out_of_fold_scores(md.stratified_folds(matrix, 3), 3, max_iter=30).cache()
+    scores = md.out_of_fold_scores(md.stratified_folds(matrix, 3), 3).cache()
+    assert scores.where("converged").count() == 1500
     assert scores.count() == 1500 and scores.select("person_id").distinct().count() == 1500
     auc = {r.ancestry: r.auroc for r in assoc.ranking_metrics(scores).collect()}
     assert auc["ALL"] > 0.7
@@ -166,7 +188,8 @@ def test_homozygous_dosage_is_two(spark):
     who = spark.createDataFrame([(1, "x", 1)], "person_id long, ancestry string, case int")
     names = md.feature_names(c, who, ["A"])
     v = md.feature_matrix(md.feature_tokens(c, who, ["A"]), names).first().features
-    assert names == ["A*01:01", "ancestry_x"] and list(v.toArray()) == [2.0, 1.0]
+    assert [r.feature for r in names.orderBy("index").collect()] == ["A*01:01", "ancestry_x"]
+    assert list(v.toArray()) == [2.0, 1.0]
 
 
 def test_latest_upsert_and_compaction(spark):
@@ -224,10 +247,13 @@ def test_migration_and_histogram_edges(spark):
 def test_wide_long_round_trip(spark):
     wide = spark.createDataFrame([("1", "01:01", "02:01", "x", None)],
                                  "research_id string, A_1 string, A_2 string, B_1 string, B_2 string")
-    long = cs.genotypes_long(wide)
+    long = cs.genotypes_long(wide, ["A", "B"])
     assert {tuple(r) for r in long.collect()} == {("1", "A", "01:01", "02:01"), ("1", "B", "x", None)}
+    with pytest.raises(ValueError, match="C_1, C_2"):
+        cs.genotypes_long(wide, ["A", "B", "C"])
+    assert cs.genotypes_long(wide, ["A", "B", "C"], allow_missing=True).count() == 2
     with pytest.raises(ValueError):
-        cs.genotypes_long(wide.select("research_id"))
+        cs.genotypes_long(wide.select("research_id"), allow_missing=True)
 
 
 def test_attempts(spark):

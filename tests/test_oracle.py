@@ -11,7 +11,7 @@ from haplodeck.plans.queries import QUERIES
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
-NO_SQL = {"seeded_sample", "l1_oof_scores", "l1_coefficients"}
+NO_SQL = {"l1_oof_scores", "l1_coefficients"}
 QUICK = [
     "field2_concordance_gene_ancestry", "cascade_pooled", "threeway_concordance", "resolution_tiers",
     "genotype_status_rollup", "concordance_detail", "caller_haplotypes", "call_matrix", "hwe_proxy",
