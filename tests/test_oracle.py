@@ -6,8 +6,12 @@ import os
 import duckdb
 import pytest
 
-from checks.oracle import ORACLE
-from haplodeck.plans.queries import QUERIES
+from checks.oracle import ORACLE as MAIN_ORACLE
+from checks.reader_oracle import ORACLE as READER_ORACLE
+from haplodeck.plans.queries import QUERIES as MAIN_QUERIES
+from haplodeck.plans.readers import QUERIES as READER_QUERIES
+
+QUERIES, ORACLE = {**MAIN_QUERIES, **READER_QUERIES}, {**MAIN_ORACLE, **READER_ORACLE}
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
@@ -22,7 +26,7 @@ QUICK = [
     "auroc_by_group", "average_precision", "risk_deciles", "threshold_metrics_by_group",
     "telemetry_metrics", "run_sessions", "alert_transitions", "alert_stream",
 ]
-NAMES = sorted(ORACLE) if os.environ.get("ALL_QUERIES") else QUICK
+NAMES = QUICK if os.environ.get("QUICK_QUERIES") else sorted(ORACLE)
 
 
 @pytest.fixture(scope="module")
