@@ -130,15 +130,20 @@ def cost_projection(beats: DataFrame, hourly_usd: float, budget_usd: float) -> D
         "over_budget", F.coalesce(F.col("projected_total") > budget_usd, F.lit(False)))
 
 
-def alert_transitions(beats: DataFrame, stale_minutes: float, as_of_sec: int | None = None
-                      ) -> DataFrame:
+def alert_transitions(beats: DataFrame, stale_minutes: float, as_of_sec: int | None = None,
+                      only: str | None = None, known_stale: str | None = None) -> DataFrame:
     """Edge-triggered alerts, one row each: finished / stopped (first terminal beat), stale (silence
     after a beat of a live run) and resumed, anomaly and cleared. `alert_sec` is when the alert
     holds: for stale the moment the silence passed the limit. With `as_of_sec`, runs that are
-    silent at that second get their stale row too."""
+    silent at that second get their stale row too. `only` names a flag of the beats that may raise
+    alerts, `known_stale` one of beats after which the silence has been told already."""
     terminal = F.col("run_state").isin("complete", "failed")
     df = segmented_lag(_day(beats), RUN, ORDER, "_day",
-                       {"sec": "_ps", "run_state": "_pr", "anomaly": "_pa"})
+                       {"sec": "_ps", "run_state": "_pr", "anomaly": "_pa",
+                        **({known_stale: "_told"} if known_stale else {})})
+    if only:
+        df = df.where(only)
+    told = F.coalesce("_told", F.lit(False)) if known_stale else F.lit(False)
     was_terminal = F.coalesce(F.col("_pr").isin("complete", "failed"), F.lit(False))
     limit = int(stale_minutes * 60)
     silent = F.coalesce((F.col("sec") - F.col("_ps")) > limit, F.lit(False)) & ~was_terminal
@@ -149,7 +154,7 @@ def alert_transitions(beats: DataFrame, stale_minutes: float, as_of_sec: int | N
 
     now = F.col("sec")
     events = F.array(
-        event(silent, "stale", F.col("_ps") + limit),
+        event(silent & ~told, "stale", F.col("_ps") + limit),
         event(silent, "resumed", now),
         event(terminal & ~was_terminal & (F.col("run_state") == "complete"), "finished", now),
         event(terminal & ~was_terminal & (F.col("run_state") == "failed"), "stopped", now),

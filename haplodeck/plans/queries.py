@@ -927,16 +927,13 @@ def stream_folder(spark) -> str:
 
 @query
 def alert_stream(spark, d):
-    """The streaming job itself: derived beats as files, alerts through the state machine into a
-    file sink, read back."""
+    """The streaming job itself: derived beats as files, alerts batch by batch into files, read back."""
     folder = stream_folder(spark)
     beats = _beats(spark, d).select(
         "run_id", "event_id", F.timestamp_seconds("sec").alias("ts"), "run_state",
         F.lit(None).cast("string").alias("phase"), F.lit(0).cast("long").alias("people_total"),
         "people_done", "people_failed", "disk_used_pct", "mem_avail_pct")
     beats.write.parquet(f"{folder}/in")
-    alerts = hb.alert_stream(hb.read_beats(spark, f"{folder}/in", fmt="parquet"), STALE_MINUTES)
-    (alerts.writeStream.format("parquet").option("path", f"{folder}/out")
-     .option("checkpointLocation", f"{folder}/state").outputMode("append")
-     .trigger(availableNow=True).start().awaitTermination())
-    return spark.read.schema(hb.ALERT_SCHEMA).parquet(f"{folder}/out")
+    hb.run_alerts(hb.read_beats(spark, f"{folder}/in", fmt="parquet"), f"{folder}/out",
+                  STALE_MINUTES).awaitTermination()
+    return hb.read_alerts(spark, f"{folder}/out")

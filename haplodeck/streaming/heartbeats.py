@@ -1,19 +1,19 @@
-"""Heartbeat stream: ingest, windowed roll-up, session cost and the alert state machine.
+"""Heartbeat stream: ingest, windowed roll-up, session cost and alerts.
 
-Event time is `ts`. Beats later than the watermark are dropped; inside a run, beats are taken in
-(second, event_id) order and one that is not newer than the last one handled is ignored.
+Event time is `ts`. Roll-up and sessions drop beats later than the watermark. For alerts, beats of a run
+are taken in (second, event_id) order and one that is not newer than the last one handled is ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StreamingQuery
 
 from haplodeck import domain
+from haplodeck.operators import telemetry as te
+from haplodeck.operators.rows import first_per_key
+from haplodeck.session import cut_lineage
 
 BEAT_SCHEMA = (
     "run_id long, event_id long, ts timestamp, run_state string, phase string, "
@@ -22,7 +22,8 @@ BEAT_SCHEMA = (
 )
 ALERT_SCHEMA = "run_id long, alert string, alert_sec long"
 STATE_SCHEMA = (
-    "sec long, event_id long, done long, failed long, terminal boolean, bad boolean, stale boolean"
+    "run_id long, event_id long, sec long, run_state string, people_done long, people_failed long, "
+    "disk_used_pct double, mem_avail_pct double, anomaly boolean, stale boolean"
 )
 
 
@@ -70,74 +71,56 @@ def session_costs(beats: DataFrame, hourly_usd: float,
                       (hours * hourly_usd).alias("cost"))
 
 
-def _failure_pct(done: int, failed: int, before: tuple | None) -> float:
-    """Rolling failure rate of one beat given the previous counters."""
-    p_done, p_failed = before or (0, 0)
-    d_done, d_failed = max(done - p_done, 0), max(failed - p_failed, 0)
-    if d_done > 0:
-        return 100.0 * d_failed / d_done
-    return 100.0 * failed / done if done > 0 else 0.0
-
-
-def _alert_machine(limit: int, failure_bar: float = domain.FAILURE_RATE_ANOMALY_PCT,
-                   disk_bar: float = domain.DISK_DANGER_PCT,
-                   mem_bar: float = domain.MEM_AVAIL_DANGER_PCT):
-    """Per-run state machine; the same transitions as the batch operator."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-             ) -> Iterator[pd.DataFrame]:
-        run = int(key[0])
-        out: list[tuple[str, int]] = []
-        prev = state.getOption if state.exists else None
-
-        if state.hasTimedOut:
-            sec, event_id, done, failed, terminal, bad, stale = prev
-            if not terminal and not stale:
-                out.append(("stale", sec + limit))
-            state.update((sec, event_id, done, failed, terminal, bad, True))
-        else:
-            rows = pd.concat(list(batches)).sort_values(["sec", "event_id"])
-            for r in rows.itertuples(index=False):
-                sec, event_id = int(r.sec), int(r.event_id)
-                if prev and (sec, event_id) <= (prev[0], prev[1]):
-                    continue
-                terminal = r.run_state in ("complete", "failed")
-                was_terminal, was_bad = (prev[4], prev[5]) if prev else (False, False)
-                rate = _failure_pct(int(r.people_done), int(r.people_failed),
-                                    (prev[2], prev[3]) if prev else None)
-                bad = bool(rate > failure_bar or r.disk_used_pct > disk_bar
-                           or r.mem_avail_pct < mem_bar)
-                if prev and not was_terminal and sec - prev[0] > limit:
-                    if not prev[6]:
-                        out.append(("stale", prev[0] + limit))
-                    out.append(("resumed", sec))
-                if terminal and not was_terminal:
-                    out.append(("finished" if r.run_state == "complete" else "stopped", sec))
-                if bad and not was_bad:
-                    out.append(("anomaly", sec))
-                elif was_bad and not bad:
-                    out.append(("cleared", sec))
-                prev = (sec, event_id, int(r.people_done), int(r.people_failed), terminal, bad, False)
-            if prev is not None:
-                state.update(prev)
-                if not prev[4] and not prev[6]:
-                    due = (prev[0] + limit) * 1000 + 1
-                    state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({"run_id": [run] * len(out), "alert": [a for a, _ in out],
-                            "alert_sec": [s for _, s in out]}).astype(
-                                {"run_id": "int64", "alert": "object", "alert_sec": "int64"})
-
-    return step
-
-
-def alert_stream(beats: DataFrame, stale_minutes: float, late: str = "10 minutes") -> DataFrame:
-    """Alert rows as runs change state: anomaly / cleared, stale / resumed, finished / stopped.
-    Staleness fires from an event-time timer, so it needs other beats to move the watermark."""
-    return (
-        beats.withWatermark("ts", late)
-        .withColumn("sec", F.unix_seconds("ts"))
-        .groupBy("run_id")
-        .applyInPandasWithState(
-            _alert_machine(int(stale_minutes * 60)), ALERT_SCHEMA, STATE_SCHEMA, "append",
-            GroupStateTimeout.EventTimeTimeout)
-    )
+def _last_state(spark: SparkSession, folder: str, batch: int) -> DataFrame:
+    """Last row per run as of the batches before this one; empty at the start."""
+    if batch == 0:
+        return spark.createDataFrame([], STATE_SCHEMA)
+    return spark.read.schema(STATE_SCHEMA).parquet(f"{folder}/state/batch={batch - 1}")
+
+
+def _handle(new: DataFrame, batch: int, folder: str, limit: int, late_seconds: int) -> None:
+    """One micro-batch: each run's last row goes in front of its new beats, and the batch operators do
+    the rest. Both results are written under the batch's number, so a repeated batch replaces them."""
+    spark = new.sparkSession
+    held = _last_state(spark, folder, batch)
+    columns = ["run_id", "event_id", "sec", "run_state", "people_done", "people_failed", "disk_used_pct",
+               "mem_avail_pct"]
+    fresh = new.withColumn("sec", F.unix_seconds("ts")).select(*columns).alias("n").join(
+        held.select("run_id", F.struct("sec", "event_id").alias("_seen")), "run_id", "left").where(
+        F.col("_seen").isNull() | (F.struct("sec", "event_id") > F.col("_seen"))).select(
+        *columns, F.lit(False).alias("stale"), F.lit(True).alias("_new"))
+    rows = cut_lineage(held.select(*columns, "stale", F.lit(False).alias("_new")).unionByName(fresh))
+    flagged = te.with_anomaly(te.failure_deltas(rows))
+    newest = rows.agg(F.max("sec")).first()[0]
+    # the first row of a run that comes from the state has lost its own predecessor; it is not judged anew
+    before = held.select("run_id", F.col("anomaly").alias("_held_bad"))
+    judged = flagged.join(before, "run_id", "left").withColumn(
+        "anomaly", F.when(F.col("_new"), F.col("anomaly")).otherwise(F.col("_held_bad"))).drop("_held_bad")
+    judged = cut_lineage(judged)
+    alerts = te.alert_transitions(judged, limit / 60, only="_new", known_stale="stale")
+    last = first_per_key(judged, ["run_id"], [F.col("sec").desc(), F.col("event_id").desc()])
+    quiet = ~F.coalesce(F.col("run_state").isin("complete", "failed"), F.lit(False)) & ~F.col("stale") & (
+        F.lit(newest - late_seconds if newest is not None else 0) > F.col("sec") + limit)
+    state = cut_lineage(last.withColumn("_quiet", quiet))
+    silent = state.where("_quiet").select("run_id", F.lit("stale").alias("alert"), (F.col("sec") + limit).alias("alert_sec"))
+    alerts.unionByName(silent).write.mode("overwrite").parquet(f"{folder}/alerts/batch={batch}")
+    state.select(*columns, "anomaly", (F.col("stale") | F.col("_quiet")).alias("stale")).write.mode(
+        "overwrite").parquet(f"{folder}/state/batch={batch}")
+
+
+def run_alerts(beats: DataFrame, folder: str, stale_minutes: float, late_minutes: int = 10) -> StreamingQuery:
+    """Alert rows as runs change state: anomaly / cleared, stale / resumed, finished / stopped, written
+    to `folder`/alerts. The state kept between batches is the last row of every run. A run is stale
+    once the newest beat of all runs is `late_minutes` beyond its limit. A run with most of the beats
+    is cut into days like any other, and no Python runs per run or row."""
+    limit, late = int(stale_minutes * 60), late_minutes * 60
+
+    def handle(new: DataFrame, batch: int) -> None:
+        _handle(new, batch, folder, limit, late)
+
+    return beats.writeStream.foreachBatch(handle).option(
+        "checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
+
+
+def read_alerts(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(ALERT_SCHEMA).parquet(f"{folder}/alerts").select("run_id", "alert", "alert_sec")

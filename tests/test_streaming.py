@@ -45,11 +45,35 @@ def test_alerts_equal_batch(spark, beats, tmp_path):
     last = df.agg(F.max("sec")).first()[0]
     batch = te.alert_transitions(te.with_anomaly(te.failure_deltas(df)), 60, last - 600)
     want = sorted(tuple(r) for r in batch.collect())
-    got = sorted(tuple(r) for r in run(hb.alert_stream(hb.read_beats(spark, path), 60), tmp_path).collect())
+    hb.run_alerts(hb.read_beats(spark, path), str(tmp_path / "one"), 60).awaitTermination()
+    got = sorted(tuple(r) for r in hb.read_alerts(spark, str(tmp_path / "one")).collect())
     assert got == want and {a for _, a, _ in got} == {
         "stale", "resumed", "finished", "stopped", "anomaly", "cleared"}
 
 
+def test_alerts_over_several_batches(spark, beats, tmp_path):
+    df, _ = beats
+    last = df.agg(F.max("sec")).first()[0]
+    wide = df.select("run_id", "event_id", F.timestamp_seconds("sec").alias("ts"), "run_state",
+                     F.lit(None).cast("string").alias("phase"), F.lit(0).cast("long").alias("people_total"),
+                     "people_done", "people_failed", "disk_used_pct", "mem_avail_pct")
+    source, folder = str(tmp_path / "in"), str(tmp_path / "several")
+    first, fifth = df.agg(F.min("sec")).first()[0], (last - df.agg(F.min("sec")).first()[0]) // 5
+    for i in range(5):  # in time order; a beat that comes again is ignored
+        since, until = first + fifth * i - 1000 * (i > 0), first + fifth * (i + 1) + 5 * (i == 4)
+        part = wide.where(f"unix_seconds(ts) between {since} and {until}")
+        part.coalesce(1).write.mode("append").json(source)
+        hb.run_alerts(hb.read_beats(spark, source), folder, 60).awaitTermination()
+    want = sorted(tuple(r) for r in te.alert_transitions(te.with_anomaly(te.failure_deltas(df)), 60, last - 600).collect())
+    assert sorted(tuple(r) for r in hb.read_alerts(spark, folder).collect()) == want
+
+
+def test_session_gap_of_exactly_the_limit(spark):
+    rows = [(1, i, s, 0, 0) for i, s in enumerate((0, 5400, 10801))]
+    df = spark.createDataFrame(rows, "run_id long, event_id long, sec long, people_done long, people_failed long")
+    assert [r.session for r in te.with_sessions(df, 90).orderBy("sec").collect()] == [1, 1, 2]
+
+
 def test_rollup_equals_batch_up_to_the_watermark(spark, beats, tmp_path):
     df, path = beats
     last = df.agg(F.max("sec")).first()[0]
