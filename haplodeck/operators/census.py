@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from haplodeck import domain
@@ -61,9 +61,8 @@ def union_profiles(manifest: DataFrame, existing: DataFrame) -> DataFrame:
 def profile_distribution(rows: DataFrame, keys: list[str] = ()) -> DataFrame:
     """Rows per profile, optionally per platform or center, with the share of all rows."""
     counts = rows.groupBy(*keys, "profile").agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("_t"))
-    return counts.join(F.broadcast(total), F.lit(True)).select(
-        *keys, "profile", "n", pct(F.col("n"), F.col("_t")).alias("n_pct"))
+    total = F.sum("n").over(Window.partitionBy())  # one row per profile seen
+    return counts.select(*keys, "profile", "n", pct(F.col("n"), total).alias("n_pct"))
 
 
 def top_profiles(distribution: DataFrame, keys: list[str] = (), k: int = 40) -> DataFrame:

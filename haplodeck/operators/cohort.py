@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from haplodeck import domain
@@ -134,9 +134,8 @@ def tier_group_distribution(people: DataFrame, tier: str) -> DataFrame:
     """Group shares inside one tier: who would be excluded with it."""
     counts = people.where(F.col("trim_tier") == tier).groupBy(
         F.coalesce("ancestry", F.lit("NA")).alias("ancestry")).agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("_t"))
-    return counts.join(F.broadcast(total), F.lit(True)).select(
-        "ancestry", "n", pct(F.col("n"), F.col("_t")).alias("n_pct"))
+    total = F.sum("n").over(Window.partitionBy())  # one row per group label
+    return counts.select("ancestry", "n", pct(F.col("n"), total).alias("n_pct"))
 
 
 def call_completeness(gene_calls: DataFrame, genes: list[str] = domain.GENES) -> DataFrame:

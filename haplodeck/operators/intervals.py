@@ -11,13 +11,16 @@ from haplodeck.functions.uris import region_text
 from haplodeck.operators.prefix import segmented_lag, segmented_running
 from haplodeck.operators.rows import first_per_key
 
-BIN = 1 << 20  # overlap bins and island segments, in base pairs
+BIN = 1 << 20  # island segments, in base pairs
+OVERLAP_BIN = 1 << 17
+FEW_WINDOWS = 10_000  # up to here one side of an overlap join is broadcast
 
 
 def cluster_table(spark: SparkSession, clusters: list[tuple] = domain.GENE_CLUSTERS,
                   contig: str = domain.CLUSTER_CONTIG) -> DataFrame:
-    return spark.createDataFrame(
-        [(contig, n, s, e) for n, s, e in clusters], "contig string, name string, start long, end long")
+    """Inline rows, whose size the planner knows."""
+    rows = ", ".join(f"('{contig}', '{n}', {s}L, {e}L)" for n, s, e in clusters)
+    return spark.sql(f"SELECT * FROM VALUES {rows} AS t(contig, name, start, end)")
 
 
 def padded_windows(windows: DataFrame, pad: int, floor: int = 1) -> DataFrame:
@@ -61,10 +64,11 @@ def plain_contig(c: Column | str) -> Column:
 
 
 def overlap_join(left: DataFrame, right: DataFrame, left_cols: tuple, right_cols: tuple,
-                 bin_size: int = BIN) -> DataFrame:
+                 bin_size: int = OVERLAP_BIN) -> DataFrame:
     """Pairs of half-open intervals that overlap: left_cols and right_cols are (contig, start,
-    end). Both sides are cut into bins and joined by equality on (contig, bin), which Spark can
-    broadcast or split when skewed; a pair is kept only in the first bin both touch."""
+    end). Both sides are cut into bins and joined by equality on (contig, bin); a pair is kept only
+    in the first bin both touch. Up to FEW_WINDOWS rows, checked, the right side is broadcast and the
+    left one stays where it is; beyond, adaptive execution splits bins that hold too much."""
     lc, ls, le = left_cols
     rc, rs, re = right_cols
 
@@ -74,7 +78,9 @@ def overlap_join(left: DataFrame, right: DataFrame, left_cols: tuple, right_cols
         return df.withColumns({f"_c{tag}": plain_contig(c), f"_lo{tag}": lo}).withColumn(
             f"_b{tag}", F.explode(F.sequence(lo, hi)))
 
+    few = right.limit(FEW_WINDOWS + 1).count() <= FEW_WINDOWS
     a, b = binned(left, lc, ls, le, "l"), binned(right, rc, rs, re, "r")
+    b = F.broadcast(b) if few else b
     joined = a.join(b, (F.col("_cl") == F.col("_cr")) & (F.col("_bl") == F.col("_br")))
     return joined.where(
         (F.col(le) > F.col(rs)) & (F.col(ls) < F.col(re))
