@@ -53,7 +53,7 @@ def test_history_is_in_global_order(spark, data):
     pages = spark.read.parquet(f"{data}/pages.parquet")
     path = scratch(spark, "warc")
     warc_index.write_archives(warc_index.records(pages), path, archive_bytes=50_000)
-    rows = warc_index.merged_history(warc_index.read_index(spark, path), range_rows=40).collect()
+    rows = warc_index.merged_history(warc_index.read_index(spark, path), range_rows=10).collect()
     assert len({r.run for r in rows}) > 3 and len({r.range for r in rows}) > 2
     rows.sort(key=lambda r: (r.range, r.position))
     keys = [(r.url_key, r.captured, r.page_id) for r in rows]
