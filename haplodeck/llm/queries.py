@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from haplodeck.llm import byte_bpe, decontam, jaccard_join, license_scan, pii, quality_rules, sharding, token_counts, toxicity, warc_index
+from haplodeck.llm.statements import PERSONAL_DATA, QUALITY
 from haplodeck.llm.tables import read
 
 QUERIES = {}
@@ -22,6 +23,9 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal_data(read(spark, sf_dir, "documents"))
 
 
+ORACLE["op1_pii"] = PERSONAL_DATA
+
+
 @query
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = sharding.sharded(read(spark, sf_dir, "documents"), shards=24)
@@ -37,6 +41,9 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "base_failed", "kept", "failed_rules")
 
 
+ORACLE["op3_quality_rules"] = QUALITY
+
+
 @query
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(read(spark, sf_dir, "documents"))
