@@ -2,7 +2,7 @@
 
 Writing. A record is a line of text (header, HTTP head, payload) and the text writer's separator is the
 blank lines that end a WARC record, so Spark itself writes the archives, gzipped, wherever its paths
-reach. Pages are dealt to archives of about ARCHIVE_BYTES by a hash of their id. Of records with equal
+reach, each task its own of about ARCHIVE_BYTES. Of records with equal
 payloads of LEAST bytes or more, that of the smallest page id is a response and the others revisit it.
 
 Reading. Each archive is one binary row; its records are cut by their Content-Length, and the payload
@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 from haplodeck.llm.tables import scratch, written
 
 LEAST = 100
-ARCHIVE_BYTES = 8 << 20
+ARCHIVE_BYTES = 32 << 20
+BROADCAST_OWNERS = 200_000
 #: Captures per range of the merge.
 RANGE_ROWS = 100_000
 EPOCH = "2020-01-01T00:00:00Z"
@@ -63,8 +64,9 @@ def records(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
             captured: Column | None = None) -> DataFrame:
     """One row per page: key, url, captured (timestamp text), payload, digest, bytes, refers_to.
 
-    Payload owners come from one pre-aggregated row per digest; a payload held by a third of all pages
-    is one key of the join back, whose rows are narrow and which adaptive execution splits."""
+    Payload owners are one pre-aggregated row per digest that occurs twice or more; up to BROADCAST_OWNERS
+    of them, checked, meet the pages inside the scan, so no payload is shuffled. Beyond, the pages are
+    joined by digest, and adaptive execution splits a digest that a third of them has."""
     raw = F.coalesce(F.col(html), F.lit(""))
     at = captured if captured is not None else F.timestamp_seconds(
         F.unix_seconds(F.lit(EPOCH).cast("timestamp")) + F.coalesce(F.col(key), F.lit(0)))
@@ -74,7 +76,9 @@ def records(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
         F.octet_length(raw).cast("long").alias("bytes"))
     owner = rows.where(F.col("bytes") >= LEAST).groupBy("digest").agg(
         F.min(key).alias("_owner"), F.count("*").alias("_n")).where("_n > 1").select("digest", "_owner")
-    return rows.join(owner, "digest", "left").select(
+    owner = written(owner, "warc-owners")
+    few = owner.limit(BROADCAST_OWNERS + 1).count() <= BROADCAST_OWNERS
+    return rows.join(F.broadcast(owner) if few else owner, "digest", "left").select(
         *rows.columns, F.when(F.col("_owner") != F.col(key), F.col("_owner")).when(
             F.col(key).isNull(), F.col("_owner")).alias("refers_to"))
 
@@ -106,12 +110,12 @@ def _record_text(key: str) -> Column:
 
 
 def write_archives(rows: DataFrame, path: str, key: str = "page_id", archive_bytes: int = ARCHIVE_BYTES) -> None:
-    """records() as .warc.gz files of about archive_bytes (uncompressed) each."""
-    total = rows.agg(F.sum(F.when(F.col("refers_to").isNull(), F.col("bytes")).otherwise(0) + 600)).first()[0] or 0
+    """records() as .warc.gz files, where the rows are; a file ends after as many records as make about
+    archive_bytes (uncompressed) at the mean size."""
+    mean = rows.agg(F.avg(F.col("bytes") + 600)).first()[0] or 600
     # a record is separated from the next by the two line ends that close it
-    rows.select(_record_text(key).alias("value"), F.xxhash64(key, "digest").alias("_at")).repartition(
-        max(1, -(-total // archive_bytes)), "_at").select("value").write.option(
-            "compression", "gzip").option("lineSep", _END).text(path)
+    rows.select(_record_text(key).alias("value")).write.option("compression", "gzip").option(
+        "lineSep", _END).option("maxRecordsPerFile", max(1, int(archive_bytes / mean))).text(path)
 
 
 def _cut(data: bytes) -> Iterator[tuple[dict[str, str], int, int, bytes]]:
