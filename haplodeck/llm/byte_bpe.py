@@ -21,6 +21,7 @@ from collections.abc import Iterator
 from hashlib import sha256
 
 import duckdb
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -29,9 +30,10 @@ from pyspark.sql import functions as F
 from haplodeck.llm.workers import once_per_worker, pattern_words
 
 LONG_WORD = 200
-#: Words per recursive query, and words a worker remembers before it starts anew.
-WORDS_PER_QUERY = 40_000
-CACHED_WORDS = 400_000
+#: Words per recursive query, and words a worker remembers; the older half is forgotten at a time,
+#: but for those met again meanwhile.
+WORDS_PER_QUERY = 15_000
+CACHED_WORDS = 200_000
 
 ENCODE = """
 WITH RECURSIVE step(round, word, pos, token) AS (
@@ -73,6 +75,7 @@ class RecursiveCoder:
         self.pattern = pattern_words()
         self.single = [self.ranks[bytes([b])] for b in range(256)]
         self.known: dict[str, tuple[bytes, bytes]] = {}
+        self.older: dict[str, tuple[bytes, bytes]] = {}
         ranks, found = self.ranks, ([], [], [])
         for token, rank in ranks.items():
             for cut in range(1, len(token)):
@@ -80,7 +83,7 @@ class RecursiveCoder:
                 if a is not None and b is not None:
                     for col, v in zip(found, (a, b, rank), strict=True):
                         col.append(v)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "256MB"})
         self._store("merges", {"a": found[0], "b": found[1], "merged": found[2]})
         ids = list(ranks.values())
         self._store("vocabulary", {
@@ -146,12 +149,16 @@ class RecursiveCoder:
     def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """(little-endian 32-bit ids, decoded bytes) of every text."""
         cut = [self.pattern(t) for t in texts]
-        if len(self.known) >= CACHED_WORDS:
-            self.known.clear()
-        new = list({w: None for words in cut for w in words if w not in self.known})
+        if len(self.known) >= CACHED_WORDS // 2:
+            self.known, self.older = {}, self.known
+        known, older, new = self.known, self.older, []
+        for w in {w: None for words in cut for w in words if w not in known}:
+            if w in older:
+                known[w] = older[w]
+            else:
+                new.append(w)
         for at in range(0, len(new), WORDS_PER_QUERY):
             self.learn(new[at:at + WORDS_PER_QUERY])
-        known = self.known
         out = []
         for words in cut:
             found = [known[w] for w in words]
@@ -163,21 +170,29 @@ def coder(path: str) -> RecursiveCoder:
     return once_per_worker(("recursive coder", path), lambda: RecursiveCoder(path))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], most: int = 8_000_000):
+def _blocks(batches: Iterator[pa.RecordBatch], most: int = 1_500_000):
     """Rows in blocks of about `most` bytes of text: few recursive queries, bounded memory."""
     keys, texts, size = [], [], 0
     for batch in batches:
-        for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            keys.append(key)
-            texts.append(text or "")
-            size += len(texts[-1])
-            if size >= most:
-                yield keys, texts
-                keys, texts, size = [], [], 0
+        for at in range(0, batch.num_rows, 200):
+            part = batch.slice(at, 200)
+            for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                keys.append(key)
+                texts.append(text or "")
+                size += len(texts[-1])
+                if size >= most:
+                    yield keys, texts
+                    keys, texts, size = [], [], 0
     if keys:
         yield keys, texts
 
 
+def _ids_column(packed: list[bytes]) -> pa.Array:
+    """Packed ids of each text as a list column, without an object per id."""
+    ends = np.cumsum([0, *[len(p) // 4 for p in packed]])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(packed), "<i4")))
+
+
 def _coded(docs: DataFrame, path: str | None, key: str, text: str, columns: dict, make) -> DataFrame:
     file = path or public_tokenizers.path("byte_bpe_50k.tiktoken")
     kind = docs.schema[key].dataType.simpleString()
@@ -193,10 +208,9 @@ def _coded(docs: DataFrame, path: str | None, key: str, text: str, columns: dict
 
         for keys, texts in _blocks(typed(batches)):
             values = [make(ids, data) for ids, data in coder(file).encode(texts)]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(keys, key_type),
-                 *[pa.array([v[i] for v in values], t) for i, (_, t) in enumerate(columns.values())]],
-                [key, *columns])
+            made = [_ids_column([v[i] for v in values]) if pa.types.is_list(t) else pa.array(
+                [v[i] for v in values], t) for i, (_, t) in enumerate(columns.values())]
+            yield pa.RecordBatch.from_arrays([pa.array(keys, key_type), *made], [key, *columns])
 
     schema = ", ".join([f"{key} {kind}", *[f"{c} {t}" for c, (t, _) in columns.items()]])
     return docs.select(F.col(key), F.col(text)).mapInArrow(run, schema)
@@ -207,7 +221,7 @@ def encode(docs: DataFrame, path: str | None = None, key: str = "doc_id",
     """key, ids (array of token ids), decoded (text read back from the ids)."""
     return _coded(docs, path, key, text,
                   {"ids": ("array<int>", pa.list_(pa.int32())), "decoded": ("string", pa.string())},
-                  lambda ids, data: (memoryview(ids).cast("i").tolist(), data.decode()))
+                  lambda ids, data: (ids, data.decode()))
 
 
 def digests(docs: DataFrame, path: str | None = None, key: str = "doc_id",
@@ -225,5 +239,4 @@ def tokenised(docs: DataFrame, path: str | None = None, key: str = "doc_id",
     return _coded(docs, path, key, text,
                   {"n_tokens": ("long", pa.int64()), "ids": ("array<int>", pa.list_(pa.int32())),
                    "decoded_sha256": ("string", pa.string())},
-                  lambda ids, data: (len(ids) // 4, memoryview(ids).cast("i").tolist(),
-                                     sha256(data).hexdigest()))
+                  lambda ids, data: (len(ids) // 4, ids, sha256(data).hexdigest()))

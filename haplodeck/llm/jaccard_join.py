@@ -341,8 +341,8 @@ def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
 
 
 def one_per_component(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents, all columns, without those of a component that has one of lower id. Copies of
-    the kept row itself (same id) go too; rows without id stay."""
+    """The documents, all columns, without those of a component that has one of lower id. Rows that
+    share the kept id all stay, and so do rows without id."""
     kept = components(docs, key, text).where(F.col(key) == F.col("component_id")).select(key).distinct()
     few = kept.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     named = docs.where(F.col(key).isNotNull()).join(F.broadcast(kept) if few else kept, key, "left_semi")
