@@ -32,8 +32,8 @@ from haplodeck.llm.workers import once_per_worker, pattern_words
 LONG_WORD = 200
 #: Words per recursive query, and words a worker remembers; the older half is forgotten at a time,
 #: but for those met again meanwhile.
-WORDS_PER_QUERY = 15_000
-CACHED_WORDS = 200_000
+WORDS_PER_QUERY = 40_000
+CACHED_WORDS = 400_000
 
 ENCODE = """
 WITH RECURSIVE step(round, word, pos, token) AS (
@@ -170,7 +170,7 @@ def coder(path: str) -> RecursiveCoder:
     return once_per_worker(("recursive coder", path), lambda: RecursiveCoder(path))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], most: int = 1_500_000):
+def _blocks(batches: Iterator[pa.RecordBatch], most: int = 4_000_000):
     """Rows in blocks of about `most` bytes of text: few recursive queries, bounded memory."""
     keys, texts, size = [], [], 0
     for batch in batches:
