@@ -1,8 +1,7 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
-Seeds. Every run of GRAM words of a test item is counted over the corpus. In each window of WINDOW
-consecutive runs of an item the rarest one becomes a seed (first of equals), so every stretch of
-GRAM + WINDOW - 1 intact words of an item holds a seed, however common all of its runs are.
+Seeds. Every run of GRAM words of a test item is a seed, however common it is, so every text with GRAM
+intact words of an item in a row is aligned with it. A copy without such a run is not looked at.
 
 Candidates. A text joins an item where it has one of its seeds; the seeds' diagonals (place in the
 text less place in the item) give the stretches of text to align: nearby ones form one, and a stretch
@@ -15,8 +14,8 @@ whole item. A stretch at or over `threshold` is a leak. Reordered, edited and pa
 lose in proportion to what changed.
 
 The items are handled in blocks of at most BLOCK_WORDS words; a block's seeds and words go to every
-task (their size is bounded by the block), and each block costs one counting and one aligning pass
-over the texts, without a shuffle of texts.
+task (their size is bounded by the block), and each block costs one pass over the texts, without a
+shuffle of texts. Seeds that meet many items are taken up by whole texts, some _PAIRS pairs at a time.
 
 Null text or item is empty: it matches nothing. Items with less than GRAM words are taken whole as one
 run. Repeated items each give a row, repeated rows each their rows; other columns are not looked at.
@@ -43,6 +42,8 @@ THRESHOLD = 0.5
 BLOCK_WORDS = 1_000_000
 #: Cells of one batch of alignments.
 _CELLS = 4_000_000
+#: Pairs of a seed in a text and an item that has it, held at a time; a text with more is taken alone.
+_PAIRS = 2_000_000
 _BITS = 22
 
 
@@ -107,29 +108,9 @@ def _hits(w: Words, lengths: list[int], bits: np.ndarray, known: np.ndarray):
         yield at[same], place[near[same]]
 
 
-def _frequencies(docs: DataFrame, text: str, known: np.ndarray, lengths: list[int]) -> np.ndarray:
-    """Occurrences of every known run in the corpus; at most a block's runs come back."""
-    shared = docs.sparkSession.sparkContext.broadcast(known)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs = shared.value
-        bits, total = _filter(runs), np.zeros(len(runs), np.int64)
-        for batch in batches:
-            for _, _, data, offsets in chunks(batch.column(0)):
-                for at, _ in _hits(words(data, offsets, apart=PUNCTUATION), lengths, bits, runs):
-                    total += np.bincount(at, minlength=len(runs))
-        seen = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(total[seen])], ["at", "n"])
-
-    counts = np.zeros(len(known), np.int64)
-    found = docs.select(F.col(text)).mapInArrow(run, "at long, n long").groupBy("at").agg(F.sum("n"))
-    for at, n in found.toLocalIterator():
-        counts[at] = n
-    return counts
-
-
 def rarest(counts: np.ndarray, item: np.ndarray) -> np.ndarray:
-    """Marks the rarest run (first of equals) of every WINDOW consecutive runs of an item."""
+    """Marks the rarest run (first of equals) of every WINDOW consecutive runs of an item. Seeds are not
+    chosen by it: a run with count 0, or a rare one that an edit broke, would displace those of a copy."""
     chosen = np.zeros(len(counts), bool)
     bounds = np.flatnonzero(np.diff(item, prepend=-1, append=-1))
     for a, b in zip(bounds, bounds[1:], strict=False):
@@ -181,19 +162,27 @@ def _stretches(doc: np.ndarray, item: np.ndarray, at: np.ndarray, start: np.ndar
     return doc[first], item[first], low[first], np.maximum.reduceat(high, first) if len(first) else high
 
 
-def _aligned(docs: DataFrame, key: str, text: str, block: Block, seeds: np.ndarray, lengths: list[int],
+def _portions(doc: np.ndarray, many: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Runs of whole texts, hits ordered by text, with about _PAIRS pairs each."""
+    ends = np.append(np.flatnonzero(np.diff(doc)) + 1, len(doc))
+    sums, a = np.cumsum(many), 0
+    while a < len(doc):
+        most = (sums[a - 1] if a else 0) + _PAIRS
+        i = int(np.searchsorted(sums[ends - 1], most, "right"))  # texts that end within the portion
+        b = int(ends[i - 1]) if i and ends[i - 1] > a else int(ends[np.searchsorted(ends, a, "right")])
+        yield a, b
+        a = b
+
+
+def _aligned(docs: DataFrame, key: str, text: str, block: Block, lengths: list[int],
              threshold: float, number: str) -> DataFrame:
     kind = docs.schema[key].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast((tuple(block), seeds))
+    shared = docs.sparkSession.sparkContext.broadcast(tuple(block))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fields, keep = shared.value
-        own = Block(*fields)
-        gram, item, place = own.gram[keep], own.item[keep], own.place[keep]
-        order = np.argsort(gram, kind="stable")
-        gram, item, place = gram[order], item[order], place[order]
-        known, begin = np.unique(gram, return_index=True)
-        begin = np.append(begin, len(gram))
+        own = Block(*shared.value)
+        known, begin = np.unique(own.gram, return_index=True)
+        begin = np.append(begin, len(own.gram))
         bits, sizes = _filter(known), np.diff(own.first)
         for batch in batches:
             for base, _, data, offsets in chunks(batch.column(1)):
@@ -201,15 +190,20 @@ def _aligned(docs: DataFrame, key: str, text: str, block: Block, seeds: np.ndarr
                 at, where = [np.concatenate(x) for x in zip(*_hits(w, lengths, bits, known), strict=True)]
                 if not len(at):
                     continue
-                many = begin[at + 1] - begin[at]  # items that have the seed
-                flat = np.repeat(begin[at], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-                where = np.repeat(where, many)
+                order = np.argsort(where, kind="stable")
+                at, where = at[order], where[order]
                 doc = np.searchsorted(w.first, where, "right") - 1
-                doc, which, low, high = _stretches(
-                    doc, item[flat], where, where - place[flat], sizes[item[flat]])
-                low = np.maximum(low, w.first[doc])
-                high = np.minimum(high, w.first[doc + 1])
-                yield from scored(batch, base, w, own, sizes, doc, which, low, high)
+                many = begin[at + 1] - begin[at]  # items that have the seed
+                for a, b in _portions(doc, many):
+                    yield from scored(batch, base, w, own, sizes,
+                                      *met(own, begin, sizes, w, at[a:b], where[a:b], doc[a:b], many[a:b]))
+
+    def met(own, begin, sizes, w, at, where, doc, many):
+        flat = np.repeat(begin[at], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        item, where = own.item[flat], np.repeat(where, many)
+        doc, which, low, high = _stretches(
+            np.repeat(doc, many), item, where, where - own.place[flat], sizes[item])
+        return doc, which, np.maximum(low, w.first[doc]), np.minimum(high, w.first[doc + 1])
 
     def scored(batch, base, w, own, sizes, doc, which, low, high):
         cost = np.cumsum(sizes[which] * (high - low))
@@ -252,11 +246,9 @@ def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "t
         if not len(hashes):
             continue
         gram, item, place = _runs(hashes, first)
-        lengths = _lengths(np.diff(first))
-        known, inverse = np.unique(gram, return_inverse=True)
-        counts = _frequencies(docs, text, known, lengths)[inverse]
-        block = Block(np.array([r._row for r in rows]), first, hashes, gram, item, place)
-        found = _aligned(docs, key, text, block, rarest(counts, item), lengths, threshold, "_row")
+        order = np.argsort(gram, kind="stable")
+        block = Block(np.array([r._row for r in rows]), first, hashes, gram[order], item[order], place[order])
+        found = _aligned(docs, key, text, block, _lengths(np.diff(first)), threshold, "_row")
         out = found if out is None else out.unionByName(found)
     if out is None:
         kinds = {c: docs.schema[c].dataType.simpleString() for c in (key,)}

@@ -81,6 +81,38 @@ def test_seeds_cover_every_stretch():
         assert all(own[a:a + decontam.WINDOW].any() for a in range(max(1, len(own) - decontam.WINDOW + 1)))
 
 
+@pytest.mark.parametrize("step", [4, 5, 6])
+def test_a_sole_copy_with_every_nth_word_replaced_is_found(spark, step):
+    rng = random.Random(step)
+    items = [(i, [f"i{i}w{k}" for k in range(n)]) for i, n in enumerate((15, 22, 30, 61))]
+    docs = []
+    for i, w in items:
+        copy = [f"e{k}" if k % step == step - 1 else x for k, x in enumerate(w)]
+        docs.append((i, [f"f{rng.randrange(99)}" for _ in range(40)] + copy + ["tail"] * 9))
+    want = {}
+    for d, text in docs:
+        for i, w in items:
+            score = align(w, text) / (decontam.MATCH * len(w))
+            if score >= decontam.THRESHOLD:
+                want[d, i] = score
+    assert len(want) == len(items)
+    got = decontam.best_leaks(
+        spark.createDataFrame([(d, " ".join(t)) for d, t in docs], "doc_id long, text string"),
+        spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): r.score for r in got} == want
+
+
+def test_portions_of_hits_hold_whole_texts(monkeypatch):
+    monkeypatch.setattr(decontam, "_PAIRS", 10)
+    rng = np.random.default_rng(3)
+    doc = np.sort(rng.integers(0, 30, 200))
+    many = rng.integers(1, 9, 200)
+    cut = list(decontam._portions(doc, many))
+    assert [a for a, _ in cut] == [0, *[b for _, b in cut[:-1]]] and cut[-1][1] == 200
+    assert all(b == 200 or doc[b - 1] != doc[b] for _, b in cut)
+    assert all(many[a:b].sum() <= 10 or len(set(doc[a:b])) == 1 for a, b in cut)
+
+
 def test_decontamination_of_empty_tables(tables):
     docs, items, _ = tables
     assert decontam.best_leaks(docs.limit(0), items).count() == 0
