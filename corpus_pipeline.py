@@ -4,7 +4,7 @@ Each stage is (spark, docs, sf_dir) -> DataFrame over all that its predecessor k
 return the columns of documents. Between stages the rows are written as Parquet and read again, so a
 lost executor costs one stage's tasks at most.
 
-quality rules           documents that fail the base rules or a certified rule go
+quality rules           documents that fail the base rules or a rule certified in their language go
 n-gram Jaccard join     of each component of near copies the document of lowest id stays
 decontamination         documents with a passage of a benchmark item go
 personal data           values and the terms that give them away are replaced in the text

@@ -8,8 +8,9 @@ of at most CONFIDENCE / (rules * strata). Testing in a fixed order spends no err
 candidates; rules and strata are corrected for. So with probability 1 - CONFIDENCE no stratum loses
 more than RISK of its good documents to all rules together. Of the certified cutoffs, the most
 lenient that still catches nearly all that the strictest catches of the documents labelled bad is
-used. A stratum in which a rule has no certified cutoff takes the one certified on all documents,
-or goes without the rule.
+used. A stratum in which a rule has no certified cutoff goes without the rule in `kept_documents`. The
+verdicts of the registered query follow their statement: there such a stratum takes the cutoff certified
+on all documents, so the bound holds for all documents together but not for that stratum.
 
 Null text has no words. A null stratum is a stratum of its own. Labels of documents that are
 labelled both ways are left out. Without labels no rule is certified and only the base verdict
@@ -176,10 +177,12 @@ def _wide(cutoffs: DataFrame, *keys: str) -> DataFrame:
         F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"_cut_{r}") for r in RULES])
 
 
-def verdicts(counts: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> DataFrame:
-    """base_failed, failed_rules (comma-joined) and kept for every row of `counts`."""
+def verdicts(counts: DataFrame, cutoffs: DataFrame, stratum: str = "lang", pooled_too: bool = True) -> DataFrame:
+    """base_failed, failed_rules (comma-joined) and kept for every row of `counts`. With `pooled_too` a
+    stratum without a cutoff of its own takes the one of all documents, which nothing certifies for it."""
     own = _wide(cutoffs.where(F.col("stratum") != POOLED), "stratum")
-    pooled = _wide(cutoffs.where(F.col("stratum") == POOLED)).first()  # one row of five numbers
+    shared = F.col("stratum") == POOLED if pooled_too else F.lit(False)
+    pooled = _wide(cutoffs.where(shared)).first()  # one row of five numbers
     joined = counts.withColumn(
         "stratum", F.coalesce(F.col(stratum).cast("string"), F.lit("(none)"))).join(own, "stratum", "left")
     failed = [F.when(_ratio(r) > F.coalesce(F.col(f"_cut_{r}"), F.lit(pooled[f"_cut_{r}"]).cast("double")),
@@ -199,13 +202,13 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, stratum: str = "lang",
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, stratum: str = "lang", text: str = "text") -> DataFrame:
-    """The documents that pass, all columns. Counts are computed beside each document, so nothing
-    but the small cutoff table is joined."""
+    """The documents that pass, all columns; a rule rejects only in strata whose own labels certify it.
+    Counts are computed beside each document, so nothing but the small cutoff table is joined."""
     columns = docs.columns
     own = docs.select(*[F.col(f"`{c}`").alias(f"d{i}") for i, c in enumerate(columns)])
     at = {c: f"d{columns.index(c)}" for c in ("doc_id", stratum, text)}
     counts = text_counts(docs, text, ("doc_id", stratum))
     cutoffs = written(certified_cutoffs(counts, labels, stratum), "quality-cutoffs")
     judged = verdicts(
-        text_counts(own, at[text], tuple(own.columns)), cutoffs, at[stratum])
+        text_counts(own, at[text], tuple(own.columns)), cutoffs, at[stratum], pooled_too=False)
     return judged.where("kept").select(*[F.col(f"d{i}").alias(c) for i, c in enumerate(columns)])

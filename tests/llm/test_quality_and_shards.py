@@ -61,6 +61,19 @@ def test_certified_rules_reject_bad_documents_only(spark):
     assert left.count() == sum(r.kept for r in got)
 
 
+def test_a_small_language_is_not_rejected_by_a_cutoff_of_all(spark):
+    clean = " ".join(f"w{i}" for i in range(60))
+    bad = clean.replace(" ", "# ")
+    rows = [(i, f"{clean if i < 3000 else bad} d{i}", "en") for i in range(4000)]
+    rows += [(5000 + i, f"{bad if i < 9 else clean} d{i}", "xx") for i in range(60)]  # good ones, 15 % beyond
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], int(not 3000 <= r[0] < 4000)) for r in rows], "doc_id long, quality int")
+    cutoffs = quality_rules.certified_cutoffs(quality_rules.text_counts(docs), labels).collect()
+    assert {(r.stratum, r.rule) for r in cutoffs} == {("en", "symbols"), (quality_rules.POOLED, "symbols")}
+    left = {r.doc_id for r in quality_rules.kept_documents(docs, labels).collect()}
+    assert left == {*range(3000), *range(5000, 5060)}
+
+
 def test_without_enough_labels_only_the_base_verdict_counts(spark):
     docs, labels = labelled(spark, 40)
     assert all(r.kept != r.base_failed for r in quality_rules.quality_verdicts(docs, labels).collect())
