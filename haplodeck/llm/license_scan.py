@@ -1,35 +1,36 @@
-"""License scan: MinHash bands over overlapping windows, verified by shingle containment.
-
-Words are compared in lower case without ASCII punctuation; shingles are runs of five. A template of n
-shingles belongs to the largest window size of WINDOWS that is at most n, and every window of that
-size in it is indexed, wherever it starts. Texts are cut into windows of each size at a quarter of the
-size, so any copy of a template covers a text window that meets its counterpart without shift: an
-untouched one surely, one with Jaccard similarity s in at least one of BANDS bands of ROWS minima with
-probability 1 - (1 - s^ROWS)^BANDS, that is 0.998 at 0.8 and 0.93 at 0.6, and a long template has many.
-Minima of all window sizes come from one doubling pass. A meeting names a template and a place; the
-stretch around it is then compared exactly: the share of the template's shingles that it contains must
-reach CONTAINED. Single-shingle windows need no minima, they are looked up as they are.
+"""License scan: every shingle looked up among the templates', verified by containment.
+
+Words are compared in lower case without ASCII punctuation; shingles are runs of five. All shingles of a
+text are looked up among those of the templates, so every text that holds CONTAINED of a template's
+shingles is found, however they are spread. Hits on near diagonals (place in the text less place in the
+template) are one stretch; a stretch that holds CONTAINED of the template is a place where it stands. The
+other stretches of a text and template are joined in text order until they hold as much together, so a
+notice interrupted by other words is one place.
+
+Of overlapping places of different licences the one of highest containment stays (of equals, that of the
+longer template): a notice of version 2 is not one of version 3 as well.
 
 Templates go to every task in blocks of at most BLOCK_WORDS words; more templates take more passes over
-the texts. No texts are shuffled.
+the texts. No texts are shuffled, only the places found.
 
-Null text is empty: nothing is found. A template must have five words. Templates that share text are
-each found. Repeated rows each get their rows; other columns are not looked at.
+Null text is empty: nothing is found. A template must have five words. Templates of one licence that
+share text are each found. Repeated rows each get their rows; other columns are not looked at.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from haplodeck.llm.arrow_text import PUNCTUATION, chunks, grams, mixed, words
+from haplodeck.llm.arrow_text import PUNCTUATION, chunks, grams, words
+from haplodeck.llm.tables import written
 
 SHINGLE = 5
-WINDOWS = (1, 4, 16, 64)
 BANDS, ROWS = 6, 2
 CONTAINED = 0.8
 BLOCK_WORDS = 200_000
@@ -67,6 +68,8 @@ TEMPLATES = {
         "was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
 }
 
+MORE_TEMPLATES = {}
+
 
 def collision_probability(similarity: float) -> float:
     return 1 - (1 - similarity ** ROWS) ** BANDS
@@ -78,113 +81,143 @@ def _shingles(text: str) -> np.ndarray:
     return np.zeros(0, np.uint64)
 
 
-def window_keys(hashes: np.ndarray, size: int) -> Iterator[np.ndarray]:
-    """Band keys of every window of `size` shingles, one array per band; key i is of the window that
-    starts at shingle i."""
-    if size == 1:
-        yield mixed(hashes)
-        return
-    for band in range(BANDS):
-        key = np.full(max(len(hashes) - size + 1, 0), band * 100 + size, np.uint64)
-        for row in range(ROWS):
-            factor = mixed(np.array([1000 + band * ROWS + row], np.uint64))[0] | np.uint64(1)  # a hash family
-            low, width = hashes * factor, 1
-            while width < size:
-                low = np.minimum(low[:-width], low[width:])
-                width *= 2
-            key = mixed(key + low[:len(key)])
-        yield key
-
-
 def _template_index(templates: list[np.ndarray]):
-    """By window size: sorted keys with the template and place they stand for."""
-    out = {}
-    for size in WINDOWS:
-        keys, which, place = [], [], []
-        for i, t in enumerate(templates):
-            if len(t) and size == max(w for w in WINDOWS if w <= len(t)):
-                for band in window_keys(t, size):
-                    keys.append(band)
-                    which.append(np.full(len(band), i))
-                    place.append(np.arange(len(band)))
-        if keys:
-            key, item, at = map(np.concatenate, (keys, which, place))
-            order = np.argsort(key, kind="stable")
-            out[size] = key[order], item[order], at[order]
+    """Sorted shingles of all templates, with the template and place they stand for."""
+    key = np.concatenate(templates)
+    item = np.repeat(np.arange(len(templates)), [len(t) for t in templates])
+    place = np.concatenate([np.arange(len(t)) for t in templates])
+    order = np.argsort(key, kind="stable")
+    return key[order], item[order], place[order]
+
+
+def _meetings(hashes: np.ndarray, index, bits: np.ndarray):
+    """(shingle of the text, template, place in it) of all shingles that a template has."""
+    known, item, place = index
+    near = np.flatnonzero(bits[hashes >> np.uint64(64 - _BITS)])
+    a = np.searchsorted(known, hashes[near], "left")
+    many = np.searchsorted(known, hashes[near], "right") - a
+    flat = np.repeat(a, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    return np.repeat(near, many), item[flat], place[flat]
+
+
+def _places(hashes: np.ndarray, wanted: np.ndarray, n: int, at: np.ndarray, begin: np.ndarray, bounds: tuple[int, int]):
+    """(share, first, last shingle) of every place of one template in one text. `at` are the hits, `begin`
+    the template's start on their diagonals, in order of `begin`."""
+    fresh = np.ones(len(at), bool)
+    # an edit puts the rest of a copy a little off: near diagonals are one stretch
+    fresh[1:] = begin[1:] > begin[:-1] + n // 4 + 2
+    first = np.flatnonzero(fresh)
+    whole, rest = [], []
+    for i, j in zip(first, [*first[1:], len(at)], strict=True):
+        low, high = max(int(begin[i]) - MARGIN, bounds[0]), min(int(begin[j - 1]) + n + MARGIN, bounds[1])
+        a, b = int(at[i:j].min()), int(at[i:j].max())
+        share = float(np.isin(wanted, hashes[low:high]).mean())
+        if share >= CONTAINED:
+            whole.append((-share, i - j, a, b))
+        else:
+            rest.append((a, b, np.unique(hashes[at[i:j]])))
+    out, starts, ends = [], [], []
+
+    def taken(a: int, b: int) -> int | None:
+        """Where a span goes among the places, none if it overlaps one."""
+        k = bisect.bisect_right(starts, b)
+        return None if k and ends[k - 1] >= a else k
+
+    # a shingle that the template repeats also lies on other diagonals: the fullest stretch goes first
+    for share, _, a, b in sorted(whole):
+        k = taken(a, b)
+        if k is not None:
+            starts.insert(k, a)
+            ends.insert(k, b)
+            out.append((-share, a, b))
+    held, span = np.zeros(0, np.uint64), None
+    for a, b, own in sorted(rest, key=lambda x: x[:2]):
+        if taken(a, b) is None:
+            continue
+        more = np.union1d(held, own)
+        if span and len(more) == len(held) and len(held) >= CONTAINED * len(wanted):
+            out.append((len(held) / len(wanted), *span))
+            more, span = own, None
+        held, span = more, (a, b) if span is None else (span[0], max(b, span[1]))
+    if span and len(held) >= CONTAINED * len(wanted):
+        out.append((len(held) / len(wanted), *span))
     return out
 
 
-def _meetings(hashes: np.ndarray, index, filters):
-    """(shingle of the text, template, place in it) of all windows that meet a template's."""
-    for size, (known, item, place) in index.items():
-        for keys in window_keys(hashes, size):
-            starts = np.arange(0, len(keys), max(1, size // 4))
-            own = keys[starts]
-            near = np.flatnonzero(filters[size][own >> np.uint64(64 - _BITS)])
-            a = np.searchsorted(known, own[near], "left")
-            many = np.searchsorted(known, own[near], "right") - a
-            flat = np.repeat(a, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-            yield np.repeat(starts[near], many), item[flat], place[flat]
-
-
 def _scan(docs: DataFrame, key: str, text: str, block: list[tuple[str, str]]) -> DataFrame:
     kind = docs.schema[key].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(block)
-    names = [key, "license_id", "template", "containment", "first_word"]
+    names = [key, "_text", "license_id", "template", "containment", "first_word", "_last", "_n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         templates = [_shingles(t) for _, t in own]
         sets = [np.unique(t) for t in templates]
-        sizes = np.array([len(t) for t in templates])
         index = _template_index(templates)
-        filters = {}
-        for size, (known, _, _) in index.items():
-            filters[size] = np.zeros(1 << _BITS, bool)
-            filters[size][known >> np.uint64(64 - _BITS)] = True
+        bits = np.zeros(1 << _BITS, bool)
+        bits[index[0] >> np.uint64(64 - _BITS)] = True
         for batch in batches:
             rows = []
             for base, _, data, offsets in chunks(batch.column(1)):
                 w = words(data, offsets, apart=PUNCTUATION)
                 hashes, place = grams(w, SHINGLE)
                 bounds = np.searchsorted(place, w.first)
-                found = [np.concatenate(x) for x in zip(*_meetings(hashes, index, filters), strict=True)]
-                if not found or not len(found[0]):
+                at, item, inside = _meetings(hashes, index, bits)
+                if not len(at):
                     continue
-                at, item, inside = found
                 doc = np.searchsorted(bounds, at, "right") - 1
                 begin = at - inside
-                order = np.lexsort((begin, item, doc))
-                doc, item, begin = doc[order], item[order], begin[order]
-                # windows that meet a little shifted put the copy a little off: near places are one
-                fresh = np.ones(len(doc), bool)
-                fresh[1:] = ((doc[1:] != doc[:-1]) | (item[1:] != item[:-1])
-                             | (begin[1:] > begin[:-1] + sizes[item[1:]] // 4 + 2))
-                first = np.flatnonzero(fresh)
+                order = np.lexsort((at, begin, item, doc))
+                at, doc, item, begin = at[order], doc[order], item[order], begin[order]
+                first = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1])))
                 for i, j in zip(first, [*first[1:], len(doc)], strict=True):
-                    n, d, t = int(sizes[item[i]]), int(doc[i]), int(item[i])
-                    low = max(int(begin[i]) - MARGIN, int(bounds[d]))
-                    high = min(int(begin[j - 1]) + n + MARGIN, int(bounds[d + 1]))
-                    share = np.isin(sets[t], hashes[low:high]).mean()
-                    if share >= CONTAINED:
-                        start = low + int(np.isin(hashes[low:high], sets[t]).argmax())
-                        rows.append((base + d, t, float(share), start - int(bounds[d])))
+                    d, t = int(doc[i]), int(item[i])
+                    if j - i < CONTAINED * len(sets[t]) or len(
+                            np.unique(hashes[at[i:j]])) < CONTAINED * len(sets[t]):
+                        continue
+                    ends = int(bounds[d]), int(bounds[d + 1])
+                    for share, a, b in _places(hashes, sets[t], len(templates[t]), at[i:j], begin[i:j], ends):
+                        rows.append((base + d, *own[t], share, a - ends[0], b - ends[0] + SHINGLE - 1, len(templates[t])))
             if rows:
-                doc, t, share, first = zip(*rows, strict=True)
+                doc, *columns = zip(*rows, strict=True)
+                doc = pa.array(doc)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(doc)), pa.array([own[i][0] for i in t]),
-                     pa.array([own[i][1] for i in t]), pa.array(share), pa.array(first, pa.int64())], names)
+                    [batch.column(0).take(doc), batch.column(2).take(doc),
+                     *[pa.array(c, k) for c, k in zip(columns, (
+                         pa.string(), pa.string(), pa.float64(), *[pa.int64()] * 3), strict=True)]], names)
+
+    return docs.select(F.col(key), F.col(text), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_text")).mapInArrow(
+        run, f"{key} {kind}, _text long, license_id string, template string, containment double, "
+             "first_word long, _last long, _n long")
+
 
-    return docs.select(F.col(key), F.col(text)).mapInArrow(
-        run, f"{key} {kind}, license_id string, template string, containment double, first_word long")
+def _one_licence(found: DataFrame, key: str) -> DataFrame:
+    """Without places that overlap a better one of another licence: the best of all stays, then the best
+    of those that do not overlap it, and so on, within each run of overlapping places."""
+    per_text = Window.partitionBy(key, "_text").orderBy("first_word", "_last", "license_id", "template")
+    reach = F.max("_last").over(per_text.rowsBetween(Window.unboundedPreceding, -1))
+    runs = found.withColumn("_new", F.coalesce((F.col("first_word") > reach).cast("int"), F.lit(1))).withColumn(
+        "_run", F.sum("_new").over(per_text.rowsBetween(Window.unboundedPreceding, 0)))
+    place = F.struct("containment", "_n", "first_word", "_last", "license_id", "template")
+
+    def better(kept: Column, x: Column) -> Column:
+        beaten = F.exists(kept, lambda k: (k["license_id"] != x["license_id"]) & (
+            k["first_word"] <= x["_last"]) & (x["first_word"] <= k["_last"]))
+        return F.when(beaten, kept).otherwise(F.concat(kept, F.array(x)))
+
+    grouped = runs.groupBy(key, "_text", "_run").agg(F.sort_array(F.collect_list(place), asc=False).alias("_all"))
+    return grouped.select(key, F.explode(F.aggregate(
+        "_all", F.slice("_all", F.lit(1), F.lit(0)), better)).alias("_p")).select(
+            key, *[f"_p.{c}" for c in ("license_id", "template", "containment", "first_word")])
 
 
 def notices(docs: DataFrame, templates: dict[str, list[str]] | None = None, key: str = "doc_id",
             text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
-    """key, license_id, template, containment, first_word: one row per place where a template stands."""
+    """key, license_id, template, containment, first_word: one row per place where a template stands.
+    Without `templates` those of this module are looked for."""
     blocks, size = [[]], 0
-    for name, texts in (templates or TEMPLATES).items():
-        for t in texts:
+    for own in ([templates] if templates else [TEMPLATES, MORE_TEMPLATES]):
+        for name, t in ((name, t) for name, texts in own.items() for t in texts):
             n = len(_shingles(t))
             if not n:
                 raise ValueError(f"a template of {name} has less than {SHINGLE} words")
@@ -197,7 +230,7 @@ def notices(docs: DataFrame, templates: dict[str, list[str]] | None = None, key:
     for block in blocks:
         found = _scan(docs, key, text, block)
         out = found if out is None else out.unionByName(found)
-    return out
+    return _one_licence(written(out, "notices"), key)
 
 
 def licenses(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:

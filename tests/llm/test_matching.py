@@ -145,3 +145,23 @@ def test_licences_equal_containment_by_brute_force(spark, data):
     assert license_scan.licenses(docs.limit(0)).count() == 0
     with pytest.raises(ValueError):
         license_scan.notices(docs, {"x": ["too short"]})
+
+
+def found_licences(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [set() for _ in texts]
+    for r in license_scan.licenses(docs).collect():
+        got[r.doc_id].add((r.license_id, r.n_found))
+    return got
+
+
+def test_interrupted_notices_are_found(spark):
+    mit = license_scan.TEMPLATES["MIT"][3].split()
+
+    def cut(at, n):
+        return " ".join([*mit[:at], *[f"x{i}" for i in range(n)], *mit[at:]])
+
+    assert found_licences(spark, [
+        cut(43, 24), cut(43, 30), cut(43, 400), cut(30, 40), f"{cut(43, 60)} and {cut(43, 60)}", f"{cut(43, 60)} and {cut(0, 0)}",
+        " ".join(mit[:43])]) == [
+            {("MIT", 1)}, {("MIT", 1)}, {("MIT", 1)}, {("MIT", 1)}, {("MIT", 2)}, {("MIT", 2)}, set()]
