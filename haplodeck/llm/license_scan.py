@@ -8,7 +8,8 @@ other stretches of a text and template are joined in text order until they hold
 notice interrupted by other words is one place.
 
 Of overlapping places of different licences the one of highest containment stays (of equals, that of the
-longer template): a notice of version 2 is not one of version 3 as well.
+longer template): a notice of version 2 is not one of version 3 as well. SPDX-License-Identifier lines
+count by the ids they name, and do not compete.
 
 Templates go to every task in blocks of at most BLOCK_WORDS words; more templates take more passes over
 the texts. No texts are shuffled, only the places found.
@@ -20,6 +21,7 @@ share text are each found. Repeated rows each get their rows; other columns are
 from __future__ import annotations
 
 import bisect
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -68,7 +70,52 @@ TEMPLATES = {
         "was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."],
 }
 
-MORE_TEMPLATES = {}
+_GNU = (
+    "This {0} is free software: you can redistribute it and/or modify it under the terms of the GNU {1} General Public "
+    "License as published by the Free Software Foundation, either version {2} of the License, or (at your option) any "
+    "later version.",
+    "Licensed under the GNU {1} General Public License, version {2}.")
+_BSD_2 = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+    "following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list "
+    "of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright "
+    "notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided "
+    "with the distribution.")
+
+
+def _gnu(work: str, kind: str, version: str) -> list[str]:
+    return [t.format(work, kind, version) for t in _GNU]
+
+
+# Looked for besides TEMPLATES: other licences, and versions whose wording is close to one of those.
+MORE_TEMPLATES = {
+    "GPL-1.0": _gnu("program", "", "1"),
+    "GPL-2.0": _gnu("program", "", "2"),
+    "GPL-3.0": _gnu("program", "", "3")[1:],
+    "LGPL-2.1": _gnu("library", "Lesser", "2.1"),
+    "LGPL-3.0": _gnu("library", "Lesser", "3"),
+    "AGPL-3.0": _gnu("program", "Affero", "3"),
+    "ISC": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby "
+        "granted, provided that the above copyright notice and this permission notice appear in all copies."],
+    "BSD-2-Clause": [_BSD_2],
+    "BSD-3-Clause": [
+        _BSD_2 + " 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or "
+        "promote products derived from this software without specific prior written permission."],
+    "BSD": [
+        "This software is provided by the copyright holders and contributors \"as is\" and any express or implied "
+        "warranties, including, but not limited to, the implied warranties of merchantability and fitness for a particular "
+        "purpose are disclaimed."],
+    "Unlicense": [
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, "
+        "use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any "
+        "purpose, commercial or non-commercial, and by any means."],
+}
+TAG = "SPDX-License-Identifier"
+_TAG_LINE = re.compile(TAG.lower().encode() + rb":[ \t]*([^\r\n]*)")
+_TAG_ID = re.compile(r"[A-Za-z0-9.+-]+")
+#: Ids as the templates write them; the lines may use any case.
+_KNOWN = {name.lower(): name for name in (*TEMPLATES, *MORE_TEMPLATES)}
 
 
 def collision_probability(similarity: float) -> float:
@@ -144,7 +191,24 @@ def _places(hashes: np.ndarray, wanted: np.ndarray, n: int, at: np.ndarray, begi
     return out
 
 
-def _scan(docs: DataFrame, key: str, text: str, block: list[tuple[str, str]]) -> DataFrame:
+def _tags(data: np.ndarray, offsets: np.ndarray, w) -> Iterator[tuple[int, str, int]]:
+    """(text, id, word) of every licence that an SPDX line names."""
+    for m in _TAG_LINE.finditer(w.data.tobytes()):
+        doc = int(np.searchsorted(offsets, m.start(), "right")) - 1
+        line = data[m.start(1):min(m.end(1), int(offsets[doc + 1]))].tobytes().decode("utf-8", "replace")
+        word = int(np.searchsorted(w.starts, m.start()) - w.first[doc])
+        before = ""
+        for name in _TAG_ID.findall(line.split("*/")[0].split("-->")[0]):
+            if before == "WITH" or name in ("AND", "OR", "WITH"):
+                before = name
+            elif before in ("", "AND", "OR"):  # words behind an expression are none of it
+                before = name
+                yield doc, _KNOWN.get(name.lower(), name), word
+            else:
+                break
+
+
+def _scan(docs: DataFrame, key: str, text: str, block: list[tuple[str, str]], tags: bool) -> DataFrame:
     kind = docs.schema[key].dataType.simpleString()
     shared = docs.sparkSession.sparkContext.broadcast(block)
     names = [key, "_text", "license_id", "template", "containment", "first_word", "_last", "_n"]
@@ -160,6 +224,8 @@ def _scan(docs: DataFrame, key: str, text: str, block: list[tuple[str, str]]) ->
             rows = []
             for base, _, data, offsets in chunks(batch.column(1)):
                 w = words(data, offsets, apart=PUNCTUATION)
+                if tags:
+                    rows += [(base + d, name, TAG, 1.0, at, at, 0) for d, name, at in _tags(data, offsets, w)]
                 hashes, place = grams(w, SHINGLE)
                 bounds = np.searchsorted(place, w.first)
                 at, item, inside = _meetings(hashes, index, bits)
@@ -214,8 +280,8 @@ def _one_licence(found: DataFrame, key: str) -> DataFrame:
 def notices(docs: DataFrame, templates: dict[str, list[str]] | None = None, key: str = "doc_id",
             text: str = "text", block_words: int = BLOCK_WORDS) -> DataFrame:
     """key, license_id, template, containment, first_word: one row per place where a template stands.
-    Without `templates` those of this module are looked for."""
-    blocks, size = [[]], 0
+    Without `templates` those of this module and the SPDX lines are looked for."""
+    blocks, size, tags = [[]], 0, not templates
     for own in ([templates] if templates else [TEMPLATES, MORE_TEMPLATES]):
         for name, t in ((name, t) for name, texts in own.items() for t in texts):
             n = len(_shingles(t))
@@ -227,10 +293,13 @@ def notices(docs: DataFrame, templates: dict[str, list[str]] | None = None, key:
             blocks[-1].append((name, t))
             size += n
     out = None
-    for block in blocks:
-        found = _scan(docs, key, text, block)
+    for i, block in enumerate(blocks):
+        found = _scan(docs, key, text, block, tags and i == 0)
         out = found if out is None else out.unionByName(found)
-    return _one_licence(written(out, "notices"), key)
+    out = written(out, "notices")
+    tagged = F.col("template") == TAG
+    places = _one_licence(out.where(~tagged), key)
+    return places.unionByName(out.where(tagged).select(places.columns))
 
 
 def licenses(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:

@@ -155,6 +155,22 @@ def found_licences(spark, texts):
     return got
 
 
+def test_versions_and_other_licences_get_their_own_id(spark):
+    gnu = license_scan.TEMPLATES["GPL-3.0"][1]
+    bsd3 = license_scan.MORE_TEMPLATES["BSD-3-Clause"][0]
+    assert found_licences(spark, [
+        gnu, gnu.replace("version 3", "version 2"), gnu.replace("GNU General", "GNU Affero General"),
+        gnu.replace("GNU General", "GNU Lesser General").replace("version 3", "version 2.1"),
+        "It is licensed under the GNU General Public License, version 2", "licensed under the GNU General Public License, version 3",
+        bsd3, bsd3.split(" 3. ")[0],
+        license_scan.MORE_TEMPLATES["ISC"][0], license_scan.MORE_TEMPLATES["Unlicense"][0],
+        "// SPDX-License-Identifier: mit", "x\n# spdx-license-identifier: (GPL-2.0-only WITH Linux-syscall-note OR ISC)\ny z",
+        "SPDX-License-Identifier:", "MIT"]) == [
+            {("GPL-3.0", 1)}, {("GPL-2.0", 1)}, {("AGPL-3.0", 1)}, {("LGPL-2.1", 1)}, {("GPL-2.0", 1)}, {("GPL-3.0", 1)},
+            {("BSD-3-Clause", 1)}, {("BSD-2-Clause", 1)}, {("ISC", 1)}, {("Unlicense", 1)}, {("MIT", 1)}, {("GPL-2.0-only", 1), ("ISC", 1)},
+            set(), set()]
+
+
 def test_interrupted_notices_are_found(spark):
     mit = license_scan.TEMPLATES["MIT"][3].split()
 
