@@ -8,6 +8,10 @@ and 0 if it tells nothing. A term disclosing at least GENERALISE of an entity th
 SUPPORT different surroundings (copies of a passage count once) becomes a span of its own wherever it
 occurs: kind `general` (its sanitised form says what kind of word it was), or `remove` from REMOVE on.
 
+In `sanitised` every trimmed word that is no part of a value can be a term: handles, numbers and dotted or
+underscored names too, and words of one or two characters if they hold a capital or a digit. The spans of
+the registered query follow their statement, which admits words of three letters and more only.
+
 Only terms with enough support are counted over the corpus, and the words of a text are matched
 against them inside the scan while they are at most BROADCAST_TERMS; beyond, by a shuffled join on
 the distinct words of a text.
@@ -55,6 +59,9 @@ _HINTS = {
 _PART = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 _SPAN = "array<struct<start:int,kind:int,end:int,value:string>>"
 _BLOCK = 256
+#: Stands for a value's characters; no character of any text.
+_MASK = "\ufdd0"
+_TERM = r"(?s)^.{3}|\p{Lu}|\p{N}"
 
 
 def _digits(value: Column) -> Column:
@@ -138,8 +145,31 @@ def words_of(text: Column) -> Column:
         lambda w: w != "")
 
 
-def _surroundings(text: Column, spans: Column) -> Column:
-    """For every value of a text: the words near it, whole ones only, none of them part of a value."""
+def _masked(text: Column, spans: Column) -> Column:
+    """Text with every character of a span replaced, so places stay."""
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+
+    def step(s: Column, span: Column) -> Column:
+        begin = F.greatest(span["start"], s["at"])
+        return F.struct(
+            F.concat(s["out"], F.substring(text, s["at"] + 1, begin - s["at"]),
+                     F.repeat(F.lit(_MASK), F.greatest(span["end"] - begin, F.lit(0)))).alias("out"),
+            F.greatest(s["at"], span["end"]).alias("at"))
+
+    return let(F.aggregate(spans, start, step), lambda s: F.concat(
+        s["out"], F.substring(text, s["at"] + 1, F.length(text))))
+
+
+def _possible_terms(text: Column) -> Column:
+    """Trimmed words in lower case that are no part of a masked value."""
+    cores = F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)),
+                        lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}\x{FDD0}]++|[^\p{L}\p{N}\x{FDD0}]++$", ""))
+    return F.transform(F.filter(cores, lambda w: w.rlike(_TERM) & ~F.contains(w, F.lit(_MASK))), F.lower)
+
+
+def _surroundings(text: Column, spans: Column, every: bool) -> Column:
+    """For every value of a text: the words near it, whole ones only, none of them part of a value. Not
+    `every` word but those of three letters and more, as in the statement."""
 
     def near(s: Column) -> Column:
         left = F.substring(text, F.greatest(s["start"] - NEAR, F.lit(0)) + 1, F.least(s["start"], F.lit(NEAR)))
@@ -147,8 +177,8 @@ def _surroundings(text: Column, spans: Column) -> Column:
         cut_left = F.when(s["start"] > NEAR, F.regexp_replace(left, r"^[^\x20\x09-\x0D]++", "")).otherwise(left)
         cut_right = F.when(s["end"] + NEAR < F.length(text),
                            F.regexp_replace(right, r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]++$", "")).otherwise(right)
-        return F.filter(words_of(F.concat(cut_left, F.lit(" "), cut_right)),
-                        lambda w: w.rlike(r"^[\p{L}\p{M}'’-]{3,}$"))
+        both = F.concat(cut_left, F.lit(" "), cut_right)
+        return _possible_terms(both) if every else F.filter(words_of(both), lambda w: w.rlike(r"^[\p{L}\p{M}'’-]{3,}$"))
 
     def of(entity: Column) -> Column:
         own = F.filter(spans, lambda s: F.concat(_named(s["kind"]), F.lit(":"), s["value"]) == entity)
@@ -161,13 +191,16 @@ def _surroundings(text: Column, spans: Column) -> Column:
     return F.transform(entities, of)
 
 
-def scanned(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def scanned(docs: DataFrame, key: str = "doc_id", text: str = "text", every: bool = False) -> DataFrame:
     """key, text_hash, spans and surroundings of every text; narrow, written once."""
     t = F.coalesce(F.col(text), F.lit(""))
     # text without any value is the rule: only the others are looked at twice
+    def around(s: Column) -> Column:
+        return let(_masked(t, s), lambda m: _surroundings(m, s, every)) if every else _surroundings(t, s, every)
+
     found = docs.select(F.col(key), F.xxhash64(t).alias("text_hash"), let(
         base_spans(t), lambda s: F.struct(s.alias("spans"), F.when(
-            F.size(s) > 0, _surroundings(t, s)).alias("surroundings"))).alias("_f"))
+            F.size(s) > 0, around(s)).alias("surroundings"))).alias("_f"))
     return written(found.select(key, "text_hash", "_f.*"), "pii-spans")
 
 
@@ -240,9 +273,9 @@ def _outside(terms: Column, base: Column) -> Column:
         base, lambda b: (s["start"] < b["end"]) & (b["start"] < s["end"])))
 
 
-def all_spans(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def all_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", every: bool = False) -> DataFrame:
     """key, text_hash, spans (base) and all_spans (with terms) of every text."""
-    found = scanned(docs, key, text)
+    found = scanned(docs, key, text, every)
     _, hits = disclosing_terms(docs, found, key, text)
     terms = _term_spans(docs, hits, key, text)
     joined = found.alias("f").join(
@@ -295,7 +328,7 @@ def replaced(text: Column, spans: Column) -> Column:
 def sanitised(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents, all columns, with spans replaced in their text. Only texts with spans are
     joined with them; the others pass as they are."""
-    spans = all_spans(docs, key, text).where(F.size("all_spans") > 0).groupBy(key, "text_hash").agg(
+    spans = all_spans(docs, key, text, every=True).where(F.size("all_spans") > 0).groupBy(key, "text_hash").agg(
         F.first("all_spans").alias("_spans"))
     columns = docs.columns
     own = docs.withColumn("_hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))

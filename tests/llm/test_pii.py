@@ -78,6 +78,17 @@ def test_terms_that_give_a_value_away(spark):
     assert clean[4000].text is None and clean[2000].spans == "z" and clean[None].text == "null key [EMAIL]"
 
 
+def test_handles_numbers_and_short_names_are_sanitised(spark):
+    rows = [(i, f"talk with them about plain words tomorrow, filler {chr(97 + i % 26)}{i} stay as they are") for i in range(300)]
+    rows += [(1000 + i, f"Talk {c}eta with jdoe42, K-1187 j_doe j.doe Bo: zed@mail.org 10.2.3.4 tomorrow {c * 4}") for i, c in enumerate("abcde")]
+    rows += [(2000, "k-1187 again, filler a0")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in pii.sanitised(docs).collect()}
+    assert clean[1000] == "Talk aeta with , [NAME]   : [EMAIL] [IP] tomorrow aaaa"
+    assert clean[2000] == "[WORD] again, filler a0"
+    assert all(clean[i] == t for i, t in rows[:300])
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert pii.personal_data(docs).count() == 0
