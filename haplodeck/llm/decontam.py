@@ -270,7 +270,9 @@ def best_leaks(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
 
 def clean_documents(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text",
                     **options) -> DataFrame:
-    """The documents without a leak, all columns."""
-    dirty = written(leaks(docs, items, key, text, **options).select(key).distinct(), "leaking")
+    """The documents without a leak, all columns. A row goes by its own text, whatever its `key`: one with
+    a null key goes if it leaks, and a clean one stays if it shares its key with one that does."""
+    marked = docs.withColumn("_leak_hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    dirty = written(leaks(marked, items, "_leak_hash", text, **options).select("_leak_hash").distinct(), "leaking")
     few = dirty.limit(2_000_001).count() <= 2_000_000
-    return docs.join(F.broadcast(dirty) if few else dirty, key, "left_anti")
+    return marked.join(F.broadcast(dirty) if few else dirty, "_leak_hash", "left_anti").drop("_leak_hash")

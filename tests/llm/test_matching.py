@@ -113,6 +113,14 @@ def test_portions_of_hits_hold_whole_texts(monkeypatch):
     assert all(many[a:b].sum() <= 10 or len(set(doc[a:b])) == 1 for a, b in cut)
 
 
+def test_null_and_shared_keys_go_by_their_text(spark):
+    items = spark.createDataFrame([(1, "one two three four five six")], "item_id long, text string")
+    rows = [(None, "so one two three four five six it is"), (None, "clean"), (7, "one two three four five six"), (7, "clean too"), (8, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {tuple(r) for r in decontam.clean_documents(docs, items).collect()}
+    assert left == {(None, "clean"), (7, "clean too"), (8, None)}
+
+
 def test_decontamination_of_empty_tables(tables):
     docs, items, _ = tables
     assert decontam.best_leaks(docs.limit(0), items).count() == 0
