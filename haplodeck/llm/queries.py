@@ -5,7 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from haplodeck.llm import byte_bpe, decontam, jaccard_join, license_scan, pii, quality_rules, sharding, token_counts, toxicity, warc_index
+from haplodeck.llm import (
+    byte_bpe,
+    decontam,
+    jaccard_join,
+    license_scan,
+    pii,
+    quality_rules,
+    sharding,
+    token_counts,
+    toxicity,
+    warc_index,
+    whitening,
+)
 from haplodeck.llm.statements import PERSONAL_DATA, QUALITY
 from haplodeck.llm.tables import read
 
@@ -110,3 +122,8 @@ FROM sets s JOIN reach r USING (doc_id) GROUP BY s.doc_id, len(s.s)
 @query
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.held_out_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(read(spark, sf_dir, "embeddings"))
