@@ -10,6 +10,7 @@ from haplodeck.llm import (
     decontam,
     jaccard_join,
     license_scan,
+    lm_scores,
     pii,
     quality_rules,
     sharding,
@@ -127,3 +128,8 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(read(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores.scores(read(spark, sf_dir, "documents"))
