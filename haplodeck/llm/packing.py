@@ -109,15 +109,16 @@ def block_texts(offsets: bytes, body: bytes) -> tuple[np.ndarray, np.ndarray]:
             unpack_rising(stretched(offsets)).astype(np.int64))
 
 
-def runs(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[object, list[dict]]]:
-    """(value, rows) of every run of equal values in a partition sorted by that column."""
+def runs(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple[tuple, list[dict]]]:
+    """(values, rows) of every run of equal values in a partition sorted by those columns."""
     now, rows = None, []
     for batch in batches:
         for row in batch.to_pylist():
-            if rows and row[column] != now:
+            own = tuple(row[c] for c in columns)
+            if rows and own != now:
                 yield now, rows
                 rows = []
-            now = row[column]
+            now = own
             rows.append(row)
     if rows:
         yield now, rows

@@ -11,6 +11,7 @@ from haplodeck.llm import (
     jaccard_join,
     license_scan,
     lm_scores,
+    phrases,
     pii,
     quality_rules,
     sharding,
@@ -19,7 +20,7 @@ from haplodeck.llm import (
     warc_index,
     whitening,
 )
-from haplodeck.llm.statements import PERSONAL_DATA, QUALITY
+from haplodeck.llm.statements import COLLOCATIONS, PERSONAL_DATA, QUALITY
 from haplodeck.llm.tables import read
 
 QUERIES = {}
@@ -125,6 +126,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.held_out_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+@query
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read(spark, sf_dir, "documents"))
+
+
+ORACLE["op11_collocations"] = COLLOCATIONS
+
+
 @query
 def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(read(spark, sf_dir, "embeddings"))

@@ -141,3 +141,37 @@ SELECT doc_id, coalesce(n_email, 0) AS n_email, coalesce(n_ip, 0) AS n_ip, coale
     coalesce(n_terms, 0) AS n_terms
 FROM t LEFT JOIN per USING (doc_id)
 """
+
+COLLOCATIONS = r"""
+WITH pieces AS MATERIALIZED (
+    SELECT lang, row_number() OVER () AS p, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+    FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+rows_of AS (SELECT lang, p, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM pieces),
+x AS MATERIALIZED (
+    SELECT lang, w AS w1, lead(w, 1) OVER o AS w2, lead(w, 2) OVER o AS w3, lead(w, 3) OVER o AS w4
+    FROM rows_of WINDOW o AS (PARTITION BY p ORDER BY i)),
+f AS MATERIALIZED (
+    SELECT lang, [w1] AS ws, count(*) AS n FROM x GROUP BY ALL
+    UNION ALL SELECT lang, [w1, w2], count(*) AS n FROM x WHERE w2 IS NOT NULL GROUP BY ALL HAVING n >= 30
+    UNION ALL SELECT lang, [w1, w2, w3], count(*) AS n FROM x WHERE w3 IS NOT NULL GROUP BY ALL HAVING n >= 30
+    UNION ALL SELECT lang, [w1, w2, w3, w4], count(*) AS n FROM x WHERE w4 IS NOT NULL GROUP BY ALL HAVING n >= 30),
+inside AS (
+    SELECT lang, ws[i:i + k - 1] AS ws, max(n) AS longer
+    FROM (SELECT *, unnest(range(1, len(ws) - k + 2)) AS i
+          FROM (SELECT *, unnest(range(2, len(ws))) AS k FROM f WHERE len(ws) > 2))
+    GROUP BY ALL),
+kept AS (
+    SELECT f.lang, f.ws, f.n AS a FROM f LEFT JOIN inside USING (lang, ws)
+    WHERE len(f.ws) > 1 AND NOT coalesce(100 * inside.longer >= 80 * f.n, false)),
+cuts AS (
+    SELECT c.lang, c.ws, c.a, c.k, l.n AS l, r.n AS r, (2000000::HUGEINT * c.a) // (l.n + r.n) AS score
+    FROM (SELECT *, unnest(range(1, len(ws))) AS k FROM kept) c
+    JOIN f l ON l.lang = c.lang AND l.ws = c.ws[1:c.k] JOIN f r ON r.lang = c.lang AND r.ws = c.ws[c.k + 1:len(c.ws)]),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, ws ORDER BY score, k) = 1),
+sizes AS (SELECT lang, count(*) AS n FROM x GROUP BY lang),
+spelt AS (SELECT lang, array_to_string(ws, ' ') AS phrase, a, l, r, score FROM lowest)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r,
+       sizes.n, score::BIGINT AS score
+FROM spelt JOIN sizes USING (lang) QUALIFY rank <= 2000
+"""
