@@ -65,7 +65,8 @@ def token_keys(w: Words, order: int) -> tuple[np.ndarray, list[np.ndarray]]:
             before = np.concatenate([[_BEGIN], gram[:-1]]).astype(np.uint64)
             before[first[:-1]] = _BEGIN
             gram = mixed(before * np.uint64(0x9E3779B97F4A7C15) + mixed(token + np.uint64(k)))
-        keys.append(gram & ~np.uint64(3) | np.uint64(k))
+        # words keep 62 bits, longer n-grams 54: they are most of what is shuffled
+        keys.append((gram if k == 0 else gram >> np.uint64(8)) & ~np.uint64(3) | np.uint64(k))
     return first, keys
 
 
@@ -97,7 +98,7 @@ def _asks(parts: DataFrame, order: int, buckets: int) -> DataFrame:
 def _answers(asks: DataFrame, buckets: int, held_out: int) -> DataFrame:
     """block, bucket, total and own counts in the order asked; known: words of the bucket, told once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket, rows in runs(batches, "bucket"):
+        for (bucket,), rows in runs(batches, "bucket"):
             keys = [unpack_rising(r["asked"]) for r in rows]
             edge = np.cumsum([0] + [len(k) for k in keys])
             seen, at = np.unique(np.concatenate(keys), return_inverse=True)
@@ -126,7 +127,7 @@ def counted(docs: DataFrame, key: str, text: str, order: int = ORDER) -> DataFra
     volume = text_volume(docs, text)
     buckets, spread = max(1, -(-volume // BUCKET_BYTES)), max(1, -(-volume // PART_BYTES))
     part = F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS)).cast("int")
-    parts = blocks(docs, key, text, part).repartition(spread, "block")
+    parts = blocks(docs, key, text, part)  # read twice, shuffled once
     kind = docs.schema[key].dataType.simpleString()
     told = _answers(_asks(parts, order, buckets).repartition(buckets, "bucket").sortWithinPartitions("bucket"),
                     buckets, HELD_OUT)
@@ -158,7 +159,7 @@ def counted(docs: DataFrame, key: str, text: str, order: int = ORDER) -> DataFra
                     pa.array([row["known"]], pa.int64()), pa.array([n], pa.int64()),
                 ], ["part", "keys", "first", "total", "own", "known", "n"])
 
-    joined = parts.join(told, "block").select("block", "group", "keys", "offsets", "body", "known", "told")
+    joined = parts.repartition(spread, "block").join(told, "block").select("block", "group", "keys", "offsets", "body", "known", "told")
     return written(joined.mapInArrow(
         run, f"part int, keys array<{kind}>, first binary, total array<binary>, own array<binary>, known long, n long"),
         "ngram-counts")

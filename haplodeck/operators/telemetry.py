@@ -90,9 +90,15 @@ def anomaly_reason(failure_pct: float = domain.FAILURE_RATE_ANOMALY_PCT,
     return F.when(text != "", text)
 
 
-def with_anomaly(beats: DataFrame) -> DataFrame:
-    """anomaly flag and reason; needs rolling_failure_pct."""
-    return beats.withColumn("anomaly_reason", anomaly_reason()).withColumn(
+def with_anomaly(beats: DataFrame, sender: tuple[str, str] | None = None) -> DataFrame:
+    """anomaly flag and reason; needs rolling_failure_pct. `sender` names the flag and the reason that
+    came with the beat: a flagged beat is an anomaly even where its own figures look healthy."""
+    reason = anomaly_reason()
+    if sender:
+        flag, told = F.coalesce(F.col(sender[0]), F.lit(False)), F.trim(F.coalesce(F.col(sender[1]), F.lit("")))
+        both = F.concat_ws("; ", reason, F.when(flag & (told != ""), told))
+        reason = F.when(both != "", both).when(flag, "flagged by sender")
+    return beats.withColumn("anomaly_reason", reason).withColumn(
         "anomaly", F.col("anomaly_reason").isNotNull())
 
 
@@ -130,17 +136,23 @@ def cost_projection(beats: DataFrame, hourly_usd: float, budget_usd: float) -> D
         "over_budget", F.coalesce(F.col("projected_total") > budget_usd, F.lit(False)))
 
 
+COUNTERS = ["people_done", "people_failed", "people_total"]
+
+
 def alert_transitions(beats: DataFrame, stale_minutes: float, as_of_sec: int | None = None,
-                      only: str | None = None, known_stale: str | None = None) -> DataFrame:
+                      only: str | None = None, known_stale: str | None = None,
+                      details: bool = False) -> DataFrame:
     """Edge-triggered alerts, one row each: finished / stopped (first terminal beat), stale (silence
     after a beat of a live run) and resumed, anomaly and cleared. `alert_sec` is when the alert
     holds: for stale the moment the silence passed the limit. With `as_of_sec`, runs that are
     silent at that second get their stale row too. `only` names a flag of the beats that may raise
-    alerts, `known_stale` one of beats after which the silence has been told already."""
+    alerts, `known_stale` one of beats after which the silence has been told already. `details` adds
+    the reason (of an anomaly or a silence) and the counters of the beat the alert stems from."""
     terminal = F.col("run_state").isin("complete", "failed")
     df = segmented_lag(_day(beats), RUN, ORDER, "_day",
                        {"sec": "_ps", "run_state": "_pr", "anomaly": "_pa",
-                        **({known_stale: "_told"} if known_stale else {})})
+                        **({known_stale: "_told"} if known_stale else {}),
+                        **({c: f"_before_{c}" for c in COUNTERS} if details else {})})
     if only:
         df = df.where(only)
     told = F.coalesce("_told", F.lit(False)) if known_stale else F.lit(False)
@@ -148,31 +160,41 @@ def alert_transitions(beats: DataFrame, stale_minutes: float, as_of_sec: int | N
     limit = int(stale_minutes * 60)
     silent = F.coalesce((F.col("sec") - F.col("_ps")) > limit, F.lit(False)) & ~was_terminal
     was_bad = F.coalesce("_pa", F.lit(False))
+    no_beat = silence_reason(stale_minutes)
 
-    def event(cond: Column, kind: str, when: Column) -> Column:
-        return F.when(cond, F.struct(F.lit(kind).alias("alert"), when.alias("alert_sec")))
+    def event(cond: Column, kind: str, when: Column, reason: Column | None = None, of: str = "") -> Column:
+        more = [
+            (F.lit(None).cast("string") if reason is None else reason).alias("reason"),
+            *[F.col(f"{of}{c}").alias(c) for c in COUNTERS],
+        ] if details else []
+        return F.when(cond, F.struct(F.lit(kind).alias("alert"), when.alias("alert_sec"), *more))
 
     now = F.col("sec")
     events = F.array(
-        event(silent & ~told, "stale", F.col("_ps") + limit),
+        event(silent & ~told, "stale", F.col("_ps") + limit, no_beat, "_before_"),
         event(silent, "resumed", now),
         event(terminal & ~was_terminal & (F.col("run_state") == "complete"), "finished", now),
         event(terminal & ~was_terminal & (F.col("run_state") == "failed"), "stopped", now),
-        event(F.col("anomaly") & ~was_bad, "anomaly", now),
+        event(F.col("anomaly") & ~was_bad, "anomaly", now, F.col("anomaly_reason") if details else None),
         event(~F.col("anomaly") & was_bad, "cleared", now),
     )
-    out = df.withColumn("_e", F.explode(F.filter(events, lambda e: e.isNotNull()))).select(
-        "run_id", "_e.alert", "_e.alert_sec")
+    out = df.withColumn("_e", F.explode(F.filter(events, lambda e: e.isNotNull()))).select("run_id", "_e.*")
     if as_of_sec is None:
         return out
-    last = beats.groupBy(*RUN).agg(F.max(F.struct(*ORDER, "run_state")).alias("_l"))
+    more = COUNTERS if details else []
+    last = beats.groupBy(*RUN).agg(F.max(F.struct(*ORDER, "run_state", *more)).alias("_l"))
     quiet = last.where(
         ~F.col("_l.run_state").isin("complete", "failed")
         & (F.lit(as_of_sec) > F.col("_l.sec") + limit)
-    ).select("run_id", F.lit("stale").alias("alert"), (F.col("_l.sec") + limit).alias("alert_sec"))
+    ).select("run_id", F.lit("stale").alias("alert"), (F.col("_l.sec") + limit).alias("alert_sec"),
+             *([no_beat.alias("reason")] if details else []), *[F.col(f"_l.{c}") for c in more])
     return out.unionByName(quiet)
 
 
+def silence_reason(stale_minutes: float) -> Column:
+    return F.lit(f"no beat for more than {stale_minutes:.0f} min")
+
+
 def current_status(beats: DataFrame, now_sec: int | Column, stale_minutes: float) -> DataFrame:
     """Status of every run from its last beat: complete, failed, starting, stale, anomaly, running."""
     last = first_per_key(beats, RUN, [F.col(o).desc() for o in ORDER])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from haplodeck.operators import telemetry as te
 from haplodeck.streaming import heartbeats as hb
+from haplodeck.streaming import ingest as ig
 
 START = 1_700_000_000
 
@@ -98,3 +99,142 @@ def test_append_sink_is_exactly_once(spark, beats, tmp_path):
     for _ in range(2):
         hb.append_beats(hb.read_beats(spark, path), str(tmp_path / "o"), str(tmp_path / "ck")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "o")).count() == df.count()
+
+
+BEAT = ("run_id long, event_id long, ts string, run_state string, people_done long, people_failed long, "
+        "people_total long, disk_used_pct double, mem_avail_pct double, anomaly boolean, anomaly_reason string")
+
+
+def put_beats(spark, path, rows):
+    """rows: (run, event, second, state, flag, reason); healthy figures."""
+    spark.createDataFrame([(r, e, s, st, e, 0, 99, 10.0, 50.0, f, why) for r, e, s, st, f, why in rows],
+                          BEAT.replace("ts string", "sec long")).select(
+        "run_id", "event_id", F.timestamp_seconds("sec").alias("ts"), "run_state", "people_done", "people_failed",
+        "people_total", "disk_used_pct", "mem_avail_pct", "anomaly", "anomaly_reason",
+    ).write.mode("append").json(path)
+
+
+def test_silence_of_every_run_is_told_once(spark, tmp_path):
+    source, ticked, folder = (str(tmp_path / n) for n in ("in", "ticks", "out"))
+    put_beats(spark, source, [(1, 1, START, "running", None, None), (2, 2, START + 60, "complete", None, None)])
+
+    def tick(sec):
+        spark.createDataFrame([(sec,)], "tick_sec long").write.mode("append").parquet(ticked)
+        hb.run_alerts(hb.read_beats(spark, source), folder, 60,
+                      ticks=spark.readStream.schema("tick_sec long").parquet(ticked)).awaitTermination()
+        return sorted((r.run_id, r.alert, r.alert_sec) for r in hb.read_alerts(spark, folder).collect())
+
+    finished = [(2, "finished", START + 60)]
+    assert tick(START + 100) == finished
+    assert tick(START + 3600 + 600) == finished  # not yet beyond the limit and the allowed lateness
+    stale = [(1, "stale", START + 3600), *finished]
+    assert tick(START + 3600 + 601) == stale
+    assert tick(START + 90000) == stale
+    put_beats(spark, source, [(1, 3, START + 90001, "running", None, None)])
+    assert tick(START + 90002) == sorted([*stale, (1, "resumed", START + 90001)])
+    details = {(r.alert, r.reason, r.people_done, r.people_total) for r in hb.read_alerts(spark, folder, True).collect()}
+    assert ("stale", "no beat for more than 60 min", 1, 99) in details and ("finished", None, 2, 99) in details
+
+
+def test_wall_clock_ticks_find_a_dead_stream(spark, tmp_path):
+    import time
+
+    source, folder = str(tmp_path / "in"), str(tmp_path / "out")
+    put_beats(spark, source, [(7, 1, START, "running", None, None)])
+    running = hb.run_alerts(hb.read_beats(spark, source), folder, 60, ticks=hb.processing_ticks(spark, 1),
+                            processingTime="1 second")
+    try:
+        until = time.time() + 90
+        while time.time() < until and running.isActive:
+            try:
+                if hb.read_alerts(spark, folder).count():
+                    break
+            except Exception:  # nothing written yet
+                pass
+            time.sleep(1)
+        assert [tuple(r) for r in hb.read_alerts(spark, folder).collect()] == [(7, "stale", START + 3600)]
+    finally:
+        running.stop()
+
+
+def test_flags_of_the_sender(spark, tmp_path):
+    source, folder = str(tmp_path / "in"), str(tmp_path / "out")
+    put_beats(spark, source, [(1, 1, START, "running", True, None), (1, 2, START + 9, "running", False, "ignored"),
+                              (1, 3, START + 20, "running", True, " queue stuck ")])
+    hb.run_alerts(hb.read_beats(spark, source), folder, 60).awaitTermination()
+    got = sorted((r.alert_sec - START, r.alert, r.reason) for r in hb.read_alerts(spark, folder, details=True).collect())
+    assert got == [(0, "anomaly", "flagged by sender"), (9, "cleared", None), (20, "anomaly", "queue stuck")]
+
+
+def test_state_of_many_batches_is_compacted(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(hb, "FULL_STATE_EVERY", 2)
+    source, folder = str(tmp_path / "in"), tmp_path / "out"
+    for i in range(7):
+        put_beats(spark, source, [(1 + i % 3, i, START + 10 * i, "complete" if i == 6 else "running", None, None)])
+        hb.run_alerts(hb.read_beats(spark, source), str(folder), 60).awaitTermination()
+    states = sorted(int(p.name.split("=")[1]) for p in (folder / "state").iterdir())
+    assert states[0] > 0 and states[-1] == 6
+    assert {r.run_id: r.event_id for r in hb._last_state(spark, str(folder), 7).collect()} == {1: 6, 2: 4, 3: 5}
+    assert [tuple(r) for r in hb.read_alerts(spark, str(folder)).collect()] == [(1, "finished", START + 60)]
+
+
+def lines_of(*rows):
+    return [r if isinstance(r, str) else '{"received_ts": %s, "payload": {"run_id": %d, "event_id": %d, "ts": "%s", '
+            '"run_state": "running", "people_done": %d}}' % r for r in rows]
+
+
+def ingested(spark, folder, lines):
+    spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode("append").text(f"{folder}/in")
+    ig.ingest(ig.read_lines(spark, f"{folder}/in"), folder).awaitTermination()
+    beats = sorted((r.run_id, r.event_id, r.people_done) for r in ig.read_stored(spark, folder).collect())
+    broken = sorted((r.reason, r.line) for r in ig.read_quarantine(spark, folder).collect())
+    told = [tuple(r) for r in ig.read_ledger(spark, folder).orderBy("batch").select(
+        "n_blank", "n_stored", "n_replayed", "n_quarantined").collect()]
+    return beats, broken, told
+
+
+def test_ingest_keeps_every_line_somewhere_and_survives_a_repeated_batch(spark, tmp_path):
+    folder = str(tmp_path / "log")
+    day = "2024-03-0{}T10:00:00.000Z".format
+    bad = ['{"received_ts": 1, "payl', '{"received_ts": 1}', lines_of((1, 1, 9, "soon", 1))[0],
+           lines_of((1, 1, 9, day(1), -4))[0], '{"received_ts": 1, "payload": {"event_id": 3, "ts": "2024-03-01"}}',
+           '{"received_ts": 1, "payload": {"run_id": "x", "event_id": 3, "ts": "2024-03-01"}}']
+    first = lines_of((10, 1, 1, day(1), 5), (11, 1, 1, day(1), 5), (12, 2, 1, day(2), 6)) + ["", "  ", *bad]
+    beats, broken, told = ingested(spark, folder, first)
+    assert beats == [(1, 1, 5), (2, 1, 6)] and told == [(2, 2, 1, 6)]
+    assert sorted(line for _, line in broken) == sorted(bad)
+    assert {r for r, _ in broken} == {"not json", "no payload", "no time", "negative count", "no run or event"}
+    again = lines_of((20, 1, 1, day(1), 5), (21, 1, 2, day(3), 7))
+    want = ([(1, 1, 5), (1, 2, 7), (2, 1, 6)], broken, [(2, 2, 1, 6), (0, 1, 1, 0)])
+    assert ingested(spark, folder, again) == want
+    # the second batch loses its commit, as in a crash after writing: it runs again and replaces its rows
+    for name in ("commits/1", "commits/.1.crc"):
+        path = tmp_path / "log" / "progress" / name
+        if path.exists():
+            path.unlink()
+    ig.ingest(ig.read_lines(spark, f"{folder}/in"), folder).awaitTermination()
+    assert sorted((r.run_id, r.event_id, r.people_done) for r in ig.read_stored(spark, folder).collect()) == want[0]
+    assert [tuple(r)[:4] for r in ig.read_ledger(spark, folder).orderBy("batch").collect()] == want[2]
+
+
+def test_recovered_state_takes_the_current_session(spark):
+    rows = [(1, i, s, "running", i, 0) for i, s in enumerate((0, 100, 5500, 10901, 10950))] + [(2, 9, 7, "failed", 1, 1)]
+    df = spark.createDataFrame(rows, "run_id long, event_id long, sec long, run_state string, people_done long, people_failed long")
+    got = sorted(tuple(r) for r in ig.recovered_state(df, points=1).collect())
+    assert got == [(1, 4, 10950, "running", 4, 0, 10901, 1), (2, 9, 7, "failed", 1, 1, 7, 1)]
+
+
+def test_event_time_streams_drop_and_count_late_beats(spark, tmp_path):
+    source, folder = str(tmp_path / "in"), str(tmp_path / "out")
+    waves = [[0, 5400, 10801, 16201], [5401, 12600, 16202, 40000], [39000, 34001, 33999, 90000]]
+    late = 0
+    for w, secs in enumerate(waves):  # allowed lateness 6000 s: wave 1 is late up to 10201, wave 2 up to 34000
+        put_beats(spark, source, [(1, 10 * w + i, START + s, "running", None, None) for i, s in enumerate(secs)])
+        stream = hb.session_costs(hb.read_beats(spark, source), 1.0, late="6000 seconds")
+        running = hb.append_results(stream, folder)
+        running.awaitTermination()
+        late += hb.late_beats(running)
+    got = sorted((r.first_sec - START, r.last_sec - START, r.n_beats)
+                 for r in spark.read.schema(stream.schema).parquet(f"{folder}/rows").collect())
+    # 0 and 5400 are exactly 90 minutes apart: one session; 10801 begins the next
+    assert got == [(0, 5400, 2), (10801, 16202, 4), (34001, 40000, 3)] and late == 2
