@@ -26,13 +26,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from haplodeck.llm.arrow_text import Words, mixed, words
+from haplodeck.llm.arrow_text import mixed
 from haplodeck.llm.packing import (
+    Block,
     block_texts,
+    block_words,
     blocks,
+    map_blocks,
     pack,
     pack_rising,
     runs,
@@ -52,13 +55,13 @@ _ROUNDS, _SETTLED = 300, 1e-7
 _STEPS = 2  # cells per octave
 
 
-def token_keys(w: Words, order: int) -> tuple[np.ndarray, list[np.ndarray]]:
+def token_keys(hashes: np.ndarray, starts: np.ndarray, order: int) -> tuple[np.ndarray, list[np.ndarray]]:
     """(first token of each text and the total, keys of the n-grams of order 1, 2, ... that end at each
     token). The last token of a text is its end; before its first one stand begin marks."""
-    n = np.diff(w.first)
+    n = np.diff(starts)
     first = np.concatenate([[0], np.cumsum(n + 1)]).astype(np.int64)
     token = np.full(first[-1], _END, np.uint64)
-    token[np.arange(len(w.hashes)) + np.repeat(np.arange(len(n)), n)] = w.hashes
+    token[np.arange(len(hashes)) + np.repeat(np.arange(len(n)), n)] = hashes
     gram, keys = mixed(token), []
     for k in range(order):
         if k:
@@ -77,22 +80,18 @@ def _shares(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return order, np.searchsorted(own[order], np.arange(buckets + 1))
 
 
-def _asks(parts: DataFrame, order: int, buckets: int) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                _, keys = token_keys(words(*block_texts(row["offsets"], row["body"])), order)
-                asked, counts = np.unique(np.concatenate(keys), return_counts=True)
-                at, edge = _shares(asked, buckets)
-                found = np.flatnonzero(np.diff(edge))
-                own = [at[edge[b]:edge[b + 1]] for b in found]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(found, pa.int32()), pa.array([row["block"]] * len(own)),
-                    pa.array([row["group"]] * len(own), pa.int32()),
-                    pa.array([pack_rising(asked[i] // np.uint64(buckets)) for i in own], pa.binary()),
-                    pa.array([pack(counts[i]) for i in own], pa.binary())], ["bucket", "block", "part", "asked", "counts"])
+def _asks(docs: DataFrame, key: str, text: str, part: Column, order: int, buckets: int) -> DataFrame:
+    def ask(b: Block) -> pa.RecordBatch:
+        asked, counts = np.unique(np.concatenate(token_keys(*block_words(b.offsets, b.body), order)[1]), return_counts=True)
+        at, edge = _shares(asked, buckets)
+        found = np.flatnonzero(np.diff(edge))
+        own = [at[edge[i]:edge[i + 1]] for i in found]
+        return pa.RecordBatch.from_arrays([
+            pa.array(found, pa.int32()), pa.array([b.name] * len(own)), pa.array([b.group] * len(own), pa.int32()),
+            pa.array([pack_rising(asked[i] // np.uint64(buckets)) for i in own], pa.binary()),
+            pa.array([pack(counts[i]) for i in own], pa.binary())], ["bucket", "block", "part", "asked", "counts"])
 
-    return parts.mapInArrow(run, "bucket int, block string, part int, asked binary, counts binary")
+    return map_blocks(docs, key, text, part, ask, "bucket int, block string, part int, asked binary, counts binary")
 
 
 def _answers(asks: DataFrame, buckets: int, held_out: int) -> DataFrame:
@@ -127,9 +126,9 @@ def counted(docs: DataFrame, key: str, text: str, order: int = ORDER) -> DataFra
     volume = text_volume(docs, text)
     buckets, spread = max(1, -(-volume // BUCKET_BYTES)), max(1, -(-volume // PART_BYTES))
     part = F.pmod(F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")), F.lit(FOLDS)).cast("int")
-    parts = blocks(docs, key, text, part)  # read twice, shuffled once
+    parts = blocks(docs, key, text, part)  # the texts are read twice and shuffled once
     kind = docs.schema[key].dataType.simpleString()
-    told = _answers(_asks(parts, order, buckets).repartition(buckets, "bucket").sortWithinPartitions("bucket"),
+    told = _answers(_asks(docs, key, text, part, order, buckets).repartition(buckets, "bucket").sortWithinPartitions("bucket"),
                     buckets, HELD_OUT)
     told = told.groupBy("block").agg(
         F.sum("known").alias("known"), F.collect_list(F.struct("bucket", "total", "own")).alias("told"))
@@ -137,7 +136,7 @@ def counted(docs: DataFrame, key: str, text: str, order: int = ORDER) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, row in enumerate(batch.select(["block", "group", "offsets", "body", "known", "told"]).to_pylist()):
-                first, keys = token_keys(words(*block_texts(row["offsets"], row["body"])), order)
+                first, keys = token_keys(*block_words(*block_texts(row["offsets"], row["body"])), order)
                 asked, at = np.unique(np.concatenate(keys), return_inverse=True)
                 by, edge = _shares(asked, buckets)
                 total, own = np.zeros(len(asked), np.uint64), np.zeros(len(asked), np.uint64)

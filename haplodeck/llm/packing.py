@@ -3,16 +3,22 @@
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from haplodeck.llm.arrow_text import words
 
 #: Text of a block and its rows at most; a longer single text is a block of its own.
 BLOCK_BYTES, BLOCK_ROWS = 4 << 20, 20_000
+#: Text whose words are cut at a time.
+CUT_BYTES = 1 << 20
 _ZSTD = "zstd"
 
 
@@ -59,33 +65,28 @@ def text_volume(docs: DataFrame, text: str) -> int:
     return docs.agg(F.sum(size + 8)).first()[0] or 0
 
 
-def blocks(docs: DataFrame, key: str, text: str, group: Column) -> DataFrame:
-    """block string, group, keys array, offsets binary, body binary: the texts of a partition, those of
-    one group together, in blocks of bounded size. The name of a block holds a checksum of its texts, so
-    a block that comes out otherwise in a second attempt meets nothing instead of the wrong rows; `docs`
-    should be a stored table, which reads alike every time."""
-    rows = docs.select(group.alias("group"), F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    kind = {c: rows.schema[c].dataType.simpleString() for c in ("group", "key")}
-    names = ["block", "group", "keys", "offsets", "body"]
+class Block(NamedTuple):
+    name: str  # holds a checksum of the texts
+    group: object
+    keys: list
+    offsets: np.ndarray
+    body: bytes
+
 
+def _grouped(rows: DataFrame, then: Callable[[Block], pa.RecordBatch], schema: str) -> DataFrame:
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
         task, made = TaskContext.get().partitionId(), 0
-        types = None
 
         def block(g) -> pa.RecordBatch:
             nonlocal made
             keys, texts, _ = held.pop(g)
             made += 1
-            ends = np.cumsum([0] + [len(t) for t in texts]).astype(np.uint64)
             body = b"".join(texts)
-            return pa.RecordBatch.from_arrays([
-                pa.array([f"{task}-{made}-{zlib.crc32(body):08x}"]), pa.array([g], types[0]),
-                pa.array([keys], pa.list_(types[1])), pa.array([squeezed(pack_rising(ends))], pa.binary()),
-                pa.array([squeezed(body)], pa.binary())], names)
+            offsets = np.cumsum([0] + [len(t) for t in texts])
+            return then(Block(f"{task}-{made}-{zlib.crc32(body):08x}", g, keys, offsets, body))
 
         for batch in batches:
-            types = types or (batch.schema.field(0).type, batch.schema.field(1).type)
             groups, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             texts = batch.column(2).cast(pa.large_string()).cast(pa.large_binary())
             for i, g in enumerate(groups):
@@ -99,14 +100,55 @@ def blocks(docs: DataFrame, key: str, text: str, group: Column) -> DataFrame:
         for g in list(held):
             yield block(g)
 
-    return rows.mapInArrow(
-        cut, f"block string, group {kind['group']}, keys array<{kind['key']}>, offsets binary, body binary")
+    return rows.mapInArrow(cut, schema)
+
+
+def _rows(docs: DataFrame, key: str, text: str, group: Column) -> DataFrame:
+    return docs.select(group.alias("group"), F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
 
-def block_texts(offsets: bytes, body: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of a block's texts, as `arrow_text.words` takes them."""
-    return (np.frombuffer(stretched(body), np.uint8),
-            unpack_rising(stretched(offsets)).astype(np.int64))
+def map_blocks(docs: DataFrame, key: str, text: str, group: Column, then: Callable[[Block], pa.RecordBatch],
+               schema: str) -> DataFrame:
+    """What `then` makes of every block; the same blocks as `blocks` returns."""
+    return _grouped(_rows(docs, key, text, group), then, schema)
+
+
+def blocks(docs: DataFrame, key: str, text: str, group: Column) -> DataFrame:
+    """block, group, keys array, offsets binary, body binary: the texts of a partition, those of
+    one group together, in blocks of bounded size. The name of a block holds a checksum of its texts, so
+    a block that comes out otherwise in a second attempt meets nothing instead of the wrong rows; `docs`
+    should be a stored table, which reads alike every time."""
+    rows = _rows(docs, key, text, group)
+    kinds = to_arrow_schema(rows.schema)
+    group_type, key_type = kinds.field("group").type, kinds.field("key").type
+
+    def packed(b: Block) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([
+            pa.array([b.name]), pa.array([b.group], group_type), pa.array([b.keys], pa.list_(key_type)),
+            pa.array([squeezed(pack_rising(b.offsets.astype(np.uint64)))], pa.binary()),
+            pa.array([squeezed(b.body)], pa.binary())], ["block", "group", "keys", "offsets", "body"])
+
+    kind = {c: rows.schema[c].dataType.simpleString() for c in ("group", "key")}
+    return _grouped(rows, packed, f"block string, group {kind['group']}, keys array<{kind['key']}>, "
+                                  "offsets binary, body binary")
+
+
+def block_texts(offsets: bytes, body: bytes) -> tuple[np.ndarray, bytes]:
+    """(offsets, bytes) of a block's texts."""
+    return unpack_rising(stretched(offsets)).astype(np.int64), stretched(body)
+
+
+def block_words(offsets: np.ndarray, body: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes of all words, first word of each text and the total), cut a few texts at a time."""
+    data, found, sizes, at = np.frombuffer(body, np.uint8), [], [], 0
+    while at + 1 < len(offsets):
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CUT_BYTES, "right")) - 1)
+        w = words(data[offsets[at]:offsets[to]], offsets[at:to + 1] - offsets[at])
+        found.append(w.hashes)
+        sizes.append(np.diff(w.first))
+        at = to
+    sizes = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
+    return (np.concatenate(found) if found else np.zeros(0, np.uint64)), np.concatenate([[0], np.cumsum(sizes)])
 
 
 def runs(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[tuple[tuple, list[dict]]]:
