@@ -482,6 +482,7 @@ ranked AS (SELECT person_id, gene, tool, score,
   row_number() OVER (PARTITION BY tool ORDER BY score DESC, person_id, gene) AS rank FROM scores WHERE passes),
 kept AS (SELECT ranked.* FROM ranked CROSS JOIN lim WHERE rank <= n)"""
 ORACLE["rank_trim_match"] = f"WITH {SCORES} SELECT * REPLACE (round(score, 6) AS score) FROM kept"
+ORACLE["rank_trim_selection"] = f"WITH {SCORES} SELECT person_id, gene, tool, round(score, 6) AS score FROM kept"
 ORACLE["retention_stages"] = f"""WITH {SCORES}, s AS (
   SELECT tool, coalesce(x.gene, 'ALL') AS gene, count(*) AS all_resolved,
     count(*) FILTER (WHERE passes) AS after_threshold, count(k.rank) AS after_matching
@@ -940,6 +941,7 @@ SELECT *, round(tp / nullif(tp + fp, 0)::DOUBLE, 6) AS ppv, round(tp / nullif(tp
 
 
 ORACLE["threshold_metrics"] = thresholds(["0.05", "0.10"])
+ORACLE["threshold_selection"] = ORACLE["threshold_metrics"]
 ORACLE["threshold_metrics_by_group"] = thresholds(["0.10"], "ancestry")
 ORACLE["stratified_folds"] = f"""WITH {BASE}, n AS (SELECT sum(case_) AS p, sum(1 - case_) AS q FROM persons)
 SELECT CAST(f AS INTEGER) AS fold, label, count(*) AS n FROM (

@@ -14,6 +14,7 @@ from haplodeck import domain
 from haplodeck.functions import alleles as al
 from haplodeck.functions.text import share
 from haplodeck.operators.prefix import global_rank, grouped_running_totals
+from haplodeck.operators.selection import first_k, key_order
 
 
 def attach_phenotype(people: DataFrame, phenotype: DataFrame) -> DataFrame:
@@ -217,6 +218,15 @@ def risk_deciles(scores: DataFrame, bins: int = 10) -> DataFrame:
                           F.try_divide(rate, prevalence).alias("enrichment"))
 
 
+def _with_predictive_values(out: DataFrame) -> DataFrame:
+    return out.withColumns({
+        "ppv": share(F.col("tp"), F.col("tp") + F.col("fp")),
+        "sensitivity": share(F.col("tp"), F.col("tp") + F.col("fn")),
+        "specificity": share(F.col("tn"), F.col("tn") + F.col("fp")),
+        "npv": share(F.col("tn"), F.col("tn") + F.col("fn")),
+    })
+
+
 def threshold_metrics(scores: DataFrame, fractions: list[float], group: str | None = None) -> DataFrame:
     """PPV, sensitivity, specificity and NPV when the top fraction is flagged; the flagged count is
     max(1, round half even of n * fraction)."""
@@ -236,9 +246,21 @@ def threshold_metrics(scores: DataFrame, fractions: list[float], group: str | No
         F.count_if(F.col("flag") & pos).alias("tp"), F.count_if(F.col("flag") & ~pos).alias("fp"),
         F.count_if(~F.col("flag") & pos).alias("fn"), F.count_if(~F.col("flag") & ~pos).alias("tn"),
     )
-    return out.withColumns({
-        "ppv": share(F.col("tp"), F.col("tp") + F.col("fp")),
-        "sensitivity": share(F.col("tp"), F.col("tp") + F.col("fn")),
-        "specificity": share(F.col("tn"), F.col("tn") + F.col("fp")),
-        "npv": share(F.col("tn"), F.col("tn") + F.col("fn")),
-    })
+    return _with_predictive_values(out)
+
+
+def threshold_metrics_selected(scores: DataFrame, fractions: list[float]) -> DataFrame:
+    """The pooled `threshold_metrics` by selection of the flagged rows instead of an order of all. Reads
+    `scores` several times, so give them written."""
+    rows, person = key_order(scores.select("person_id", "label", (-F.col("score")).alias("_down")), "person_id")
+    n, n_pos = scores.agg(F.count("*"), F.count_if(F.col("label") == 1)).first()
+    sets = F.array(*[F.lit(str(f)) for f in fractions])
+    # half even on the double product, as bround does
+    wanted = {str(f): max(1, round(n * f)) for f in fractions}
+    flagged = first_k(rows.withColumn("set", F.explode(sets)), "set", wanted, ["_down", person], ["person_id"])
+    out = flagged.groupBy("set").agg(
+        F.count("*").alias("n_flagged"), F.count_if(F.col("label") == 1).alias("tp"),
+        F.count_if(F.col("label") != 1).alias("fp")).select(
+        F.col("set").cast("double").alias("fraction"), "n_flagged", "tp", "fp", (F.lit(n_pos) - F.col("tp")).alias("fn"),
+        (F.lit(n - n_pos) - F.col("fp")).alias("tn"))
+    return _with_predictive_values(out)

@@ -11,9 +11,11 @@ from haplodeck.functions.text import both_or_null, pct, to_double, truthy
 from haplodeck.operators import concordance as cc
 from haplodeck.operators.prefix import exact_quantiles, global_rank
 from haplodeck.operators.rows import with_once
+from haplodeck.operators.selection import first_k, key_order
 from haplodeck.session import cut_lineage
 
 LR, ASM = ("lr_1", "lr_2"), ("asm_1", "asm_2")
+TOOLS = ["asm", "lr"]
 
 
 def long_read_evidence() -> dict[str, Column]:
@@ -134,33 +136,45 @@ def truth_scores(rows: DataFrame, min_identity: float, max_distance: float) -> D
 
 
 def rank_trim_match(scores: DataFrame) -> DataFrame:
-    """Equal-size sets: both tools' passing slots cut to the size of the smaller set, the surest
+    """Equal-size sets with ranks: both tools' passing slots cut to the size of the smaller set, the surest
     kept, ties by (person, gene). One range-partitioned ordering serves both tools: it sorts by
-    tool first, so a tool's rank is the global rank less the rows of the tools before it."""
-    passing = scores.where("passes").select("person_id", "gene", "tool", "score")
+    tool first, so a tool's rank is the global rank less the rows of the tools before it. The narrow rows
+    are written before they are sampled and ordered. Where ranks are not needed see `matched_slots`."""
+    passing = cut_lineage(scores.where("passes").select("person_id", "gene", "tool", "score"))
     ranked = global_rank(
         passing, [F.col("tool"), F.col("score").desc(), F.col("person_id"), F.col("gene")], "_rank"
     )
-    sizes = {r["tool"]: r["n"] for r in ranked.groupBy("tool").agg(F.count("*").alias("n")).collect()}
-    n_asm, n_lr = sizes.get("asm", 0), sizes.get("lr", 0)
-    in_tool = F.when(F.col("tool") == "asm", F.col("_rank")).otherwise(F.col("_rank") - n_asm)
-    return ranked.withColumn("rank", in_tool).where(F.col("rank") <= min(n_asm, n_lr)).drop("_rank")
+    sizes = passing.agg(F.count_if(F.col("tool") == "asm").alias("n_asm"), F.count_if(F.col("tool") == "lr").alias("n_lr"))
+    in_tool = F.when(F.col("tool") == "asm", F.col("_rank")).otherwise(
+        F.col("_rank") - sizes.select("n_asm").scalar())
+    return ranked.withColumn("rank", in_tool).where(
+        F.col("rank") <= sizes.select(F.least("n_asm", "n_lr")).scalar()).drop("_rank")
 
 
-def retention_stages(scores: DataFrame, n_slots: int) -> DataFrame:
+def matched_slots(scores: DataFrame) -> DataFrame:
+    """The rows of `rank_trim_match` without their ranks, chosen by selection: no table is ordered. Reads
+    `scores` several times, so give them written."""
+    passing = scores.where("passes").select("person_id", "gene", "tool", "score").withColumn("_down", -F.col("score"))
+    sizes = passing.agg(*[F.count_if(F.col("tool") == t) for t in TOOLS]).first()
+    passing, person = key_order(passing, "person_id")
+    return first_k(passing, "tool", {t: min(sizes) for t in TOOLS}, ["_down", person], ["person_id", "gene"]).select(
+        "person_id", "gene", "tool", "score")
+
+
+def retention_stages(scores: DataFrame, n_slots: int | Column) -> DataFrame:
     """Slots per gene and tool: resolved, past the bar, past size matching; each also as a share
-    of the one common denominator. The narrow score rows are written once: ordering, counting and
-    the final join all read them again."""
+    of the one common denominator. The narrow score rows are written once; counting and selecting
+    read them."""
     scores = cut_lineage(scores)
-    matched = rank_trim_match(scores).select("person_id", "gene", "tool", F.lit(1).alias("_m"))
-    out = scores.join(matched, ["person_id", "gene", "tool"], "left").groupBy("gene", "tool").agg(
+    matched = matched_slots(scores).groupBy("gene", "tool").agg(F.count("*").alias("after_matching"))
+    out = scores.groupBy("gene", "tool").agg(
         F.count("*").alias("all_resolved"),
         F.count_if("passes").alias("after_threshold"),
-        F.count("_m").alias("after_matching"),
-    )
+    ).join(matched, ["gene", "tool"], "left").withColumn("after_matching", F.coalesce("after_matching", F.lit(0)))
     total = cc.with_total(out, ["tool"], "gene", ["all_resolved", "after_threshold", "after_matching"])
+    slots = F.lit(n_slots) if isinstance(n_slots, int) else n_slots
     return total.withColumns({
-        f"{c}_slot_pct": pct(F.col(c), F.lit(n_slots))
+        f"{c}_slot_pct": pct(F.col(c), slots)
         for c in ("all_resolved", "after_threshold", "after_matching")
     })
 
@@ -169,7 +183,7 @@ def confidence_matched_rates(rows: DataFrame, methods: dict[str, cc.Pair], min_i
                              max_distance: float, levels: list[int] = (1, 2)) -> DataFrame:
     """Both truth sources, before and after confidence matching: counts and match rate per truth,
     scenario, gene, method and level."""
-    matched = rank_trim_match(cut_lineage(truth_scores(rows, min_identity, max_distance)))
+    matched = matched_slots(cut_lineage(truth_scores(rows, min_identity, max_distance)))
     kept = matched.groupBy("person_id", "gene").agg(
         *[F.bool_or(F.col("tool") == t).alias(f"_in_{t}") for t in ("lr", "asm")])
     flagged = rows.join(kept, ["person_id", "gene"], "left")

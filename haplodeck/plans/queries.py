@@ -17,7 +17,7 @@ from haplodeck.operators import (
     telemetry as te,
 )
 from haplodeck.plans import fixtures as fx
-from haplodeck.session import checkpoint_dir
+from haplodeck.session import checkpoint_dir, cut_lineage
 from haplodeck.sources.callers import parse_haplotypes
 from haplodeck.streaming import heartbeats as hb
 
@@ -304,7 +304,7 @@ def upper_median(spark, d):
 
 @query
 def retention_stages(spark, d):
-    n_slots = fx.persons(spark, d).count() * len(domain.GENES)
+    n_slots = fx.persons(spark, d).agg(F.count("*") * len(domain.GENES)).scalar()
     scores = cf.truth_scores(_evidence_rows(spark, d), MIN_IDENTITY, MAX_DISTANCE)
     return cf.retention_stages(scores, n_slots)
 
@@ -315,6 +315,12 @@ def rank_trim_match(spark, d):
     return cf.rank_trim_match(scores)
 
 
+@query
+def rank_trim_selection(spark, d):
+    scores = cut_lineage(cf.truth_scores(_evidence_rows(spark, d), MIN_IDENTITY, MAX_DISTANCE))
+    return cf.matched_slots(scores)
+
+
 @query
 def confidence_matched_rates(spark, d):
     return cf.confidence_matched_rates(_evidence_rows(spark, d), METHODS, MIN_IDENTITY, MAX_DISTANCE)
@@ -795,6 +801,11 @@ def threshold_metrics(spark, d):
     return assoc.threshold_metrics(fx.risk_scores(spark, d), [0.05, 0.10])
 
 
+@query
+def threshold_selection(spark, d):
+    return assoc.threshold_metrics_selected(cut_lineage(fx.risk_scores(spark, d)), [0.05, 0.10])
+
+
 @query
 def threshold_metrics_by_group(spark, d):
     return assoc.threshold_metrics(fx.risk_scores(spark, d), [0.10], "ancestry")
