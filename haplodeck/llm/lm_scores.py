@@ -88,8 +88,8 @@ def _asks(docs: DataFrame, key: str, text: str, part: Column, order: int, bucket
         own = [at[edge[i]:edge[i + 1]] for i in found]
         return pa.RecordBatch.from_arrays([
             pa.array(found, pa.int32()), pa.array([b.name] * len(own)), pa.array([b.group] * len(own), pa.int32()),
-            pa.array([pack_rising(asked[i] // np.uint64(buckets)) for i in own], pa.binary()),
-            pa.array([pack(counts[i]) for i in own], pa.binary())], ["bucket", "block", "part", "asked", "counts"])
+            pa.array([squeezed(pack_rising(asked[i] // np.uint64(buckets))) for i in own], pa.binary()),
+            pa.array([squeezed(pack(counts[i])) for i in own], pa.binary())], ["bucket", "block", "part", "asked", "counts"])
 
     return map_blocks(docs, key, text, part, ask, "bucket int, block string, part int, asked binary, counts binary")
 
@@ -98,14 +98,14 @@ def _answers(asks: DataFrame, buckets: int, held_out: int) -> DataFrame:
     """block, bucket, total and own counts in the order asked; known: words of the bucket, told once."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (bucket,), rows in runs(batches, "bucket"):
-            keys = [unpack_rising(r["asked"]) for r in rows]
+            keys = [unpack_rising(stretched(r["asked"])) for r in rows]
             edge = np.cumsum([0] + [len(k) for k in keys])
             seen, at = np.unique(np.concatenate(keys), return_inverse=True)
             by_part: dict[int, np.ndarray] = {}
             for i, r in enumerate(rows):
                 if r["part"] != held_out:
                     own = by_part.setdefault(r["part"], np.zeros(len(seen), np.int64))
-                    own[at[edge[i]:edge[i + 1]]] += unpack(r["counts"]).astype(np.int64)
+                    own[at[edge[i]:edge[i + 1]]] += unpack(stretched(r["counts"])).astype(np.int64)
             total = sum(by_part.values(), np.zeros(len(seen), np.int64))
             word = (seen * np.uint64(buckets) + np.uint64(bucket)) & np.uint64(3) == 0
             known = int((word & (total > 0)).sum())
@@ -113,8 +113,8 @@ def _answers(asks: DataFrame, buckets: int, held_out: int) -> DataFrame:
                 mine = at[edge[i]:edge[i + 1]]
                 own = by_part[r["part"]][mine] if r["part"] != held_out else mine[:0]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array([r["block"]]), pa.array([bucket], pa.int32()), pa.array([pack(total[mine])], pa.binary()),
-                    pa.array([pack(own)], pa.binary()), pa.array([known if i == 0 else 0], pa.int64()),
+                    pa.array([r["block"]]), pa.array([bucket], pa.int32()), pa.array([squeezed(pack(total[mine]))], pa.binary()),
+                    pa.array([squeezed(pack(own))], pa.binary()), pa.array([known if i == 0 else 0], pa.int64()),
                 ], ["block", "bucket", "total", "own", "known"])
 
     return asks.mapInArrow(run, "block string, bucket int, total binary, own binary, known long")
@@ -140,12 +140,15 @@ def counted(docs: DataFrame, key: str, text: str, order: int = ORDER) -> DataFra
                 asked, at = np.unique(np.concatenate(keys), return_inverse=True)
                 by, edge = _shares(asked, buckets)
                 total, own = np.zeros(len(asked), np.uint64), np.zeros(len(asked), np.uint64)
+                seen = 0
                 for a in row["told"]:
                     mine = by[edge[a["bucket"]]:edge[a["bucket"] + 1]]
-                    total[mine] = unpack(a["total"])
-                    if row["group"] != HELD_OUT:
-                        own[mine] = unpack(a["own"])
-                if sum(len(unpack(a["total"])) for a in row["told"]) != len(asked):
+                    told = unpack(stretched(a["total"]))
+                    seen += len(told)
+                    total[mine] = told if len(told) == len(mine) else 0
+                    if row["group"] != HELD_OUT and len(told) == len(mine):
+                        own[mine] = unpack(stretched(a["own"]))
+                if seen != len(asked):
                     raise ValueError(f"block {row['block']} has other texts than when it asked")
                 n = len(keys[0])
                 split = [at[j * n:(j + 1) * n] for j in range(order)]
