@@ -36,10 +36,10 @@ def annotation_evidence(annotations: DataFrame) -> DataFrame:
     )
 
 
-def assemble(log_rows: DataFrame, asm_calls: DataFrame, annotations: DataFrame) -> DataFrame:
+def assemble(log_rows: DataFrame, asm_calls: DataFrame, annotations: DataFrame, bare: bool = False) -> DataFrame:
     """Log rows with long-read evidence, assembly calls and assembly evidence. Only keys of the
-    log survive."""
-    calls = asm_calls.select("person_id", al.bare_gene("gene").alias("gene"), *ASM)
+    log survive. `bare` says that the calls' genes have no prefix, so a table stored by gene keeps its layout."""
+    calls = asm_calls.select("person_id", "gene" if bare else al.bare_gene("gene").alias("gene"), *ASM)
     return (
         with_once(log_rows, long_read_evidence())
         .join(calls, ["person_id", "gene"], "left")

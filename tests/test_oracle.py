@@ -8,13 +8,15 @@ import pytest
 
 from checks.oracle import ORACLE as MAIN_ORACLE
 from checks.reader_oracle import ORACLE as READER_ORACLE
+from checks.stored_oracle import ORACLE as STORED_ORACLE
 from checks.stream_oracle import ORACLE as STREAM_ORACLE
 from haplodeck.plans.queries import QUERIES as MAIN_QUERIES
 from haplodeck.plans.readers import QUERIES as READER_QUERIES
+from haplodeck.plans.stored import QUERIES as STORED_QUERIES
 from haplodeck.plans.streams import QUERIES as STREAM_QUERIES
 
-QUERIES = {**MAIN_QUERIES, **READER_QUERIES, **STREAM_QUERIES}
-ORACLE = {**MAIN_ORACLE, **READER_ORACLE, **STREAM_ORACLE}
+QUERIES = {**MAIN_QUERIES, **READER_QUERIES, **STREAM_QUERIES, **STORED_QUERIES}
+ORACLE = {**MAIN_ORACLE, **READER_ORACLE, **STREAM_ORACLE, **STORED_ORACLE}
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
