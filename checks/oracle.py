@@ -889,6 +889,8 @@ ORACLE["model_population"] = f"""WITH {MODEL}, f AS (
   SELECT (row_number() OVER (ORDER BY label, person_id) - 1) % 5 AS fold, label FROM pop),
 p AS (SELECT fold, count(*) AS n, sum(label) AS c FROM f GROUP BY 1)
 SELECT sum(n)::BIGINT AS n_people, sum(c)::BIGINT AS n_cases, count(*) AS n_folds, min(n) AS smallest_fold, max(n) AS largest_fold FROM p"""
+ORACLE["l1_optimality"] = f"""WITH {MODEL} SELECT feature, true AS optimal, true AS gradient_bounded FROM names
+UNION ALL SELECT '(intercept)', true, true"""
 ORACLE["allele_dosage"] = f"WITH {DOSE} SELECT person_id, gene, allele, dosage FROM dose"
 
 

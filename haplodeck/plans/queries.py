@@ -13,7 +13,7 @@ from haplodeck import domain
 from haplodeck.functions import alleles as al
 from haplodeck.operators import (
     association as assoc, callset as cs, catalogue as cat, census as cen, cohort as co,
-    concordance as cc, confidence as cf, intervals as iv, models as md, rnaqc as qc, rows as rw,
+    concordance as cc, confidence as cf, intervals as iv, lasso as ls, models as md, rnaqc as qc, rows as rw,
     telemetry as te,
 )
 from haplodeck.plans import fixtures as fx
@@ -850,6 +850,41 @@ def l1_coefficients(spark, d):
     return md.coefficients(matrix, names)
 
 
+def _own_fit(spark, d):
+    """Tokens, names, sparse rows and the coefficients of the optimum with a penalised intercept."""
+    tokens, names = _tokens(spark, d)
+    tokens, names = cut_lineage(tokens), cut_lineage(names)
+    return tokens, names, cut_lineage(ls.coefficients(ls.sparse_rows(tokens, names), names))
+
+
+@query
+def l1_optimality(spark, d):
+    """Whether the fit meets the optimality conditions, feature by feature, recomputed from its coefficients."""
+    tokens, names, table = _own_fit(spark, d)
+    return ls.optimality(tokens, names, table).select(
+        "feature", (F.col("violation") <= 1e-6).alias("optimal"), (F.abs("gradient") <= 1 + 1e-6).alias("gradient_bounded"))
+
+
+@query
+def l1_top_coefficients(spark, d):
+    table = _own_fit(spark, d)[2].where("feature <> '(intercept)'")
+    return md.top_coefficients(table, 15)
+
+
+@query
+def l1_nonzero(spark, d):
+    return md.nonzero_count(_own_fit(spark, d)[2].where("feature <> '(intercept)'"))
+
+
+@query
+def l1_held_out(spark, d):
+    """People and mean score per fold and label, every score from the optimum of the other folds."""
+    tokens, names = _tokens(spark, d)
+    names = cut_lineage(names)
+    scores = ls.out_of_fold_scores(md.stratified_folds(ls.sparse_rows(tokens, names)), names.count())
+    return scores.groupBy("fold", "label").agg(F.count("*").alias("n"), F.avg("score").alias("mean_score"))
+
+
 # telemetry
 
 def _beats(spark, d):

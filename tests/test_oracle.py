@@ -20,7 +20,7 @@ ORACLE = {**MAIN_ORACLE, **READER_ORACLE, **STREAM_ORACLE, **STORED_ORACLE}
 
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
           "benchmark labels conversations").split()
-NO_SQL = {"l1_oof_scores", "l1_coefficients"}
+NO_SQL = {"l1_oof_scores", "l1_coefficients", "l1_top_coefficients", "l1_nonzero", "l1_held_out"}
 QUICK = [
     "field2_concordance_gene_ancestry", "cascade_pooled", "threeway_concordance", "resolution_tiers",
     "genotype_status_rollup", "concordance_detail", "caller_haplotypes", "call_matrix", "hwe_proxy",
