@@ -816,6 +816,13 @@ SELECT name, count(*) AS n_blocks, CAST(sum(least(tend, e + 20000) - greatest(ts
 FROM paf JOIN w ON tname IN ('6', 'chr6') AND tend > s - 20000 AND tstart < e + 20000 GROUP BY 1"""
 
 
+ORACLE["contig_overlap"] = f"""WITH {PAF},
+x AS (SELECT qname, CASE WHEN qstart % 97 = 0 THEN 0 ELSE qstart END AS s, CASE WHEN qstart % 97 = 0 THEN qlen ELSE qend END AS e FROM paf),
+y AS (SELECT 'ctg' || (l_partkey % 1000) AS qname, (l_partkey*41 + l_suppkey*13) % 200000 AS s FROM lineitem)
+SELECT x.qname, count(*) AS n_pairs, CAST(sum(least(e, y.s + 150) - greatest(x.s, y.s)) AS BIGINT) AS overlap_bp
+FROM x JOIN y ON x.qname = y.qname AND e > y.s AND x.s < y.s + 150 GROUP BY 1"""
+
+
 def interp(ref: str) -> str:
     frac = f"(least(greatest({ref}, tstart), tend) - tstart) / CAST(greatest(1, tend - tstart) AS DOUBLE)"
     return f"(CASE WHEN strand = '+' THEN qstart + {frac} * (qend - qstart) ELSE qend - {frac} * (qend - qstart) END)"

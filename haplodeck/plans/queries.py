@@ -13,7 +13,7 @@ from haplodeck import domain
 from haplodeck.functions import alleles as al
 from haplodeck.operators import (
     association as assoc, callset as cs, catalogue as cat, census as cen, cohort as co,
-    concordance as cc, confidence as cf, intervals as iv, lasso as ls, models as md, rnaqc as qc, rows as rw,
+    concordance as cc, confidence as cf, intervals as iv, lasso as ls, models as md, ranges as rg, rnaqc as qc, rows as rw,
     telemetry as te,
 )
 from haplodeck.plans import fixtures as fx
@@ -737,6 +737,22 @@ def sliced_reads(spark, d):
         F.count("*").alias("n_reads"), F.min("start").alias("first_start"))
 
 
+@query
+def contig_overlap(spark, d):
+    """Blocks against reads on the assembly's own contigs, both as many as there are line items; some
+    blocks are as long as the contig."""
+    blocks = fx.paf(spark, d).select("qname", F.when(F.col("qstart") % 97 == 0, 0).otherwise(F.col("qstart")).alias("start"),
+                                     F.when(F.col("qstart") % 97 == 0, F.col("qlen")).otherwise(F.col("qend")).alias("end"))
+    reads = fx.table(spark, d, "lineitem").select(
+        F.concat(F.lit("ctg"), (F.col("l_partkey") % 1000).cast("string")).alias("qname"),
+        ((F.col("l_partkey") * 41 + F.col("l_suppkey") * 13) % 200000).alias("start"))
+    reads = reads.withColumn("end", F.col("start") + 150)
+    pairs = rg.overlap_pairs(blocks, reads, ("qname", "start", "end"), ("qname", "start", "end"))
+    return pairs.groupBy(F.col("left.qname").alias("qname")).agg(
+        F.count("*").alias("n_pairs"),
+        F.sum(F.least("left.end", "right.end") - F.greatest("left.start", "right.start")).alias("overlap_bp"))
+
+
 @query
 def mate_dropout(spark, d):
     wins = iv.padded_windows(_clusters(spark), 50000)
