@@ -664,6 +664,7 @@ ORACLE["id_set_difference"] = f"""WITH {BASE}, a AS (SELECT person_id FROM perso
 b AS (SELECT DISTINCT l_orderkey AS person_id FROM lineitem)
 SELECT person_id, 'manifest' AS only_in FROM a WHERE person_id NOT IN (SELECT person_id FROM b)
 UNION ALL SELECT person_id, 'metadata' FROM b WHERE person_id NOT IN (SELECT person_id FROM a)"""
+ORACLE["venn_bitmaps"], ORACLE["difference_bitmaps"] = ORACLE["venn_regions"], ORACLE["id_set_difference"]
 PROG = f"""{BASE}, {ASM},
 done AS (SELECT person_id FROM asm WHERE gene = 'A'), gone AS (SELECT person_id FROM asm WHERE gene = 'B' AND asm_1 = 'NA')"""
 ORACLE["group_progress"] = f"""WITH {PROG} SELECT ancestry, count(*) AS n_total,
@@ -738,6 +739,8 @@ ORACLE["qc_describe"] = f"""WITH {TALL} SELECT metric, count(value) AS n, round(
   round(stddev_samp(value), 6) AS std, round(min(value), 6) AS min, round(max(value), 6) AS max,
   round(quantile_cont(value, 0.25), 6) AS p25, round(quantile_cont(value, 0.5), 6) AS p50,
   round(quantile_cont(value, 0.75), 6) AS p75 FROM tall GROUP BY 1"""
+ORACLE["qc_describe_sketch"] = f"""WITH {TALL} SELECT metric, count(value) AS n, round(min(value), 6) AS min, round(max(value), 6) AS max,
+  true AS p25_near, true AS p50_near, true AS p75_near, true AS distinct_near FROM tall GROUP BY 1"""
 ORACLE["qc_correlation"] = f"""WITH {RNA} {' UNION ALL '.join(
     f"SELECT '{a}' AS metric_a, '{b}' AS metric_b, round(corr({a}, {b}), 6) AS r FROM rna" for a in QC for b in QC)}"""
 ORACLE["qc_target_correlation"] = f"""WITH {RNA}, j AS (SELECT a.insert_size AS t, b.* FROM rna a JOIN rna b

@@ -12,9 +12,9 @@ from pyspark.sql import functions as F
 from haplodeck import domain
 from haplodeck.functions import alleles as al
 from haplodeck.operators import (
-    association as assoc, callset as cs, catalogue as cat, census as cen, cohort as co,
+    association as assoc, bitmaps as bm, callset as cs, catalogue as cat, census as cen, cohort as co,
     concordance as cc, confidence as cf, intervals as iv, lasso as ls, models as md, ranges as rg, rnaqc as qc, rows as rw,
-    telemetry as te,
+    sketches as sk, telemetry as te,
 )
 from haplodeck.plans import fixtures as fx
 from haplodeck.session import checkpoint_dir, cut_lineage
@@ -450,6 +450,34 @@ def venn_regions(spark, d):
     return co.venn_regions(co.overlap_flags(_sets(spark, d)))
 
 
+@query
+def venn_bitmaps(spark, d):
+    return bm.venn_regions(_sets(spark, d), "person_id")
+
+
+@query
+def difference_bitmaps(spark, d):
+    return bm.difference(fx.cram_manifest(spark, d), fx.rna_metrics(spark, d), "person_id", "manifest", "metadata")
+
+
+@query
+def qc_describe_sketch(spark, d):
+    """Stored sketches of every line number merged: exact n and ends, and whether each quartile's true rank
+    is within two percent; distinct people likewise within five percent."""
+    rows = fx.rna_metrics(spark, d)
+    parts = cut_lineage(sk.part_summaries(rows, fx.QC_COLUMNS, "v"))
+    told = cut_lineage(sk.described(sk.merged_summaries(parts)))
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in fx.QC_COLUMNS]))
+    near = rows.select(cells.alias("_c")).select("_c.*").where("value is not null").join(told, "metric")
+    ranks = {p: sk.rank_share(F.col("value"), F.col(f"p{p}")) for p in (25, 50, 75)}
+    checked = near.groupBy("metric").agg(*[
+        ((low <= p / 100 + 0.02) & (high >= p / 100 - 0.02)).alias(f"p{p}_near") for p, (low, high) in ranks.items()])
+    people = cut_lineage(sk.part_distincts(rows, "person_id", "v"))
+    exact = rows.agg(F.countDistinct("person_id")).scalar()
+    distinct = sk.distinct_estimate(people).select(F.abs(F.col("n_distinct") - exact) <= exact * 0.05).scalar()
+    return told.select("metric", "n", "min", "max").join(checked, "metric").withColumn("distinct_near", distinct)
+
+
 @query
 def venn_totals(spark, d):
     return co.venn_totals(co.venn_regions(co.overlap_flags(_sets(spark, d))))
