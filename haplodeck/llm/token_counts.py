@@ -17,6 +17,7 @@ repeated results; columns besides the key are not looked at, whatever their name
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 
 from haplodeck.llm.workers import once_per_worker, pattern_words
 
-#: Cached words per worker; beyond that the cache starts anew. Longer words are not cached.
+#: Cached words per worker, in two halves of which the older is dropped. Longer words are not cached.
 CACHED_WORDS = 400_000
 CACHED_LENGTH = 64
 _CONTRACTIONS = ("'re", "'ve", "'ll")
@@ -55,7 +56,7 @@ class PrefixCounter:
 
         self.specials = [t["content"] for t in spec["added_tokens"]]
         self.vocab = {raw(t) for t in spec["model"]["vocab"] if t not in set(self.specials)}
-        self.longest = max(map(len, self.vocab))
+        self.tails = {t[i:] for t in self.vocab for i in range(len(t))}
         pairs = (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])
         self.rank = {(raw(a), raw(b)): i for i, (a, b) in enumerate(pairs)}
         self.words = pattern_words()
@@ -63,7 +64,9 @@ class PrefixCounter:
         self.special = regex.compile("|".join(map(regex.escape, self.specials))) if self.specials else None
         self.whole: dict[bytes, bool] = {}
         self.apart: dict[tuple[bytes, bytes], bool] = {}
+        self.two_blanks = re.compile(r"\s\s")  # at least the blanks of the pattern's engine
         self.tables: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merge(self, data: bytes) -> list[bytes]:
         """Plain merging, for strings of one or two tokens."""
@@ -91,11 +94,15 @@ class PrefixCounter:
         return known
 
     def _fill(self, data: bytes) -> list[int]:
-        """Token count of every byte prefix, the empty one included."""
+        """Token count of every byte prefix, the empty one included. From each end it goes back as long as
+        some entry ends in what was passed, so only entries that end here are tried, the longest first."""
         counts, last = [0] * (len(data) + 1), [0] * (len(data) + 1)
-        vocab, longest, stays = self.vocab, self.longest, self._stays
+        vocab, tails, stays = self.vocab, self.tails, self._stays
         for end in range(1, len(data) + 1):
-            for start in range(max(0, end - longest), end):
+            start = end - 1
+            while start >= 0 and data[start:end] in tails:
+                start -= 1
+            for start in range(start + 1, end):
                 token = data[start:end]
                 if token in vocab and stays(data[start - last[start]:start], token):
                     last[end], counts[end] = end - start, counts[start] + 1
@@ -109,6 +116,15 @@ class PrefixCounter:
         found = self.tables.get(word)
         if found is not None:
             return found
+        found = self.older.get(word)
+        packed = self._packed(word) if found is None else found
+        if len(word) <= CACHED_LENGTH:
+            if len(self.tables) >= CACHED_WORDS // 2:
+                self.older, self.tables = self.tables, {}  # words in use come back from the older half
+            self.tables[word] = packed
+        return packed
+
+    def _packed(self, word: str) -> bytes:
         counts = self._fill(word.encode())
         if word in _CONTRACTIONS:
             ends = [1, 2, counts[-1]]  # cut after two characters, it is no contraction
@@ -119,24 +135,19 @@ class PrefixCounter:
             for c in word:
                 at += len(c.encode())
                 ends.append(counts[at])
-        packed = np.asarray(ends, np.uint32).tobytes()
-        if len(word) <= CACHED_LENGTH:
-            if len(self.tables) >= CACHED_WORDS:
-                self.tables.clear()
-            self.tables[word] = packed
-        return packed
+        return np.asarray(ends, np.uint32).tobytes()
 
     def _plain(self, text: str) -> np.ndarray:
         words = self.words(text)
-        known, table = self.tables.get, self.table
-        packed = [known(w) or table(w) for w in words]
+        table = self.table
+        packed = [self.tables.get(w) or table(w) for w in words]
         inner = np.frombuffer(b"".join(packed), np.uint32).astype(np.int64)
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         ends = np.cumsum(sizes)
         totals = inner[ends - 1]
         starts = np.cumsum(totals) - totals
         counts = inner + np.repeat(starts, sizes)
-        for i, w in enumerate(words[:-1]):
+        for i, w in enumerate(words[:-1] if self.two_blanks.search(text) else ()):
             # a blank run lends its last character to what follows; cut right there, it is one word
             if w[0].isspace() and self.blank.match(words[i + 1]) and self.blank.fullmatch(w):
                 run = np.frombuffer(self.table(w + words[i + 1][0]), np.uint32)
