@@ -59,6 +59,9 @@ class PrefixCounter:
         self.tails = {t[i:] for t in self.vocab for i in range(len(t))}
         pairs = (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])
         self.rank = {(raw(a), raw(b)): i for i, (a, b) in enumerate(pairs)}
+        self.made: dict[bytes, tuple[int, bytes, bytes]] = {}  # a token's merge
+        for (a, b), i in self.rank.items():
+            self.made.setdefault(a + b, (i, a, b))
         self.words = pattern_words()
         self.blank = regex.compile(r"\s+")
         self.special = regex.compile("|".join(map(regex.escape, self.specials))) if self.specials else None
@@ -80,6 +83,23 @@ class PrefixCounter:
             parts[i:i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
+    def _keeps_apart(self, left: bytes, right: bytes) -> bool:
+        """Whether two whole tokens side by side encode as themselves. Going back in time, the later of
+        the two tokens' merges is undone; the pair that met then must not have merged before it. Of
+        equal ranks the one further left goes first."""
+        rank, made, limit = self.rank, self.made, len(self.rank)
+        while True:
+            met = rank.get((left, right))
+            if met is not None and met < limit:
+                return False
+            a, b = made.get(left), made.get(right)
+            if a is None and b is None:
+                return True
+            if b is None or (a is not None and a[0] > b[0]):
+                limit, left = a[0], a[2]
+            else:
+                limit, right = b[0] + 1, b[1]
+
     def _stays(self, before: bytes, token: bytes) -> bool:
         if not before:
             if token not in self.whole:
@@ -90,7 +110,7 @@ class PrefixCounter:
         if known is None:
             if len(self.apart) >= 1_000_000:
                 self.apart.clear()
-            known = self.apart[key] = self.merge(before + token) == [before, token]
+            known = self.apart[key] = self._stays(b"", token) and self._keeps_apart(before, token)
         return known
 
     def _fill(self, data: bytes) -> list[int]:
