@@ -5,7 +5,7 @@ from checks.oracle import BASE, BEST, CALLSET, CATALOGUE, GENES, MANIFEST, PAF
 ORACLE = {
     "read_genotypes": f"""WITH {CALLSET} SELECT person_id, gene, nullif(a1, '') AS a1, nullif(a2, '') AS a2 FROM callset""",
     "read_genotypes_reader_rules": f"""WITH {CALLSET} SELECT person_id, gene, nullif(a1, '') AS a1,
-  nullif(nullif(a2, ''), 'nan') AS a2 FROM callset WHERE gene IN ('A', 'DRB1')""",
+  nullif(nullif(a2, ''), 'nan') AS a2 FROM callset""",
     "read_ancestry": f"""WITH {BASE} SELECT person_id, ancestry, '[' || (person_id % 7) || '; ' || (cust % 5) || ']' AS pca FROM persons""",
     "read_manifest": f"""WITH {MANIFEST} SELECT row_number() OVER (ORDER BY row_id) - 1 AS row_id, person_id, platform,
   nullif(hap1_fa, '') AS hap1_fa FROM man""",

@@ -78,5 +78,5 @@ def minutes_from_real_text(c: Column | str) -> Column:
     """Minutes out of a shell timing text: the line that starts with `real` and holds minutes, `m`,
     seconds, `s`."""
     line = F.get(F.filter(F.split(col(c), "\n"), lambda x: F.startswith(F.trim(x), F.lit("real"))), F.lit(0))
-    clock = F.split(F.rtrim(F.replace(F.substring(F.trim(line), 5, 1000), F.lit("\t"), F.lit(" ")), F.lit("s ")), "m")
+    clock = F.split(F.rtrim(F.replace(F.substring(F.trim(line), F.lit(5), F.length(line)), F.lit("\t"), F.lit(" ")), F.lit("s ")), "m")
     return (F.trim(F.get(clock, F.lit(0))).try_cast("double") * 60 + F.trim(F.get(clock, F.lit(1))).try_cast("double")) / 60

@@ -58,7 +58,7 @@ def read_genotypes(spark, d):
 
 @query
 def read_genotypes_reader_rules(spark, d):
-    return tables.read_genotypes(spark, _csv(_wide(spark, d)), genes=["A", "DRB1"], keep_na=False).withColumn(
+    return tables.read_genotypes(spark, _csv(_wide(spark, d)), keep_na=False).withColumn(
         "person_id", F.col("person_id").cast("long"))
 
 
