@@ -204,26 +204,30 @@ def scanned(docs: DataFrame, key: str = "doc_id", text: str = "text", every: boo
     return written(found.select(key, "text_hash", "_f.*"), "pii-spans")
 
 
-def _containing(docs: DataFrame, terms: DataFrame, key: str, text: str) -> DataFrame:
-    """key, text_hash, term for every text and every one of the terms in it."""
+def _text_terms(docs: DataFrame, text: str, *kept: Column) -> DataFrame:
+    """A row per text and distinct word of it."""
     t = F.coalesce(F.col(text), F.lit(""))
-    words = docs.select(F.col(key), F.xxhash64(t).alias("text_hash"),
-                        F.explode(F.array_distinct(words_of(t))).alias("term"))
-    few = terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
-    return words.join(F.broadcast(terms) if few else terms, "term", "left_semi")
+    return docs.select(*kept, F.explode(F.array_distinct(words_of(t))).alias("term"))
+
+
+def _containing(docs: DataFrame, flagged: DataFrame, key: str, text: str) -> DataFrame:
+    """key, text_hash, term, disclosure for every text and every disclosing term in it."""
+    words = _text_terms(docs, text, F.col(key), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"))
+    few = flagged.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS
+    return words.join(F.broadcast(flagged) if few else flagged, "term")
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame, key: str = "doc_id", text: str = "text",
                      support: int = SUPPORT, threshold: float = GENERALISE) -> tuple[DataFrame, DataFrame]:
-    """(term, disclosure) of the terms at or over the threshold, and (key, text_hash, term) for every
-    text they occur in."""
+    """(term, disclosure) of the terms at or over the threshold, and (key, text_hash, term, disclosure) for
+    every text they occur in. Texts are counted per word before any join, and matched with the few
+    disclosing terms in a second scan: no row is written for a text and a word that discloses nothing."""
     near = found.where(F.size("surroundings") > 0).select(F.explode("surroundings").alias("s")).select("s.*")
     per_place = near.select("entity", "place", F.explode("terms").alias("term")).groupBy(
         "entity", "term", "place").agg(F.count("*").alias("n"))
     pairs = written(per_place.groupBy("entity", "term").agg(
         F.sum("n").alias("both"), F.count("*").alias("places")).where(F.col("places") >= support), "pii-pairs")
-    at = written(_containing(docs, pairs.select("term").distinct(), key, text), "pii-terms")
-    frequency = at.groupBy("term").agg(F.count("*").alias("with_term"))
+    frequency = _text_terms(docs, text).groupBy("term").agg(F.count("*").alias("with_term"))
     entities = near.groupBy("entity").agg(F.count("*").alias("with_entity"))
     total = float(found.count())
     share = F.log(total * F.col("both") / (F.col("with_term") * F.col("with_entity"))) / F.log(
@@ -231,7 +235,7 @@ def disclosing_terms(docs: DataFrame, found: DataFrame, key: str = "doc_id", tex
     flagged = written(pairs.join(entities, "entity").join(frequency, "term").where(
         F.col("with_entity") < total).groupBy("term").agg(
             F.max(share).alias("disclosure")).where(F.col("disclosure") >= threshold), "pii-disclosing")
-    return flagged, at.join(flagged, "term")
+    return flagged, _containing(docs, flagged, key, text)
 
 
 def _term_spans(docs: DataFrame, hits: DataFrame, key: str, text: str) -> DataFrame:
