@@ -4,8 +4,9 @@ Equal sets are one node. Shingles have one order for all (rare ones first, then
 sets with a similarity of THRESHOLD or more share a shingle among the first fifth of each. So only
 these prefixes are dealt out by shingle; shingles in one node only go no further.
 
-Nodes are partitioned into groups of similar ones: by their first shared shingle, by size band, and
-by hash where the shingle is frequent. A node asks a group if it shares prefix shingles with it, and
+Nodes are partitioned into groups of similar ones: by the most frequent shared shingle of their prefix,
+by size band, and by hash where that shingle is frequent. So a shingle of many nodes lies in few groups,
+and the join of nodes with the groups of a shingle grows with the nodes. A node asks a group if it shares prefix shingles with it, and
 if these are enough for the sizes in the group's band. The group then holds the union of its members'
 shingles (its row of the token-group matrix): only if the overlap of query and union reaches what the
 smallest possible member needs is the group opened and its members compared, exactly. Each
@@ -140,12 +141,14 @@ def _candidates(prefixes: DataFrame) -> tuple[DataFrame, DataFrame]:
     # frequent shingles are shared; of the others, those of one node only end here
     rare = prefixes.where("level = 0").select("token", "node", "n")
     by_token = Window.partitionBy("token")
-    shared = rare.withColumns({"_low": F.min("node").over(by_token), "_high": F.max("node").over(by_token)}) \
-        .where("_low <> _high").select("token", "node", "n", F.lit(0).alias("level"))
-    shared = shared.unionByName(prefixes.where("level > 0").select("token", "node", "n", "level"))
+    shared = rare.withColumns({
+        "_low": F.min("node").over(by_token), "_high": F.max("node").over(by_token),
+        "often": F.count("*").over(by_token)}).where("_low <> _high").select("token", "node", "n", "often")
+    frequent = (BUCKET * F.pow(F.lit(2.0), F.col("level"))).cast("long").alias("often")
+    shared = shared.unionByName(prefixes.where("level > 0").select("token", "node", "n", frequent))
     shared = shared.repartition("node").dropDuplicates(["node", "token"])
-    first = F.min(F.struct("level", "token")).over(Window.partitionBy("node"))
-    parts = F.pow(F.lit(2.0), F.greatest(F.col("_f.level") - 2, F.lit(0))).cast("long")
+    first = F.min(F.struct((-F.col("often")).alias("seldom"), "token")).over(Window.partitionBy("node"))
+    parts = F.greatest(F.floor(-F.col("_f.seldom") / (4 * BUCKET)), F.lit(1))
     placed = written(shared.withColumn("_f", first).select(
         "token", "node", "n", F.xxhash64(
             F.col("_f.token"), _band(F.col("n")),
