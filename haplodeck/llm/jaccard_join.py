@@ -276,8 +276,10 @@ def _destinations(homes: DataFrame, asks: DataFrame) -> DataFrame:
     each group is a task (or several) of its own, and nodes go to every group they ask."""
     between = asks.where("own <> grp").select(F.col("own").alias("a"), F.col("grp").alias("b")).distinct()
     labels = component_labels(between)
-    busy = asks.select(F.col("grp").alias("own")).unionByName(asks.select("own")).distinct()
-    placed = homes.join(busy, "own").join(labels.withColumnRenamed("node", "own"), "own", "left").withColumn(
+    # two nodes of one group can only be linked if both ask it, so of a group that no other asks, the askers go
+    asked = between.select(F.col("b").alias("own")).distinct()
+    sent = asks.select("node", "own").unionByName(homes.join(asked, "own", "left_semi")).distinct()
+    placed = sent.join(labels.withColumnRenamed("node", "own"), "own", "left").withColumn(
         "dest", F.coalesce("label", "own"))
     sizes = placed.groupBy("dest").agg(F.count("*").alias("together"))
     at = written(placed.select("node", "own", "dest").join(sizes, "dest"), "jaccard-placed")
