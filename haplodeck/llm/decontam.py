@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from haplodeck.llm.arrow_text import PUNCTUATION, Words, chunks, grams, words
-from haplodeck.llm.tables import written
+from haplodeck.llm.tables import free_name, written
 
 GRAM = 3
 WINDOW = 4
@@ -272,7 +272,8 @@ def clean_documents(docs: DataFrame, items: DataFrame, key: str = "doc_id", text
                     **options) -> DataFrame:
     """The documents without a leak, all columns. A row goes by its own text, whatever its `key`: one with
     a null key goes if it leaks, and a clean one stays if it shares its key with one that does."""
-    marked = docs.withColumn("_leak_hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    dirty = written(leaks(marked, items, "_leak_hash", text, **options).select("_leak_hash").distinct(), "leaking")
+    mark = free_name(docs, "_leak_hash")
+    marked = docs.withColumn(mark, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    dirty = written(leaks(marked, items, mark, text, **options).select(mark).distinct(), "leaking")
     few = dirty.limit(2_000_001).count() <= 2_000_000
-    return marked.join(F.broadcast(dirty) if few else dirty, "_leak_hash", "left_anti").drop("_leak_hash")
+    return marked.join(F.broadcast(dirty) if few else dirty, mark, "left_anti").drop(mark)

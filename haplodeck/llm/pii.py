@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haplodeck.llm.quality_rules import WORD, let
-from haplodeck.llm.tables import written
+from haplodeck.llm.tables import free_name, written
 
 NEAR = 120
 SUPPORT = 3
@@ -335,13 +335,14 @@ def sanitised(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataF
     spans = all_spans(docs, key, text, every=True).where(F.size("all_spans") > 0).groupBy(key, "text_hash").agg(
         F.first("all_spans").alias("_spans"))
     columns = docs.columns
-    own = docs.withColumn("_hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    mark = free_name(docs, "_hash")
+    own = docs.withColumn(mark, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     spans = written(spans, "pii-found")
     few = spans.limit(BROADCAST_TEXTS + 1).count() <= BROADCAST_TEXTS
     spans = F.broadcast(spans) if few else spans
     joined = own.alias("d").join(spans.alias("s"), F.col(f"d.{key}").eqNullSafe(F.col(f"s.{key}")) & (
-        F.col("d._hash") == F.col("s.text_hash")), "left")
+        F.col(f"d.{mark}") == F.col("s.text_hash")), "left")
     return joined.select(*[
-        F.when(F.col("s._spans").isNull(), F.col(f"d.{c}")).otherwise(
-            replaced(F.col(f"d.{c}"), F.col("s._spans"))).alias(c) if c == text else F.col(f"d.{c}")
+        F.when(F.col("s._spans").isNull(), F.col(f"d.`{c}`")).otherwise(
+            replaced(F.col(f"d.`{c}`"), F.col("s._spans"))).alias(c) if c == text else F.col(f"d.`{c}`")
         for c in columns])

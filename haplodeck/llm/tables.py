@@ -25,3 +25,11 @@ def written(df: DataFrame, what: str) -> DataFrame:
     path = scratch(spark, what)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with underscores added until no column has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
