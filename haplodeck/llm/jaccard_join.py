@@ -351,4 +351,4 @@ def one_per_component(docs: DataFrame, key: str = "doc_id", text: str = "text")
     kept = components(docs, key, text).where(F.col(key) == F.col("component_id")).select(key).distinct()
     few = kept.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     named = docs.where(F.col(key).isNotNull()).join(F.broadcast(kept) if few else kept, key, "left_semi")
-    return named.unionByName(docs.where(F.col(key).isNull())).select(*docs.columns)
+    return named.unionByName(docs.where(F.col(key).isNull())).select(*[F.col(f"`{c}`") for c in docs.columns])
