@@ -18,6 +18,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+#: People per partition: a task that makes all genes, haplotypes and versions of so many sorts them in memory.
+PEOPLE_PER_PART = 25_000
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> int:
+    """Partitions of the views by person. A fixed number, as adaptive execution would join partitions
+    by the size of the narrow rows, which become sixty times longer after it."""
+    n = table(spark, sf_dir, "orders").count()  # from the file footers
+    return max(spark.sparkContext.defaultParallelism, -(-n // PEOPLE_PER_PART))
+
+
 def persons(spark: SparkSession, sf_dir: str) -> DataFrame:
     """person_id, cust, ancestry, case. Spread by person while the rows are still narrow: the
     views built on it are eight to sixteen times longer, and every later grouping or join on the
@@ -35,7 +46,7 @@ def persons(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("r_name").alias("ancestry"),
             (F.col("o_orderpriority") == "1-URGENT").cast("int").alias("case"),
         )
-        .repartition("person_id")
+        .repartition(_parts(spark, sf_dir), "person_id")
     )
 
 
@@ -100,13 +111,22 @@ def callset(spark: SparkSession, sf_dir: str) -> DataFrame:
         "person_id", "ancestry", "case", "gene", "a1", "a2")
 
 
-def comparison_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Append-only log: several versions of a (person, gene) under two run labels."""
+def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The comparison log's narrow spine: person_id, v, ts, run_label, cust. A version covers all genes
+    of its person, so rows of the log can be chosen here, before the wide columns are made."""
+    v = F.col("v")
     lines = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("person_id"), F.col("l_linenumber").alias("v"),
-        F.col("l_shipdate").alias("ts")).repartition("person_id")
-    df = lines.join(persons(spark, sf_dir).select("person_id", "cust"), "person_id")
-    df = _haplotypes(_with_genes(df))
+        F.col("l_shipdate").alias("ts")).repartition(_parts(spark, sf_dir), "person_id")
+    return lines.join(persons(spark, sf_dir).select("person_id", "cust"), "person_id").select(
+        "person_id", "v", "ts", F.when(v % 3 == 0, "pilot").otherwise("main").alias("run_label"), "cust")
+
+
+def log_calls(lines: DataFrame) -> DataFrame:
+    """The log's rows of the given lines, one per gene; further columns of the lines come last."""
+    spine = ["person_id", "v", "ts", "run_label"]
+    more = [c for c in lines.columns if c not in (*spine, "cust")]
+    df = _haplotypes(_with_genes(lines))
     p, g, v = F.col("person_id"), F.col("g"), F.col("v")
     star = F.concat(F.col("gene"), F.lit("*"))
     e, dp = (p * 31 + g * 17 + v) % 20, (p * 13 + g * 7) % 23
@@ -114,8 +134,7 @@ def comparison_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = _base_calls(v)
     tail = F.when(dp < 6, ":new").when(dp < 12, ":01").otherwise("")
     return _once(df.select(
-        "person_id", "gene", "v", "ts",
-        F.when(v % 3 == 0, "pilot").otherwise("main").alias("run_label"),
+        "person_id", "gene", "v", "ts", "run_label",
         base["base_1"].alias("base_1"), base["base_2"].alias("base_2"),
         F.concat(star, F.col("h2"), F.when(e < 3, "").otherwise(":01")).alias("sr_1"),
         F.when(e == 7, F.concat(star, F.lit("88:01")))
@@ -127,7 +146,13 @@ def comparison_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(1.0) - ((p * 19 + g * 5) % 80) / 10000.0).alias("lr_identity_2"),
         F.when((p + g) % 11 == 0, "True").otherwise("False").alias("lr_tied_1"),
         F.when((p * 3 + g) % 29 == 0, "yes").otherwise("no").alias("lr_tied_2"),
-    ), ["person_id", "gene", "v", "ts"])
+        *more,
+    ), ["person_id", "gene", "v", "ts", "run_label", *more])
+
+
+def comparison_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Append-only log: several versions of a (person, gene) under two run labels."""
+    return log_calls(log_lines(spark, sf_dir))
 
 
 def assembly_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
