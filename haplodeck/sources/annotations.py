@@ -6,15 +6,22 @@ row inside it, so files that are read in several splits keep their order too.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from haplodeck.functions import alleles as al
 from haplodeck.functions.text import col
+from haplodeck.operators.rows import with_once
 from haplodeck.sources.callers import path_part
 
 #: One attribute: everything up to a semicolon that is not inside quotes.
 FIELD = r'[^;"]*(?:"[^"]*"[^;"]*)*'
+#: The same without giving back, for texts whose quotes all close.
+_PLAIN_FIELD = r'[^;"]*+(?:"[^"]*+"[^;"]*+)*+'
+#: Longest text that is searched field by field inside one expression.
+_PLAIN_LENGTH = 2000
 PERSON = r"/([^/]+)/[^/]+/[^/]+$"
 HAP = r"/(hap[12])[^/]*$"
 
@@ -36,23 +43,34 @@ def attributes(c: Column | str) -> Column:
     return F.transform(fields, one)
 
 
-def _last(attrs: str, key: str) -> Column:
-    return F.try_element_at(F.filter(F.col(attrs), lambda a: a["key"] == key), F.lit(-1))["value"]
+def _plain(text: str) -> Column:
+    """Short texts whose quotes all close: one expression per key finds what `attributes` would."""
+    n = F.length(text)
+    return (n <= _PLAIN_LENGTH) & ((n - F.length(F.replace(text, F.lit('"'), F.lit("")))) % 2 == 0)
+
+
+def _last(text: str, key: str) -> Column:
+    """Value of the key's last attribute."""
+    rest = F.rtrim(F.regexp_extract(text, f"^(?:{_PLAIN_FIELD};)* *+{re.escape(key)} ++(?=[^;])({_PLAIN_FIELD})", 1))
+    plain = F.when(F.startswith(rest, F.lit('"')), F.split_part(rest, F.lit('"'), F.lit(2))).when(rest != "", rest)
+    return F.when(_plain(text), plain).otherwise(
+        F.try_element_at(F.filter(attributes(text), lambda a: a["key"] == key), F.lit(-1))["value"])
 
 
-def _quoted(attrs: Column, key: str) -> Column:
+def _quoted(text: str, key: str) -> Column:
     """First value in quotes that is not empty."""
-    return F.get(F.filter(attrs, lambda a: (a["key"] == key) & a["quoted"] & (a["value"] != "")), F.lit(0))["value"]
+    plain = F.nullif(F.regexp_extract(
+        text, f'^(?:{_PLAIN_FIELD};)*? *+{re.escape(key)} ++"([^"]++)"', 1), F.lit(""))
+    return F.when(_plain(text), plain).otherwise(F.get(F.filter(
+        attributes(text), lambda a: (a["key"] == key) & a["quoted"] & (a["value"] != "")), F.lit(0))["value"])
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
     """Lines (person_id, hap, line_no, value) -> with their attribute list; comments and rows of
     fewer than nine columns left out."""
-    parts = F.split("value", "\t")
-    return lines.where(
-        ~F.startswith("value", F.lit("#")) & (F.trim("value") != "") & (F.size(parts) >= 9)
-    ).select("person_id", "hap", "line_no", F.get(parts, F.lit(8)).alias("text")).withColumn(
-        "attrs", attributes("text"))
+    real = lines.where(~F.startswith("value", F.lit("#")) & (F.trim("value") != ""))
+    return with_once(real, {"text": F.get(F.split("value", "\t"), F.lit(8))}).where("text is not null").select(
+        "person_id", "hap", "line_no", "text", attributes("text").alias("attrs"))
 
 
 def read_lines(spark: SparkSession, glob: str, person: str = PERSON, hap: str = HAP) -> DataFrame:
@@ -67,9 +85,9 @@ def gene_attributes(parsed: DataFrame, names: list[str]) -> DataFrame:
     that comes twice on a line the last counts. Rows that carry only a gene_id take the latest name
     that id was given at or before them."""
     where = ["person_id", "hap"]
-    rows = parsed.select(*where, "line_no", _last("attrs", "gene_id").alias("_gid"),
-                         _last("attrs", "gene_name").alias("_name"),
-                         *[_last("attrs", n).alias(f"_v{i}") for i, n in enumerate(names)])
+    rows = with_once(parsed.select(*where, "line_no", "text"), {
+        "_gid": _last("text", "gene_id"), "_name": _last("text", "gene_name"),
+        **{f"_v{i}": _last("text", n) for i, n in enumerate(names)}}).drop("text")
     # the rows of one gene id of one haplotype: a gene's lines, never more
     so_far = Window.partitionBy(*where, "_gid").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     known = F.when(F.col("_gid").isNotNull(), F.last("_name", ignorenulls=True).over(so_far))
@@ -83,11 +101,11 @@ def gene_attributes(parsed: DataFrame, names: list[str]) -> DataFrame:
 def gene_calls(parsed: DataFrame) -> DataFrame:
     """Per person, haplotype and gene the call of the last row that has one: the quoted consensus,
     else the quoted allele."""
-    attrs = F.col("attrs")
-    rows = parsed.select(
-        "person_id", "hap", "line_no", F.coalesce(_quoted(attrs, "gene_name"), _quoted(attrs, "gene_id")).alias("gene"),
-        F.coalesce(_quoted(attrs, "consensus"), _quoted(attrs, "allele")).alias("call"),
-    ).where(F.col("gene").isNotNull() & F.col("call").isNotNull())
+    called = parsed.where(F.contains("text", F.lit("consensus")) | F.contains("text", F.lit("allele")))
+    rows = with_once(called.select("person_id", "hap", "line_no", "text"), {
+        "gene": F.coalesce(_quoted("text", "gene_name"), _quoted("text", "gene_id")),
+        "call": F.coalesce(_quoted("text", "consensus"), _quoted("text", "allele")),
+    }).where(F.col("gene").isNotNull() & F.col("call").isNotNull())
     return rows.groupBy("person_id", "hap", "gene").agg(F.max_by("call", "line_no").alias("call"))
 
 
@@ -100,8 +118,8 @@ def assembly_table(calls: DataFrame) -> DataFrame:
 
 def completed_people(lines: DataFrame) -> DataFrame:
     """People whose two haplotype files both hold at least one real call line."""
-    attrs = attributes(F.get(F.split("value", "\t"), F.lit(8)))
-    called = F.coalesce(_quoted(attrs, "consensus"), _quoted(attrs, "allele")).isNotNull()
+    lines = with_once(lines, {"text": F.get(F.split("value", "\t"), F.lit(8))})
+    called = F.coalesce(_quoted("text", "consensus"), _quoted("text", "allele")).isNotNull()
     real = ~F.startswith("value", F.lit("#")) & called
     per_file = lines.groupBy("person_id", "hap").agg(F.count_if(real).alias("n"))
     return per_file.groupBy("person_id").agg(

@@ -1,4 +1,5 @@
 import gzip
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -144,3 +145,23 @@ def test_sql_functions(spark):
     r = spark.sql("SELECT two_field('A*01:02:03') AS a, allele_depth('A*01:new') AS b, "
                   "allele_fields('A*01:02') AS c, release_name('3650') AS d").first()
     assert (r.a, r.b, list(r.c), r.d) == ("01:02", 1, ["01", "02"], "3.65.0")
+
+
+def test_one_expression_per_key_equals_the_attribute_list(spark):
+    rng = random.Random(4)
+    tokens = ["k", "k", "k2", "a", " ", "  ", ";", '"', '""', "x", '"v;w"', '"v"', 'k "z"', "; k ", "k  y z ", 'k "" ']
+    texts = ["".join(rng.choice(tokens) for _ in range(rng.randrange(14))) for _ in range(3000)] + ['k "x";' * 900]
+    attrs = annotations.attributes("t")
+    of_key = F.filter(attrs, lambda a: a["key"] == "k")
+    quoted = F.filter(of_key, lambda a: a["quoted"] & (a["value"] != ""))
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select(
+        annotations._last("t", "k").alias("last"), F.try_element_at(of_key, F.lit(-1))["value"].alias("last_was"),
+        annotations._quoted("t", "k").alias("first"), F.get(quoted, F.lit(0))["value"].alias("first_was")).collect()
+    assert all(r.last == r.last_was and r.first == r.first_was for r in got)
+    assert sum(r.first is not None for r in got) > 100
+
+
+def test_call_lines_are_not_cut_into_lists(spark):
+    lines = spark.createDataFrame([(1, "hap1", 1, "")], "person_id long, hap string, line_no long, value string")
+    text = annotations.gene_calls(annotations.parse_lines(lines))._jdf.queryExecution().optimizedPlan().toString()
+    assert "AS attrs" not in text
