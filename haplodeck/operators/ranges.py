@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from haplodeck.operators.intervals import plain_contig
+from haplodeck.operators.prefix import segmented_running
 
 BASE_BITS, STEP_BITS, LEVELS = 10, 3, 12
 HOT_SHARE, SALT_SHARE = 1024, 64
@@ -94,3 +95,32 @@ def overlap_pairs(left: DataFrame, right: DataFrame, left_cols: tuple, right_col
     return candidates(left, right, left_cols, right_cols).where(
         (F.col("_el") > F.col("_sr")) & (F.col("_sl") < F.col("_er")) & (F.col("_bin") == F.greatest("_lol", "_lor"))
     ).select(F.col("_l").alias("left"), F.col("_r").alias("right"))
+
+
+def overlap_totals(left: DataFrame, right: DataFrame, left_cols: tuple, right_cols: tuple,
+                   segment_bits: int = 16) -> DataFrame:
+    """contig, n_pairs, overlap_bp of the pairs `overlap_pairs` finds, without making them: their number grows
+    with the product of the sides, the work here with the sum. Starts and ends are counted per position;
+    running counts, cut into segments of positions, say how many intervals of each side are open there.
+    Contigs are told without prefix; those without a pair are left out."""
+    def ends(df: DataFrame, cols: tuple, mine: str, other: str) -> DataFrame:
+        rows = _placed(df.select(*[F.col(f"`{c}`") for c in cols]), cols, "x")
+        zero = F.lit(0).cast("long")
+        events = F.array(*[
+            F.struct(F.col(at).alias("pos"), F.lit(begun).cast("long").alias(f"{mine}_begun"),
+                     F.lit(change).cast("long").alias(mine), zero.alias(f"{other}_begun"), zero.alias(other))
+            for at, begun, change in (("_s", 1, 1), ("_e", 0, -1))])
+        return rows.select(F.col("_contig").alias("contig"), F.explode(events).alias("_v")).select("contig", "_v.*")
+
+    changes = ends(left, left_cols, "l", "r").unionByName(ends(right, right_cols, "r", "l")).groupBy(
+        "contig", "pos").agg(*[F.sum(c).alias(c) for c in ("l", "l_begun", "r", "r_begun")])
+    spots = segmented_running(
+        changes.withColumn("_part", F.call_function("shiftright", F.col("pos"), F.lit(segment_bits))),
+        ["contig"], ["pos"], "_part", {"l": "l_open", "r": "r_open"})
+    big = {c: F.col(c).cast("decimal(13,0)") for c in ("l", "r", "l_open", "r_open")}
+    new = F.col("l_begun") * F.col("r_open") + F.col("r_begun") * (F.col("l_open") - F.col("l_begun"))
+    # the open pairs times the way to the next position, summed by parts: what opens or closes here, times here
+    step = (big["l_open"] * big["r_open"] - (big["l_open"] - big["l"]) * (big["r_open"] - big["r"])).cast("decimal(27,0)")
+    return spots.groupBy("contig").agg(
+        F.sum(new).alias("n_pairs"), (-F.sum((step * F.col("pos").cast("decimal(11,0)")).cast("decimal(38,0)"))).cast("long").alias("overlap_bp"),
+    ).where("n_pairs > 0")

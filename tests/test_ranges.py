@@ -59,3 +59,26 @@ def test_a_long_interval_and_a_hot_bin_cost_no_more_than_their_pairs(spark):
     assert placed.count() <= 2 * len(blocks)
     hot = {r["_ko"] for r in rg._hot(rg._in_bins(rg._placed(b, COLS, "l"), F.array("_own"), "l"), "_ko").collect()}
     assert max(hot) >= 15
+
+
+def test_totals_equal_the_pairs(spark):
+    rng = random.Random(8)
+    odd = [("6", 10, 20, 900), ("6", 20, 30, 901), ("6", 20, 30, 902), (None, 1, 2, 903), ("6", 9, 9, 904), ("x", 1, 2, 905)]
+    left, right = made(rng, 200) + odd, made(rng, 250) + odd[:-1]
+    a, b = spark.createDataFrame(left, SCHEMA).repartition(3), spark.createDataFrame(right, SCHEMA).repartition(4)
+    at = {r[3]: r for r in left}, {r[3]: r for r in right}
+    want = {}
+    for i, j in expected(left, right):
+        x, y = at[0][i], at[1][j]
+        n, bases = want.get(x[0].removeprefix("chr"), (0, 0))
+        want[x[0].removeprefix("chr")] = (n + 1, bases + min(x[2], y[2]) - max(x[1], y[1]))
+    for bits in (4, 16):
+        got = rg.overlap_totals(a, b, COLS, COLS, segment_bits=bits).collect()
+        assert {r.contig: (r.n_pairs, r.overlap_bp) for r in got} == want
+
+
+def test_totals_do_not_make_the_pairs(spark):
+    """300 million pairs on one contig: their number only."""
+    a = spark.range(30_000).select(F.lit("6").alias("contig"), F.col("id").alias("start"), (F.col("id") + 40_000).alias("end"))
+    b = spark.range(10_000).select(F.lit("6").alias("contig"), F.lit(30_000).alias("start"), F.lit(30_001).alias("end"))
+    assert [tuple(r) for r in rg.overlap_totals(a, b, COLS, COLS).collect()] == [("6", 300_000_000, 300_000_000)]
