@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from haplodeck import domain
@@ -361,17 +361,19 @@ def call_matrix(base: DataFrame, sr: DataFrame, lr_haplotypes: DataFrame,
 def config_comparison(log: DataFrame, baseline: str, pair: Pair, newest: str = "ts",
                       tiebreak: list[str] = ()) -> DataFrame:
     """Every run label against the baseline label: genotypes compared and identical at two fields."""
-    rows = latest_per_key(log, ["person_id", "gene", "run_label"], newest, tiebreak)
-    keyed = rows.select(
-        "person_id", "gene", "run_label",
-        al.unordered_pair(al.two_field(pair[0]), al.two_field(pair[1])).alias("key"),
-    )
-    base = keyed.where(F.col("run_label") == baseline).select(
-        "person_id", "gene", F.col("key").alias("base_key")
-    )
-    return keyed.where(F.col("run_label") != baseline).join(base, ["person_id", "gene"]).groupBy(
-        "run_label", "gene"
-    ).agg(
+    return compared_configs(latest_per_key(log, ["person_id", "gene", "run_label"], newest, tiebreak), baseline, pair)
+
+
+def compared_configs(rows: DataFrame, baseline: str, pair: Pair) -> DataFrame:
+    """As `config_comparison`, on one row per (person, gene, label). The baseline's genotype comes from a
+    window over a slot's labels, so the rows are made once and stay where they are."""
+    keyed = with_once(rows.select("person_id", "gene", "run_label", *pair), {
+        "key": al.unordered_pair(al.two_field(pair[0]), al.two_field(pair[1]))})
+    slot = Window.partitionBy("person_id", "gene")
+    is_base = F.col("run_label") == baseline
+    based = keyed.select("person_id", "gene", "run_label", "key").withColumns({
+        "base_key": F.max(F.when(is_base, F.col("key"))).over(slot), "_has": F.count_if(is_base).over(slot)})
+    return based.where(~is_base & (F.col("_has") > 0)).groupBy("run_label", "gene").agg(
         F.count("*").alias("n_slots"),
         F.count_if(F.col("key").isNotNull() & F.col("base_key").isNotNull()).alias("n_compared"),
         F.count_if(F.col("key") == F.col("base_key")).alias("n_same"),

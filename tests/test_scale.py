@@ -19,3 +19,8 @@ def test_people_keep_their_partitions(spark, data, monkeypatch):
     n = fx.table(spark, data, "orders").count()
     parts = fx.persons(spark, data).select(F.spark_partition_id().alias("p")).distinct().count()
     assert parts > 0.8 * n / 100
+
+
+def test_labels_are_compared_without_a_second_reading(spark, data):
+    text = plan(queries.QUERIES["config_comparison"](spark, data))
+    assert "gene" not in "".join(line for line in text.splitlines() if "Join [" in line)
