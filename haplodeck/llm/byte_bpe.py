@@ -32,8 +32,8 @@ from haplodeck.llm.workers import once_per_worker, pattern_words
 LONG_WORD = 200
 #: Words per recursive query, and words a worker remembers; the older half is forgotten at a time,
 #: but for those met again meanwhile.
-WORDS_PER_QUERY = 40_000
-CACHED_WORDS = 400_000
+WORDS_PER_QUERY = 25_000
+CACHED_WORDS = 240_000
 
 ENCODE = """
 WITH RECURSIVE step(round, word, pos, token) AS (
@@ -83,7 +83,7 @@ class RecursiveCoder:
                 if a is not None and b is not None:
                     for col, v in zip(found, (a, b, rank), strict=True):
                         col.append(v)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "256MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "160MB"})
         self._store("merges", {"a": found[0], "b": found[1], "merged": found[2]})
         ids = list(ranks.values())
         self._store("vocabulary", {
@@ -145,14 +145,18 @@ class RecursiveCoder:
             ids[i] = b"".join(t.to_bytes(4, "little") for t in merged)
             text[i] = b"".join(self.tokens[t] for t in merged)
         self.known.update((w, (ids[i], text[i])) for i, w in enumerate(words))
+        self.db.execute("DROP TABLE ids; DROP TABLE letters")
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """(little-endian 32-bit ids, decoded bytes) of every text."""
-        cut = [self.pattern(t) for t in texts]
+        seen: dict[str, str] = {}  # one object per different word of the block, however often it occurs
+        cut = [[seen.setdefault(w, w) for w in self.pattern(t)] for t in texts]
         if len(self.known) >= CACHED_WORDS // 2:
             self.known, self.older = {}, self.known
         known, older, new = self.known, self.older, []
-        for w in {w: None for words in cut for w in words if w not in known}:
+        for w in seen:
+            if w in known:
+                continue
             if w in older:
                 known[w] = older[w]
             else:

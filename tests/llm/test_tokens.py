@@ -85,3 +85,10 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id long, text string")
     assert token_counts.token_counts(none).count() == 0 and token_counts.prefix_table(none).count() == 0
     assert byte_bpe.digests(none).count() == 0 and byte_bpe.encode(none).count() == 0
+
+
+def test_a_worker_keeps_no_rows_of_learnt_words():
+    coder = byte_bpe.RecursiveCoder(P.path("byte_bpe_50k.tiktoken"))
+    coder.encode(["some words to learn, some words", ""])
+    left = {r[0] for r in coder.db.execute("SELECT table_name FROM duckdb_tables()").fetchall()}
+    assert left == {"merges", "vocabulary"}
