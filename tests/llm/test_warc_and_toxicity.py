@@ -3,7 +3,9 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from haplodeck.llm import toxicity, warc_index
 from haplodeck.llm.tables import scratch
@@ -106,3 +108,14 @@ def test_without_labels(spark):
     assert {r.score for r in toxicity.held_out_scores(docs, labels.limit(0)).collect()} == {0.5}
     assert all(r.score < 0.01 for r in toxicity.held_out_scores(docs, labels.where("toxic = 0")).collect())
     assert toxicity.held_out_scores(docs.limit(0), labels.limit(0)).count() == 0
+
+
+def test_every_labelled_text_is_learnt_from(spark, monkeypatch):
+    docs, labels = labelled(spark)
+    row = spark.range(8000, 9000).where(toxicity.fold("id") > 1).orderBy(F.xxhash64("id").desc()).first()
+    rare = spark.createDataFrame([(row["id"], "zzyzx", "en", 1.0)], docs.schema)  # last by hash: in no bounded start
+    docs, labels = docs.unionByName(rare), labels.unionByName(spark.createDataFrame([(row["id"], 1)], labels.schema))
+    monkeypatch.setattr(toxicity, "START_PER_CLASS" if hasattr(toxicity, "START_PER_CLASS") else "TRAIN_PER_CLASS", 50)
+    model = toxicity.train(docs, labels)[0]
+    (_, _, ids, _), = toxicity.features(pa.array(["zzyzx"]))
+    assert (model.w["emb"][0, ids[0, 0]] != toxicity.Classifier.fresh().w["emb"][0, ids[0, 0]]).any()
