@@ -66,9 +66,11 @@ def feature_tokens(calls: DataFrame, people: DataFrame, genes: list[str] = domai
 
 
 def feature_dosages(tokens: DataFrame, names: DataFrame) -> DataFrame:
-    """person_id, index, dosage: how often each numbered name occurs in a person's tokens."""
+    """person_id, index, dosage: how often each numbered name occurs in a person's tokens. The names are broadcast:
+    they are as many as the coefficients, which the fits hold on the driver, and a join by name would
+    send all tokens of a common name to one task."""
     return tokens.select("person_id", F.explode("tokens").alias("feature")).join(
-        names, "feature").groupBy("person_id", "index").agg(F.count("*").cast("double").alias("dosage"))
+        F.broadcast(names), "feature").groupBy("person_id", "index").agg(F.count("*").cast("double").alias("dosage"))
 
 
 @F.udf(VectorUDT())

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from haplodeck.operators import models as md
 from haplodeck.plans import fixtures as fx, queries, stored
 
 
@@ -49,3 +50,11 @@ def test_values_meet_their_quartiles_without_a_shuffle_by_metric(spark, data):
         assert len(joins(queries.QUERIES["qc_describe_sketch"](spark, data))) == 1  # of the two results
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_tokens_meet_their_names_without_a_shuffle_by_name(spark, data):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert not [line for line in joins(md.feature_dosages(*queries._tokens(spark, data))) if "[feature" in line]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
