@@ -2,7 +2,7 @@
 
 Minimised is  sum |w_j| + |b| + C sum log(1 + exp(-y z)),  z = b + sum w_j x_j / s_j,  with s_j the population
 deviation of feature j over the fitted rows (1 where it is 0) and no centring. Each step is one pass over the
-sparse rows, which returns the loss, the gradient of every feature and the second derivatives of the active ones
+sparse rows, written once as blocks of bytes, which returns the loss, the gradient of every feature and the second derivatives of the active ones
 as sums of cells; the driver holds one number per feature and one per pair of active features, whatever the
 number of rows. A proximal Newton step follows: coordinate descent on the quadratic model, halved until the
 objective falls. The fit ends when no feature breaks the optimality conditions by more than `tolerance`:
@@ -57,7 +57,39 @@ def deviations(rows: DataFrame, size: int) -> np.ndarray:
     return np.where(out > 0, out, 1.0)
 
 
-def _pass(rows: DataFrame, w: np.ndarray, b: float, scale: np.ndarray, c: float, active: np.ndarray):
+def packed(rows: DataFrame) -> DataFrame:
+    """fold (-1 without one), y, size, idx, dose: the rows of an Arrow batch and fold as the bytes of four arrays,
+    so that the passes over them neither build rows nor copy lists."""
+    fold = F.col("fold").cast("int") if "fold" in rows.columns else F.lit(-1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            folds = np.asarray(batch.column(0))
+            for f in np.unique(folds):
+                part = batch.filter(pa.array(folds == f))
+                parts = [np.asarray(part.column(1)).astype(np.float64), np.asarray(part.column(2).value_lengths()),
+                         np.asarray(part.column(2).flatten()), np.asarray(part.column(3).flatten())]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([f], pa.int32()), *[pa.array([v.astype(t).tobytes()], pa.binary()) for v, t in zip(
+                        parts, (np.float64, np.int32, np.int32, np.float64))]], ["fold", "y", "size", "idx", "dose"])
+
+    return cut_lineage(rows.select(fold.alias("fold"), F.col("label").cast("double").alias("label"), F.col("idx").cast(
+        "array<int>").alias("idx"), F.col("dose").cast("array<double>").alias("dose")).mapInArrow(
+            run, "fold int, y binary, size binary, idx binary, dose binary"))
+
+
+def _blocks(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(y, size, idx, dose) of at most BLOCK rows."""
+    for i in range(batch.num_rows):
+        y, size, j, x = (np.frombuffer(batch.column(c)[i].as_buffer(), t) for c, t in enumerate(
+            (np.float64, np.int32, np.int32, np.float64)))
+        first = np.concatenate([[0], np.cumsum(size)])
+        for at in range(0, len(y), BLOCK):
+            to = min(at + BLOCK, len(y))
+            yield y[at:to], size[at:to], j[first[at]:first[to]], x[first[at]:first[to]]
+
+
+def _pass(blocks: DataFrame, w: np.ndarray, b: float, scale: np.ndarray, c: float, active: np.ndarray):
     """(loss, gradient with the intercept last, second derivatives of the active features and the intercept)."""
     p, k = len(w), len(active) + 1
     step, place = w / scale, np.full(p + 1, -1)
@@ -66,26 +98,21 @@ def _pass(rows: DataFrame, w: np.ndarray, b: float, scale: np.ndarray, c: float,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loss, grad, second = 0.0, np.zeros(p + 1), np.zeros((k, k))
         for batch in batches:
-            for at in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(at, BLOCK)
-                y = np.asarray(part.column(0))
-                size = np.asarray(part.column(1).value_lengths())
-                j, x = np.asarray(part.column(1).flatten()), np.asarray(part.column(2).flatten())
+            for y, size, j, x in _blocks(batch):
                 row = np.repeat(np.arange(len(y)), size)
                 z = b + np.bincount(row, step[j] * x, len(y))
                 loss += np.logaddexp(0, np.where(y > 0, -z, z)).sum()
                 m = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
                 grad[:p] += np.bincount(j, (m - y)[row] * x, p)[:p]
                 grad[p] += (m - y).sum()
-                dense = np.zeros((len(y), k))
-                dense[:, k - 1] = 1
                 live = place[j] >= 0
-                np.add.at(dense, (row[live], place[j[live]]), x[live] / scale[j[live]])
+                dense = np.bincount(row[live] * k + place[j[live]], x[live] / scale[j[live]], len(y) * k).reshape(-1, k)
+                dense[:, k - 1] = 1
                 second += (dense * (m * (1 - m))[:, None]).T @ dense
         cells = np.concatenate([[loss], grad, second.ravel()])
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(cells))), pa.array(cells)], ["cell", "v"])
 
-    got = rows.select("label", "idx", "dose").mapInArrow(run, "cell long, v double").groupBy("cell").agg(
+    got = blocks.select("y", "size", "idx", "dose").mapInArrow(run, "cell long, v double").groupBy("cell").agg(
         F.sum("v").alias("v")).toArrow()
     cells = np.zeros(1 + p + 1 + k * k)
     cells[got["cell"].to_numpy()] = got["v"].to_numpy()
@@ -117,16 +144,16 @@ def _descent(theta: np.ndarray, grad: np.ndarray, second: np.ndarray, most: int
 
 
 def solve(rows: DataFrame, size: int, c: float = 0.1, tolerance: float = TOLERANCE,
-          most_passes: int = MOST_PASSES) -> Fit:
-    """Optimum over stored rows (label, idx, dose) of `size` features."""
-    scale = deviations(rows, size)
+          most_passes: int = MOST_PASSES, blocks: DataFrame | None = None) -> Fit:
+    """Optimum over stored rows (label, idx, dose) of `size` features; `blocks` are the same rows `packed`."""
+    scale, blocks = deviations(rows, size), packed(rows) if blocks is None else blocks
     theta = np.zeros(size + 1)
     every = np.arange(size)
-    loss, grad, _ = _pass(rows, theta[:-1], theta[-1], scale, c, every[:0])
+    loss, grad, _ = _pass(blocks, theta[:-1], theta[-1], scale, c, every[:0])
     passes, worst = 1, violations(theta, grad).max()
     while worst > tolerance and passes < most_passes:
         active = every[(theta[:-1] != 0) | (np.abs(grad[:-1]) > 1 - 1e-9)]
-        loss, grad, second = _pass(rows, theta[:-1], theta[-1], scale, c, active)
+        loss, grad, second = _pass(blocks, theta[:-1], theta[-1], scale, c, active)
         passes += 1
         at = np.append(active, size)
         step = _descent(theta[at], grad[at], second) - theta[at]
@@ -134,7 +161,7 @@ def solve(rows: DataFrame, size: int, c: float = 0.1, tolerance: float = TOLERAN
         while passes < most_passes:
             trial = theta.copy()
             trial[at] += share * step
-            new_loss, new_grad, _ = _pass(rows, trial[:-1], trial[-1], scale, c, every[:0])
+            new_loss, new_grad, _ = _pass(blocks, trial[:-1], trial[-1], scale, c, every[:0])
             passes += 1
             if new_loss + np.abs(trial).sum() <= cost + 1e-12 * abs(cost) or share < 1e-8:
                 break
@@ -187,9 +214,10 @@ def out_of_fold_scores(folded: DataFrame, size: int, n: int = 5, c: float = 0.1)
     """person_id, ancestry, label, fold, score: every person scored by the optimum of the other folds."""
     check_cases(folded)
     folded = cut_lineage(folded)
-    out = None
+    blocks, out = packed(folded), None
     for fold in range(n):
-        fit = solve(folded.where(F.col("fold") != fold), size, c)
+        others = F.col("fold") != fold
+        fit = solve(folded.where(others), size, c, blocks=blocks.where(others))
         step, b = fit.weights / fit.scale, fit.intercept
 
         def run(batches: Iterator[pa.RecordBatch], step=step, b=b) -> Iterator[pa.RecordBatch]:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from haplodeck.operators import models as md
+from haplodeck.operators import lasso as ls, models as md
 from haplodeck.plans import fixtures as fx, queries, stored
 
 
@@ -58,3 +58,14 @@ def test_tokens_meet_their_names_without_a_shuffle_by_name(spark, data):
         assert not [line for line in joins(md.feature_dosages(*queries._tokens(spark, data))) if "[feature" in line]
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_passes_of_the_fit_read_blocks(spark):
+    rows = spark.createDataFrame([(i % 3, float(i % 2), [0, 2], [1.0, float(i)]) for i in range(60)],
+                                 "fold int, label double, idx array<int>, dose array<double>")
+    blocks = ls.packed(rows.coalesce(1))
+    assert blocks.count() == 3
+    got = [(y, list(j), list(x)) for batch in blocks.where("fold <> 1").select("y", "size", "idx", "dose").toArrow().to_batches()
+           for ys, size, js, xs in ls._blocks(batch)
+           for y, j, x in zip(ys, js.reshape(-1, 2), xs.reshape(-1, 2))]
+    assert sorted(got) == sorted((r.label, r.idx, r.dose) for r in rows.where("fold <> 1").collect())
