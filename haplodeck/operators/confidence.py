@@ -36,16 +36,22 @@ def annotation_evidence(annotations: DataFrame) -> DataFrame:
     )
 
 
+def _with_slots(rows: DataFrame, other: DataFrame) -> DataFrame:
+    """Left join by person and gene. The gene is compared by order, so that rows spread by person stay where they
+    are: an equality would be taken as a second key to shuffle by. A person has few genes."""
+    other = other.withColumnsRenamed({"person_id": "_person", "gene": "_gene"})
+    gene = (F.col("gene") <= F.col("_gene")) & (F.col("gene") >= F.col("_gene"))
+    return rows.join(other, (F.col("person_id") == F.col("_person")) & gene, "left").drop("_person", "_gene")
+
+
 def assemble(log_rows: DataFrame, asm_calls: DataFrame, annotations: DataFrame, bare: bool = False) -> DataFrame:
     """Log rows with long-read evidence, assembly calls and assembly evidence. Only keys of the
     log survive. `bare` says that the calls' genes have no prefix, so a table stored by gene keeps its layout."""
     calls = asm_calls.select("person_id", "gene" if bare else al.bare_gene("gene").alias("gene"), *ASM)
-    return (
-        with_once(log_rows, long_read_evidence())
-        .join(calls, ["person_id", "gene"], "left")
-        .join(annotation_evidence(annotations), ["person_id", "gene"], "left")
-        .withColumn("asm_warning", F.coalesce("asm_warning", F.lit(False)))
-    )
+    rows = with_once(log_rows, long_read_evidence())
+    for other in (calls, annotation_evidence(annotations)):
+        rows = rows.join(other, ["person_id", "gene"], "left") if bare else _with_slots(rows, other)
+    return rows.withColumn("asm_warning", F.coalesce("asm_warning", F.lit(False)))
 
 
 def lr_confident(min_identity: float) -> Column:
@@ -184,12 +190,12 @@ def confidence_matched_rates(rows: DataFrame, methods: dict[str, cc.Pair], min_i
     """Both truth sources, before and after confidence matching: counts and match rate per truth,
     scenario, gene, method and level."""
     matched = matched_slots(cut_lineage(truth_scores(rows, min_identity, max_distance)))
-    kept = matched.groupBy("person_id", "gene").agg(
-        *[F.bool_or(F.col("tool") == t).alias(f"_in_{t}") for t in ("lr", "asm")])
-    flagged = rows.join(kept, ["person_id", "gene"], "left")
+    kept = matched.groupBy("person_id").agg(F.collect_set(F.struct("gene", "tool")).alias("_kept"))  # genes times tools
+    flagged = rows.join(kept, "person_id", "left")  # by person, as the rows lie
     truths = F.array(*[
         F.struct(F.lit(t).alias("truth"), F.col(p[0]).alias("truth_1"), F.col(p[1]).alias("truth_2"),
-                 F.coalesce(F.col(f"_in_{t}"), F.lit(False)).alias("matched"))
+                 F.coalesce(F.array_contains("_kept", F.struct("gene", F.lit(t).alias("tool"))), F.lit(False))
+                 .alias("matched"))
         for t, p in (("lr", LR), ("asm", ASM))
     ])
     calls = [c for pair in methods.values() for c in pair]

@@ -69,3 +69,8 @@ def test_passes_of_the_fit_read_blocks(spark):
            for ys, size, js, xs in ls._blocks(batch)
            for y, j, x in zip(ys, js.reshape(-1, 2), xs.reshape(-1, 2))]
     assert sorted(got) == sorted((r.label, r.idx, r.dose) for r in rows.where("fold <> 1").collect())
+
+
+def test_evidence_stays_where_its_people_are(spark, data):
+    text = plan(queries._evidence_rows(spark, data))
+    assert "person_id" in text and not [x for x in text.splitlines() if "Exchange hashpartitioning(" in x and "gene#" in x.split("),")[0]]
