@@ -22,7 +22,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 PEOPLE_PER_PART = 25_000
 
 
-def _parts(spark: SparkSession, sf_dir: str) -> int:
+def view_parts(spark: SparkSession, sf_dir: str) -> int:
     """Partitions of the views by person. A fixed number, as adaptive execution would join partitions
     by the size of the narrow rows, which become sixty times longer after it."""
     n = table(spark, sf_dir, "orders").count()  # from the file footers
@@ -46,7 +46,7 @@ def persons(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.col("r_name").alias("ancestry"),
             (F.col("o_orderpriority") == "1-URGENT").cast("int").alias("case"),
         )
-        .repartition(_parts(spark, sf_dir), "person_id")
+        .repartition(view_parts(spark, sf_dir), "person_id")
     )
 
 
@@ -117,7 +117,7 @@ def log_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("v")
     lines = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("person_id"), F.col("l_linenumber").alias("v"),
-        F.col("l_shipdate").alias("ts")).repartition(_parts(spark, sf_dir), "person_id")
+        F.col("l_shipdate").alias("ts")).repartition(view_parts(spark, sf_dir), "person_id")
     return lines.join(persons(spark, sf_dir).select("person_id", "cust"), "person_id").select(
         "person_id", "v", "ts", F.when(v % 3 == 0, "pilot").otherwise("main").alias("run_label"), "cust")
 

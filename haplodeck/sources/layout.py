@@ -48,9 +48,14 @@ class BucketTable:
     def _bucket(self):
         return F.pmod(F.hash(*self.keys), F.lit(self.buckets))
 
-    def create(self, rows: DataFrame) -> None:
-        """First version of every bucket."""
-        self._commit(rows.withColumn("_bucket", self._bucket()), 0, list(range(self.buckets)))
+    def create(self, rows: DataFrame, derive: Callable[[DataFrame], DataFrame] | None = None, parts: int = 1) -> None:
+        """First version of every bucket. With `derive`, narrow `rows` are spread by bucket and key over `parts`
+        tasks, and the table's rows are made of them there; it keeps the keys and `_bucket`."""
+        rows = rows.withColumn("_bucket", self._bucket())
+        if derive:
+            self._commit(derive(rows.repartitionByRange(parts, "_bucket", *self.keys)), 0, list(range(self.buckets)), True)
+        else:
+            self._commit(rows, 0, list(range(self.buckets)))
 
     def manifest(self) -> DataFrame:
         """bucket, commit, folder of the present version of every bucket."""
@@ -70,10 +75,10 @@ class BucketTable:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*parts)
 
-    def _commit(self, rows: DataFrame, commit: int, touched: list[int]) -> None:
+    def _commit(self, rows: DataFrame, commit: int, touched: list[int], spread: bool = False) -> None:
         folder = f"commit-{commit}-{uuid.uuid4().hex}"
         # a bucket with one heavy key is split over tasks by adaptive execution
-        rows.hint("rebalance", "_bucket").write.partitionBy("_bucket").parquet(f"{self.path}/data/{folder}")
+        (rows if spread else rows.hint("rebalance", "_bucket")).write.partitionBy("_bucket").parquet(f"{self.path}/data/{folder}")
         if commit == 0:
             rows.drop("_bucket").limit(0).write.mode("errorifexists").parquet(f"{self.path}/schema")
         held = {r["_bucket"] for r in self.spark.read.parquet(f"{self.path}/data/{folder}").select(

@@ -74,3 +74,18 @@ def test_passes_of_the_fit_read_blocks(spark):
 def test_evidence_stays_where_its_people_are(spark, data):
     text = plan(queries._evidence_rows(spark, data))
     assert "person_id" in text and not [x for x in text.splitlines() if "Exchange hashpartitioning(" in x and "gene#" in x.split("),")[0]]
+
+
+def test_stored_versions_get_their_genes_where_they_are_written(spark, data, monkeypatch):
+    seen = []
+    plain = stored.BucketTable._commit
+
+    def noted(self, rows, commit, *rest):
+        seen.append(plan(rows))
+        plain(self, rows, commit, *rest)
+
+    monkeypatch.setattr(stored.BucketTable, "_commit", noted)
+    stored.QUERIES["bucket_compaction"](spark, data)
+    first = seen[0].splitlines()
+    assert "Exchange rangepartitioning(_bucket" in seen[0]
+    assert not any("Generate" in x for x in first[next(i for i, x in enumerate(first) if "rangepartitioning" in x):])
