@@ -1,13 +1,14 @@
 """Byte-level BPE by recursive DuckDB queries, one embedded database per Python worker.
 
-Each batch of a partition is cut into the pattern's words. Words the worker has not met become
-(word, position, token) rows; a recursive query joins neighbouring tokens with the merge table and
-contracts the leftmost pair of lowest rank of every word, until no word has a pair left. Decoding
-joins the ids with the vocabulary and aggregates the bytes in order. A text's ids are its words'
-ids one after the other.
+Each batch of a partition is cut into the pattern's words. A word the worker has not met becomes one row:
+its tokens and, for every two neighbours, the token they merge to. A recursive query contracts the
+leftmost pair of lowest rank of every word and joins the two new pairs beside it with the merge table,
+until no word has a pair left. Decoding joins the ids with the vocabulary, in order. A text's ids are its
+words' ids one after the other.
 
-A word over LONG_WORD bytes would need one recursion step per merge over all of its rows; such words
-are merged by an equivalent priority queue instead, which gives the same ids.
+Words of like length share a query, and it holds fewer the longer they are. A word over LONG_WORD bytes
+would need one recursion step per merge; such words are merged by an equivalent priority queue instead,
+which gives the same ids.
 
 Null text counts as empty; empty text has no ids and decodes to nothing. Repeated rows and ties give
 repeated results; other columns are not looked at.
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from collections.abc import Iterator
 from hashlib import sha256
 
@@ -33,37 +35,37 @@ LONG_WORD = 200
 #: Words per recursive query, and words a worker remembers; the older half is forgotten at a time,
 #: but for those met again meanwhile.
 WORDS_PER_QUERY = 25_000
+#: Words of a query times the square of the longest one's bytes.
+SQUARES_PER_QUERY = 4_000_000
 CACHED_WORDS = 240_000
 
-ENCODE = """
-WITH RECURSIVE step(round, word, pos, token) AS (
-    SELECT 0, word, pos, token FROM letters
+#: Stands for a pair of neighbours that has no merge.
+NO_PAIR = 2**31 - 1
+
+ENCODE = f"""
+WITH RECURSIVE step(word, tokens, pairs) AS (
+    SELECT word, tokens, pairs FROM letters
     UNION ALL
-    (WITH pairs AS (
-        SELECT s.round, s.word, s.pos, s.token, s.next_pos, m.merged
-        FROM (SELECT *, lead(pos) OVER w AS next_pos, lead(token) OVER w AS next_token
-              FROM step WINDOW w AS (PARTITION BY word ORDER BY pos)) s
-        LEFT JOIN merges m ON m.a = s.token AND m.b = s.next_token),
+    (WITH low AS (SELECT word, tokens, pairs, list_min(pairs) AS merged FROM step),
     best AS (
-        SELECT word, min(merged * 1024 + pos) AS lowest, arg_min(next_pos, merged * 1024 + pos) AS gone
-        FROM pairs WHERE merged IS NOT NULL GROUP BY word)
-    SELECT p.round + 1, p.word, p.pos,
-           CASE WHEN p.pos = b.lowest % 1024 THEN (b.lowest // 1024)::INTEGER ELSE p.token END
-    FROM pairs p JOIN best b ON b.word = p.word
-    WHERE p.pos <> b.gone)
+        SELECT word, tokens, pairs, merged, list_position(pairs, merged) AS p
+        FROM low WHERE merged < {NO_PAIR})
+    SELECT word, list_concat(tokens[:p - 1], [merged], tokens[p + 2:]),
+           list_concat(pairs[:greatest(p - 2, 0)],
+                       CASE WHEN p > 1 THEN [coalesce(l.made, {NO_PAIR})] ELSE [] END,
+                       CASE WHEN p < len(pairs) THEN [coalesce(r.made, {NO_PAIR})] ELSE [] END,
+                       pairs[p + 2:])
+    FROM best
+    LEFT JOIN merges l ON l.pair = CASE WHEN p > 1 THEN tokens[p - 1]::BIGINT << 32 | merged END
+    LEFT JOIN merges r ON r.pair = merged::BIGINT << 32 | tokens[p + 2])
 )
-SELECT word, pos, token FROM step
-QUALIFY round = max(round) OVER (PARTITION BY word)
-"""
-
-IDS = """
-SELECT i.word, string_agg(v.id_hex, '' ORDER BY i.pos) AS ids
-FROM ids i JOIN vocabulary v ON v.id = i.token GROUP BY i.word
+SELECT word, tokens FROM step WHERE coalesce(list_min(pairs), {NO_PAIR}) = {NO_PAIR}
 """
 
 DECODE = """
-SELECT i.word, string_agg(v.bytes_hex, '' ORDER BY i.pos) AS bytes
-FROM ids i JOIN vocabulary v ON v.id = i.token GROUP BY i.word
+SELECT i.word, i.token, v.bytes
+FROM (SELECT word, unnest(tokens) AS token, unnest(range(len(tokens))) AS pos FROM ids) i
+JOIN vocabulary v ON v.id = i.token ORDER BY i.word, i.pos
 """
 
 
@@ -76,24 +78,24 @@ class RecursiveCoder:
         self.single = [self.ranks[bytes([b])] for b in range(256)]
         self.known: dict[str, tuple[bytes, bytes]] = {}
         self.older: dict[str, tuple[bytes, bytes]] = {}
-        ranks, found = self.ranks, ([], [], [])
+        self.letter = np.array(self.single, np.int32)
+        self.letter_pairs = np.full(1 << 16, NO_PAIR, np.int32)
+        ranks, pairs, made = self.ranks, array("q"), array("i")
         for token, rank in ranks.items():
             for cut in range(1, len(token)):
                 a, b = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if a is not None and b is not None:
-                    for col, v in zip(found, (a, b, rank), strict=True):
-                        col.append(v)
+                    pairs.append(a << 32 | b)
+                    made.append(rank)
+            if len(token) == 2:
+                self.letter_pairs[token[0] << 8 | token[1]] = rank
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "160MB"})
-        self._store("merges", {"a": found[0], "b": found[1], "merged": found[2]})
-        ids = list(ranks.values())
+        self._store("merges", {"pair": pa.array(np.array(pairs)), "made": pa.array(np.array(made))})
         self._store("vocabulary", {
-            "id": ids, "id_hex": [i.to_bytes(4, "little").hex() for i in ids],
-            "bytes_hex": [t.hex() for t in ranks]})
+            "id": pa.array(list(ranks.values()), pa.int32()), "bytes": pa.array(list(ranks), pa.binary())})
 
-    def _store(self, name: str, columns: dict[str, list]) -> None:
-        rows = pa.table({k: pa.array(v, pa.int32()) if v and isinstance(v[0], int) else v
-                         for k, v in columns.items()})
-        self.db.register("_rows", rows)
+    def _store(self, name: str, columns: dict[str, pa.Array]) -> None:
+        self.db.register("_rows", pa.table(columns))
         self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM _rows")
         self.db.unregister("_rows")
 
@@ -123,34 +125,54 @@ class RecursiveCoder:
                     heapq.heappush(heap, (r, k))
         return [t for t, a in zip(token, alive, strict=True) if a]
 
-    def learn(self, words: list[str]) -> None:
-        """Adds ids and decoded bytes of new words to what is known."""
-        raw = [w.encode() for w in words]
-        word, pos, token, long = [], [], [], []
-        for i, data in enumerate(raw):
-            if len(data) > LONG_WORD:
-                long.append(i)
-            else:
-                word += [i] * len(data)
-                pos += range(len(data))
-                token += [self.single[b] for b in data]
-        self._store("letters", {"word": word or [0][:0], "pos": pos, "token": token} if word else
-                    {"word": pa.array([], pa.int32()), "pos": pa.array([], pa.int32()),
-                     "token": pa.array([], pa.int32())})
+    def learn(self, words: list[str], raw: list[bytes]) -> None:
+        """Adds ids and decoded bytes of new words, given with their bytes, to what is known."""
+        sizes = np.array([len(r) for r in raw])
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        data = np.frombuffer(b"".join(raw), np.uint8).astype(np.int32)
+        pairs = self.letter_pairs[data[:-1] << 8 | data[1:]]
+        inside = np.ones(len(pairs), bool)
+        inside[ends[1:-1] - 1] = False  # no pair across two words
+        self._store("letters", {
+            "word": pa.array(np.arange(len(raw), dtype=np.int32)),
+            "tokens": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(self.letter[data])),
+            "pairs": pa.ListArray.from_arrays(
+                pa.array(ends - np.arange(len(ends)), pa.int32()), pa.array(pairs[inside]))})
         self.db.execute(f"CREATE OR REPLACE TABLE ids AS {ENCODE}")
-        ids = {w: bytes.fromhex(h) for w, h in self.db.execute(IDS).fetchall()}
-        text = {w: bytes.fromhex(h) for w, h in self.db.execute(DECODE).fetchall()}
-        for i in long:
-            merged = self._queue(raw[i])
-            ids[i] = b"".join(t.to_bytes(4, "little") for t in merged)
-            text[i] = b"".join(self.tokens[t] for t in merged)
-        self.known.update((w, (ids[i], text[i])) for i, w in enumerate(words))
+        rows = self.db.sql(DECODE).to_arrow_table().combine_chunks()
         self.db.execute("DROP TABLE ids; DROP TABLE letters")
+        first = np.searchsorted(rows["word"].to_numpy(), np.arange(len(raw) + 1))
+        ids, (_, where, text) = rows["token"].to_numpy().astype("<i4").tobytes(), rows["bytes"].chunk(0).buffers()
+        at, text = np.frombuffer(where, np.int32)[first].tolist(), text.to_pybytes()
+        first = (first * 4).tolist()
+        self.known.update(
+            (w, (ids[first[i]:first[i + 1]], text[at[i]:at[i + 1]])) for i, w in enumerate(words))
+
+    def _learn_all(self, words: list[str]) -> None:
+        """Long words by the queue, the others in queries of words of like length: each needs as many
+        rounds as its longest word, and holds as many bytes as its words' lengths squared."""
+        short, raw = [], [w.encode() for w in words]
+        for i, r in enumerate(raw):
+            if len(r) > LONG_WORD:
+                merged = self._queue(r)
+                self.known[words[i]] = (b"".join(t.to_bytes(4, "little") for t in merged),
+                                        b"".join(self.tokens[t] for t in merged))
+            else:
+                short.append(i)
+        sizes = np.array([len(raw[i]) for i in short])
+        order = np.array(short, np.int64)[np.argsort(sizes, kind="stable")].tolist()
+        at = 0
+        while at < len(order):
+            to = min(at + WORDS_PER_QUERY, len(order))
+            while to > at + 1 and (to - at) * len(raw[order[to - 1]]) ** 2 > SQUARES_PER_QUERY:
+                to = at + (to - at + 1) // 2
+            self.learn([words[i] for i in order[at:to]], [raw[i] for i in order[at:to]])
+            at = to
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """(little-endian 32-bit ids, decoded bytes) of every text."""
         seen: dict[str, str] = {}  # one object per different word of the block, however often it occurs
-        cut = [[seen.setdefault(w, w) for w in self.pattern(t)] for t in texts]
+        cut = [list(map(seen.setdefault, words, words)) for words in map(self.pattern, texts)]
         if len(self.known) >= CACHED_WORDS // 2:
             self.known, self.older = {}, self.known
         known, older, new = self.known, self.older, []
@@ -161,12 +183,12 @@ class RecursiveCoder:
                 known[w] = older[w]
             else:
                 new.append(w)
-        for at in range(0, len(new), WORDS_PER_QUERY):
-            self.learn(new[at:at + WORDS_PER_QUERY])
+        if new:
+            self._learn_all(new)
         out = []
         for words in cut:
-            found = [known[w] for w in words]
-            out.append((b"".join([f[0] for f in found]), b"".join([f[1] for f in found])))
+            ids, data = zip(*map(known.__getitem__, words), strict=True) if words else ((), ())
+            out.append((b"".join(ids), b"".join(data)))
         return out
 
 
@@ -174,7 +196,7 @@ def coder(path: str) -> RecursiveCoder:
     return once_per_worker(("recursive coder", path), lambda: RecursiveCoder(path))
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], most: int = 4_000_000):
+def _blocks(batches: Iterator[pa.RecordBatch], most: int = 2_000_000):
     """Rows in blocks of about `most` bytes of text: few recursive queries, bounded memory."""
     keys, texts, size = [], [], 0
     for batch in batches:

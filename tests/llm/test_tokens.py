@@ -92,3 +92,18 @@ def test_a_worker_keeps_no_rows_of_learnt_words():
     coder.encode(["some words to learn, some words", ""])
     left = {r[0] for r in coder.db.execute("SELECT table_name FROM duckdb_tables()").fetchall()}
     assert left == {"merges", "vocabulary"}
+
+
+def test_a_word_is_one_row_and_a_query_s_words_are_of_like_length(monkeypatch):
+    coder = byte_bpe.RecursiveCoder(P.path("byte_bpe_50k.tiktoken"))
+    stored, store = [], coder._store
+    monkeypatch.setattr(coder, "_store", lambda name, cols: (stored.append((name, cols)), store(name, cols)))
+    monkeypatch.setattr(byte_bpe, "SQUARES_PER_QUERY", 4_000)
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abestéß日") for _ in range(rng.choice((1, 3, 30)))) for _ in range(60)]
+    encoding = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=coder.ranks, special_tokens={})
+    for word, (ids, data) in zip(words, coder.encode(words), strict=True):
+        assert list(memoryview(ids).cast("i")) == encoding.encode_ordinary(word) and data == word.encode()
+    sizes = [[len(t) for t in cols["tokens"].to_pylist()] for name, cols in stored if name == "letters"]
+    assert sorted(sum(sizes, [])) == sorted(len(w.encode()) for w in set(words))
+    assert len(sizes) > 3 and all(len(s) == 1 or len(s) * max(s) ** 2 <= 4_000 for s in sizes)
