@@ -11,7 +11,7 @@ import pyarrow as pa
 from haplodeck.llm.workers import once_per_worker
 
 #: Text handled at a time; a longer single text is handled alone.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 

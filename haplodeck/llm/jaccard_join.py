@@ -6,10 +6,12 @@ these prefixes are dealt out by shingle; shingles in one node only go no further
 
 Nodes are partitioned into groups of similar ones: by the most frequent shared shingle of their prefix,
 by size band, and by hash where that shingle is frequent. So a shingle of many nodes lies in few groups,
-and the join of nodes with the groups of a shingle grows with the nodes. A node asks a group if it shares prefix shingles with it, and
-if these are enough for the sizes in the group's band. The group then holds the union of its members'
+and the join of nodes with the groups of a shingle grows with the nodes. A node asks a group if it shares prefix shingles
+with it, and if these are enough for the sizes in the group's band. The group then holds the union of its members'
 shingles (its row of the token-group matrix): only if the overlap of query and union reaches what the
-smallest possible member needs is the group opened and its members compared, exactly. Each
+smallest possible member needs is the group opened and its members compared. This is done with the first
+16 bits of a quarter of the shingles first, the rest counted as common: no link is lost, and few sets
+that do not link are left. Only these are sent whole, to the same tasks, and compared exactly. Each
 comparison's task returns a spanning forest of its links, not all of them, so dense groups stay linear
 in size; the forest has the same components.
 
@@ -42,10 +44,18 @@ BUCKET = 64
 QUERIES_PER_TASK = 2000
 TOGETHER = 3000
 BROADCAST_IDS = 500_000
+ROWS_AT_ONCE = 500
 #: A size band ends at 1.1 times its start.
 _BAND = 1.1
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows in small batches, so that what is made of one stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS_AT_ONCE):
+            yield batch.slice(at, ROWS_AT_ONCE)
+
+
 def _cells(tokens: np.ndarray) -> np.ndarray:
     return (tokens.view(np.uint64) >> np.uint64(44)).astype(np.int64)
 
@@ -71,14 +81,14 @@ def _sets_and_sketch(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hits, id_type = np.zeros(CELLS, np.int64), None
-        for batch in batches:
+        for batch in _slices(batches):
             ids, id_type = batch.column(0), batch.column(0).type
             nodes, sizes = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
             cells = [np.zeros(0, np.int64)]
             for row, tokens in shingle_sets(batch.column(1), WORDS):
                 nodes[row], sizes[row] = _node(tokens), len(tokens)
                 cells.append(_cells(tokens))
-            hits += np.bincount(np.concatenate(cells), minlength=CELLS)
+            np.add.at(hits, np.concatenate(cells), 1)
             none = pa.nulls(len(ids), pa.int64())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.ones(len(ids), bool)), ids, pa.array(nodes), pa.array(sizes), none, none], out)
@@ -105,7 +115,7 @@ def _prefixes(docs: DataFrame, text: str, levels) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         level, done = levels.value, set()
-        for batch in batches:
+        for batch in _slices(batches):
             columns = [], [], [], []
             for _, tokens in shingle_sets(batch.column(0), WORDS):
                 node, n = _node(tokens), len(tokens)
@@ -124,9 +134,7 @@ def _prefixes(docs: DataFrame, text: str, levels) -> DataFrame:
                 columns[3].append(heights.astype(np.int32))
             if columns[0]:
                 table = [pa.array(np.concatenate(c)) for c in columns]
-                whole = pa.RecordBatch.from_arrays(table, ["token", "node", "n", "level"])
-                for at in range(0, whole.num_rows, 100_000):
-                    yield whole.slice(at, 100_000)
+                yield pa.RecordBatch.from_arrays(table, ["token", "node", "n", "level"])
 
     return docs.select(F.col(text)).mapInArrow(run, "token long, node long, n int, level int")
 
@@ -159,7 +167,7 @@ def _candidates(prefixes: DataFrame) -> tuple[DataFrame, DataFrame]:
     asked = placed.join(index, "token").where(
         (F.col("grp") > F.col("own")) | ((F.col("grp") == F.col("own")) & (F.col("members") > 1)))
     q, t = F.col("n"), THRESHOLD
-    per = asked.groupBy("node", "n", "own", "grp").agg(
+    per = asked.groupBy("node", "n", "grp").agg(
         F.count("*").alias("shared"), F.min("low").alias("low"), F.max("high").alias("high"))
     # sizes that can be similar to the query and are in the group's shared buckets
     low = F.greatest(F.col("low"), F.ceil(q * t / 100))
@@ -168,8 +176,9 @@ def _candidates(prefixes: DataFrame) -> tuple[DataFrame, DataFrame]:
     by_query = F.ceil((q + low) * t / (100 + t)) - F.ceil(q * t / 100) + 1
     by_member = F.ceil((q + high) * t / (100 + t)) - F.ceil(high * t / 100)
     enough = per.where((low <= high) & (F.col("shared") >= F.least(by_query, by_member)))
-    return placed.select("node", "own").distinct(), written(
-        enough.select("node", "own", "grp"), "jaccard-candidates")
+    homes = placed.select("node", "own").distinct()
+    return homes, written(enough.select("node", "grp").join(homes, "node").select(
+        "node", "own", "grp"), "jaccard-candidates")
 
 
 def _needed(a, b):
@@ -196,21 +205,45 @@ def _overlaps(index, tokens: np.ndarray, n: int) -> np.ndarray:
     return np.bincount(np.concatenate([owner[starts[j]:starts[j + 1]] for j in at]), minlength=n)
 
 
-def _open(rows: list[tuple[bool, int, int, np.ndarray]]) -> tuple[list[int], list[int]]:
-    """Links of one task's groups as a spanning forest. rows: (whether a guest, group, node, tokens);
-    guests belong to groups that are not here and ask all that are."""
-    groups: dict[int, dict[int, np.ndarray]] = {}
-    for guest, own, node, tokens in rows:
+def starts(tokens: np.ndarray) -> np.ndarray:
+    """The first 16 bits of a quarter of the shingles: those whose last two bits are 0. Sets have no more
+    shingles in common than starts, and what the smaller has of the rest."""
+    return (tokens[tokens & 3 == 0] >> 48).astype(np.int16)
+
+
+def _pairs(rows: list[tuple[bool, int, int, int, np.ndarray]], exact: bool) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, rows it links with) within one task's groups. rows: (whether a guest, group, node, size,
+    tokens); guests belong to groups that are not here and ask all that are. Not exact: tokens are as
+    `starts` gives them, what they leave out counts as common, and the rows may link but need not."""
+    groups: dict[int, dict[int, int]] = {}
+    for i, (guest, own, node, _, _) in enumerate(rows):
         if not guest:
-            groups.setdefault(own, {})[node] = tokens
+            groups.setdefault(own, {})[node] = i
     if not groups:
-        return [], []
+        return
     names = sorted(groups)
-    members = [list(groups[g]) for g in names]
-    sizes = [np.array([len(t) for t in groups[g].values()]) for g in names]
-    inside = [_index(list(groups[g].values())) for g in names]
+    members = [np.array(list(groups[g].values())) for g in names]
+    sizes = [np.array([rows[i][3] for i in m]) for m in members]
+    out = [np.array([rows[i][3] - len(rows[i][4]) for i in m]) for m in members]
+    inside = [_index([rows[i][4] if exact else np.unique(rows[i][4]) for i in m]) for m in members]
     matrix = inside[0] if len(names) == 1 else _index([i[0] for i in inside])  # tokens by groups
     smallest = np.array([s.min() for s in sizes])
+    for i, (guest, own, _, n, tokens) in enumerate(rows):
+        left_out = n - len(tokens)
+        if len(names) == 1:
+            bound = np.array([np.isin(tokens, inside[0][0], assume_unique=exact).sum()])
+        else:
+            bound = _overlaps(matrix, tokens, len(names))
+        asked = bound + left_out >= _needed(n, np.maximum(smallest, -(-THRESHOLD * n // 100)))
+        for g in np.flatnonzero(asked):
+            if not guest and names[g] < own:
+                continue  # compared from the other side
+            overlap = _overlaps(inside[g], tokens, len(members[g])) + np.minimum(left_out, out[g])
+            yield i, members[g][overlap * (100 + THRESHOLD) >= THRESHOLD * (n + sizes[g])]
+
+
+def _open(rows: list[tuple[bool, int, int, int, np.ndarray]]) -> tuple[list[int], list[int]]:
+    """Links of one task's groups as a spanning forest."""
     parent: dict[int, int] = {}
 
     def root(x: int) -> int:
@@ -220,54 +253,66 @@ def _open(rows: list[tuple[bool, int, int, np.ndarray]]) -> tuple[list[int], lis
         return x
 
     left, right = [], []
-    for guest, own, q, tokens in rows:
-        n = len(tokens)
-        if len(names) == 1:
-            bound = np.array([np.isin(tokens, inside[0][0], assume_unique=True).sum()])
-        else:
-            bound = _overlaps(matrix, tokens, len(names))
-        asked = bound >= _needed(n, np.maximum(smallest, -(-THRESHOLD * n // 100)))
-        for g in np.flatnonzero(asked):
-            if not guest and names[g] < own:
-                continue  # compared from the other side
-            overlap = _overlaps(inside[g], tokens, len(members[g]))
-            for j in np.flatnonzero(overlap * (100 + THRESHOLD) >= THRESHOLD * (n + sizes[g])):
-                x, y = root(q), root(members[g][j])
-                if x != y:
-                    parent[max(x, y)] = min(x, y)
-                    left.append(q)
-                    right.append(members[g][j])
+    for i, found in _pairs(rows, True):
+        for j in found:
+            x, y = root(rows[i][2]), root(rows[j][2])
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                left.append(rows[i][2])
+                right.append(rows[j][2])
     return left, right
 
 
-def _compared(rows: DataFrame) -> DataFrame:
-    """a, b: links found; rows has dest, chunk (a task's groups come together), guest, own, node, tokens."""
+def _may_link(rows: list[tuple[bool, int, int, int, np.ndarray]]) -> np.ndarray:
+    """Whether each row has another that it may link with."""
+    some = np.zeros(len(rows), bool)
+    for i, found in _pairs(rows, False):
+        others = found[np.array([rows[j][2] != rows[i][2] for j in found], bool)]
+        if len(others):
+            some[i] = True
+            some[others] = True
+    return some
+
+
+def _compared(rows: DataFrame, exact: bool = True) -> DataFrame:
+    """a, b: links found; or, if not exact, node and dests (array of dest, chunk, guest, own) of the rows
+    that may have one. rows has dest, chunk (a task's groups come together), guest, own, node, n, tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
 
         def close():
-            left, right = _open(held)
+            if exact:
+                left, right = _open(held)
+                return pa.RecordBatch.from_arrays(
+                    [pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+            kept = [h[:3] for h, may in zip(held, _may_link(held), strict=True) if may]
             return pa.RecordBatch.from_arrays(
-                [pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
+                [pa.array([now[0]] * len(kept), pa.int64()), pa.array([now[1]] * len(kept), pa.int32()),
+                 pa.array([k[0] for k in kept], pa.bool_()), pa.array([k[1] for k in kept], pa.int64()),
+                 pa.array([k[2] for k in kept], pa.int64())], ["dest", "chunk", "guest", "own", "node"])
 
         for batch in batches:
             dest, chunk = batch.column(0).to_numpy(), batch.column(1).to_numpy()
             guest = batch.column(2).to_numpy(zero_copy_only=False)
-            own, node = batch.column(3).to_numpy(), batch.column(4).to_numpy()
-            bounds, values = batch.column(5).offsets.to_numpy(), batch.column(5).values.to_numpy()
+            own, node, n = (batch.column(c).to_numpy() for c in (3, 4, 5))
+            bounds, values = batch.column(6).offsets.to_numpy(), batch.column(6).values.to_numpy()
             for i in range(batch.num_rows):
-                here = (dest[i], chunk[i])
+                here = (int(dest[i]), int(chunk[i]))
                 if here != now and held:
                     yield close()
                     held = []
                 now = here
-                held.append((bool(guest[i]), int(own[i]), int(node[i]), values[bounds[i]:bounds[i + 1]].copy()))
+                held.append((bool(guest[i]), int(own[i]), int(node[i]), int(n[i]),
+                             values[bounds[i]:bounds[i + 1]].copy()))
         if held:
             yield close()
 
-    return rows.repartition("dest", "chunk").sortWithinPartitions("dest", "chunk").select(
-        "dest", "chunk", "guest", "own", "node", "tokens").mapInArrow(run, "a long, b long")
+    out = "a long, b long" if exact else "dest long, chunk int, guest boolean, own long, node long"
+    found = rows.repartition("dest", "chunk").sortWithinPartitions("dest", "chunk").select(
+        "dest", "chunk", "guest", "own", "node", "n", "tokens").mapInArrow(run, out)
+    return found if exact else found.groupBy("node").agg(
+        F.collect_list(F.struct("dest", "chunk", "guest", "own")).alias("dests"))
 
 
 def _destinations(homes: DataFrame, asks: DataFrame) -> DataFrame:
@@ -298,39 +343,44 @@ def _destinations(homes: DataFrame, asks: DataFrame) -> DataFrame:
         F.collect_list(F.struct("dest", "chunk", "guest", "own")).alias("dests"))
 
 
-def _sent(docs: DataFrame, key: str, text: str, sets: DataFrame, dests: DataFrame) -> DataFrame:
-    """dest, chunk, guest, own, node, tokens: every node's set, from its document of lowest id, for
-    each of its destinations. The ids choose the texts inside the scan while they are few."""
-    ids = written(sets.join(dests, "node").groupBy("node").agg(
-        F.min(key).alias(key), F.first("dests").alias("dests")).select(key, "dests"), "jaccard-ids")
+def _sent(docs: DataFrame, key: str, text: str, ids: DataFrame, exact: bool = True) -> DataFrame:
+    """dest, chunk, guest, own, node, n, tokens: every node's set, from its document of lowest id, for
+    each of its destinations; only its `starts` if not exact. The ids choose the texts
+    inside the scan while they are few."""
     few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    ids = ids.select(key, "dests")
     texts = docs.select(F.col(key), F.col(text)).join(F.broadcast(ids) if few else ids, key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                found = [(row, tokens) for row, tokens in shingle_sets(part.column(0), WORDS) if len(tokens)]
-                if not found:
-                    continue
-                lists = pa.ListArray.from_arrays(
-                    pa.array(np.concatenate([[0], np.cumsum([len(t) for _, t in found])]), pa.int32()),
-                    pa.array(np.concatenate([t for _, t in found])))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(1).take(pa.array([row for row, _ in found])),
-                     pa.array([_node(t) for _, t in found], pa.int64()), lists], ["dests", "node", "tokens"])
+        for part in _slices(batches):
+            found = [(row, tokens) for row, tokens in shingle_sets(part.column(0), WORDS) if len(tokens)]
+            if not found:
+                continue
+            sent = [t if exact else starts(t) for _, t in found]
+            lists = pa.ListArray.from_arrays(
+                pa.array(np.concatenate([[0], np.cumsum([len(t) for t in sent])]), pa.int32()),
+                pa.array(np.concatenate(sent)))
+            yield pa.RecordBatch.from_arrays(
+                [part.column(1).take(pa.array([row for row, _ in found])),
+                 pa.array([_node(t) for _, t in found], pa.int64()),
+                 pa.array([len(t) for _, t in found], pa.int32()), lists], ["dests", "node", "n", "tokens"])
 
+    kind = "long" if exact else "short"
     sent = texts.select(text, "dests").mapInArrow(
-        run, "dests array<struct<dest:long,chunk:int,guest:boolean,own:long>>, node long, tokens array<long>")
-    return sent.select(F.explode("dests").alias("_d"), "node", "tokens").select("_d.*", "node", "tokens")
+        run, "dests array<struct<dest:long,chunk:int,guest:boolean,own:long>>, node long, n int, "
+        f"tokens array<{kind}>")
+    return sent.select(F.explode("dests").alias("_d"), "node", "n", "tokens").select("_d.*", "node", "n", "tokens")
 
 
 def links(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(key, node, n) per row, and (a, b): a spanning forest of the links between nodes."""
     sets, levels = _sets_and_sketch(docs, key, text)
     homes, asks = _candidates(_prefixes(docs, text, docs.sparkSession.sparkContext.broadcast(levels)))
-    sent = _sent(docs, key, text, sets, _destinations(homes, asks))
-    return sets, written(_compared(sent), "jaccard-links")
+    ids = written(sets.join(_destinations(homes, asks), "node").groupBy("node").agg(
+        F.min(key).alias(key), F.first("dests").alias("dests")), "jaccard-ids")
+    near = _compared(_sent(docs, key, text, ids, exact=False), exact=False)
+    near = written(near.join(ids.select("node", key), "node"), "jaccard-near")
+    return sets, written(_compared(_sent(docs, key, text, near)), "jaccard-links")
 
 
 def components(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

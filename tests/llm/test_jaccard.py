@@ -116,3 +116,31 @@ def test_component_labels(spark):
     got = dict(component_labels(spark.createDataFrame(edges, "a long, b long")).collect())
     assert {got[i] for i in range(61)} == {0} and {got[i] for i in range(200, 250)} == {200} and got[101] == 100
     assert component_labels(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_only_sets_that_link_are_sent_whole(spark, monkeypatch):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(4000)]
+    runs = [" ".join(rng.choice(words) for _ in range(9)) for _ in range(40)]
+    rows = [(i, " ".join(rng.sample(runs, 14))) for i in range(120)]  # all share runs, few of one other
+    rows += [(200 + i, " ".join([*rows[0][1].split(), f"new{i}"])) for i in range(3)]
+    docs, counts, sent = spark.createDataFrame(rows, "doc_id long, text string"), {}, jaccard_join._sent
+
+    def counted(docs, key, text, ids, exact=True):
+        counts[exact] = ids.count()
+        return sent(docs, key, text, ids, exact)
+
+    monkeypatch.setattr(jaccard_join, "_sent", counted)
+    same(jaccard_join.components(docs).collect(), rows)
+    assert counts == {False: 123, True: 4}
+
+
+def test_starts_of_shingles_lose_no_link():
+    rng = np.random.default_rng(4)
+    pool = np.unique(rng.integers(-2**63, 2**63 - 1, 20_000))  # every start comes again
+    base = [np.sort(rng.choice(pool, n, replace=False)) for n in (3, 50, 15_000, 12_000)]
+    near = [np.sort(rng.choice(b, -(-len(b) * 9 // 10), replace=False)) for b in base]
+    rows = [(i % 3 == 2, i % 4, i, len(t), t) for i, t in enumerate([*base, *near])]
+    short = [(g, own, node, n, jaccard_join.starts(t)) for g, own, node, n, t in rows]
+    left, right = jaccard_join._open(rows)
+    assert left and set(left) | set(right) <= set(np.flatnonzero(jaccard_join._may_link(short)).tolist())
