@@ -309,7 +309,9 @@ def _compared(rows: DataFrame, exact: bool = True) -> DataFrame:
             yield close()
 
     out = "a long, b long" if exact else "dest long, chunk int, guest boolean, own long, node long"
-    found = rows.repartition("dest", "chunk").sortWithinPartitions("dest", "chunk").select(
+    # starts are much work in few bytes: adaptive execution would join their partitions by their bytes
+    parts = [] if exact else [int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))]
+    found = rows.repartition(*parts, "dest", "chunk").sortWithinPartitions("dest", "chunk").select(
         "dest", "chunk", "guest", "own", "node", "n", "tokens").mapInArrow(run, out)
     return found if exact else found.groupBy("node").agg(
         F.collect_list(F.struct("dest", "chunk", "guest", "own")).alias("dests"))
