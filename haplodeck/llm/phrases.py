@@ -28,12 +28,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from haplodeck.llm.arrow_text import chunks, mixed, words
+from haplodeck.llm.arrow_text import CHUNK_BYTES, chunks, mixed, words
 from haplodeck.llm.packing import pack, pack_rising, runs, text_volume, unpack, unpack_rising
 from haplodeck.llm.tables import written
 
 LEAST, LONGEST, TOP, INSIDE_PERCENT, SCALE = 30, 4, 2000, 80, 2_000_000
-BLOCK_BYTES, BUCKET_BYTES, SALTS = 8 << 20, 8 << 20, 8
+BLOCK_BYTES, BUCKET_BYTES, SALTS = 4 << 20, 8 << 20, 8
 _PIECE_ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
 #: A prefix is told if it begins 1/TOLD of a block's suffixes, and hot if 1/HOT of all.
 _TOLD, _HOT = 2048, 1024
@@ -55,9 +55,10 @@ def suffixes(data: np.ndarray, offsets: np.ndarray):
     same = np.ones(n, bool)
     for k in range(1, LONGEST):
         near = np.zeros(n, bool)
-        near[:n - k] = (piece[k:] == piece[:n - k]) & (text[k:] == text[:n - k])
+        m = max(n - k, 0)
+        near[:m] = (piece[k:] == piece[:m]) & (text[k:] == text[:m])
         same &= near
-        out[:n - k, k][same[:n - k]] = own[k:][same[:n - k]]
+        out[:m, k][same[:m]] = own[k:][same[:m]]
     return w, own, out
 
 
@@ -81,6 +82,24 @@ def _texts(batches: Iterator[pa.RecordBatch]):
                 yield lang, data, offsets
 
 
+def _cut(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(bytes, offsets) of a few texts of a block at a time, as words take many times the bytes of their text."""
+    at = 0
+    while at + 1 < len(offsets):
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + CHUNK_BYTES, "right")) - 1)
+        yield data[offsets[at]:offsets[to]], offsets[at:to + 1] - offsets[at]
+        at = to
+
+
+def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct keys, place of each in the parts set end to end, sum of its counts)."""
+    key, n = np.concatenate(keys), np.concatenate(counts)
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    return key[first], order[first], np.add.reduceat(n[order], first) if len(key) else n
+
+
 def _strings(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
     size = ends - starts
     offsets = np.concatenate([[0], np.cumsum(size)])
@@ -95,17 +114,28 @@ def _counts(rows: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, data, offsets in _texts(batches):
-            w, own, suffix = suffixes(data, offsets)
-            if not len(own):
+            total, spelt, found = 0, [], {d: ([], []) for d in (0, 2, 3)}
+            for some in _cut(data, offsets):
+                w, own, suffix = suffixes(*some)
+                total += len(own)
+                key, at, n = np.unique(own, return_index=True, return_counts=True)
+                spelt.append(_strings(w.data, w.starts[at], w.ends[at]))
+                found[0][0].append(key)
+                found[0][1].append(n)
+                keys = prefix_keys(lang, suffix)
+                for depth in (2, 3):
+                    key, n = np.unique(keys[depth - 1][suffix[:, depth - 1] > 0], return_counts=True)
+                    found[depth][0].append(key)
+                    found[depth][1].append(n)
+            if not total:
                 continue
-            key, at, n = np.unique(own, return_index=True, return_counts=True)
+            key, at, n = _summed(*found.pop(0))
             yield pa.RecordBatch.from_arrays([
                 pa.array([lang] * len(key), pa.string()), pa.array(np.zeros(len(key), np.int32)),
-                _strings(w.data, w.starts[at], w.ends[at]), pa.array(key.view(np.int64)), pa.array(n)], names)
-            keys = prefix_keys(lang, suffix)
+                pa.concat_arrays(spelt).take(pa.array(at)), pa.array(key.view(np.int64)), pa.array(n)], names)
             for depth in (2, 3):
-                key, n = np.unique(keys[depth - 1][suffix[:, depth - 1] > 0], return_counts=True)
-                told = n * _TOLD >= len(own)
+                key, _, n = _summed(*found.pop(depth))
+                told = n * _TOLD >= total
                 key, n = key[told], n[told]
                 yield pa.RecordBatch.from_arrays([
                     pa.array([lang] * len(key), pa.string()), pa.array(np.full(len(key), depth, np.int32)),
@@ -124,17 +154,28 @@ def _route(keys: list[np.ndarray], hot: dict[int, np.ndarray]) -> tuple[np.ndarr
     return key, depth
 
 
+def distinct_suffixes(lang: str, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct suffixes of two words or more in a block, how often each stands there)."""
+    parts, keys, counts = [np.zeros((0, LONGEST), np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for some in _cut(data, offsets):
+        _, _, suffix = suffixes(*some)
+        suffix = suffix[suffix[:, 1] > 0]
+        key, at, n = np.unique(prefix_keys(lang, suffix)[-1], return_index=True, return_counts=True)
+        parts.append(suffix[at])
+        keys.append(key)
+        counts.append(n)
+    _, at, n = _summed(keys, counts)
+    return np.concatenate(parts)[at], n
+
+
 def _routed(rows: DataFrame, hot: dict[int, np.ndarray], buckets: int) -> DataFrame:
     names = ["bucket", "lang", "words", "ids", "counts"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, data, offsets in _texts(batches):
-            _, _, suffix = suffixes(data, offsets)
-            suffix = suffix[suffix[:, 1] > 0]
+            suffix, n = distinct_suffixes(lang, data, offsets)
             if not len(suffix):
                 continue
-            _, at, n = np.unique(prefix_keys(lang, suffix)[-1], return_index=True, return_counts=True)
-            suffix = suffix[at]
             bucket = (_route(prefix_keys(lang, suffix), hot)[0] % np.uint64(buckets)).astype(np.int64)
             order = np.lexsort((*(suffix[:, k] for k in reversed(range(LONGEST))), bucket))
             suffix, n, bucket = suffix[order], n[order], bucket[order]
@@ -182,19 +223,24 @@ def _sorted_counts(routed: DataFrame, hot: dict[int, np.ndarray], least: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (_, lang), rows in runs(batches, "bucket", "lang"):
-            parts, counts = [], []
+            parts, counts = {c: [] for c in bars}, {c: [] for c in bars}
             for r in rows:
                 known = unpack_rising(r["words"])
                 ids = [unpack_rising(r["ids"][0]), *[unpack(c) for c in r["ids"][1:]]]
-                parts.append(known[np.stack(ids, 1).astype(np.int64)])
-                counts.append(unpack(r["counts"]).astype(np.int64))
-            suffix, n = np.concatenate(parts), np.concatenate(counts)
-            depth = _route(prefix_keys(lang, suffix), hot)[1]
+                suffix = known[np.stack(ids, 1).astype(np.int64)]
+                n = unpack(r["counts"]).astype(np.int64)
+                depth = _route(prefix_keys(lang, suffix), hot)[1]
+                for covered in np.unique(depth).tolist():
+                    own = depth == covered
+                    parts[covered].append(suffix[own])
+                    counts[covered].append(n[own])
             out: list[tuple[int, np.ndarray, int]] = []
             for covered, bar in bars.items():
-                own = np.flatnonzero(depth == covered)
-                mine = suffix[own]
-                out += [(d, mine[i], total) for d, i, total in equal_parts(mine, n[own], bar) if d > 1]
+                if not parts[covered]:
+                    continue
+                mine, n = np.concatenate(parts.pop(covered)), np.concatenate(counts.pop(covered))
+                # copies, as a row of `mine` would keep all of it
+                out += [(d, mine[i].copy(), total) for d, i, total in equal_parts(mine, n, bar) if d > 1]
             if not out:
                 continue
             d = np.array([o[0] for o in out])

@@ -1,9 +1,11 @@
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from haplodeck.llm import phrases as ph
@@ -90,3 +92,50 @@ def test_quicksort_counts_prefixes():
                 if row[d - 1]:
                     want[tuple(row[:d])] += k
         assert got == {p: c for p, c in want.items() if c >= least}
+
+
+def test_a_block_of_text_takes_little_memory():
+    texts = pa.array([" ".join(f"w{i * j % 7919}" for j in range(1, 2000)) + "." for i in range(1, 700)])
+    data, offsets = next(c[2:] for c in ph.chunks(texts, ph.BLOCK_BYTES))
+    assert len(data) > 3 << 20
+    rows = pa.RecordBatch.from_arrays([pa.array(["en"] * (len(offsets) - 1)), texts[:len(offsets) - 1]], ["lang", "text"])
+
+    class Mapped:  # stands for a DataFrame and keeps what its tasks run
+        def mapInArrow(self, run, schema):
+            self.run = run
+            return self
+
+    step = Mapped()
+    ph._routed(step, {d: np.zeros(0, np.uint64) for d in (2, 3)}, 64)
+    tracemalloc.start()
+    try:
+        assert sum(b.num_rows for b in step.run(iter([rows]))) == 64
+        assert tracemalloc.get_traced_memory()[1] < 150 << 20
+    finally:
+        tracemalloc.stop()
+
+
+def test_words_of_a_block_are_summed_over_its_parts(spark, monkeypatch):
+    monkeypatch.setattr(ph, "CHUNK_BYTES", 60)
+    rows = made(5, 60)
+    df = spark.createDataFrame(rows, "text string, lang string").coalesce(1).selectExpr(
+        "coalesce(lang, 'und') AS lang", "coalesce(text, '') AS text")
+    per_block = []
+    plain = ph._summed
+    monkeypatch.setattr(ph, "_summed", lambda k, n: per_block.append(len(k)) or plain(k, n))
+    step = type("Mapped", (), {"mapInArrow": lambda self, run, schema: setattr(self, "run", run) or self})()
+    ph._routed(step, {d: np.zeros(0, np.uint64) for d in (2, 3)}, 1)
+    got = Counter()
+    for batch in step.run(iter(df.toArrow().to_batches())):
+        for r in batch.to_pylist():
+            got[r["lang"]] += int(ph.unpack(r["counts"]).sum())
+    want = Counter()
+    for batch in df.toArrow().to_batches():
+        for lang, data, offsets in ph._texts(iter([batch])):
+            want[lang] += int((ph.suffixes(data, offsets)[2][:, 1] > 0).sum())
+    assert got == want and max(per_block) > 2
+
+
+def test_a_language_of_two_words(spark):
+    assert collected(spark, [("two words", "xx")] + [("ab cd", "en")] * 30) == [
+        ("en", 1, "ab cd", 30, 30, 30, 60, 1000000)]
