@@ -39,19 +39,32 @@ def _profile_text(present):
     return F.when(F.size(names) > 0, F.array_join(names, "+")).otherwise(domain.NO_PROFILE)
 
 
-def row_profiles(manifest: DataFrame, existing: DataFrame) -> DataFrame:
-    """Every manifest row with the sorted list of its existing columns and the profile text."""
-    present = existing.groupBy("row_id").agg(F.collect_set("source").alias("present"))
+def _present(existing: DataFrame, key: str, columns: list[str] | None) -> DataFrame:
+    """key, present: the sources of every key. Of at most 62 known names one number per key is grouped, a bit
+    per name, instead of a set."""
+    if columns is None or len(columns) > 62:
+        return existing.groupBy(key).agg(F.collect_set("source").alias("present"))
+    bit = F.element_at(F.create_map(*[x for i, c in enumerate(columns) for x in (F.lit(c), F.lit(1 << i).cast("long"))]),
+                       F.col("source"))
+    bits = existing.groupBy(key).agg(F.bit_or(bit).alias("_bits"))
+    return bits.select(key, F.array_compact(F.array(*[
+        F.when(F.getbit("_bits", F.lit(i)) == 1, c) for i, c in enumerate(columns)])).alias("present"))
+
+
+def row_profiles(manifest: DataFrame, existing: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Every manifest row with the sorted list of its existing columns and the profile text. `columns`: all
+    names that `source` may have, if they are known."""
+    present = _present(existing, "row_id", columns)
     empty = F.array().cast("array<string>")
     return manifest.join(present, "row_id", "left").withColumn(
         "present", F.array_sort(F.coalesce("present", empty))
     ).withColumn("profile", _profile_text(F.col("present")))
 
 
-def union_profiles(manifest: DataFrame, existing: DataFrame) -> DataFrame:
+def union_profiles(manifest: DataFrame, existing: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Per person the union of existing columns over all rows. The set holds column names, so it
     stays small for a person with any number of rows."""
-    present = existing.groupBy("person_id").agg(F.collect_set("source").alias("_p"))
+    present = _present(existing, "person_id", columns).withColumnRenamed("present", "_p")
     people = manifest.groupBy("person_id").agg(F.count("*").alias("n_rows"))
     empty = F.array().cast("array<string>")
     return people.join(present, "person_id", "left").select(

@@ -16,17 +16,21 @@ def manifest_files(manifest: DataFrame, columns: list[str], bucket: str,
     """Manifest cells as rows: row_id, person_id, priority, source, uri, path. Cells that cannot
     lie in the bucket are gone, so the existence join below never meets a null path."""
     cells = F.array(*[
-        F.struct(F.lit(i).alias("priority"), F.lit(c).alias("source"), F.col(c).alias("uri"))
+        F.struct(F.lit(i).alias("priority"), F.lit(c).alias("source"), F.col(c).alias("uri"),
+                 relative_path(c, bucket, rejected).alias("path"))
         for i, c in enumerate(columns)
     ])
     return manifest.select("row_id", "person_id", F.explode(cells).alias("_c")).select(
-        "row_id", "person_id", "_c.*"
-    ).withColumn("path", relative_path("uri", bucket, rejected)).where(F.col("path").isNotNull())
+        "row_id", "person_id", "_c.*").where(F.col("path").isNotNull())
 
 
 def existing_files(files: DataFrame, inventory: DataFrame) -> DataFrame:
-    """Cells whose path is in the bucket listing."""
-    return files.join(inventory.select("path"), "path", "left_semi")
+    """Cells whose path is in the bucket listing, which may name a path more than once. Paths share long
+    beginnings, so the join sorts by their hash alone, a number; paths of one hash are told apart by their
+    text, compared both ways so that it becomes no second sort key."""
+    listed = inventory.select(F.col("path").alias("_listed"))
+    same = (F.col("path") <= F.col("_listed")) & (F.col("path") >= F.col("_listed"))
+    return files.join(listed, (F.xxhash64("path") == F.xxhash64("_listed")) & same, "left_semi")
 
 
 def resolved_source(manifest: DataFrame, files: DataFrame, inventory: DataFrame,

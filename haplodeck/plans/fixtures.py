@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from haplodeck import domain
 from haplodeck.functions.text import epoch_seconds
+from haplodeck.functions.uris import relative_path
 from haplodeck.operators.rows import with_once
 
 
@@ -259,14 +260,13 @@ def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def inventory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bucket listing: every path of the manifest that exists."""
+    """Bucket listing: every path of the manifest that exists. A path names its row and column, so none
+    comes twice."""
     m = manifest(spark, sf_dir)
     paths = m.select("row_id", F.explode(F.array(
         *[F.col(c) for c in (*BAM_COLUMNS, *FA_COLUMNS, *PAF_COLUMNS)])).alias("u"))
     ok = (F.length("u") + F.col("row_id")) % 5 != 0
-    return paths.where(F.col("u").isNotNull() & (F.col("u") != "") & ok).select(
-        F.regexp_replace("u", "^gs://fixture-bucket/", "").alias("path")
-    ).where(~F.startswith("path", F.lit("gs://"))).distinct()
+    return paths.where(ok).select(relative_path("u", BUCKET).alias("path")).where(F.col("path").isNotNull())
 
 
 def cram_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:

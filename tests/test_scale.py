@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from haplodeck.operators import lasso as ls, models as md
+from haplodeck.operators import census as cen, cohort as co, lasso as ls, models as md
 from haplodeck.plans import fixtures as fx, queries, stored
 
 
@@ -89,3 +89,34 @@ def test_stored_versions_get_their_genes_where_they_are_written(spark, data, mon
     first = seen[0].splitlines()
     assert "Exchange rangepartitioning(_bucket" in seen[0]
     assert not any("Generate" in x for x in first[next(i for i, x in enumerate(first) if "rangepartitioning" in x):])
+
+
+def test_paths_meet_the_listing_sorted_by_a_number(spark, data, monkeypatch):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = queries._existing(spark, data)
+        (line,) = joins(found)
+        assert line.count("xxhash64(") == 2 and "LeftSemi, (" in line
+        sorts = [x for x in plan(found).splitlines() if " Sort [" in x]
+        assert sorts and all("Sort [xxhash64(" in x and x.count("ASC") == 1 for x in sorts)
+        wanted = sorted(map(tuple, found.collect()))
+        monkeypatch.setattr(co.F, "xxhash64", F.length)  # many paths of one hash
+        listing = fx.inventory(spark, data)
+        again = co.existing_files(queries._files(spark, data, queries.FILES), listing.unionByName(listing))
+        assert sorted(map(tuple, again.collect())) == wanted and len(wanted) > 1000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_sources_are_grouped_as_bits(spark, data):
+    manifest, found = fx.manifest(spark, data), queries._existing(spark, data)
+    assert "collect_set" not in plan(queries.QUERIES["profile_by_platform"](spark, data))
+    for profiles in (cen.row_profiles, cen.union_profiles):
+        assert sorted(map(str, profiles(manifest, found, queries.FILES).collect())) == sorted(
+            map(str, profiles(manifest, found).collect()))
+
+
+def test_the_listing_names_a_path_once(spark, data):
+    listing = fx.inventory(spark, data)
+    assert listing.count() == listing.distinct().count() > 1000
+    assert "Exchange" not in plan(listing).split("HashAggregate")[0]
