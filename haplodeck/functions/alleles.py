@@ -25,7 +25,7 @@ def gene_of(c: Column | str) -> Column:
 
 
 def bare_gene(c: Column | str, prefix: str = "HLA-") -> Column:
-    return F.regexp_replace(col(c), f"^{prefix}", "")
+    return F.when(F.startswith(col(c), F.lit(prefix)), F.substr(col(c), F.lit(len(prefix) + 1))).otherwise(col(c))
 
 
 def _colons(text: Column) -> Column:

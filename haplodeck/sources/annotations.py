@@ -49,6 +49,22 @@ def _plain(text: str) -> Column:
     return (n <= _PLAIN_LENGTH) & ((n - F.length(F.replace(text, F.lit('"'), F.lit("")))) % 2 == 0)
 
 
+def _once(text: str, key: str) -> tuple[Column, Column]:
+    """(value, unclear) of a key that stands once in a text, by plain searches. Unclear are texts where only
+    `attributes` can tell: the key comes again or inside a value, a quote does not close, there is no value."""
+    word, c = f"{key} ", F.col(text)
+    before = F.when(F.contains(c, F.lit(word)), F.substring_index(c, word, 1))
+    after = F.substr(c.cast("binary"), F.octet_length(before) + len(word.encode()) + 1).cast("string")  # by bytes
+    head, rest = F.rtrim(before), F.ltrim(after)
+    outside = (F.octet_length(head) - F.octet_length(F.replace(head, F.lit('"'), F.lit("")))) % 2 == 0
+    quoted, closed, bare = F.startswith(rest, F.lit('"')), F.substring_index(rest, '"', 2), F.rtrim(F.substring_index(rest, ";", 1))
+    whole = (quoted & (F.octet_length(closed) < F.octet_length(rest))) | (
+        ~quoted & ~F.contains(bare, F.lit('"')) & (bare != ""))
+    # no part of it is conditional, so that each is computed once per row; null where the key is missing
+    found = ~F.contains(after, F.lit(word)) & ((head == "") | F.endswith(head, F.lit(";"))) & outside & whole
+    return F.when(found, F.when(quoted, F.substr(closed, F.lit(2))).otherwise(bare)), ~found
+
+
 def _last(text: str, key: str) -> Column:
     """Value of the key's last attribute."""
     rest = F.rtrim(F.regexp_extract(text, f"^(?:{_PLAIN_FIELD};)* *+{re.escape(key)} ++(?=[^;])({_PLAIN_FIELD})", 1))
@@ -65,6 +81,15 @@ def _quoted(text: str, key: str) -> Column:
         attributes(text), lambda a: (a["key"] == key) & a["quoted"] & (a["value"] != "")), F.lit(0))["value"])
 
 
+def with_last(lines: DataFrame, text: str, named: dict[str, str]) -> DataFrame:
+    """Adds for each name the value of a key's last attribute; the slow ways are taken only for unclear texts, and
+    kept out of the plain searches' generated method."""
+    parts = {n: _once(text, key) for n, key in named.items()}
+    quick = with_once(lines, {f"{n}_{i}": p[i] for n, p in parts.items() for i in (0, 1)})
+    return quick.select(*lines.columns, *[
+        F.when(F.col(f"{n}_1"), _last(text, key)).otherwise(F.col(f"{n}_0")).alias(n) for n, key in named.items()])
+
+
 def parse_lines(lines: DataFrame) -> DataFrame:
     """Lines (person_id, hap, line_no, value) -> with their attribute list; comments and rows of
     fewer than nine columns left out."""
@@ -85,9 +110,8 @@ def gene_attributes(parsed: DataFrame, names: list[str]) -> DataFrame:
     that comes twice on a line the last counts. Rows that carry only a gene_id take the latest name
     that id was given at or before them."""
     where = ["person_id", "hap"]
-    rows = with_once(parsed.select(*where, "line_no", "text"), {
-        "_gid": _last("text", "gene_id"), "_name": _last("text", "gene_name"),
-        **{f"_v{i}": _last("text", n) for i, n in enumerate(names)}}).drop("text")
+    rows = with_last(parsed.select(*where, "line_no", "text"), "text", {
+        "_gid": "gene_id", "_name": "gene_name", **{f"_v{i}": n for i, n in enumerate(names)}}).drop("text")
     # the rows of one gene id of one haplotype: a gene's lines, never more
     so_far = Window.partitionBy(*where, "_gid").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     known = F.when(F.col("_gid").isNotNull(), F.last("_name", ignorenulls=True).over(so_far))

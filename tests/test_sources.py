@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from haplodeck.operators import intervals as iv
+from haplodeck.plans import readers
 from haplodeck.sources import alignments, annotations, callers, logs, sinks, tables
 
 
@@ -161,6 +162,25 @@ def test_one_expression_per_key_equals_the_attribute_list(spark):
     assert sum(r.first is not None for r in got) > 100
 
 
+def test_plain_searches_equal_the_attribute_list(spark):
+    rng = random.Random(5)
+    tokens = ["k", "k ", "; k ", ";k ", "k2 ", "é", " ", ";", '"', '""', "x", '"v;w"', '"v"', '; k "z"', '; k "k y"', " ; k  y z "]
+    texts = ["".join(rng.choice(tokens) for _ in range(rng.randrange(9))) for _ in range(6000)]
+    texts += ['k "x"; ' * 900, 'k "x"; ' + 'a "b;"; ' * 900, "k ", "k 1", 'é "ü"; k "ä;"; z 1', 'é "ü; k "; z 1', 'a "b"; k "c', 'k ; k2 "x"']
+    of_key = F.filter(annotations.attributes("t"), lambda a: a["key"] == "k")
+    got = annotations.with_last(spark.createDataFrame([(t,) for t in texts], "t string"), "t", {"v": "k"}).select(
+        "t", "v", F.try_element_at(of_key, F.lit(-1))["value"].alias("was"), annotations._once("t", "k")[1].alias("unclear")).collect()
+    assert [r.t for r in got if r.v != r.was] == []
+    assert sum(r.unclear is False and r.was is not None for r in got) > 500 and sum(bool(r.unclear) for r in got) > 500
+
+
+def test_usual_lines_need_no_patterns(spark, data):
+    keys = {n: n for n in ("gene_id", "gene_name", "template_distance", "template_warning")}
+    text = annotations.parse_lines(readers._annotation_lines(spark, data)).select("text")
+    unclear = [annotations._once("text", k)[1] for k in keys]
+    assert text.where(F.coalesce(*[F.nullif(u, F.lit(False)) for u in unclear])).isEmpty()
+
+
 def test_call_lines_are_not_cut_into_lists(spark):
     lines = spark.createDataFrame([(1, "hap1", 1, "")], "person_id long, hap string, line_no long, value string")
     text = annotations.gene_calls(annotations.parse_lines(lines))._jdf.queryExecution().optimizedPlan().toString()
